@@ -122,41 +122,57 @@ class Frame:
         r = self.rows(n)
         return F.when(F.count(column).over(r) >= need, agg(column).over(r))
 
-    def median(self, df: DataFrame, out: str, column: str, n: int, need: int) -> DataFrame:
-        """Median of the non-null values among the last ``n`` rows, once ``need`` of them are there."""
-        df = df.withColumn(out, F.sort_array(F.collect_list(column).over(self.rows(n))))
-        size = F.size(out)
-        low, high = (F.get(out, F.floor((size - 1) / 2)), F.get(out, F.floor(size / 2)))
-        return df.withColumn(out, F.when(size >= need, (low + high) / 2))
-
     def lag(self, column, k: int = 1) -> Column:
         return F.lag(column, k).over(self.w)
 
     def lead(self, column, k: int = 1) -> Column:
         return F.lead(column, k).over(self.w)
 
-    def ema(self, df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
-        """Exponential means, seeded with the first value: ``{output: (column, span)}``.
+    # Exponential means ``{output: (column, span)}``, seeded with the first value.
+    # The recursion is unrolled into a weighted running sum inside blocks of 512
+    # rows plus a short fold over the ends of the blocks before, so the cost per
+    # row does not grow with the span.  Three levels of columns, to be added in turn.
 
-        The recursion is unrolled into a weighted running sum inside blocks of
-        512 rows plus a short fold over the ends of the blocks before, so the
-        cost per row does not grow with the span.
-        """
-        pos = F.col(RN) - 1 - F.col(BLOCK) * BLOCK_ROWS
-        running = self.in_block.rowsBetween(Window.unboundedPreceding, 0)
-        earlier = self.w.rowsBetween(Window.unboundedPreceding, -1)
-        sums, ends, out = {}, {}, {}
+    def ema_sums(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+        upto = self.in_block.rowsBetween(Window.unboundedPreceding, 0)
+        out = {}
         for name, (column, span) in specs.items():
-            alpha, decay = 2.0 / (span + 1), (span - 1.0) / (span + 1)
+            alpha, growth = 2.0 / (span + 1), (span + 1) / (span - 1.0)
             seeded = F.when(F.col(RN) == 1, F.col(column) / alpha).otherwise(F.col(column))
-            sums[f"_s_{name}"] = F.sum(seeded * F.pow(F.lit(1 / decay), pos)).over(running) * alpha
-            end = F.when(pos == BLOCK_ROWS - 1, F.col(f"_s_{name}") * decay ** (BLOCK_ROWS - 1))
-            ends[f"_e_{name}"] = F.collect_list(end).over(earlier)
-            whole = F.lit(decay**BLOCK_ROWS)
-            carried = F.aggregate(f"_e_{name}", F.lit(0.0), _decaying(whole))
-            out[name] = F.pow(F.lit(decay), pos) * (F.col(f"_s_{name}") + carried * decay)
-        df = df.withColumns(sums).withColumns(ends).withColumns(out)
-        return df.drop(*sums, *ends)
+            out[f"_ema_s_{name}"] = F.sum(seeded * F.pow(F.lit(growth), _in_block())).over(upto) * alpha
+        return out
+
+    def ema_ends(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+        earlier = self.w.rowsBetween(Window.unboundedPreceding, -1)
+        out = {}
+        for name, (_, span) in specs.items():
+            scale = _decay(span) ** (BLOCK_ROWS - 1)
+            end = F.when(_in_block() == BLOCK_ROWS - 1, F.col(f"_ema_s_{name}") * scale)
+            out[f"_ema_e_{name}"] = F.collect_list(end).over(earlier)
+        return out
+
+    def ema_values(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+        out = {}
+        for name, (_, span) in specs.items():
+            d = _decay(span)
+            carried = F.aggregate(f"_ema_e_{name}", F.lit(0.0), _decaying(F.lit(d**BLOCK_ROWS)))
+            out[name] = F.pow(F.lit(d), _in_block()) * (F.col(f"_ema_s_{name}") + carried * d)
+        return out
+
+
+def middle(sorted_values: str, need: int) -> Column:
+    """Median of a sorted array once it has ``need`` values."""
+    size = F.size(sorted_values)
+    low, high = F.get(sorted_values, F.floor((size - 1) / 2)), F.get(sorted_values, F.floor(size / 2))
+    return F.when(size >= need, (low + high) / 2)
+
+
+def _in_block() -> Column:
+    return F.col(RN) - 1 - F.col(BLOCK) * BLOCK_ROWS
+
+
+def _decay(span: int) -> float:
+    return (span - 1.0) / (span + 1)
 
 
 def _decaying(factor: Column):

@@ -1,8 +1,10 @@
 """Technical indicators as window expressions.
 
-Every indicator is a stage ``(df, frame) -> df`` that adds columns, plus the
-number of earlier rows it looks at.  Called with a table it runs by itself;
-:func:`feature_set` chains the stages so that all share one shuffle and sort.
+An indicator is a short list of levels.  A level maps column names to window
+expressions over columns of earlier levels, so levels of many indicators merge
+into one projection each and Spark plans few window nodes.  Called with a table
+an indicator runs by itself; :func:`feature_set` merges them all, so that they
+share one shuffle and one sort.
 """
 
 from __future__ import annotations
@@ -17,250 +19,250 @@ from pyspark.sql import functions as F
 from candela.functions.guards import c, div, flag, ln_or_null, pct_change
 from candela.functions.series import Frame, Series, bar_series, ema_lookback, on_series, running, strip
 
-Stage = Callable[[DataFrame, Frame], DataFrame]
+Level = Callable[[Frame], dict[str, Column]]
 
 
 @dataclass(frozen=True)
 class Indicator:
-    """A stage with its lookback, callable on a table of bars."""
+    """Levels of columns and how many earlier rows they look at; names with ``_`` in front are scratch."""
 
-    stage: Stage
+    levels: tuple[Level, ...]
     lookback: int
 
+    def stage(self, df: DataFrame, f: Frame | None) -> DataFrame:
+        before = set(df.columns)
+        for level in self.levels:
+            df = df.withColumns(level(f))
+        return df.drop(*[n for n in df.columns if n.startswith("_") and n not in before])
+
     def __call__(self, bars: DataFrame, series: Series | None = None) -> DataFrame:
         if not self.lookback:
             return self.stage(bars, None)  # row by row: no positions, no shuffle
         return on_series(bars, series or bar_series(), self.stage, self.lookback)
 
 
-def chain(*parts: Indicator) -> Indicator:
-    """Several indicators over one windowing; lookbacks add up because stages may feed each other."""
-    def stage(df: DataFrame, f: Frame) -> DataFrame:
-        for part in parts:
-            df = part.stage(df, f)
-        return df
+def indicator(lookback: int, *levels: Level) -> Indicator:
+    return Indicator(levels, lookback)
 
-    return Indicator(stage, sum(p.lookback for p in parts))
+
+def chain(*parts: Indicator) -> Indicator:
+    """Indicators that read each other's columns: levels follow each other and lookbacks add up."""
+    return Indicator(sum((p.levels for p in parts), ()), sum(p.lookback for p in parts))
 
 
 def beside(*parts: Indicator) -> Indicator:
-    """Like :func:`chain` for indicators that do not read each other's columns."""
-    def stage(df: DataFrame, f: Frame) -> DataFrame:
-        for part in parts:
-            df = part.stage(df, f)
-        return df
+    """Independent indicators: levels of equal depth merge."""
+    def merged(depth: int) -> Level:
+        return lambda f: {k: v for p in parts if depth < len(p.levels) for k, v in p.levels[depth](f).items()}
 
-    return Indicator(stage, max(p.lookback for p in parts))
+    depth = max(len(p.levels) for p in parts)
+    return Indicator(tuple(merged(i) for i in range(depth)), max(p.lookback for p in parts))
 
 
 # ---- averages -------------------------------------------------------------
 
 
 def sma(periods=(20, 50, 200), price="close") -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumns({f"sma_{n}": f.full(price, n) for n in periods}), max(periods)
-    )
+    return indicator(max(periods), lambda f: {f"sma_{n}": f.full(price, n) for n in periods})
 
 
-def ema(periods=(12, 26, 50), price="close") -> Indicator:
-    return Indicator(
-        lambda df, f: f.ema(df, {f"ema_{n}": (price, n) for n in periods}), max(map(ema_lookback, periods))
+def ema_of(specs: dict[str, tuple[str, int]]) -> Indicator:
+    """Exponential means ``{output: (column, span)}``."""
+    return indicator(
+        max(ema_lookback(span) for _, span in specs.values()),
+        lambda f: f.ema_sums(specs), lambda f: f.ema_ends(specs), lambda f: f.ema_values(specs),
     )
 
 
-def rsi(period=14, price="close", out=None) -> Indicator:
-    out = out or f"rsi_{period}"
+def ema(periods=(12, 26, 50), price="close") -> Indicator:
+    return ema_of({f"ema_{n}": (price, n) for n in periods})
+
 
-    def stage(df, f):
-        step = c(price) - f.lag(price)
-        df = df.withColumns(
-            {
-                "_gain": F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)),
-                "_loss": F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0)),
-            }
-        ).withColumns({"_ag": f.full("_gain", period), "_al": f.full("_loss", period)})
-        value = F.when(F.col("_al") != 0, 100 - 100 / (1 + div("_ag", "_al"))).when(F.col("_ag") > 0, F.lit(100.0))
-        return df.withColumn(out, value).drop("_gain", "_loss", "_ag", "_al")
+def rsi(period=14, price="close") -> Indicator:
+    def value(f):
+        up, down = c("_rsi_up"), c("_rsi_down")
+        return {
+            f"rsi_{period}": F.when(down != 0, 100 - 100 / (1 + div(up, down))).when(up > 0, F.lit(100.0))
+        }
 
-    return Indicator(stage, period + 1)
+    zero = F.lit
+    return indicator(
+        period + 1,
+        lambda f: {
+            "_gain": F.coalesce(F.greatest(c(price) - f.lag(price), zero(0.0)), zero(0.0)),
+            "_loss": F.coalesce(F.greatest(f.lag(price) - c(price), zero(0.0)), zero(0.0)),
+        },
+        lambda f: {"_rsi_up": f.full("_gain", period), "_rsi_down": f.full("_loss", period)},
+        value,
+    )
 
 
 def macd(fast=12, slow=26, signal=9, price="close") -> Indicator:
-    def stage(df, f):
-        df = f.ema(df, {"_fast": (price, fast), "_slow": (price, slow)})
-        df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-        df = f.ema(df, {"macd_signal": ("macd", signal)})
-        return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-
-    return Indicator(stage, ema_lookback(max(fast, slow)) + ema_lookback(signal))
+    return chain(
+        ema_of({"_macd_fast": (price, fast), "_macd_slow": (price, slow)}),
+        indicator(0, lambda f: {"macd": c("_macd_fast") - c("_macd_slow")}),
+        ema_of({"macd_signal": ("macd", signal)}),
+        indicator(0, lambda f: {"macd_hist": c("macd") - c("macd_signal")}),
+    )
 
 
 def bollinger(period=20, width=2.0, price="close") -> Indicator:
     n = period
-
-    def stage(df, f):
-        df = df.withColumns({f"bb_middle_{n}": f.full(price, n), "_sd": f.full(price, n, F.stddev_samp)})
-        mid, sd = F.col(f"bb_middle_{n}"), F.col("_sd")
-        df = df.withColumns({f"bb_upper_{n}": mid + width * sd, f"bb_lower_{n}": mid - width * sd})
-        up, low = F.col(f"bb_upper_{n}"), F.col(f"bb_lower_{n}")
-        return df.withColumns(
-            {f"bb_width_{n}": up - low, f"bb_position_{n}": div(c(price) - low, up - low)}
-        ).drop("_sd")
-
-    return Indicator(stage, n)
+    def bands(f):
+        mid, reach = c(f"bb_middle_{n}"), width * c("_bb_sd")
+        return {f"bb_upper_{n}": mid + reach, f"bb_lower_{n}": mid - reach}
+
+    def place(f):
+        up, low = c(f"bb_upper_{n}"), c(f"bb_lower_{n}")
+        return {f"bb_width_{n}": up - low, f"bb_position_{n}": div(c(price) - low, up - low)}
+
+    return indicator(
+        n,
+        lambda f: {f"bb_middle_{n}": f.full(price, n), "_bb_sd": f.full(price, n, F.stddev_samp)},
+        bands,
+        place,
+    )
 
 
 def true_range(f: Frame, first_from_range: bool = True) -> Column:
     """Largest of high-low and the distances to the previous close."""
     before = f.lag("close")
-    tr = F.greatest(
-        c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before)
-    )
+    tr = F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
     return tr if first_from_range else F.when(before.isNotNull(), tr)
 
 
 def atr(period=14) -> Indicator:
-    def stage(df, f):
-        df = df.withColumn("_tr", true_range(f)).withColumn(f"atr_{period}", f.full("_tr", period))
-        return df.withColumn(f"atr_percent_{period}", 100 * div(f"atr_{period}", "close")).drop("_tr")
-
-    return Indicator(stage, period + 1)
+    return indicator(
+        period + 1,
+        lambda f: {"_tr": true_range(f)},
+        lambda f: {f"atr_{period}": f.full("_tr", period)},
+        lambda f: {f"atr_percent_{period}": 100 * div(f"atr_{period}", "close")},
+    )
 
 
 def stochastic(k=14, d=3) -> Indicator:
-    def stage(df, f):
-        low, high = f.full("low", k, F.min), f.full("high", k, F.max)
-        df = df.withColumns({"_lo": low, "_hi": high})
-        df = df.withColumn(f"stoch_k_{k}", 100 * div(c("close") - c("_lo"), c("_hi") - c("_lo")))
-        return df.withColumn(f"stoch_d_{d}", f.full(f"stoch_k_{k}", d)).drop("_lo", "_hi")
-
-    return Indicator(stage, k + d)
+    return indicator(
+        k + d,
+        lambda f: {"_st_lo": f.full("low", k, F.min), "_st_hi": f.full("high", k, F.max)},
+        lambda f: {f"stoch_k_{k}": 100 * div(c("close") - c("_st_lo"), c("_st_hi") - c("_st_lo"))},
+        lambda f: {f"stoch_d_{d}": f.full(f"stoch_k_{k}", d)},
+    )
 
 
 def adx_simple(period=14) -> Indicator:
     """Directional index from simple means, both movements clipped on their own."""
     n = period
+    rise = lambda a, b: F.when(b.isNotNull() & a.isNotNull(), F.greatest(a - b, F.lit(0.0)))
 
-    def stage(df, f):
-        df = df.withColumns(
-            {
-                "_tr": true_range(f),
-                "_up": F.when(f.lag("high").isNotNull(), F.greatest(c("high") - f.lag("high"), F.lit(0.0))),
-                "_dn": F.when(f.lag("low").isNotNull(), F.greatest(f.lag("low") - c("low"), F.lit(0.0))),
-            }
-        )
-        df = df.withColumns({"_mtr": f.full("_tr", n), "_mup": f.full("_up", n), "_mdn": f.full("_dn", n)})
-        df = df.withColumns(
-            {f"plus_di_{n}": 100 * div("_mup", "_mtr"), f"minus_di_{n}": 100 * div("_mdn", "_mtr")}
-        )
+    def spread_of(f):
         p, m = c(f"plus_di_{n}"), c(f"minus_di_{n}")
-        df = df.withColumn("_dx", 100 * div(F.abs(p - m), p + m))
-        return df.withColumn(f"adx_{n}", f.full("_dx", n)).drop("_tr", "_up", "_dn", "_mtr", "_mup", "_mdn", "_dx")
-
-    return Indicator(stage, 2 * n + 1)
+        return {"_dx": 100 * div(F.abs(p - m), p + m)}
+
+    return indicator(
+        2 * n + 1,
+        lambda f: {
+            "_tr": true_range(f), "_dm_up": rise(c("high"), f.lag("high")), "_dm_dn": rise(f.lag("low"), c("low")),
+        },
+        lambda f: {"_adx_tr": f.full("_tr", n), "_adx_up": f.full("_dm_up", n), "_adx_dn": f.full("_dm_dn", n)},
+        lambda f: {
+            f"plus_di_{n}": 100 * div("_adx_up", "_adx_tr"), f"minus_di_{n}": 100 * div("_adx_dn", "_adx_tr"),
+        },
+        spread_of,
+        lambda f: {f"adx_{n}": f.full("_dx", n)},
+    )
 
 
 def cci(period=20) -> Indicator:
     n = period
-
-    def stage(df, f):
-        df = df.withColumn("_tp", (c("high") + c("low") + c("close")) / 3)
-        df = df.withColumns({"_mean": f.full("_tp", n), "_win": F.collect_list("_tp").over(f.rows(n))})
-        spread_ = F.aggregate("_win", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_mean"))) / n
-        return df.withColumn(f"cci_{n}", div(c("_tp") - c("_mean"), 0.015 * spread_)).drop("_tp", "_mean", "_win")
-
-    return Indicator(stage, n)
+    off = lambda: F.aggregate("_cci_win", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_cci_mean"))) / n
+    return indicator(
+        n,
+        lambda f: {"_tp": (c("high") + c("low") + c("close")) / 3},
+        lambda f: {"_cci_mean": f.full("_tp", n), "_cci_win": F.collect_list("_tp").over(f.rows(n))},
+        lambda f: {f"cci_{n}": div(c("_tp") - c("_cci_mean"), 0.015 * off())},
+    )
 
 
 def williams_r(period=14) -> Indicator:
-    def stage(df, f):
-        high, low = f.full("high", period, F.max), f.full("low", period, F.min)
-        return df.withColumn(f"williams_r_{period}", -100 * div(high - c("close"), high - low))
-
-    return Indicator(stage, period)
+    return indicator(
+        period,
+        lambda f: {"_wr_hi": f.full("high", period, F.max), "_wr_lo": f.full("low", period, F.min)},
+        lambda f: {f"williams_r_{period}": -100 * div(c("_wr_hi") - c("close"), c("_wr_hi") - c("_wr_lo"))},
+    )
 
 
 # ---- price, volatility, volume -----------------------------------------------
 
 
 def returns() -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumns(
-            {
-                "returns": pct_change("close", f.lag("close")),
-                "log_returns": ln_or_null(div("close", f.lag("close"))),
-            }
-        ),
+    return indicator(
         1,
+        lambda f: {
+            "returns": pct_change("close", f.lag("close")), "log_returns": ln_or_null(div("close", f.lag("close"))),
+        },
     )
 
 
 def lagged_returns(lags=(1, 2, 3, 5, 10)) -> Indicator:
-    return Indicator(lambda df, f: df.withColumns({f"returns_lag_{k}": f.lag("returns", k) for k in lags}), max(lags))
+    """Needs ``returns``."""
+    return indicator(max(lags), lambda f: {f"returns_lag_{k}": f.lag("returns", k) for k in lags})
 
 
 def momentum(periods=(5, 10, 20)) -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumns({f"momentum_{n}": pct_change("close", f.lag("close", n)) for n in periods}),
-        max(periods),
+    return indicator(
+        max(periods), lambda f: {f"momentum_{n}": pct_change("close", f.lag("close", n)) for n in periods}
     )
 
 
 def bar_ratios() -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumns(
-            {"hl_ratio": div(c("high") - c("low"), "close"), "co_ratio": div(c("close") - c("open"), "close")}
-        ),
+    return indicator(
         0,
+        lambda f: {
+            "hl_ratio": div(c("high") - c("low"), "close"), "co_ratio": div(c("close") - c("open"), "close"),
+        },
     )
 
 
 def gap() -> Indicator:
-    return Indicator(lambda df, f: df.withColumn("gap", pct_change("open", f.lag("close"))), 1)
+    return indicator(1, lambda f: {"gap": pct_change("open", f.lag("close"))})
 
 
 def volatility(periods=(10, 20, 50)) -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumns(
-            {f"volatility_{n}": f.full("returns", n, F.stddev_samp) * math.sqrt(252) for n in periods}
-        ),
-        max(periods),
+    """Needs ``returns``."""
+    year = math.sqrt(252)
+    return indicator(
+        max(periods), lambda f: {f"volatility_{n}": f.full("returns", n, F.stddev_samp) * year for n in periods}
     )
 
 
 def parkinson(periods=(10, 20)) -> Indicator:
-    def stage(df, f):
-        df = df.withColumn("_hl", F.pow(ln_or_null(div("high", "low")), F.lit(2.0)))
-        return df.withColumns(
-            {f"parkinson_vol_{n}": F.sqrt(f.full("_hl", n, F.sum) / (4 * n * math.log(2))) for n in periods}
-        ).drop("_hl")
-
-    return Indicator(stage, max(periods))
+    return indicator(
+        max(periods),
+        lambda f: {"_hl2": F.pow(ln_or_null(div("high", "low")), F.lit(2.0))},
+        lambda f: {
+            f"parkinson_vol_{n}": F.sqrt(f.full("_hl2", n, F.sum) / (4 * n * math.log(2))) for n in periods
+        },
+    )
 
 
 def vol_of_vol(period=20) -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumn("vol_of_vol", f.full("volatility_20", period, F.stddev_samp)), period
-    )
+    """Needs ``volatility_20``."""
+    return indicator(period, lambda f: {"vol_of_vol": f.full("volatility_20", period, F.stddev_samp)})
 
 
 def volume_features() -> Indicator:
-    def stage(df, f):
-        df = df.withColumn("volume_sma_20", f.full("volume", 20))
-        return df.withColumns(
-            {
-                "volume_ratio": div("volume", "volume_sma_20"),
-                "volume_momentum": pct_change("volume", f.lag("volume", 5)),
-            }
-        )
-
-    return Indicator(stage, 20)
+    return indicator(
+        20,
+        lambda f: {
+            "volume_sma_20": f.full("volume", 20), "volume_momentum": pct_change("volume", f.lag("volume", 5)),
+        },
+        lambda f: {"volume_ratio": div("volume", "volume_sma_20")},
+    )
 
 
 def time_features(ts="ts") -> Indicator:
-    def stage(df, f):
+    def parts(f):
         hour, dow, month = F.hour(ts), F.weekday(ts), F.month(ts)
-        turn = lambda part, whole: part * (2 * math.pi / whole)
         cols = {
             "hour": hour,
             "day_of_week": dow,
@@ -269,120 +271,105 @@ def time_features(ts="ts") -> Indicator:
             "month": month,
         }
         for name, part, whole in (("hour", hour, 24), ("day", dow, 7), ("month", month, 12)):
-            cols[f"{name}_sin"], cols[f"{name}_cos"] = F.sin(turn(part, whole)), F.cos(turn(part, whole))
-        for name, lo in (("asian", 0), ("european", 8), ("us", 16)):
-            cols[f"{name}_session"] = flag((hour >= lo) & (hour < lo + 8))
-        return df.withColumns(cols)
+            turn = part * (2 * math.pi / whole)
+            cols[f"{name}_sin"], cols[f"{name}_cos"] = F.sin(turn), F.cos(turn)
+        for name, start in (("asian", 0), ("european", 8), ("us", 16)):
+            cols[f"{name}_session"] = flag((hour >= start) & (hour < start + 8))
+        return cols
 
-    return Indicator(stage, 0)
+    return indicator(0, parts)
 
 
 def candle_shapes() -> Indicator:
-    def stage(df, f):
+    def shapes(f):
         o, h, l, k = c("open"), c("high"), c("low"), c("close")
         body = F.abs(k - o)
-        return df.withColumns(
-            {
-                "doji": flag(div(body, h - l) < 0.1),
-                "hammer": flag((F.least(o, k) - l > 2 * body) & (h - F.greatest(o, k) < body)),
-            }
-        )
+        return {
+            "doji": flag(div(body, h - l) < 0.1),
+            "hammer": flag((F.least(o, k) - l > 2 * body) & (h - F.greatest(o, k) < body)),
+        }
 
-    return Indicator(stage, 0)
+    return indicator(0, shapes)
 
 
 def engulfing() -> Indicator:
-    def stage(df, f):
+    def pairs(f):
         o, k, po, pk = c("open"), c("close"), f.lag("open"), f.lag("close")
-        return df.withColumns(
-            {
-                "bullish_engulfing": flag((k > o) & (po > pk) & (k > po) & (o < pk)),
-                "bearish_engulfing": flag((o > k) & (pk > po) & (o > pk) & (k < po)),
-            }
-        )
+        return {
+            "bullish_engulfing": flag((k > o) & (po > pk) & (k > po) & (o < pk)),
+            "bearish_engulfing": flag((o > k) & (pk > po) & (o > pk) & (k < po)),
+        }
 
-    return Indicator(stage, 1)
+    return indicator(1, pairs)
 
 
 def momentum_features(periods=(5, 10, 20)) -> Indicator:
     """Needs ``returns``."""
-    return Indicator(
-        lambda df, f: df.withColumns(
-            {
-                **{f"roc_{n}": pct_change("close", f.lag("close", n)) for n in periods},
-                "momentum_oscillator": c("close") - f.lag("close", 10),
-                "price_acceleration": c("returns") - f.lag("returns"),
-            }
-        ),
+    return indicator(
         max(periods),
+        lambda f: {
+            **{f"roc_{n}": pct_change("close", f.lag("close", n)) for n in periods},
+            "momentum_oscillator": c("close") - f.lag("close", 10),
+            "price_acceleration": c("returns") - f.lag("returns"),
+        },
     )
 
 
 def trend_fallback() -> Indicator:
     """Trend features from averages: needs sma_20/50/200 and ema_12/26."""
-    return Indicator(
-        lambda df, f: df.withColumns(
-            {
-                "trend_strength": div(F.abs(c("ema_12") - c("ema_26")), "close"),
-                **{f"price_vs_sma_{n}": pct_change("close", f"sma_{n}") for n in (20, 50, 200)},
-                **{f"sma_{n}_slope": div(c(f"sma_{n}") - f.lag(f"sma_{n}", 5), f"sma_{n}") for n in (20, 50)},
-            }
-        ),
+    return indicator(
         5,
+        lambda f: {
+            "trend_strength": div(F.abs(c("ema_12") - c("ema_26")), "close"),
+            **{f"price_vs_sma_{n}": pct_change("close", f"sma_{n}") for n in (20, 50, 200)},
+            **{f"sma_{n}_slope": div(c(f"sma_{n}") - f.lag(f"sma_{n}", 5), f"sma_{n}") for n in (20, 50)},
+        },
     )
 
 
 def vol_percentile(window=100) -> Indicator:
-    """Percent rank of the last value among the last ``window`` values, ties averaged."""
-    def stage(df, f):
+    """Percent rank of the last ``volatility_20`` among the last ``window`` values, ties averaged."""
+    def rank(f):
         x = F.col("volatility_20")
-        df = df.withColumn("_win", F.collect_list("volatility_20").over(f.rows(window)))
-        below = F.aggregate("_win", F.lit(0.0), lambda a, v: a + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
-        rank = (below + 0.5) / window
-        df = df.withColumn("vol_percentile", F.when(F.size("_win") == window, rank))
-        return df.withColumns(
-            {
-                "high_vol_regime": flag(c("vol_percentile") > 0.7),
-                "low_vol_regime": flag(c("vol_percentile") < 0.3),
-            }
-        ).drop("_win")
-
-    return Indicator(stage, window)
+        weight = lambda v: F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0)
+        below = F.aggregate("_vp_win", F.lit(0.0), lambda a, v: a + weight(v))
+        return {"vol_percentile": F.when(F.size("_vp_win") == window, (below + 0.5) / window)}
+
+    return indicator(
+        window,
+        lambda f: {"_vp_win": F.collect_list("volatility_20").over(f.rows(window))},
+        rank,
+        lambda f: {
+            "high_vol_regime": flag(c("vol_percentile") > 0.7), "low_vol_regime": flag(c("vol_percentile") < 0.3),
+        },
+    )
 
 
 def price_channel(period=20) -> Indicator:
     """Highest high and lowest low of the ``period`` bars before the current one."""
-    def stage(df, f):
-        df = df.withColumns({"_hi": f.full("high", period, F.max), "_lo": f.full("low", period, F.min)})
-        return df.withColumns({f"channel_high_{period}": f.lag("_hi"), f"channel_low_{period}": f.lag("_lo")}).drop(
-            "_hi", "_lo"
-        )
-
-    return Indicator(stage, period + 1)
+    return indicator(
+        period + 1,
+        lambda f: {"_ch_hi": f.full("high", period, F.max), "_ch_lo": f.full("low", period, F.min)},
+        lambda f: {f"channel_high_{period}": f.lag("_ch_hi"), f"channel_low_{period}": f.lag("_ch_lo")},
+    )
 
 
 def close_std(period=14) -> Indicator:
-    return Indicator(
-        lambda df, f: df.withColumn(f"close_std_{period}", f.full("close", period, F.stddev_samp)), period
-    )
+    return indicator(period, lambda f: {f"close_std_{period}": f.full("close", period, F.stddev_samp)})
 
 
 def momentum_80_20(short=10, long=20, roc=10, atr_period=14) -> Indicator:
     """Columns of the 80/20 momentum rules; the range of the first bar is unknown there."""
-    def stage(df, f):
-        df = df.withColumns(
-            {
-                "sma_short": f.full("close", short),
-                "sma_long": f.full("close", long),
-                "roc": 100 * pct_change("close", f.lag("close", roc)),
-                "tr": true_range(f, first_from_range=False),
-            }
-        )
-        return df.withColumns(
-            {"atr": f.full("tr", atr_period), "trend_strength": 100 * pct_change("sma_short", "sma_long")}
-        )
-
-    return Indicator(stage, max(short, long, roc, atr_period) + 1)
+    return indicator(
+        max(short, long, roc, atr_period) + 1,
+        lambda f: {
+            "sma_short": f.full("close", short),
+            "sma_long": f.full("close", long),
+            "roc": 100 * pct_change("close", f.lag("close", roc)),
+            "tr": true_range(f, first_from_range=False),
+        },
+        lambda f: {"atr": f.full("tr", atr_period), "trend_strength": 100 * pct_change("sma_short", "sma_long")},
+    )
 
 
 # First day of the rate-rise calendar flag, and the fear levels of the volatility proxy.
@@ -392,59 +379,50 @@ FEAR_LEVELS = (25.0, 35.0)
 
 def index_specific(hawkish_from: str = HAWKISH_FROM) -> Indicator:
     """Index extras: volatility regime, volatility proxy with fear level, calendar flags. Needs ``returns``."""
-    def stage(df, f):
-        df = df.withColumns(
-            {
-                "volatility_regime": f.full("returns", 20, F.stddev_samp),
-                "vix_proxy": f.full("returns", 10, F.stddev_samp) * math.sqrt(252) * 100,
-            }
-        )
-        mean60 = f.full("volatility_regime", 60)
-        vix = c("vix_proxy")
-        left = F.datediff(F.last_day("ts"), F.to_date("ts"))
-        return df.withColumns(
-            {
-                "high_vol": flag(c("volatility_regime") > mean60),
-                "fear_level": F.when(vix > FEAR_LEVELS[1], 2).when(vix > FEAR_LEVELS[0], 1).otherwise(0),
-                "fed_hawkish": flag(F.to_date("ts") >= F.lit(hawkish_from).cast("date")),
-                "days_to_month_end": left,
-                "month_end_period": flag(left <= 3),
-            }
-        )
-
-    return Indicator(stage, 80)
+    def flags(f):
+        vix, left = c("vix_proxy"), F.datediff(F.last_day("ts"), F.to_date("ts"))
+        return {
+            "high_vol": flag(c("volatility_regime") > f.full("volatility_regime", 60)),
+            "fear_level": F.when(vix > FEAR_LEVELS[1], 2).when(vix > FEAR_LEVELS[0], 1).otherwise(0),
+            "fed_hawkish": flag(F.to_date("ts") >= F.lit(hawkish_from).cast("date")),
+            "days_to_month_end": left,
+            "month_end_period": flag(left <= 3),
+        }
+
+    return indicator(
+        80,
+        lambda f: {
+            "volatility_regime": f.full("returns", 20, F.stddev_samp),
+            "vix_proxy": f.full("returns", 10, F.stddev_samp) * math.sqrt(252) * 100,
+        },
+        flags,
+    )
 
 
 # ---- running sums -------------------------------------------------------------
 
 
-def add_obv(bars: DataFrame, series: Series | None = None, ema_span: int | None = 20) -> DataFrame:
+def add_obv(
+    bars: DataFrame, series: Series | None = None, ema_span: int | None = 20, keep_helpers: bool = False
+) -> DataFrame:
     """On-balance volume from 0, with its exponential mean."""
     series = series or bar_series()
-    signed = on_series(
-        bars,
-        series,
-        lambda df, f: df.withColumn("_sv", F.signum(c("close") - f.lag("close")) * c("volume")),
-        1,
-        keep_helpers=True,
-    )
-    out = running(signed, series, {"obv": ("sum", F.coalesce(F.col("_sv"), F.lit(0.0)))}).drop("_sv")
+    step = indicator(1, lambda f: {"obv_step": F.signum(c("close") - f.lag("close")) * c("volume")})
+    stepped = on_series(bars, series, step.stage, 1, keep_helpers=True)
+    out = running(stepped, series, {"obv": ("sum", F.coalesce(F.col("obv_step"), F.lit(0.0)))}).drop("obv_step")
     if ema_span:
-        out = on_series(out, series, lambda df, f: f.ema(df, {"obv_ema": ("obv", ema_span)}), ema_lookback(ema_span))
-    return strip(out)
+        mean = ema_of({"obv_ema": ("obv", ema_span)})
+        out = on_series(out, series, mean.stage, mean.lookback, keep_helpers=True)
+    return out if keep_helpers else strip(out)
 
 
-def add_pvt(bars: DataFrame, series: Series | None = None) -> DataFrame:
+def add_pvt(bars: DataFrame, series: Series | None = None, keep_helpers: bool = False) -> DataFrame:
     """Price-volume trend; null on the first bar."""
     series = series or bar_series()
-    stepped = on_series(
-        bars,
-        series,
-        lambda df, f: df.withColumn("_rv", pct_change("close", f.lag("close")) * c("volume")),
-        1,
-        keep_helpers=True,
-    )
-    return strip(running(stepped, series, {"pvt": ("sum", F.col("_rv"))}).drop("_rv"))
+    step = indicator(1, lambda f: {"pvt_step": pct_change("close", f.lag("close")) * c("volume")})
+    stepped = on_series(bars, series, step.stage, 1, keep_helpers=True)
+    out = running(stepped, series, {"pvt": ("sum", F.col("pvt_step"))}).drop("pvt_step")
+    return out if keep_helpers else strip(out)
 
 
 # ---- summaries ----------------------------------------------------------------
@@ -480,43 +458,36 @@ def buy_and_hold(bars: DataFrame, keys=("symbol",)) -> DataFrame:
 # ---- everything -----------------------------------------------------------------
 
 
-def feature_stages() -> Indicator:
-    """The full windowed feature set except running sums; lookback covers the longest dependency."""
+def windowed_features(include_volume: bool = True) -> Indicator:
+    """All features that look at a known number of rows."""
     from candela.operators.regimes import regime_features
 
     parts = [
+        lagged_returns(),
+        momentum(),
+        bar_ratios(),
+        gap(),
         sma((10, 20, 50, 200)),
+        ema((12, 26, 50)),
         rsi(14),
+        macd(),
         bollinger(20),
         atr(14),
         stochastic(),
         adx_simple(14),
         cci(20),
         williams_r(14),
-        returns(),
-        lagged_returns(),
-        momentum(),
-        bar_ratios(),
-        gap(),
-        volatility(),
+        chain(volatility(), vol_of_vol()),
         parkinson(),
-        vol_of_vol(),
         time_features(),
         candle_shapes(),
         engulfing(),
         regime_features(),
         momentum_features(),
-        ema((12, 26, 50)),
-        macd(),
     ]
-
-    def stage(df, f):
-        for part in parts:
-            df = part.stage(df, f)
-        return df
-
-    longest = max(ema_lookback(50), ema_lookback(26) + ema_lookback(9))
-    return Indicator(stage, longest + 64)
+    if include_volume:
+        parts += [volume_features(), ema_of({"obv_ema": ("obv", 20)})]
+    return chain(returns(), beside(*parts))
 
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -545,31 +516,14 @@ def feature_columns(include_volume: bool = True) -> list[str]:
 
 
 def feature_set(bars: DataFrame, include_volume: bool = True, series: Series | None = None) -> DataFrame:
-    """Bars with all features in fixed order; one chunked windowing for everything."""
+    """Bars with all features in fixed order.
+
+    Running sums come first, on the narrow bars; then one chunked windowing
+    computes everything else.
+    """
     series = series or bar_series()
-    keys = list(series.keys)
-    staged = feature_stages()
-
-    def stage(df, f):
-        df = staged.stage(df, f)
-        if include_volume:
-            df = volume_features().stage(df, f)
-            df = df.withColumns(
-                {
-                    "_sv": F.coalesce(F.signum(c("close") - f.lag("close")) * c("volume"), F.lit(0.0)),
-                    "_rv": c("returns") * c("volume"),
-                }
-            )
-        return df
-
-    if not include_volume:
-        out = on_series(bars, series, stage, staged.lookback)
-    else:
-        out = on_series(bars, series, stage, staged.lookback, keep_helpers=True)
-        out = running(out, series, {"obv": ("sum", F.col("_sv")), "pvt": ("sum", F.col("_rv"))}).drop("_sv", "_rv")
-        out = on_series(out, series, lambda df, f: f.ema(df, {"obv_ema": ("obv", 20)}), ema_lookback(20))
-    volume = ["volume"] if "volume" in bars.columns else []
-    return out.select(*keys, *series.order, *REQUIRED_PRICES, *volume, *feature_columns(include_volume))
-
-
-REQUIRED_PRICES = ("open", "high", "low", "close")
+    prices = [n for n in OHLCV if n in bars.columns]
+    if include_volume:
+        bars = add_pvt(add_obv(bars, series, None, True), series, True)
+    out = windowed_features(include_volume)(bars, series)
+    return out.select(*series.keys, *series.order, *prices, *feature_columns(include_volume))

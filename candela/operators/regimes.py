@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.functions.guards import c, div, div0, flag, pct_change
-from candela.functions.series import Series, bar_series, on_series, running, strip
-from candela.operators.indicators import Indicator
+from candela.functions.series import RN, Series, bar_series, middle, on_series, running, strip
+from candela.operators.indicators import Indicator, indicator
 
 # ---- targets ------------------------------------------------------------------
 
@@ -96,29 +96,26 @@ def classify(price_vs_ma: Column, slope: Column, strength: Column, stormy: Colum
 
 def regime_features(ma=200, trend=50, vol=20) -> Indicator:
     """Eight regime columns and the class of each bar."""
-    def stage(df, f):
-        df = df.withColumns({"_ret": pct_change("close", f.lag("close")), "ma_200": f.full("close", ma)})
-        df = df.withColumns(
-            {
-                "price_vs_ma_200": pct_change("close", "ma_200"),
-                "above_ma_200": flag(c("close") > c("ma_200")),
-                "ma_200_slope": pct_change("ma_200", f.lag("ma_200", trend)),
-                "volatility_20d": f.full("_ret", vol, F.stddev_samp),
-                "volatility_200d": f.full("_ret", ma, F.stddev_samp),
-            }
-        )
-        df = df.withColumns(
-            {
-                "trend_strength": f.full("above_ma_200", trend),
-                "volatility_regime": div("volatility_20d", "volatility_200d"),
-            }
-        )
-        return df.withColumn(
-            "regime",
-            classify(c("price_vs_ma_200"), c("ma_200_slope"), c("trend_strength"), c("volatility_regime") > VOL_RATIO),
-        ).drop("_ret")
-
-    return Indicator(stage, ma + trend)
+    return indicator(
+        ma + trend,
+        lambda f: {"_reg_ret": pct_change("close", f.lag("close")), "ma_200": f.full("close", ma)},
+        lambda f: {
+            "price_vs_ma_200": pct_change("close", "ma_200"),
+            "above_ma_200": flag(c("close") > c("ma_200")),
+            "ma_200_slope": pct_change("ma_200", f.lag("ma_200", trend)),
+            "volatility_20d": f.full("_reg_ret", vol, F.stddev_samp),
+            "volatility_200d": f.full("_reg_ret", ma, F.stddev_samp),
+        },
+        lambda f: {
+            "trend_strength": f.full("above_ma_200", trend),
+            "volatility_regime": div("volatility_20d", "volatility_200d"),
+        },
+        lambda f: {
+            "regime": classify(
+                c("price_vs_ma_200"), c("ma_200_slope"), c("trend_strength"), c("volatility_regime") > VOL_RATIO
+            )
+        },
+    )
 
 
 def regime_as_of(bars: DataFrame, ma=200, trend=50, vol=20, series: Series | None = None) -> DataFrame:
@@ -129,29 +126,28 @@ def regime_as_of(bars: DataFrame, ma=200, trend=50, vol=20, series: Series | Non
     """
     series = series or bar_series()
 
-    def stage(df, f):
-        df = df.withColumns({"_ret": pct_change("close", f.lag("close")), "ma_200": f.full("close", ma)})
-        df = df.withColumns(
-            {
-                "ma_slope": pct_change("ma_200", f.lag("ma_200", trend - 1)),
-                "volatility": f.full("_ret", vol, F.stddev_samp),
-                "_long_vol": f.full("_ret", ma, F.stddev_samp),
-                "price_vs_ma": pct_change("close", "ma_200"),
-                "_above": flag(c("close") > c("ma_200")),
-            }
-        )
-        return df.withColumn("trend_strength", F.sum("_above").over(f.rows(trend)) / trend)
-
-    df = on_series(bars, series, stage, ma + trend, keep_helpers=True)
+    inputs = indicator(
+        ma + trend,
+        lambda f: {"_ret": pct_change("close", f.lag("close")), "ma_200": f.full("close", ma)},
+        lambda f: {
+            "ma_slope": pct_change("ma_200", f.lag("ma_200", trend - 1)),
+            "volatility": f.full("_ret", vol, F.stddev_samp),
+            "long_vol": f.full("_ret", ma, F.stddev_samp),
+            "price_vs_ma": pct_change("close", "ma_200"),
+            "_above": flag(c("close") > c("ma_200")),
+        },
+        lambda f: {"trend_strength": F.sum("_above").over(f.rows(trend)) / trend},
+    )
+    df = on_series(bars, series, inputs.stage, inputs.lookback, keep_helpers=True)
     df = running(
-        df, series, {"_sum": ("sum", c("_long_vol")), "_n": ("sum", F.when(c("_long_vol").isNotNull(), 1))}
+        df, series, {"_sum": ("sum", c("long_vol")), "_n": ("sum", F.when(c("long_vol").isNotNull(), 1))}
     )
     df = df.withColumn("avg_volatility", div("_sum", "_n"))
     stormy = c("volatility") > c("avg_volatility") * VOL_RATIO
     regime = F.when(
-        c("_rn") >= ma, classify(c("price_vs_ma"), c("ma_slope"), c("trend_strength"), stormy)
+        c(RN) >= ma, classify(c("price_vs_ma"), c("ma_slope"), c("trend_strength"), stormy)
     ).otherwise(SIDEWAYS)
-    return strip(df.withColumn("regime", regime).drop("_ret", "_long_vol", "_above", "_sum", "_n"))
+    return strip(df.withColumn("regime", regime).drop("long_vol", "_sum", "_n"))
 
 
 # Trading parameters per regime.
@@ -245,26 +241,20 @@ def regime_inputs_fallback(lookback=50) -> Indicator:
     """The same inputs from closes alone: return deviation, least-squares slope, 19-bar momentum."""
     n = lookback
 
-    def stage(df, f):
-        df = df.withColumns({"_ret": pct_change("close", f.lag("close")), "_x": c("_rn").cast("double")})
-        r = f.rows(n)
-        slope = F.when(F.count("close").over(r) == n, F.regr_slope("close", "_x").over(r))
-        df = df.withColumns(
-            {
-                "volatility": f.full("_ret", n - 1, F.stddev_samp) * math.sqrt(252) * 100,
-                "_slope": slope,
-                "_mean": f.full("close", n),
-            }
-        )
-        return df.withColumns(
-            {
-                "trend_direction": F.when(c("_slope") > 0, 1).when(c("_slope") < 0, -1).otherwise(0),
-                "trend_strength": div(F.abs(c("_slope")), "_mean") * 100 * n,
-                "momentum": 100 * pct_change("close", f.lag("close", 19)),
-            }
-        ).drop("_ret", "_x", "_slope", "_mean")
-
-    return Indicator(stage, n)
+    return indicator(
+        n,
+        lambda f: {"_ret": pct_change("close", f.lag("close")), "_x": c(RN).cast("double")},
+        lambda f: {
+            "volatility": f.full("_ret", n - 1, F.stddev_samp) * math.sqrt(252) * 100,
+            "_slope": F.when(F.count("close").over(f.rows(n)) == n, F.regr_slope("close", "_x").over(f.rows(n))),
+            "_mean": f.full("close", n),
+            "momentum": 100 * pct_change("close", f.lag("close", 19)),
+        },
+        lambda f: {
+            "trend_direction": F.coalesce(F.signum("_slope"), F.lit(0)).cast("int"),
+            "trend_strength": div(F.abs("_slope"), "_mean") * 100 * n,
+        },
+    )
 
 
 def classify_range_regime(df: DataFrame) -> DataFrame:
@@ -334,32 +324,32 @@ def with_adaptive_settings(
 
 def regime_flags() -> Indicator:
     """Ten 0/1 flags from ``adx_14, sma_50, sma_200, volatility_20, rsi_14``."""
-    def stage(df, f):
+    def flags(f):
         k, a, b, v = c("close"), c("sma_50"), c("sma_200"), c("volatility_20")
-        df = df.withColumns(
-            {
-                "_step": a - f.lag("sma_50", 5),
-                "_hi": f.full("close", 20, F.max),
-                "_lo": f.full("close", 20, F.min),
-            }
-        )
-        df = f.median(df, "_med", "volatility_20", 100, 20)
-        return df.withColumns(
-            {
-                "regime_trending": flag(c("adx_14") > 25),
-                "regime_ranging": flag(c("adx_14") < 20),
-                "regime_bull": flag((k > a) & (a > b) & (c("_step") > 0)),
-                "regime_bear": flag((k < a) & (a < b) & (c("_step") < 0)),
-                "regime_high_vol": flag(v > c("_med") * 1.5),
-                "regime_low_vol": flag(v < c("_med") * 0.7),
-                "regime_overbought": flag(c("rsi_14") > 70),
-                "regime_oversold": flag(c("rsi_14") < 30),
-                "regime_uptrend": flag(c("_hi") > f.lag("_hi", 20)),
-                "regime_downtrend": flag(c("_lo") < f.lag("_lo", 20)),
-            }
-        ).drop("_step", "_med", "_hi", "_lo")
+        return {
+            "regime_trending": flag(c("adx_14") > 25),
+            "regime_ranging": flag(c("adx_14") < 20),
+            "regime_bull": flag((k > a) & (a > b) & (c("_step") > 0)),
+            "regime_bear": flag((k < a) & (a < b) & (c("_step") < 0)),
+            "regime_high_vol": flag(v > c("_med") * 1.5),
+            "regime_low_vol": flag(v < c("_med") * 0.7),
+            "regime_overbought": flag(c("rsi_14") > 70),
+            "regime_oversold": flag(c("rsi_14") < 30),
+            "regime_uptrend": flag(c("_top") > f.lag("_top", 20)),
+            "regime_downtrend": flag(c("_bottom") < f.lag("_bottom", 20)),
+        }
 
-    return Indicator(stage, 121)
+    return indicator(
+        121,
+        lambda f: {
+            "_step": c("sma_50") - f.lag("sma_50", 5),
+            "_vols": F.sort_array(F.collect_list("volatility_20").over(f.rows(100))),
+            "_top": f.full("close", 20, F.max),
+            "_bottom": f.full("close", 20, F.min),
+        },
+        lambda f: {"_med": middle("_vols", 20)},
+        flags,
+    )
 
 
 def distribution(df: DataFrame, column: str, keys=("symbol",)) -> DataFrame:

@@ -78,8 +78,8 @@ def pick(ctes: list[str], source: str, keys: list[str], cols: dict[str, str], di
     """SELECT keys and columns; ``d:expr`` is a double to round, ``d3:expr`` one to round to 3 digits."""
     parts = list(keys)
     for name, expr in cols.items():
-        kind, _, rest = expr.partition(":")
-        if kind[:1] == "d" and (kind == "d" or kind[1:].isdigit()):
+        kind, mark, rest = expr.partition(":")
+        if mark and kind[:1] == "d" and (kind == "d" or kind[1:].isdigit()):
             expr = r(rest, int(kind[1:] or digits))
         parts.append(f"{expr} AS {name}")
     return stages(*ctes) + "SELECT " + ",\n  ".join(parts) + f"\nFROM {source}" + (f" WHERE {where}" if where else "")
