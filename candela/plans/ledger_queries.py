@@ -34,7 +34,13 @@ def share(entry, stop):
     )
 
 
-def ledger_sql(where="", exits=False):
+EXIT_FLAGS = (
+    "CAST(coalesce(rn >= 31 AND s10 < s30, false) AS INTEGER) AS xl, CAST(coalesce(rn >= 31 AND s10 > s30, false) AS INTEGER) AS xs"
+)
+RULE_SQL = [BARS, *base(), f"sg AS (SELECT *, {FAST} FROM z2)"]
+
+
+def ledger_sql(where="", exits=False, source=RULE_SQL):
     """Trades by following each exit to the next signal, capital carried along."""
     flag_l = "OR b.xl = 1" if exits else ""
     flag_s = "OR b.xs = 1" if exits else ""
@@ -42,11 +48,11 @@ def ledger_sql(where="", exits=False):
     hit_s = "b.high >= nullif(c.stop_loss, 0) OR b.low <= nullif(c.take_profit, 0)"
     by_signal = ("AND NOT coalesce(CASE WHEN c.lng THEN " + hit_l + " ELSE " + hit_s + " END, false)") if exits else "AND false"
     return [
-        BARS, *base(), f"sg AS (SELECT *, {FAST} FROM z2)",
+        *source,
         f"p AS (SELECT *, action = 'buy' AS lng, {fill('close', chr(40) + 'action = ' + chr(39) + 'buy' + chr(39) + chr(41), True)} AS entry,"
-        " CAST(coalesce(rn >= 31 AND s10 < s30, false) AS INTEGER) AS xl, CAST(coalesce(rn >= 31 AND s10 > s30, false) AS INTEGER) AS xs FROM sg)",
+        " " + (EXIT_FLAGS if exits else "0 AS xl, 0 AS xs") + " FROM sg)",
         f"cand AS (SELECT * FROM (SELECT *, {share('entry', 'stop_loss')} AS share FROM p WHERE action IS NOT NULL) WHERE share > 0 {where})",
-        "lastb AS (SELECT symbol, max(rn) AS lrn, max(ts) AS lts, arg_max(close, rn) AS lclose FROM z0 GROUP BY symbol)",
+        "lastb AS (SELECT symbol, max(rn) AS lrn, max(ts) AS lts, arg_max(close, rn) AS lclose FROM p GROUP BY symbol)",
         f"tch AS (SELECT c.symbol, c.rn, min(b.rn) AS xrn FROM cand c JOIN p b ON b.symbol = c.symbol AND b.rn > c.rn"
         f" AND (CASE WHEN c.lng THEN {hit_l} {flag_l} ELSE {hit_s} {flag_s} END) GROUP BY c.symbol, c.rn)",
         f"ex AS (SELECT c.*, coalesce(t.xrn, l.lrn + 1) AS exit_rn, coalesce(b.ts, l.lts) AS exit_time, coalesce(b.close, l.lclose) AS xmid,"
@@ -74,7 +80,7 @@ def ledger_sql(where="", exits=False):
 MARKED = (
     "mk AS (SELECT b.symbol, b.ts, b.rn, b.close, t.entry_rn, t.exit_rn, t.capital_before, t.capital_after,"
     f" t.size * (CASE WHEN t.lng THEN b.close * (1 - {H!r}) - t.entry_price ELSE t.entry_price - b.close * (1 + {H!r}) END) AS gain"
-    " FROM z0 b ASOF LEFT JOIN tr t ON t.symbol = b.symbol AND t.entry_rn < b.rn)"
+    " FROM p b ASOF LEFT JOIN tr t ON t.symbol = b.symbol AND t.entry_rn < b.rn)"
 )
 EQUITY = (
     "eq AS (SELECT symbol, ts, rn, entry_rn, exit_rn, gain, CASE WHEN entry_rn IS NULL THEN 10000 WHEN rn < exit_rn THEN capital_before + gain"

@@ -20,6 +20,13 @@ TRADES = """trades AS (
          l_orderkey AS order_key, l_linenumber AS line_no, l_partkey AS part_key, l_suppkey AS supp_key,
          l_extendedprice AS notional
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+LINE_BARS = """dbars AS (
+  SELECT l.l_returnflag AS symbol, l.l_shipdate AS ts,
+         first(l.l_extendedprice / l.l_quantity ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS open,
+         max(l.l_extendedprice / l.l_quantity) AS high, min(l.l_extendedprice / l.l_quantity) AS low,
+         last(l.l_extendedprice / l.l_quantity ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS close,
+         count(*) AS volume
+  FROM lineitem l GROUP BY 1, 2)"""
 TRADE_ORDER = "exit_time, order_key, line_no, part_key, supp_key, notional"
 
 OVER = "PARTITION BY symbol ORDER BY ts"

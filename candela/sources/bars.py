@@ -121,7 +121,7 @@ def ticks_to_bars(
     ts: str,
     price: str,
     granularity: str = "H1",
-    tie: str | None = None,
+    tie: str | tuple[str, ...] | None = None,
     extra_keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Bars of a granularity from ticks; volume is the tick count.
@@ -132,7 +132,10 @@ def ticks_to_bars(
     minutes = GRANULARITY_MINUTES[granularity]
     # weeks start on Monday; the epoch was a Thursday
     start = F.window(ts, f"{minutes} minutes", None, "4 days" if granularity == "W" else "0 minutes")["start"]
-    rank = tick_rank(ts, tie) if tie else F.col(ts)
+    if isinstance(tie, tuple):
+        rank = F.struct(ts, *tie)  # several columns: sorted partial aggregation
+    else:
+        rank = tick_rank(ts, tie) if tie else F.col(ts)
     p = F.col(price)
     return (
         ticks.where(p.isNotNull())

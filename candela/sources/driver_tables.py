@@ -19,6 +19,16 @@ def event_bars(spark: SparkSession, sf_dir: str, granularity: str = "H1") -> Dat
     return ticks_to_bars(events, "event_type", "ts", "value", granularity, tie="event_id")
 
 
+def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per return flag: price per unit of each shipped line, volume the line count."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+    )
+    tie = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return ticks_to_bars(lines, "l_returnflag", "l_shipdate", "price", "D", tie=tie)
+
+
 TRADE_TIE = ("order_key", "line_no", "part_key", "supp_key", "notional")
 
 
