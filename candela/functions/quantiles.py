@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.durable import materialize
+from candela.functions.series import Series, index, running
+
 ACCURACY = 10000
 
 
@@ -55,3 +58,29 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
             (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))).alias("value"),
         )
     )
+
+
+def running_by_value(
+    df: DataFrame, keys: list[str], value: str, aggs: dict[str, Column], own: bool = False, cells: int = 256
+) -> DataFrame:
+    """Distinct values per key with running totals of counts up to each value.
+
+    Equal values collapse before anything is sorted.  Saved approximate
+    quantiles cut the distinct values into cells of similar size, so no task
+    sorts a whole key.  ``own`` also keeps the totals of the value itself.
+    """
+    x = F.col(value).cast("double").alias("_x")
+    per_value = materialize(df.select(*df.columns, x).groupBy(*keys, "_x").agg(*[a.alias(f"{n}_here") for n, a in aggs.items()]))
+    probs = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    cuts = materialize(per_value.groupBy(*keys).agg(F.percentile_approx("_x", probs, 4 * cells).alias("_cuts")))
+    # the cell of a value is the number of cuts below it
+    with_cuts = per_value.join(cuts, keys) if keys else per_value.crossJoin(F.broadcast(cuts))
+    celled = with_cuts.withColumn(
+        "_cut", F.size(F.filter("_cuts", lambda q: q < F.col("_x")))
+    ).drop("_cuts")
+    group = list(keys) or ["_all"]
+    celled = celled if keys else celled.withColumn("_all", F.lit(0))
+    series = Series(tuple(group), ("_x",), lambda: [F.col("_cut")])
+    done = running(index(celled, series), series, {n: ("sum", F.col(f"{n}_here")) for n in aggs})
+    here = [f"{n}_here" for n in aggs] if own else []
+    return done.select(*keys, F.col("_x").alias(value), *aggs, *here)

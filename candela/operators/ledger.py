@@ -288,7 +288,8 @@ def _prepare(signals: DataFrame, series: Series, cfg: BacktestConfig, start: str
         }
     )
     keep = [*series.keys, "ts", "high", "low", "close", "stop_loss", "take_profit", "reason"]
-    df = df.select(*keep, RN, CHUNK, BLOCK, "_long", "_entry", "_share", "_cand", "xl", "xs")
+    # saved before the running count reads it twice, so the indicators are computed once
+    df = materialize(df.select(*keep, RN, CHUNK, BLOCK, "_long", "_entry", "_share", "_cand", "xl", "xs"))
     df = running(df, series, {"_seen": ("sum", F.col("_cand").cast("bigint"))}, exclusive=True)
     return materialize(df.withColumn("_seen", F.coalesce("_seen", F.lit(0))))
 
@@ -440,7 +441,7 @@ def backtest(
     alive = marked.join(halts, keys, "left").where(c("halt_rn").isNull() | (c(RN) <= c("halt_rn")))
     trades = cut_at_halt(trades, prepared, halts, keys, cfg)
     return Backtest(
-        with_excursions(trades, alive, keys),
+        materialize(with_excursions(trades, alive, keys)),
         alive.select(*keys, "ts", F.col(RN).alias("rn"), "equity"),
     )
 

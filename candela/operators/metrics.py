@@ -268,15 +268,14 @@ def recent_stats(trades: DataFrame, keys: list[str], order: list[str], n: int =
 
 
 def limit_usage(
-    metrics: DataFrame, daily: Column, drawdown: Column, capital=10000.0, max_daily_loss=0.05, max_drawdown=0.15
+    metrics: DataFrame, daily: Column, drawdown: Column, equity: Column, max_daily_loss=0.05, max_drawdown=0.15
 ) -> DataFrame:
     """Share of the daily-loss and drawdown limits in use, at most 1."""
-    lost = F.when(daily < 0, -daily).otherwise(0.0)
     one = F.lit(1.0)
     return metrics.withColumns(
         {
-            "daily_loss_used": F.least(one, lost / (capital * max_daily_loss)),
-            "drawdown_used": F.least(one, drawdown / (capital * max_drawdown)),
+            "daily_loss_used": F.least(one, F.abs(div(daily, equity)) / max_daily_loss),
+            "drawdown_used": F.least(one, div(drawdown, equity) / max_drawdown),
         }
     )
 

@@ -7,3 +7,4 @@ from candela.plans import signal_queries  # noqa: F401, E402
 from candela.plans import ledger_queries  # noqa: F401, E402
 from candela.plans import metric_queries  # noqa: F401, E402
 from candela.plans import walkforward_queries  # noqa: F401, E402
+from candela.plans import monitor_queries  # noqa: F401, E402

@@ -236,12 +236,12 @@ AS_OF = "2001-06-15 00:00:00"
 RECENT = f"coalesce(sum(pnl) FILTER (WHERE exit_time > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND exit_time <= TIMESTAMP '{AS_OF}'), 0)"
 
 
-@query("i20_limit_usage", stages(*CUM, f"u AS (SELECT instrument, {RECENT} AS d, abs(arg_max(cum - peak, rn)) AS dd FROM c2 GROUP BY 1)")
-       + f"SELECT instrument, {r('least(1, greatest(-d, 0) / 500)')} AS daily_loss_used, {r('least(1, dd / 1500)')} AS drawdown_used FROM u")
+@query("i20_limit_usage", stages(*CUM, f"u AS (SELECT instrument, {RECENT} AS d, abs(arg_max(cum - peak, rn)) AS dd, 10000 + sum(pnl) AS eq FROM c2 GROUP BY 1)")
+       + f"SELECT instrument, {r('least(1, abs(d / eq) / 0.05)')} AS daily_loss_used, {r('least(1, dd / eq / 0.15)')} AS drawdown_used FROM u")
 def usage(spark, sf_dir):
     trades = line_trades(spark, sf_dir)
     m = met.dashboard_metrics(trades, trade_series()).join(met.recent_pnl(trades, K, AS_OF), K)
-    out = met.limit_usage(m, F.col("recent_pnl"), F.col("current_drawdown"))
+    out = met.limit_usage(m, F.col("recent_pnl"), F.col("current_drawdown"), 10000 + F.col("total_pnl"))
     return rounded(out.select(*K, "daily_loss_used", "drawdown_used"))
 
 
