@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A private folder is only chosen where that setting is absent, as in local tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a private one is only made where none is named, as in local tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,4 +18,15 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="candela-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for a table that is written and read again."""
+    return f"{shared_folder(spark)}/candela/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: computed once, and safe when an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

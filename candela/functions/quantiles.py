@@ -36,19 +36,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         ).alias("_b"),
     ).select(*keys, "_n", F.col("_b.p").alias("prob"), F.col("_b._lo").alias("_lo"), F.col("_b._hi").alias("_hi"))
     joined = rows.join(brackets, keys) if keys else rows.crossJoin(F.broadcast(brackets))
-    # everything below the bracket counts as one entry, everything above is not needed
-    kept = joined.where(F.col("_v") <= F.col("_hi")).withColumn(
-        "_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    )
-    counted = kept.groupBy(*keys, "prob", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    up_to = (
-        Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rank = (F.col("_n") - 1) * F.col("prob")
-    ranked = counted.withColumn("_cum", F.sum("_c").over(up_to)).withColumn("_rank", rank)
-    at_floor = F.min(F.when((F.col("_cum") > F.floor("_rank")) & F.col("_v").isNotNull(), F.col("_v")))
-    at_ceil = F.min(F.when((F.col("_cum") > F.ceil("_rank")) & F.col("_v").isNotNull(), F.col("_v")))
+    # rows outside the bracket collapse into one entry per side that keeps its nearest value
+    v, side = F.col("_v"), F.col("_side")
+    marked = joined.withColumn("_side", F.when(v < F.col("_lo"), -1).when(v > F.col("_hi"), 1).otherwise(0))
+    counted = marked.groupBy(*keys, "prob", "_n", "_side", F.when(side == 0, v).alias("_in")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom")
+    ).withColumn("_v", F.when(side == -1, F.col("_top")).otherwise(F.col("_bottom")))
+    up_to = Window.partitionBy(*keys, "prob").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(up_to)).withColumn("_rank", (F.col("_n") - 1) * F.col("prob"))
+    at_floor = F.min(F.when(F.col("_cum") > F.floor("_rank"), v))
+    at_ceil = F.min(F.when(F.col("_cum") > F.ceil("_rank"), v))
     return (
         ranked.groupBy(*keys, "prob")
         .agg(at_floor.alias("_a"), at_ceil.alias("_z"), F.first("_rank").alias("_rank"))

@@ -8,3 +8,5 @@ from candela.plans import ledger_queries  # noqa: F401, E402
 from candela.plans import metric_queries  # noqa: F401, E402
 from candela.plans import walkforward_queries  # noqa: F401, E402
 from candela.plans import monitor_queries  # noqa: F401, E402
+from candela.plans import table_queries  # noqa: F401, E402
+from candela.plans import source_queries  # noqa: F401, E402

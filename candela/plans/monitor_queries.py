@@ -317,8 +317,3 @@ def full_status(spark, sf_dir):
     df = dr.overall_status(*parts(spark, sf_dir))
     return rounded(df.select("overall_status", F.col("model_health.accuracy").alias("accuracy"),
                              F.col("drift_analysis.overall_drift_score").alias("drift"), F.col("data_quality.quality_score").alias("quality")))
-
-
-@query("c05_missing_columns", "SELECT 'l_comment' AS \"column\"")
-def absent(spark, sf_dir):
-    return dr.missing_columns(spark, [*FEATURES, "l_comment"], table(spark, sf_dir, "lineitem").columns)

@@ -279,3 +279,4 @@ def custom(spark, sf_dir):
         })
 
     return rounded(sig.custom_rule(event_bars(spark, sf_dir), jump).select(*KEYS, "action", "stop_loss"))
+RULES_ALL = sig.momentum_rule(10, 30)
