@@ -70,11 +70,12 @@ def running_by_value(
     per_value = materialize(df.select(*df.columns, x).groupBy(*keys, "_x").agg(*[a.alias(f"{n}_here") for n, a in aggs.items()]))
     probs = F.array(*[F.lit(i / cells) for i in range(1, cells)])
     cuts = materialize(per_value.groupBy(*keys).agg(F.percentile_approx("_x", probs, 4 * cells).alias("_cuts")))
-    # the cell of a value is the number of cuts below it
+    # the cell of a value is the number of cuts below it, found by halving: 128, 64, ... 1
+    steps = F.array(*[F.lit(2**i) for i in reversed(range((cells - 1).bit_length()))])
+    reach = lambda at, step: F.get("_cuts", at + step - 1) < F.col("_x")
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(reach(at, step), step).otherwise(0))
     with_cuts = per_value.join(cuts, keys) if keys else per_value.crossJoin(F.broadcast(cuts))
-    celled = with_cuts.withColumn(
-        "_cut", F.size(F.filter("_cuts", lambda q: q < F.col("_x")))
-    ).drop("_cuts")
+    celled = with_cuts.withColumn("_cut", below).drop("_cuts")
     group = list(keys) or ["_all"]
     celled = celled if keys else celled.withColumn("_all", F.lit(0))
     series = Series(tuple(group), ("_x",), lambda: [F.col("_cut")])

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.durable import materialize
+
 RN, CHUNK, BLOCK, OWN = "_rn", "_chunk", "_block", "_own"
 BLOCK_ROWS = 512
 HELPERS = (RN, CHUNK, BLOCK, OWN)
@@ -41,14 +43,14 @@ class Series:
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("ts",)
     cell: Callable[[], list[Column]] = field(default_factory=lambda: day_cells("ts", 170))
-    chunk_rows: int = 16384
+    chunk_rows: int = 8192
 
     def __post_init__(self):
         if self.chunk_rows % BLOCK_ROWS:
             raise ValueError(f"chunk_rows must be a multiple of {BLOCK_ROWS}")
 
 
-def bar_series(bar_seconds: int = 3600, keys=("symbol",), ts: str = "ts", chunk_rows: int = 16384) -> Series:
+def bar_series(bar_seconds: int = 3600, keys=("symbol",), ts: str = "ts", chunk_rows: int = 8192) -> Series:
     """Series of bars.  A cell spans about 4096 bar slots, so it holds at most that many rows."""
     days = max(1, 4096 * bar_seconds // 86400)
     return Series(tuple(keys), (ts,), day_cells(ts, days), chunk_rows)
@@ -85,12 +87,27 @@ def spread(indexed: DataFrame, series: Series, lookback: int = 0, lookahead: int
     own = F.col(CHUNK)
     first = F.greatest(F.lit(0), F.floor((F.col(RN) - 1 - lookahead) / size))
     last = F.floor((F.col(RN) - 1 + back) / size)
-    return (
+    copied = (
         indexed.withColumn("_home", own)
         .withColumn(CHUNK, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
         .withColumn(OWN, F.col(CHUNK) == F.col("_home"))
         .drop("_home")
     )
+    # the shuffle the windows need anyway, but with a fixed number of partitions: windows cost
+    # far more than their bytes suggest, so merging small partitions by size would leave cores idle
+    n = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copied.repartition(n, *series.keys, CHUNK)
+
+
+def numbered(df: DataFrame, series: Series, position: str) -> DataFrame:
+    """Take the positions from a column that already holds them, instead of counting again."""
+    return df.withColumns(
+        {
+            RN: F.col(position),
+            CHUNK: F.expr(f"({position} - 1) div {series.chunk_rows}"),
+            BLOCK: F.expr(f"({position} - 1) div {BLOCK_ROWS}"),
+        }
+    )
 
 
 def own(df: DataFrame) -> DataFrame:
@@ -205,13 +222,16 @@ def on_series(
 
 
 def running(
-    df: DataFrame, series: Series, specs: dict[str, tuple[str, Column]], exclusive: bool = False
+    df: DataFrame, series: Series, specs: dict[str, tuple[str, Column]], exclusive: bool = False, saved: bool = False
 ) -> DataFrame:
     """Aggregates over all rows up to the current one: ``{output: (kind, column)}``.
 
     ``kind`` is ``sum``, ``max``, ``min`` or ``last`` (latest non-null value).
-    ``exclusive`` leaves the current row out.  ``df`` must carry positions.
+    ``exclusive`` leaves the current row out.  ``df`` must carry positions.  It is
+    read twice (for the partial results and for the rows), so it is saved
+    first unless the caller says it already is.
     """
+    df = df if saved else materialize(df)
     keys = list(series.keys)
     inputs = {f"_in_{n}": c for n, (_, c) in specs.items()}
     df = df.withColumns(inputs)

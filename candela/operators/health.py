@@ -76,7 +76,8 @@ def trade_state(trades: DataFrame, series: Series, as_of: str, days: int = 30) -
     """Trade count, 30-day Sharpe, drawdown from the pnl peak and current losing streak, as of a time."""
     keys = list(series.keys)
     end = F.lit(as_of).cast("timestamp_ntz")
-    curve = cumulative_pnl(trades.where(c("exit_time") <= end), series)
+    slim = trades.where(c("exit_time") <= end).select(*keys, *series.order, "pnl", "pnl_percent")
+    curve = cumulative_pnl(slim, series)
     fresh = F.when(c("exit_time") >= end - F.expr(f"INTERVAL {days} DAYS"), c("pnl_percent"))
     df = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"),

@@ -402,27 +402,29 @@ def index_specific(hawkish_from: str = HAWKISH_FROM) -> Indicator:
 # ---- running sums -------------------------------------------------------------
 
 
-def add_obv(
-    bars: DataFrame, series: Series | None = None, ema_span: int | None = 20, keep_helpers: bool = False
-) -> DataFrame:
+OBV_STEP = indicator(1, lambda f: {"obv_step": F.signum(c("close") - f.lag("close")) * c("volume")})
+PVT_STEP = indicator(1, lambda f: {"pvt_step": pct_change("close", f.lag("close")) * c("volume")})
+
+
+def volume_sums(bars: DataFrame, series: Series, step: Indicator) -> DataFrame:
+    """Running sums of the volume steps, positions kept."""
+    stepped = on_series(bars, series, step.stage, step.lookback, keep_helpers=True)
+    made = [n for n in ("obv_step", "pvt_step") if n in stepped.columns]
+    # on-balance volume starts at 0, the trend is unknown on the first bar
+    start = {"obv_step": F.coalesce(F.col("obv_step"), F.lit(0.0)), "pvt_step": F.col("pvt_step")}
+    return running(stepped, series, {n[:3]: ("sum", start[n]) for n in made}).drop(*made)
+
+
+def add_obv(bars: DataFrame, series: Series | None = None, ema_span: int | None = 20) -> DataFrame:
     """On-balance volume from 0, with its exponential mean."""
     series = series or bar_series()
-    step = indicator(1, lambda f: {"obv_step": F.signum(c("close") - f.lag("close")) * c("volume")})
-    stepped = on_series(bars, series, step.stage, 1, keep_helpers=True)
-    out = running(stepped, series, {"obv": ("sum", F.coalesce(F.col("obv_step"), F.lit(0.0)))}).drop("obv_step")
-    if ema_span:
-        mean = ema_of({"obv_ema": ("obv", ema_span)})
-        out = on_series(out, series, mean.stage, mean.lookback, keep_helpers=True)
-    return out if keep_helpers else strip(out)
+    out = volume_sums(bars, series, OBV_STEP)
+    return ema_of({"obv_ema": ("obv", ema_span)})(out, series) if ema_span else strip(out)
 
 
-def add_pvt(bars: DataFrame, series: Series | None = None, keep_helpers: bool = False) -> DataFrame:
+def add_pvt(bars: DataFrame, series: Series | None = None) -> DataFrame:
     """Price-volume trend; null on the first bar."""
-    series = series or bar_series()
-    step = indicator(1, lambda f: {"pvt_step": pct_change("close", f.lag("close")) * c("volume")})
-    stepped = on_series(bars, series, step.stage, 1, keep_helpers=True)
-    out = running(stepped, series, {"pvt": ("sum", F.col("pvt_step"))}).drop("pvt_step")
-    return out if keep_helpers else strip(out)
+    return strip(volume_sums(bars, series or bar_series(), PVT_STEP))
 
 
 # ---- summaries ----------------------------------------------------------------
@@ -524,6 +526,6 @@ def feature_set(bars: DataFrame, include_volume: bool = True, series: Series | N
     series = series or bar_series()
     prices = [n for n in OHLCV if n in bars.columns]
     if include_volume:
-        bars = add_pvt(add_obv(bars, series, None, True), series, True)
+        bars = volume_sums(bars, series, beside(OBV_STEP, PVT_STEP))
     out = windowed_features(include_volume)(bars, series)
     return out.select(*series.keys, *series.order, *prices, *feature_columns(include_volume))

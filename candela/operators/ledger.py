@@ -167,14 +167,16 @@ def _block_tree(bars: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame,
     return blocks, supers, tops
 
 
-def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
     """First later bar that touches each entry, as struct ``hit`` (null where none does).
 
     The search climbs the block tree from the entry bar until some block is
     touched and descends to the bar.  Every step is an equality join of the
     entries with one row per block, so no pairs of entries and bars arise and
-    the holding time has no limit.
+    the holding time has no limit.  ``longest`` is the number of bars of the
+    longest series; short series need fewer levels.
     """
+    longest = longest or NEVER
     blocks, supers, tops = _block_tree(bars, keys)
     touch = _Touch(c("_long"), c("stop_loss"), c("take_profit"))
     first = lambda kids, after: F.get(
@@ -193,7 +195,13 @@ def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str]) -> DataFram
 
     blk, sup = F.expr(f"({RN} - 1) div {FAN_OUT}"), F.expr(f"({RN} - 1) div {FAN_OUT * FAN_OUT}")
     df = step(entries, blocks, "blk", blk, F.col(RN), "_hit0")
+    if longest <= FAN_OUT:
+        return df.withColumnRenamed("_hit0", "hit")
     df = step(df, supers, "sup", only(c("_hit0").isNull(), sup), blk, "_blk1")
+    if longest <= FAN_OUT * FAN_OUT:
+        found = c("_blk1.id")
+        df = step(df, blocks, "blk", only(found.isNotNull(), found), None, "_hit1")
+        return df.withColumn("hit", F.coalesce("_hit0", "_hit1")).drop("_hit0", "_blk1", "_hit1")
     open_ = c("_hit0").isNull() & c("_blk1").isNull()
     top = tops.withColumn("top", F.lit(0).cast("bigint"))
     df = step(df, top, "top", only(open_, F.lit(0).cast("bigint")), sup, "_sup2")
@@ -206,17 +214,21 @@ def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str]) -> DataFram
 # ---- the chain of trades -------------------------------------------------------------
 
 
-def walk_chain(links: DataFrame, keys: list[str]) -> DataFrame:
+def walk_chain(links: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
     """Ids on the chain that starts at id 1 of each key and follows ``next_id``.
 
     Ids are dense.  Inside a chunk of 2,048 ids one fold finds where a walk from
     any id leaves the chunk.  Per key only those few exits are walked (about one
     row per chunk); then each chunk marks its own part from its entry point.
+    Where even the ``longest`` key fits one chunk, one fold does it all.
     """
+    one = F.lit(1).cast("bigint")
     chunk = F.expr(f"(id - 1) div {LINK_ROWS}")
     chunks = links.groupBy(*keys, chunk.alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("id", "next_id"))).alias("arr")
     )
+    if (longest or NEVER) <= LINK_ROWS:
+        return chunks.select(*keys, F.explode(_follow("arr", one)).alias("id"))
     last = F.element_at("arr", -1)["id"]
     chunks = chunks.withColumn("lo", F.element_at("arr", 1)["id"]).withColumn("hi", last)
     leave = F.aggregate(
@@ -228,14 +240,14 @@ def walk_chain(links: DataFrame, keys: list[str]) -> DataFrame:
     )
     exits = materialize(chunks.withColumn("leave", leave))
     starts = exits.select(*keys, F.explode(F.array_distinct("leave")).alias("id")).where(c("id") < NEVER)
-    starts = starts.union(exits.select(*keys, F.lit(1).cast("bigint").alias("id")).distinct()).distinct()
+    starts = starts.union(exits.select(*keys, one.alias("id")).distinct()).distinct()
     hops = (
         starts.withColumn("chunk", chunk)
         .join(exits.select(*keys, "chunk", "lo", "leave"), [*keys, "chunk"])
         .select(*keys, "id", F.get("leave", c("id") - c("lo")).alias("next_id"))
     )
     path = hops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "next_id"))).alias("arr"))
-    entry = path.select(*keys, F.explode(_follow("arr", F.lit(1).cast("bigint"))).alias("start"))
+    entry = path.select(*keys, F.explode(_follow("arr", one)).alias("start"))
     entry = entry.withColumn("chunk", F.expr(f"(start - 1) div {LINK_ROWS}"))
     return exits.join(entry, [*keys, "chunk"]).select(*keys, F.explode(_follow("arr", c("start"))).alias("id"))
 
@@ -290,7 +302,7 @@ def _prepare(signals: DataFrame, series: Series, cfg: BacktestConfig, start: str
     keep = [*series.keys, "ts", "high", "low", "close", "stop_loss", "take_profit", "reason"]
     # saved before the running count reads it twice, so the indicators are computed once
     df = materialize(df.select(*keep, RN, CHUNK, BLOCK, "_long", "_entry", "_share", "_cand", "xl", "xs"))
-    df = running(df, series, {"_seen": ("sum", F.col("_cand").cast("bigint"))}, exclusive=True)
+    df = running(df, series, {"_seen": ("sum", F.col("_cand").cast("bigint"))}, exclusive=True, saved=True)
     return materialize(df.withColumn("_seen", F.coalesce("_seen", F.lit(0))))
 
 
@@ -303,7 +315,9 @@ def _trades(prepared: DataFrame, series: Series, cfg: BacktestConfig) -> DataFra
     ends = prepared.groupBy(*keys).agg(
         F.max(RN).alias("_last_rn"), F.max_by("ts", RN).alias("_last_ts"), F.max_by("close", RN).alias("_last_close")
     )
-    found = find_exits(entries, prepared, keys).join(ends, keys)
+    # sizes decide how many levels the searches need; the answer is the same
+    bars, signals = prepared.agg(F.max(RN), F.max(F.when(c("_cand") == 1, c("_seen") + 1))).first()
+    found = find_exits(entries, prepared, keys, bars).join(ends, keys)
     touch = _Touch(c("_long"), c("stop_loss"), c("take_profit"))
     hit = c("hit")
     by_signal = ~touch.stopped(hit) & ~touch.reached(hit)
@@ -326,7 +340,7 @@ def _trades(prepared: DataFrame, series: Series, cfg: BacktestConfig) -> DataFra
             F.coalesce(following, F.lit(NEVER)).alias("next_id"),
         )
     )
-    taken = found.join(walk_chain(found.select(*keys, "id", "next_id"), keys), [*keys, "id"])
+    taken = found.join(walk_chain(found.select(*keys, "id", "next_id"), keys, signals), [*keys, "id"])
     return _account(taken, series, cfg)
 
 
@@ -411,7 +425,7 @@ def with_excursions(trades: DataFrame, marked: DataFrame, keys: list[str]) -> Da
 
 def drawdown_breach(marked: DataFrame, series: Series, limit: float) -> DataFrame:
     """First bar per series whose equity is more than ``limit`` below its running maximum."""
-    peaks = running(marked, series, {"_peak": ("max", c("equity"))})
+    peaks = running(marked, series, {"_peak": ("max", c("equity"))}, saved=True)
     fallen = div(c("_peak") - c("equity"), c("_peak")) > limit
     return peaks.where(fallen).groupBy(*series.keys).agg(F.min(RN).alias("halt_rn"))
 
@@ -438,8 +452,10 @@ def backtest(
     trades = materialize(_trades(prepared, series, cfg))
     marked = materialize(marks(prepared, trades, series, cfg))
     halts = materialize(drawdown_breach(marked, series, cfg.max_drawdown_pct))
-    alive = marked.join(halts, keys, "left").where(c("halt_rn").isNull() | (c(RN) <= c("halt_rn")))
-    trades = cut_at_halt(trades, prepared, halts, keys, cfg)
+    alive = marked
+    if not halts.isEmpty():
+        alive = marked.join(halts, keys, "left").where(c("halt_rn").isNull() | (c(RN) <= c("halt_rn")))
+        trades = cut_at_halt(trades, prepared, halts, keys, cfg)
     return Backtest(
         materialize(with_excursions(trades, alive, keys)),
         alive.select(*keys, "ts", F.col(RN).alias("rn"), "equity"),
@@ -506,7 +522,8 @@ def kelly_sizes(trades: DataFrame, series: Series, lookback=100, after=20) -> Da
 def ledger_equity(trades: DataFrame, series: Series, capital: float = 10000.0) -> DataFrame:
     """Equity after each exit, with a start row at the first entry."""
     keys = list(series.keys)
-    steps = running(index(trades, series), series, {"_cum": ("sum", c("pnl"))})
+    slim = trades.select(*keys, *series.order, "pnl")
+    steps = running(index(slim, series), series, {"_cum": ("sum", c("pnl"))})
     steps = steps.select(*keys, c("exit_time").alias("ts"), F.col(RN).alias("step"), (capital + c("_cum")).alias("equity"))
     start = trades.groupBy(*keys).agg(F.min("entry_time").alias("ts")).select(
         *keys, "ts", F.lit(0).cast("bigint").alias("step"), F.lit(float(capital)).alias("equity")

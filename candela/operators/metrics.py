@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candela.functions.durable import materialize
 from candela.functions.guards import c, div, div0, pct_change
-from candela.functions.series import RN, Series, index, on_series, running
+from candela.functions.series import RN, Series, day_cells, index, numbered, on_series, running
 
 YEAR = math.sqrt(252)
 
@@ -43,7 +44,9 @@ def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def equity_returns(equity: DataFrame, series: Series) -> DataFrame:
-    """Bar-to-bar return and drawdown of an equity curve (columns keys, ts, equity)."""
+    """Bar-to-bar return and drawdown of an equity curve (columns keys, ts, equity, and positions in ``rn`` if known)."""
+    if "rn" in equity.columns:
+        equity = numbered(equity, series, "rn")
     df = on_series(
         equity, series, lambda d, f: d.withColumn("ret", pct_change("equity", f.lag("equity"))), 1, keep_helpers=True
     )
@@ -53,23 +56,31 @@ def equity_returns(equity: DataFrame, series: Series) -> DataFrame:
 
 def ratio_stats(returns: DataFrame, keys: list[str], risk_free: float = 0.02) -> DataFrame:
     """Sharpe and Sortino ratios; the risk-free rate is taken off every bar."""
+    return returns.groupBy(*keys).agg(*_ratios(risk_free))
+
+
+def _ratios(risk_free: float) -> list[Column]:
     r = c("ret")
     excess = F.avg(r) - risk_free / 252
     down = F.stddev_samp(F.when(r < 0, r))
-    return returns.groupBy(*keys).agg(
+    return [
         F.coalesce(YEAR * div(excess, F.stddev_samp(r)), F.lit(0.0)).alias("sharpe_ratio"),
         F.coalesce(YEAR * div(excess, down), F.lit(0.0)).alias("sortino_ratio"),
-    )
+    ]
 
 
-def longest_runs(df: DataFrame, series: Series, conditions: dict[str, Column]) -> DataFrame:
+def _depths() -> list[Column]:
+    return [F.abs(F.min("drawdown")).alias("max_drawdown"), F.abs(F.max_by("drawdown", RN)).alias("current_drawdown")]
+
+
+def longest_runs(df: DataFrame, series: Series, conditions: dict[str, Column], saved: bool = False) -> DataFrame:
     """Longest run of rows that meet each condition, per series.
 
     The length of the run at a row is its distance from the last row that broke
     it, so a running maximum replaces grouping by islands.  ``df`` carries positions.
     """
     breaks = {f"_b_{n}": ("max", F.when(~F.coalesce(cond, F.lit(False)), c(RN))) for n, cond in conditions.items()}
-    df = running(df, series, breaks)
+    df = running(df, series, breaks, saved=saved)
     return df.groupBy(*series.keys).agg(
         *[F.max(c(RN) - F.coalesce(c(f"_b_{n}"), F.lit(0))).alias(n) for n in conditions]
     )
@@ -78,10 +89,9 @@ def longest_runs(df: DataFrame, series: Series, conditions: dict[str, Column]) -
 def drawdown_stats(curve: DataFrame, series: Series) -> DataFrame:
     """Worst and latest drawdown and the longest time below the peak, in bars. Needs :func:`equity_returns`."""
     keys = list(series.keys)
-    depth = curve.groupBy(*keys).agg(
-        F.abs(F.min("drawdown")).alias("max_drawdown"), F.abs(F.max_by("drawdown", RN)).alias("current_drawdown")
-    )
-    return depth.join(longest_runs(curve, series, {"max_drawdown_duration_bars": c("drawdown") < 0}), keys)
+    curve = materialize(curve)
+    depth = curve.groupBy(*keys).agg(*_depths())
+    return depth.join(longest_runs(curve, series, {"max_drawdown_duration_bars": c("drawdown") < 0}, saved=True), keys)
 
 
 def return_stats(equity: DataFrame, keys: list[str], order: str = "ts") -> DataFrame:
@@ -100,7 +110,7 @@ def duration_hours(entry: str = "entry_time", exit_: str = "exit_time") -> Colum
 
 def streaks(trades: DataFrame, series: Series) -> DataFrame:
     """Longest winning and losing streaks in the order of the series."""
-    df = trades if RN in trades.columns else index(trades, series)
+    df = index(trades.select(*series.keys, *series.order, "pnl"), series)
     return longest_runs(
         df, series, {"max_consecutive_wins": c("pnl") > 0, "max_consecutive_losses": c("pnl") <= 0}
     )
@@ -120,17 +130,23 @@ def backtest_metrics(
 ) -> DataFrame:
     """The 26 metrics per key; keys without trades get zeros."""
     keys = list(series.keys)
-    curve = equity_returns(equity, series)
-    by_exit = Series(series.keys, ("exit_time", "entry_time"), _exit_cells(), series.chunk_rows)
+    curve = materialize(equity_returns(equity, series))
+    by_exit = Series(series.keys, ("exit_time", "entry_time"), day_cells("exit_time", 30), series.chunk_rows)
     extra = trades.groupBy(*keys).agg(
         F.avg(duration_hours()).alias("avg_trade_duration_hours"),
         F.avg("max_adverse_excursion").alias("avg_mae"),
         F.avg("max_favorable_excursion").alias("avg_mfe"),
     )
+    whole = curve.groupBy(*keys).agg(
+        *_ratios(risk_free), *_depths(), F.min_by("equity", RN).alias("_first"), F.max_by("equity", RN).alias("final_equity"),
+        F.count(F.lit(1)).alias("points"),
+    )
+    whole = whole.withColumn("total_return", pct_change("final_equity", "_first"))
+    whole = whole.withColumn("annual_return", c("total_return") * (F.lit(252.0) / c("points")))
     df = trade_stats(trades, keys)
     for part in (
-        extra, streaks(trades, by_exit), ratio_stats(curve, keys, risk_free), drawdown_stats(curve, series),
-        return_stats(equity, keys),
+        extra, streaks(trades, by_exit), whole,
+        longest_runs(curve, series, {"max_drawdown_duration_bars": c("drawdown") < 0}, saved=True),
     ):
         df = df.join(part, keys)
     worst = c("max_drawdown")
@@ -145,13 +161,7 @@ def backtest_metrics(
         div0(c("total_return"), worst).alias("calmar_ratio"),
         div0(c("total_pnl"), worst * initial_capital).alias("recovery_factor"),
     ).select(*[df[k] for k in keys], *METRICS)
-    return zero_filled(equity.select(*keys).distinct(), df, keys)
-
-
-def _exit_cells():
-    from candela.functions.series import day_cells
-
-    return day_cells("exit_time", 30)
+    return zero_filled(curve.select(*keys).distinct(), df, keys)
 
 
 def zero_filled(all_keys: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,7 +177,8 @@ def dashboard_metrics(trades: DataFrame, series: Series) -> DataFrame:
     keys = list(series.keys)
     pnl = c("pnl")
     won, lost = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
-    curve = cumulative_pnl(trades, series)
+    need = dict.fromkeys([*keys, *series.order, "entry_time", "exit_time", "pnl", "pnl_percent"])
+    curve = cumulative_pnl(trades.select(*need), series)
     df = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_trades"),
         F.count_if(pnl > 0).alias("winning_trades"),

@@ -48,7 +48,7 @@ SORTINO = f"coalesce({Y} * (avg(ret) - 0.02 / 252) / nullif(stddev_samp(ret) FIL
 
 
 def curve(spark, sf_dir):
-    return met.equity_returns(test_of(spark, sf_dir).equity.select("symbol", "ts", "equity"), bar_series())
+    return met.equity_returns(test_of(spark, sf_dir).equity, bar_series())
 
 
 @query("i02_sharpe", recursive(*RETURNS) + f"SELECT symbol, {r(SHARPE)} AS sharpe_ratio FROM dd GROUP BY symbol")
@@ -142,7 +142,7 @@ SELECT symbol, total_trades, winning_trades, losing_trades, {cols({n: n for n in
 FROM ts_ JOIN eqs USING (symbol) JOIN w4 USING (symbol) JOIN ex_ USING (symbol) LEFT JOIN i4 USING (symbol)""")
 def everything(spark, sf_dir):
     bt = test_of(spark, sf_dir)
-    return rounded(met.backtest_metrics(bt.trades, bt.equity.select("symbol", "ts", "equity"), bar_series()), 4)
+    return rounded(met.backtest_metrics(bt.trades, bt.equity, bar_series()), 4)
 
 
 DASH = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candela.functions.durable import materialize
 from candela.functions.series import Series, bar_series, day_cells
 from candela.operators import indicators as ind
 from candela.operators import ledger as led
@@ -133,7 +134,7 @@ def keyed_series(*keys):
 
 
 def table_of(bt, series, names):
-    df = met.backtest_metrics(bt.trades, bt.equity.select(*series.keys, "ts", "equity"), series)
+    df = met.backtest_metrics(bt.trades, bt.equity, series)
     return df.select(*series.keys, *names)
 
 
@@ -358,7 +359,7 @@ AGG_SQL = ", ".join(f"{r(e)} AS {n}" for n, e in AGG.items())
 
 @query("j09_aggregate_results", stages(*RES) + f"SELECT dataset, strategy, count(*) AS total_splits, CAST(sum(trades) AS BIGINT) AS total_trades, {AGG_SQL} FROM results GROUP BY 1, 2")
 def aggregated(spark, sf_dir):
-    return rounded(wf.aggregate_results(split_table(spark, sf_dir), GROUPED))
+    return rounded(wf.aggregate_results(materialize(split_table(spark, sf_dir)), GROUPED))
 
 
 NAMES = ["total_splits", "total_trades", *AGG]
@@ -371,7 +372,7 @@ NAMES = ["total_splits", "total_trades", *AGG]
     + f"SELECT metric, {r(chr(109) + 'ax(v) FILTER (WHERE dataset = ' + chr(39) + 'recent' + chr(39) + ')')} AS recent,"
     f" {r('max(v) FILTER (WHERE dataset = ' + chr(39) + 'historical' + chr(39) + ')')} AS historical FROM up GROUP BY metric")
 def comparison(spark, sf_dir):
-    return rounded(wf.compare_datasets(wf.aggregate_results(split_table(spark, sf_dir), ["dataset"])))
+    return rounded(wf.compare_datasets(wf.aggregate_results(materialize(split_table(spark, sf_dir)), ["dataset"])))
 
 
 SUMM = {

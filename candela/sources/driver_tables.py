@@ -65,7 +65,7 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trade_series(keys=("instrument",), chunk_rows: int = 16384) -> Series:
+def trade_series(keys=("instrument",), chunk_rows: int = 8192) -> Series:
     """Trades by exit time.  A cell is one day and a block of 65,536 order keys, so its rows are bounded."""
     def cells():
         return [
