@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candela.functions.durable import materialize
 from candela.functions.series import Series, index, running
 
-ACCURACY = 10000
+ACCURACY = 50000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -16,7 +16,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     A sketch brackets each percentile.  One aggregation then counts the rows
     below the bracket and the distinct values inside it, and only the latter
-    (about 1/2000 of the rows) are sorted.  The answer does not depend on the
+    (about 1/8000 of the rows) are sorted.  The answer does not depend on the
     sketch as long as the bracket holds the rank, which its error bound grants.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))

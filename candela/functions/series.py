@@ -22,6 +22,8 @@ from candela.functions.durable import materialize
 
 RN, CHUNK, BLOCK, OWN = "_rn", "_chunk", "_block", "_own"
 BLOCK_ROWS = 512
+# with a lookback of 1,024 rows a chunk still fits the 4,096 rows that Spark's window operator keeps as plain rows
+CHUNK_ROWS = 3072
 HELPERS = (RN, CHUNK, BLOCK, OWN)
 
 
@@ -37,20 +39,21 @@ class Series:
     ``keys`` name the series, ``order`` sorts it totally.  ``cell`` gives
     columns that are monotone in the order and bound how many rows share one
     value; positions are numbered inside a cell and shifted by the row counts
-    of the cells before it.
+    of the cells before it.  Several cell columns form levels (day, block of
+    keys), so that no level has many cells under one parent.
     """
 
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("ts",)
     cell: Callable[[], list[Column]] = field(default_factory=lambda: day_cells("ts", 170))
-    chunk_rows: int = 8192
+    chunk_rows: int = CHUNK_ROWS
 
     def __post_init__(self):
         if self.chunk_rows % BLOCK_ROWS:
             raise ValueError(f"chunk_rows must be a multiple of {BLOCK_ROWS}")
 
 
-def bar_series(bar_seconds: int = 3600, keys=("symbol",), ts: str = "ts", chunk_rows: int = 8192) -> Series:
+def bar_series(bar_seconds: int = 3600, keys=("symbol",), ts: str = "ts", chunk_rows: int = CHUNK_ROWS) -> Series:
     """Series of bars.  A cell spans about 4096 bar slots, so it holds at most that many rows."""
     days = max(1, 4096 * bar_seconds // 86400)
     return Series(tuple(keys), (ts,), day_cells(ts, days), chunk_rows)
@@ -62,12 +65,18 @@ def index(df: DataFrame, series: Series) -> DataFrame:
     names = [f"_cell{i}" for i in range(len(cells))]
     keys = list(series.keys)
     celled = df.withColumns(dict(zip(names, cells)))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        celled.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
+    counts = celled.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    # rows before a cell: those of earlier cells at its own level, plus those before its parent
+    parents = [*keys, *names[:-1]]
+    before = Window.partitionBy(*parents).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    bases = counts.select(*keys, *names, F.coalesce(F.sum("_n").over(before), zero).alias("_base"))
+    for depth in range(len(names) - 1, 0, -1):
+        level = [*keys, *names[:depth]]
+        up = Window.partitionBy(*level[:-1]).orderBy(level[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.groupBy(*level).agg(F.sum("_n").alias("_n"))
+        above = sums.select(*level, F.coalesce(F.sum("_n").over(up), zero).alias("_above"))
+        bases = bases.join(above, level).withColumn("_base", F.col("_base") + F.col("_above")).drop("_above")
     inside = Window.partitionBy(*keys, *names).orderBy(*series.order)
     return (
         celled.join(bases, [*keys, *names])

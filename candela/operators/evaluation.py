@@ -76,7 +76,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    return df.join(class_weights(df, label).select(label, "weight"), label)
 
 
 def class_distribution(df: DataFrame, label: str, keys: list[str] = []) -> DataFrame:  # noqa: B006

@@ -140,8 +140,10 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
 
     Rows belong to the cell of their nearest pivot.  A first join inside cells
     bounds the distance of the k-th neighbour; by the triangle inequality a
-    second join only visits cells that may hold something nearer.  Blocks of rows meet in
-    numpy, and only the k best of each block leave a task.
+    second join only visits cells that may hold something nearer.  Blocks of
+    at most about 2,000 rows meet in numpy, and only the k best of each block
+    leave a task.  Work inside a cell grows with the square of its blocks, so
+    ``pivots`` should grow with the square root of the rows.
     """
     import numpy as np
     import pandas as pd
@@ -173,7 +175,7 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
 
     def meet(batches):
         for pdf in batches:
-            for left, right, bound in zip(pdf["left"], pdf["right"], pdf["bounds"]):
+            for left, right in zip(pdf["left"], pdf["right"]):
                 a = np.stack([r["x"] for r in left])
                 b = np.stack([r["x"] for r in right])
                 d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
@@ -182,13 +184,12 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
                 for i, r in enumerate(left):
                     row = np.where(ids_b == r[key], np.inf, d[i])
                     order = np.argsort(row, kind="stable")[: k + 1]
-                    out += [(r[key], int(ids_b[j]), float(((a[i] - b[j]) ** 2).sum() ** 0.5)) for j in order if np.isfinite(row[j])]
+                    out += [(r[key], ids_b[j], float(((a[i] - b[j]) ** 2).sum() ** 0.5)) for j in order if np.isfinite(row[j])]
                 yield pd.DataFrame(out, columns=[key, "neighbour", "d"])
 
     side = lambda name: blocks.select(F.col("cell").alias(f"{name}_cell"), F.col("rows").alias(name))
     schema = f"{key} {kind}, neighbour {kind}, d double"
-    none = F.lit(None).cast("double").alias("bounds")
-    inside = side("left").join(side("right"), c("left_cell") == c("right_cell")).select("left", "right", none)
+    inside = side("left").join(side("right"), c("left_cell") == c("right_cell")).select("left", "right")
     near = materialize(inside.mapInPandas(meet, schema))
     best = lambda df: df.groupBy(key).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, k).alias("best")
@@ -207,10 +208,13 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
     visits = reach.join(F.broadcast(pairs.join(cells.withColumnRenamed("cell", "other"), "other")), "cell").where(
         c("gap") - c("dist") - c("radius") <= c("bound")
     )
-    asks = visits.groupBy("other", F.pmod(F.xxhash64(key), F.lit(64)).alias("salt")).agg(
+    visits = materialize(visits.select(key, "x", "dist", "other"))
+    crowd = visits.groupBy("other").agg(F.count(F.lit(1)).alias("_n"))  # one row per cell
+    salt = F.pmod(F.xxhash64(key), F.ceil(c("_n") / block_rows))
+    asks = visits.join(F.broadcast(crowd), "other").groupBy("other", salt.alias("salt")).agg(
         F.collect_list(F.struct(key, "x", "dist")).alias("left")
     )
-    across = asks.join(side("right"), c("other") == c("right_cell")).select("left", "right", none)
+    across = asks.join(side("right"), c("other") == c("right_cell")).select("left", "right")
     every = near.unionByName(across.mapInPandas(meet, schema))
     return best(every).select(key, F.posexplode("best").alias("pos", "_b")).select(
         key, (c("pos") + 1).alias("rank"), c("_b.neighbour").alias("neighbour"), c("_b.d").alias("distance")

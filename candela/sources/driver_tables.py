@@ -65,12 +65,16 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trade_series(keys=("instrument",), chunk_rows: int = 8192) -> Series:
-    """Trades by exit time.  A cell is one day and a block of 65,536 order keys, so its rows are bounded."""
+def trade_series(keys=("instrument",), chunk_rows: int = 131072) -> Series:
+    """Trades by exit time.
+
+    A cell is one day and a block of four million order keys, which bounds its
+    rows.  Chunks are large, because trades only need short frames and sums.
+    """
     def cells():
         return [
             F.expr("datediff(to_date(exit_time), DATE'1970-01-01')"),
-            F.expr("order_key div 65536"),
+            F.expr("order_key div 4194304"),
         ]
 
     return Series(tuple(keys), ("exit_time", *TRADE_TIE), cells, chunk_rows)
