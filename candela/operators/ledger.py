@@ -20,6 +20,7 @@ from candela.functions.series import BLOCK, CHUNK, HELPERS, RN, Series, bar_seri
 
 FAN_OUT = 256  # bars per block and blocks per super block
 LINK_ROWS = 2048  # signals per chunk of the chain walk
+KELLY_ROWS = 65536  # signals per key and round of the Kelly recursion
 NEVER = 1 << 60
 
 
@@ -33,7 +34,7 @@ class BacktestConfig:
     position_size_pct: float = 0.02
     max_position_value_pct: float = 0.02
     risk_free_rate: float = 0.02
-    position_sizing_method: str = "fixed_pct"  # or "volatility"
+    position_sizing_method: str = "fixed_pct"  # or "volatility", "kelly"
     atr_col: str | None = None
     atr_multiplier: float = 2.0
     max_drawdown_pct: float = 0.20
@@ -341,6 +342,8 @@ def _trades(prepared: DataFrame, series: Series, cfg: BacktestConfig) -> DataFra
         )
     )
     taken = found.join(walk_chain(found.select(*keys, "id", "next_id"), keys, signals), [*keys, "id"])
+    if cfg.position_sizing_method == "kelly":
+        return _kelly_account(taken, series, cfg, signals or 0)
     return _account(taken, series, cfg)
 
 
@@ -368,7 +371,85 @@ def _account(taken: DataFrame, series: Series, cfg: BacktestConfig) -> DataFrame
     ).where(F.coalesce(c("_ruined"), F.lit(0)) == 0)
     capital = cfg.initial_capital * F.exp(F.coalesce(c("_log"), F.lit(0.0)))
     df = df.withColumn("capital_before", capital).withColumn("size", c("_share") * c("capital_before"))
-    size = c("size")
+    return _ledger_rows(df, keys, cfg)
+
+
+def _kelly_account(taken: DataFrame, series: Series, cfg: BacktestConfig, longest: int) -> DataFrame:
+    """Accounts for Kelly sizes, which feed back: each depends on the last 100 profits before it.
+
+    The recursion runs in rounds of 65,536 signals per key.  A round handles
+    all keys side by side and hands capital and the last profits to the next.
+    """
+    keys = list(series.keys)
+    long, entry = c("_long"), c("entry_price")
+    df = taken.withColumn("exit_price", exit_fill(c("_exit_mid"), long, cfg))
+    df = materialize(df.withColumn("_unit", unit_pnl(entry, c("exit_price"), long, cfg)))
+    types = dict(df.dtypes)
+    slim = df.select(*keys, "id", "entry_price", "_unit")
+    out_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", id bigint, capital_before double, size double, _pnl double, _done int"
+    state = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, F.lit(cfg.initial_capital).alias("capital"), F.lit(0).alias("done"), F.array().cast("array<double>").alias("past")
+    )
+    parts = None
+    for number in range(-(-longest // KELLY_ROWS)):
+        part = slim.where(F.expr(f"(id - 1) div {KELLY_ROWS}") == number)
+        fold = _kelly_fold(keys, cfg.max_position_value_pct)
+        sized = materialize(
+            part.groupBy(*keys).cogroup(
+                state.toDF(*[f"_k_{k}" for k in keys], "capital", "done", "past").groupBy(*[f"_k_{k}" for k in keys])
+            ).applyInPandas(fold, out_schema)
+        )
+        parts = sized if parts is None else parts.unionByName(sized)
+        newest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("id", "_pnl")))), 1, 100)
+        from candela.operators.metrics import last_rows
+
+        recent = last_rows(parts, keys, ["id"], 100).groupBy(*keys).agg(
+            F.reverse(F.transform(newest, lambda x: x["_pnl"])).alias("_past"),
+            F.max_by(c("capital_before") + c("_pnl"), "id").alias("_cap"), F.max("_done").alias("_d"),
+        )
+        state = state.join(recent, keys, "left").select(
+            *keys, F.coalesce("_cap", "capital").alias("capital"), F.coalesce("_d", "done").alias("done"),
+            F.coalesce("_past", "past").alias("past"),
+        )
+    if parts is None:
+        return _ledger_rows(df.withColumns({"capital_before": F.lit(0.0), "size": F.lit(0.0)}).limit(0), keys, cfg)
+    return _ledger_rows(df.join(parts.select(*keys, "id", "capital_before", "size"), [*keys, "id"]), keys, cfg)
+
+
+def _kelly_fold(keys: list[str], cap: float):
+    """Sizes of one key's trades of a round, from the state before it."""
+    import numpy as np
+    import pandas as pd
+
+    def fold(trades, state):
+        rows = []
+        if len(trades):
+            capital, done, past = float(state["capital"].iloc[0]), int(state["done"].iloc[0]), list(state["past"].iloc[0])
+            for r in trades.sort_values("id").itertuples(index=False):
+                share = cap
+                if done > 20:
+                    recent = np.array(past[-100:])
+                    won, lost = recent[recent > 0], recent[recent < 0]
+                    pct = 0.01
+                    if len(won) and len(lost) and len(won) < len(recent):
+                        rate, ratio = len(won) / len(recent), won.mean() / abs(lost.mean())
+                        pct = min(max((rate * ratio - (1 - rate)) / ratio * 0.5, 0.001), 0.05)
+                    share = min(pct, cap)
+                if capital <= 0:
+                    break
+                size = capital * share / r.entry_price
+                pnl = size * r[-1]
+                done += 1
+                rows.append((*[getattr(r, k) for k in keys], r.id, capital, size, pnl, done))
+                past.append(pnl)
+                capital += pnl
+        return pd.DataFrame(rows, columns=[*keys, "id", "capital_before", "size", "_pnl", "_done"])
+
+    return fold
+
+
+def _ledger_rows(df: DataFrame, keys: list[str], cfg: BacktestConfig) -> DataFrame:
+    long, entry, size = c("_long"), c("entry_price"), c("size")
     return df.select(
         *keys,
         "entry_rn",
@@ -386,7 +467,7 @@ def _account(taken: DataFrame, series: Series, cfg: BacktestConfig) -> DataFrame
         "entry_reason",
         "exit_reason",
         "capital_before",
-        (c("capital_before") * (1 + c("_f"))).alias("capital_after"),
+        (c("capital_before") + size * c("_unit")).alias("capital_after"),
     )
 
 

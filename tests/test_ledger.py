@@ -64,6 +64,16 @@ def bar_loop(pdf, cfg):
             price = pdf.close[i] * (1 + h) * (1 + slip) if long else pdf.close[i] * (1 - h) * (1 - slip)
             risk = abs(price - pdf.stop_loss[i])
             size = min(capital * cfg.position_size_pct / risk, capital * cfg.max_position_value_pct / price)
+            if cfg.position_sizing_method == "kelly":
+                size = capital * cfg.max_position_value_pct / price
+                if len(trades) > 20:
+                    past = [t["pnl"] for t in trades[-100:]]
+                    won, lost = [p for p in past if p > 0], [p for p in past if p < 0]
+                    rate, pct = len(won) / len(past), 0.01
+                    if lost and 0 < rate < 1:
+                        ratio = np.mean(won) / abs(np.mean(lost))
+                        pct = min(max((rate * ratio - (1 - rate)) / ratio / 2, 0.001), 0.05)
+                    size = min(capital * pct / price, size)
             if size > 0:
                 position = {"entry": i, "long": long, "price": price, "size": size, "stop": pdf.stop_loss[i],
                             "target": pdf.take_profit[i], "open": 0.0, "mae": 0.0, "mfe": 0.0}
@@ -74,12 +84,14 @@ def bar_loop(pdf, cfg):
 
 
 @pytest.mark.parametrize(
-    "changes", [{}, {"use_exit_signals": True}, {"max_drawdown_pct": 0.004}, {"use_exit_signals": True, "max_drawdown_pct": 0.004}]
+    "changes", [{}, {"use_exit_signals": True}, {"max_drawdown_pct": 0.004}, {"use_exit_signals": True, "max_drawdown_pct": 0.004},
+                {"position_sizing_method": "kelly"}]
 )
 def test_ledger_equals_bar_loop(spark, monkeypatch, changes):
     # small blocks and chunks, so that the search climbs several levels and chains cross chunks
     monkeypatch.setattr(led, "FAN_OUT", 4)
     monkeypatch.setattr(led, "LINK_ROWS", 8)
+    monkeypatch.setattr(led, "KELLY_ROWS", 50)
     markets = [market(n, seed, every, True) for n, seed, every in ((700, 1, 3), (300, 2, 40), (90, 3, 2), (1, 4, 1))]
     cfg = led.sweep(led.BacktestConfig(position_size_pct=0.2, max_position_value_pct=0.5), **changes)
     bt = led.backtest(spark.createDataFrame(pd.concat(markets), SCHEMA), cfg, bar_series(chunk_rows=512))
