@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import byte_bpe, html_text, packing, quality, ring_shards, simhash, url_filter
+from candela.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    masked_lm,
+    packing,
+    quality,
+    ring_shards,
+    secret_scan,
+    simhash,
+    url_filter,
+)
 from candela.llm.oracles import ORACLES  # noqa: F401
 
 #: Where the tokenizer files are; a parameter of the operators.
@@ -25,6 +36,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decisions(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +80,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op4_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards,
+        op1_exact_dedup, op2_secret_scans, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing,
+        op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards,
     )
 }

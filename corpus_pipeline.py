@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import packing, quality, simhash
+from candela.llm import exact_dedup, packing, quality, secret_scan, simhash
 from candela.llm.frames import saved
 from candela.llm.queries import IDS_FILE
 
@@ -18,12 +18,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs, quality.reference(docs)).where("quality.kept").select(docs.columns)
 
 
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one of smallest doc_id."""
+    return exact_dedup.distinct_documents(docs)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by SimHash, the one of smallest doc_id."""
     groups = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secret_scan.masked(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
     return packing.pack(docs, IDS_FILE)
@@ -31,7 +41,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
+    ("exact duplicates", exact_stage),
     ("near duplicates", near_stage),
+    ("secret scans", secret_stage),
     ("packing", packing_stage),
 ]
 
