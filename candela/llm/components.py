@@ -37,20 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = saved(pairs.distinct(), "edges")
-    labels = None
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    labels = nodes.select("node", F.col("node").alias("up"))
     while left.limit(1).count():
         hooks = saved(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hooks")
         roots = _roots(hooks)
-        if labels is None:
-            tops = roots.select(F.col("up").alias("node"), "up").distinct()
-            labels = roots.unionByName(tops)
-        else:
-            labels = saved(_renamed(labels, "up", roots, ["node"]), "labels")
+        labels = saved(_renamed(labels, "up", roots, ["node"]), "labels")
         left = _renamed(left, "a", roots, ["a", "b"])
         left = _renamed(saved(left, "edges"), "b", roots, ["a", "b"])
         left = saved(
             left.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
-    if labels is None:
-        labels = left.select(F.col("a").alias("node"), F.col("b").alias("up"))
     return labels.select("node", F.col("up").alias("root"))

@@ -49,8 +49,10 @@ def _glob(path: str) -> str:
 
 
 def _located(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    text = normal_text(F.col("text"))
     return df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), digest(normal_text(F.col("text"))).alias("_digest")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+        digest(text).alias("_digest"), text.alias("_text"),
     )
 
 
@@ -65,7 +67,7 @@ def advance(
     schema = spark.read.parquet(path).schema
     with _settings(spark, ON_DISK):
         arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(_glob(path))
-        rows = _located(arrivals, digest).select("_digest", F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").cast("long").alias("doc_id"), *LOCATOR).alias("at"))
+        rows = _located(arrivals, digest).select("_digest", F.struct(F.isnull("doc_id").alias("none"), "doc_id", *LOCATOR).alias("at"))
         seen = rows.groupBy("_digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
         stream = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         stream.awaitTermination()
@@ -92,10 +94,7 @@ def decisions(
     held = advance(spark, path, state or scratch_path(spark, "arrivals"), digest, batch_bytes)
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = held.where(F.col("n") >= hot_size(total)).select("_digest")
-    text = normal_text(F.col("text"))
-    docs = _located(spark.read.parquet(path), digest).select(
-        F.col("doc_id").cast("long").alias("doc_id"), *LOCATOR, "_digest", sha256(text).alias("text_sha256"), text.alias("_text")
-    )
+    docs = _located(spark.read.parquet(path), digest).withColumn("text_sha256", sha256(F.col("_text")))
     first = (F.col("_file") == F.col("keep_file")) & (F.col("_row") == F.col("keep_row"))
     hits = saved(
         lookup(docs, held, "_digest", hot, LOCATOR).select(
@@ -136,5 +135,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     spark, path = docs.sparkSession, landed(docs)
     dropped = decisions(spark, path).where("NOT kept").select(LOCATOR)
     rows = spark.read.parquet(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(dropped, LOCATOR, "left_anti").select(docs.columns)
+    located = rows.select(F.struct(*rows.columns).alias("row"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return located.join(dropped, LOCATOR, "left_anti").select("row.*")

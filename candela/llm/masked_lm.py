@@ -60,7 +60,7 @@ class Words(dict):
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode().translate(_FOLD).split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.intp, count=len(words))
 
 
 class Network:
@@ -69,8 +69,8 @@ class Network:
     def __init__(self, shape: Shape, flat: np.ndarray | None = None) -> None:
         self.shape = s = shape
         parts = {
-            "embed": (len(s.offsets), s.ids + 1, s.width), "bias": (s.width,), "to_class": (s.width, s.classes), "class_bias": (s.classes,),
-            "to_inside": (s.width, s.inside), "inside_bias": (s.classes, s.inside),
+            "embed": (len(s.offsets), s.width, s.ids + 1), "bias": (s.width, 1), "to_class": (s.classes, s.width), "class_bias": (s.classes, 1),
+            "to_inside": (s.inside, s.width), "inside_bias": (s.inside, s.classes),
         }
         size = sum(int(np.prod(x)) for x in parts.values())
         if flat is None:
@@ -88,50 +88,53 @@ class Network:
 
     def forward(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
         """Log-probabilities of ``words`` given the ids ``around`` them (offsets by places), and what training needs."""
-        hidden = self.bias + self.embed[0, around[0]]
+        hidden = self.embed[0].take(around[0], axis=1)
         for k in range(1, len(around)):
-            hidden += self.embed[k, around[k]]
+            hidden += self.embed[k].take(around[k], axis=1)
+        hidden += self.bias
         np.tanh(hidden, out=hidden)
-        of_class, inside = words // self.shape.inside, words % self.shape.inside
-        rows = np.arange(len(words))
-        log_c = _log_softmax(hidden @ self.to_class + self.class_bias)
-        log_i = _log_softmax(hidden @ self.to_inside + self.inside_bias[of_class])
-        return log_c[rows, of_class] + log_i[rows, inside], hidden, log_c, log_i, of_class, inside
+        of_class, inside = np.divmod(words, self.shape.inside)
+        places = np.arange(len(words))
+        log_c = _log_softmax(self.to_class @ hidden + self.class_bias)
+        log_i = _log_softmax(self.to_inside @ hidden + self.inside_bias.take(of_class, axis=1))
+        return log_c[of_class, places] + log_i[inside, places], hidden, log_c, log_i, of_class, inside
 
     def train(self, around: np.ndarray, words: np.ndarray, squares: Network) -> None:
         """One step of gradient descent with a rate for each weight."""
         s, n = self.shape, len(words)
         _, hidden, log_c, log_i, of_class, inside = self.forward(around, words)
-        rows = np.arange(n)
-        d_class, d_inside = np.exp(log_c), np.exp(log_i)
-        d_class[rows, of_class] -= 1
-        d_inside[rows, inside] -= 1
+        places = np.arange(n)
+        d_class, d_inside = np.exp(log_c, out=log_c), np.exp(log_i, out=log_i)
+        d_class[of_class, places] -= 1
+        d_inside[inside, places] -= 1
         slope = self.like()
-        slope.to_class[:] = hidden.T @ d_class
-        slope.class_bias[:] = d_class.sum(axis=0)
-        slope.to_inside[:] = hidden.T @ d_inside
+        slope.to_class[:] = d_class @ hidden.T
+        slope.class_bias[:, 0] = d_class.sum(axis=1)
+        slope.to_inside[:] = d_inside @ hidden.T
         marks = np.zeros((n, s.classes), np.float32)
-        marks[rows, of_class] = 1
-        slope.inside_bias[:] = marks.T @ d_inside
-        back = (d_class @ self.to_class.T + d_inside @ self.to_inside.T) * (1 - hidden * hidden)
-        slope.bias[:] = back.sum(axis=0)
+        marks[places, of_class] = 1
+        slope.inside_bias[:] = d_inside @ marks
+        back = (self.to_class.T @ d_class + self.to_inside.T @ d_inside) * (1 - hidden * hidden)
+        slope.bias[:, 0] = back.sum(axis=1)
         for k in range(len(around)):
             for d in range(s.width):
-                slope.embed[k, :, d] = np.bincount(around[k], weights=back[:, d], minlength=s.ids + 1)
+                slope.embed[k, d] = np.bincount(around[k], weights=back[d], minlength=s.ids + 1)
         slope.flat /= n
         squares.flat += slope.flat * slope.flat
         self.flat -= s.rate * slope.flat / (np.sqrt(squares.flat) + 1e-6)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Over the first axis, in place."""
+    x -= x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
+    return x
 
 
 def windows(texts: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(around, words) of all places of some documents; beyond a document's ends stands the id of nothing."""
     far, nothing = max(map(abs, shape.offsets)), shape.ids
-    gap = np.full(far, nothing, np.int32)
+    gap = np.full(far, nothing, np.intp)
     line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
     at = np.flatnonzero(line != nothing)
     return np.stack([line[at + k] for k in shape.offsets]), line[at]

@@ -155,7 +155,7 @@ class Reference:
 
 def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
     """Histograms over all documents.  Only class counts and the commonest words of each language reach the driver."""
-    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +201,8 @@ SCORES = (
 
 
 def judged(docs: DataFrame, known: Reference, rules: Rules = Rules()) -> DataFrame:
-    """Columns of ``docs`` and those of SCORES in a struct ``quality``, row by row and without a shuffle."""
+    """Each row of ``docs`` as the struct ``row``, and its SCORES as the struct ``quality``; no shuffle, and no name
+    of ``docs`` can clash."""
 
     @F.pandas_udf(SCORES)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -215,7 +216,7 @@ def judged(docs: DataFrame, known: Reference, rules: Rules = Rules()) -> DataFra
                 out.append((n, chars, symbols, lines, repeats, failed, not failed and not rules.odd(n, c, w), c, w))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
 
-    return docs.withColumn("quality", judge("text"))
+    return docs.select(F.struct(*docs.columns).alias("row"), judge("text").alias("quality"))
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -224,4 +225,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     A null text has no words and fails the base rule.  Repeated rows are judged each for itself.  An empty table
     gives no rows.
     """
-    return judged(docs.select("doc_id", "text"), reference(docs, rules), rules).select(F.col("doc_id").cast("long"), "quality.*")
+    return judged(docs.select("doc_id", "text"), reference(docs, rules), rules).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "quality.*"
+    )

@@ -155,17 +155,19 @@ def masked(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = R
     versions, findings = scan(docs, ledger, rules)
     dirty = saved(_by_blob(versions.distinct(), findings, rules).where(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found")), "dirty")
 
+    text = F.col("row.text")
+
     def cut(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(MASK)).alias("out"))
-        )
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], inside).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(MASK)).alias("out")))
 
     none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("found", none, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    rows = docs.withColumn("_blob", blob_of(F.coalesce("text", F.lit("")))).join(dirty.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    out = rows.withColumn("_text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
-    new = {"text": F.col("_text")}
+    clean = F.aggregate("found", none, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    rows = docs.select(blob_of(F.coalesce("text", F.lit(""))).alias("blob"), F.struct(*docs.columns).alias("row")).join(dirty, "blob", "left")
+    rows = rows.select("row", F.when(F.col("found").isNotNull(), clean).alias("masked"))
+    new = {"text": F.coalesce("masked", text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("found").isNotNull(), F.length("_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(docs.columns)
+        length = F.length("masked").cast(dict(docs.dtypes)["n_chars"])
+        new["n_chars"] = F.when(F.col("masked").isNotNull(), length).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

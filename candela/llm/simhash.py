@@ -56,13 +56,17 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and signed 64-bit fingerprint of every whole text."""
+    """doc_id, text_hash (64 bits, tells rows of one id apart) and signed 64-bit fingerprint of every whole text."""
 
     @F.pandas_udf("bigint")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t or "", width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), fp("text").alias("fp"))
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), fp("text").alias("fp"))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def segments(distance: int, parts: int) -> list[tuple[int, int, int]]:
@@ -146,7 +150,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
         diff = F.shiftrightunsigned(F.col("p.fp").bitwiseXOR(other), a).bitwiseAND(F.lit((1 << n) - 1))
         earlier = earlier | ((seg > k) & (F.bit_count(diff) <= r))
     pairs = (
-        probes.alias("p").join(sparse.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.fp") < other) & (_apart(F.col("p.fp"), other) <= distance))
+        probes.alias("p").join(sparse.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.fp") < other) & (_apart(F.col("p.fp"), other) <= distance) & ~earlier)
         .select(F.col("p.fp").alias("a"), other.alias("b"))
     )
     # dense values: blocks of entries against blocks of probes, a spanning forest of each
@@ -172,7 +176,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) and group_size.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), group_size, text_hash.
 
     ``docs`` needs doc_id and text; other columns are ignored.  Texts without words, null ones too, have fingerprint
     zero and link like any other.  Repeated rows are rows of their own in the group of their fingerprint; a null
@@ -188,4 +192,4 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     of_print = saved(lookup(named, groups, "root", hot_keys(named, "root", total), ["fp"]).select("fp", "component_id", "group_size", "n"), "classes")
     hot = of_print.where(F.col("n") >= max(64, -(-rows.count() // 1024))).select("fp")
     out = lookup(rows, of_print.drop("n"), "fp", hot, ["doc_id"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size", "text_hash")
