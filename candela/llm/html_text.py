@@ -31,7 +31,8 @@ ASIDE = {
     "head", "nav", "aside", "footer", "header", "form", "menu", "dialog", "button", "select", "option", "datalist", "fieldset", "svg", "math",
     "canvas", "audio", "video", "object", "map",
 }
-ARTICLE = {"article", "main"}
+#: Elements by which a page marks its article, the first that it has.
+ARTICLE = ("article", "main")
 #: Words of class, id and role names that mark a part beside the article.
 ASIDE_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav",
@@ -53,8 +54,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 DEFAULT_TAG, LEAST_TAG, MOST_TAG = 0.3, 0.02, 3.0
-#: Tags that fence a part beside the article.
-FENCE = 4.0
+#: Cost of a tag that fences a part beside the article, where the page does not mark the article around it.
+FENCE = 1.0
 
 
 def _beside(attrs: str) -> bool:
@@ -68,11 +69,17 @@ def _beside(attrs: str) -> bool:
     return _HIDDEN.search(attrs) is not None
 
 
+def _mark(page: str) -> str:
+    lower = page.lower()
+    return next((name for name in ARTICLE if "<" + name in lower), "")
+
+
 def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, value, beside, article) in page order; kind is "tag", "fence" (a tag that opens or closes a part
     beside the article) or "text"; beside and article tell whether such an element is open around it."""
     stack: list[tuple[str, bool]] = []
     beside = article = 0
+    mark = _mark(page)
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -93,7 +100,7 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             while len(stack) > at:
                 name, aside = stack.pop()
                 beside -= aside
-                article -= name in ARTICLE
+                article -= name == mark
                 fence |= aside
             yield "fence" if fence else "tag", tag, beside > 0, article > 0
             continue
@@ -108,20 +115,20 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if tag not in VOID and not (m["attrs"] or "").endswith("/"):
             stack.append((tag, aside))
             beside += aside
-            article += tag in ARTICLE
+            article += tag == mark
         yield "fence" if aside else "tag", tag, beside > 0, article > 0
 
 
 def label_counts(page: str) -> dict[tuple[str, bool], int]:
     """For a page that marks one article: how often words ("") and each tag stand inside it and outside."""
     out: dict[tuple[str, bool], int] = {}
-    marks = 0
+    marks, mark = 0, _mark(page)
     for kind, value, beside, article in units(page):
         if kind == "text":
             if not beside and (n := len(value.split())):
                 out["", article] = out.get(("", article), 0) + n
         else:
-            marks += value in ARTICLE
+            marks += value == mark
             if kind == "tag" and not beside:
                 name = value if value in BLOCKS or value in INLINE else "other"
                 out[name, article] = out.get((name, article), 0) + 1
@@ -147,13 +154,16 @@ class Weights:
 def main_text(page: str, weights: Weights) -> str:
     """Text of the best run; blocks are trimmed and joined by one space, and so is white space inside them."""
     seen = list(units(page))
+    marked = any(kind == "text" and article and not beside and not value.isspace() for kind, value, beside, article in seen)
     best = total = 0.0
     start, run = 0, (0, 0)
-    for k, (kind, value, beside, _) in enumerate(seen):
-        if kind == "text":
-            total += 0.0 if beside else weights.word * len(value.split())
-        else:
-            total -= FENCE if kind == "fence" else 0.0 if beside else weights.tag(value)
+    for k, (kind, value, beside, article) in enumerate(seen):
+        if kind == "text":  # where the page marks its article, words outside it speak against a run
+            total += 0.0 if beside else weights.word * len(value.split()) * (1 if article or not marked else -1)
+        elif kind == "fence":
+            total -= 0.0 if article else FENCE
+        elif not beside:
+            total -= weights.tag(value)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
