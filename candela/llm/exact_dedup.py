@@ -20,6 +20,8 @@ from candela.llm.frames import SMALL_GROUP, hot_size, lookup, normal_text, saved
 ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each partition of the state sets aside some MB of disk for logs that stay small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Bytes of input that one micro-batch takes in.
 BATCH_BYTES = 64 << 30
