@@ -1,7 +1,7 @@
 """Quality rules: how far a document's characters and words stand from those of its language.
 
 References are the histograms of the whole corpus by language: shares of character classes, and shares of the
-commonest words.  A document is compared by Jensen-Shannon distance (base 2, the root of the divergence) with all
+commonest words.  Every document counts for one, however long it is.  A document is compared by Jensen-Shannon distance (base 2, the root of the divergence) with all
 of them, so that a wrong language tag does no harm, and the least distance counts.  Short documents have ragged
 histograms; below a least length a rule does not speak.
 """
@@ -23,6 +23,8 @@ from candela.llm.frames import SPACE
 CLASSES = ["lower", "upper", "other letter", "digit", "space", "mark", "symbol"]
 MARKS = ".,;:!?'\"()-"
 SYMBOLS = "#*$%&|<>"
+#: Weight of a document in a reference; a whole number, so that sums do not depend on their order.
+ONE = 10**9
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 
@@ -154,7 +156,8 @@ class Reference:
 
 
 def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
-    """Histograms over all documents.  Only class counts and the commonest words of each language reach the driver."""
+    """Histograms over all documents, each with the whole weight ONE.  Only the class sums and the commonest words of
+    each language reach the driver."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -166,10 +169,11 @@ def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
         yield pd.DataFrame([(k, c, int(v)) for k, x in sums.items() for c, v in enumerate(x)], columns=["lang", "class", "n"])
 
     by_class = rows.mapInPandas(classes, "lang string, class int, n bigint").groupBy("lang", "class").agg(F.sum("n").alias("n"))
-    words = rows.select("lang", F.explode(F.split("text", SPACE)).alias("word")).where("word != ''")
+    split = rows.select("lang", F.array_remove(F.split("text", SPACE), "").alias("words"))
+    weighted = split.select("lang", F.expr(f"{ONE} div nullif(size(words), 0)").alias("weight"), F.explode("words").alias("word"))
     # letters A to Z only, as the documents are counted
     word = F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = words.groupBy("lang", word.alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    counts = weighted.groupBy("lang", word.alias("word")).agg(F.sum("weight").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rules.common_words)
     # languages by size: a tag that few documents have makes no reference
@@ -179,7 +183,8 @@ def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
     common: dict[str, dict[str, int]] = {}
     for r in best.where(F.col("lang").isin(list(chars))).select("lang", "word", "n").collect():
         common.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    totals = {r["lang"]: r["n"] for r in words.where(F.col("lang").isin(list(chars))).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = split.where("size(words) > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["lang"]: r["n"] * ONE for r in sizes.where(F.col("lang").isin(list(chars))).collect()}
     return Reference(chars, common, totals)
 
 
