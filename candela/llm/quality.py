@@ -42,8 +42,8 @@ class Rules:
     char_ragged: float = 1.0
     #: The same for the common words.
     word_words: int = 80
-    word_distance: float = 0.25
-    word_ragged: float = 1.7
+    word_distance: float = 0.27
+    word_ragged: float = 1.75
 
     def odd(self, n_words: int, chars: float, words: float | None) -> bool:
         """Whether the distances are greater than a clean document of this length shows."""

@@ -22,7 +22,7 @@ def test_stages_take_effect(spark, odd_docs):
     def text(n):
         return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(n))
 
-    clean = [(1000 + k, text(120)) for k in range(60)]
+    clean = [(1000 + k, text(150)) for k in range(60)]
     long = text(3000)
     rows = clean + [(2000, clean[0][1] + " "), (2001, clean[0][1]), (3000, long), (3001, long.replace(" the ", " the  ", 1) + " end"), (3002, "too short")]
     rows += [(4000, clean[1][1] + " password=abcdef0123456789 " + text(50))]
