@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.durable import materialize
+from candela.functions.keytables import per_key
 from candela.functions.series import Series, index, running
 
 ACCURACY = 50000
@@ -35,7 +36,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
             F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_lo"), F.col("_hi"))
         ).alias("_b"),
     ).select(*keys, "_n", F.col("_b.p").alias("prob"), F.col("_b._lo").alias("_lo"), F.col("_b._hi").alias("_hi"))
-    joined = rows.join(brackets, keys) if keys else rows.crossJoin(F.broadcast(brackets))
+    joined = rows.join(per_key(brackets), keys) if keys else rows.crossJoin(F.broadcast(brackets))
     # rows outside the bracket collapse into one entry per side that keeps its nearest value
     v, side = F.col("_v"), F.col("_side")
     marked = joined.withColumn("_side", F.when(v < F.col("_lo"), -1).when(v > F.col("_hi"), 1).otherwise(0))
@@ -74,7 +75,7 @@ def running_by_value(
     steps = F.array(*[F.lit(2**i) for i in reversed(range((cells - 1).bit_length()))])
     reach = lambda at, step: F.get("_cuts", at + step - 1) < F.col("_x")
     below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(reach(at, step), step).otherwise(0))
-    with_cuts = per_value.join(cuts, keys) if keys else per_value.crossJoin(F.broadcast(cuts))
+    with_cuts = per_value.join(per_key(cuts), keys) if keys else per_value.crossJoin(F.broadcast(cuts))
     celled = with_cuts.withColumn("_cut", below).drop("_cuts")
     group = list(keys) or ["_all"]
     celled = celled if keys else celled.withColumn("_all", F.lit(0))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.guards import c, div
 from candela.functions.quantiles import exact_percentiles, running_by_value
 from candela.operators.evaluation import weighted_metrics
@@ -126,7 +127,7 @@ def feature_profile(df: DataFrame, features: list[str]) -> DataFrame:
 def psi(current: DataFrame, profile: DataFrame, features: list[str]) -> DataFrame:
     """Population stability index on the baseline's quartile bins; empty bins count as 0.0001."""
     df = long_features(current, features).where("value IS NOT NULL").join(
-        profile.select("feature", "q25", "q50", "q75"), "feature"
+        per_key(profile.select("feature", "q25", "q50", "q75")), "feature"
     )
     v, a, b, z = c("value"), c("q25"), c("q50"), c("q75")
     bins = [v < a, (v >= a) & (v < b), (v >= b) & (v < z), v >= z]
@@ -189,7 +190,7 @@ def column_quality(df: DataFrame, columns: list[str]) -> DataFrame:
         F.stddev_samp("value").alias("std"),
     )
     beyond = F.coalesce((c("std") > 0) & (F.abs(c("value") - c("_m")) > 5 * c("std")), F.lit(False))
-    out = values.join(moments, "feature").groupBy("feature").agg(
+    out = values.join(per_key(moments), "feature").groupBy("feature").agg(
         F.first("missing_pct").alias("missing_pct"), F.first("std").alias("std"),
         F.avg(beyond.cast("double")).alias("outlier_pct"),
     )

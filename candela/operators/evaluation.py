@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.guards import c, div, div0
 from candela.functions.quantiles import exact_percentiles, running_by_value
 from candela.functions.series import RN, Series, index, strip
@@ -159,7 +160,7 @@ def chronological_split(df: DataFrame, series: Series, test_share: float = 0.2,
     A validation share is taken from the end of the train part.
     """
     keys = list(series.keys)
-    lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
+    lengths = per_key(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len")))
     numbered = index(df, series).join(lengths, keys)
     train = F.floor(c("_len") * (1 - test_share))
     inner = F.floor(train * (1 - validation_share))
@@ -170,7 +171,7 @@ def chronological_split(df: DataFrame, series: Series, test_share: float = 0.2,
 def expanding_folds(numbered: DataFrame, lengths: DataFrame, k: int = 5) -> DataFrame:
     """Copy rows into the k folds of an expanding split: test parts of n // (k + 1) rows, train before them."""
     keys = [n for n in lengths.columns if n != "n"]
-    df = numbered.join(lengths, keys).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    df = numbered.join(per_key(lengths), keys).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     size = F.expr(f"n div {k + 1}")
     start = c("n") - (k + 1 - c("fold")) * size
     role = F.when(c("rn") <= start, "train").when(c("rn") <= start + size, "test")

@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.durable import materialize
 from candela.functions.guards import c, div, div0
 from candela.functions.series import BLOCK, CHUNK, HELPERS, RN, Series, bar_series, index, running
@@ -219,8 +220,9 @@ def walk_chain(links: DataFrame, keys: list[str], longest: int | None = None) ->
     """Ids on the chain that starts at id 1 of each key and follows ``next_id``.
 
     Ids are dense.  Inside a chunk of 2,048 ids one fold finds where a walk from
-    any id leaves the chunk.  Per key only those few exits are walked (about one
-    row per chunk); then each chunk marks its own part from its entry point.
+    any id leaves the chunk.  The ids where a chunk can be entered form a shorter
+    chain; which of them lie on the walk follows by doubling jumps, whatever the
+    number of chunks or of exits.  Then each chunk marks its own part from its entry.
     Where even the ``longest`` key fits one chunk, one fold does it all.
     """
     one = F.lit(1).cast("bigint")
@@ -247,12 +249,29 @@ def walk_chain(links: DataFrame, keys: list[str], longest: int | None = None) ->
         .join(exits.select(*keys, "chunk", "lo", "leave"), [*keys, "chunk"])
         .select(*keys, "id", F.get("leave", c("id") - c("lo")).alias("next_id"))
     )
-    path = hops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "next_id"))).alias("arr"))
-    entry = path.select(*keys, F.explode(_follow("arr", one)).alias("start"))
+    entry = _reached(hops, keys).withColumnRenamed("id", "start")
     entry = entry.withColumn("chunk", F.expr(f"(start - 1) div {LINK_ROWS}"))
     return exits.join(entry, [*keys, "chunk"]).select(*keys, F.explode(_follow("arr", c("start"))).alias("id"))
 
 
+def _reached(hops: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids on the chain from id 1 of each key over ``hops`` (id, next_id), by pointer doubling.
+
+    After round k the first 2^k ids of the chain are known and jumps are 2^k long.
+    No task sees more of a key than its hash share.
+    """
+    jumps = materialize(hops.where(c("next_id") < NEVER))
+    found = materialize(hops.where("id = 1").select(*keys, "id").distinct())
+    while True:
+        ahead = found.join(jumps, [*keys, "id"]).select(*keys, c("next_id").alias("id"))
+        ahead = materialize(ahead.join(found, [*keys, "id"], "left_anti").distinct())
+        if ahead.isEmpty():
+            return found
+        found = materialize(found.unionByName(ahead))
+        beyond = jumps.select(*keys, c("id").alias("next_id"), c("next_id").alias("_far"))
+        jumps = materialize(jumps.join(beyond, [*keys, "next_id"]).select(*keys, "id", c("_far").alias("next_id")))
+
+
 def _follow(arr: str, start: Column) -> Column:
     """Ids met when walking a sorted array of (id, next_id) from ``start``."""
     zero = F.struct(start.alias("next"), F.array().cast("array<bigint>").alias("ids"))
@@ -313,8 +332,10 @@ def _trades(prepared: DataFrame, series: Series, cfg: BacktestConfig) -> DataFra
         *keys, RN, "ts", "close", "_long", "_entry", "_share", "stop_loss", "take_profit", "reason",
         (c("_seen") + 1).alias("id"),
     )
-    ends = prepared.groupBy(*keys).agg(
-        F.max(RN).alias("_last_rn"), F.max_by("ts", RN).alias("_last_ts"), F.max_by("close", RN).alias("_last_close")
+    ends = per_key(
+        prepared.groupBy(*keys).agg(
+            F.max(RN).alias("_last_rn"), F.max_by("ts", RN).alias("_last_ts"), F.max_by("close", RN).alias("_last_close")
+        )
     )
     # sizes decide how many levels the searches need; the answer is the same
     bars, signals = prepared.agg(F.max(RN), F.max(F.when(c("_cand") == 1, c("_seen") + 1))).first()
@@ -532,7 +553,7 @@ def backtest(
     prepared = _prepare(signals, series, cfg, start)
     trades = materialize(_trades(prepared, series, cfg))
     marked = materialize(marks(prepared, trades, series, cfg))
-    halts = materialize(drawdown_breach(marked, series, cfg.max_drawdown_pct))
+    halts = per_key(drawdown_breach(marked, series, cfg.max_drawdown_pct))
     alive = marked
     if not halts.isEmpty():
         alive = marked.join(halts, keys, "left").where(c("halt_rn").isNull() | (c(RN) <= c("halt_rn")))
@@ -554,7 +575,7 @@ def cut_at_halt(
         F.first("halt_rn").alias("halt_rn"), F.max_by("close", RN).alias("_mid"), F.max_by("ts", RN).alias("_ts"),
         F.max(RN).alias("_rn"),
     )
-    df = trades.join(closes, keys, "left").where(c("halt_rn").isNull() | (c("entry_rn") <= c("halt_rn")))
+    df = trades.join(per_key(closes), keys, "left").where(c("halt_rn").isNull() | (c("entry_rn") <= c("halt_rn")))
     cut = F.coalesce(c("exit_rn") > c("halt_rn"), F.lit(False))
     long, size, entry = c("direction") == "long", c("size"), c("entry_price")
     price = exit_fill(c("_mid"), long, cfg)

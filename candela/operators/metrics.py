@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.durable import materialize
 from candela.functions.guards import c, div, div0, pct_change
 from candela.functions.series import RN, Series, day_cells, index, numbered, on_series, running
@@ -227,7 +228,7 @@ def rolling_win_rate(trades: DataFrame, series: Series, window=20, need=10) -> D
 
 def pnl_histogram(trades: DataFrame, keys: list[str], bins: int = 30) -> DataFrame:
     """Counts in equal bins between the smallest and largest pnl of each key; the top edge belongs to the last bin."""
-    edges = trades.groupBy(*keys).agg(F.min("pnl").alias("_lo"), F.max("pnl").alias("_hi"))
+    edges = per_key(trades.groupBy(*keys).agg(F.min("pnl").alias("_lo"), F.max("pnl").alias("_hi")))
     df = trades.join(edges, keys)
     width = (c("_hi") - c("_lo")) / bins
     bucket = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(c("pnl") - c("_lo"), width)), F.lit(0)))

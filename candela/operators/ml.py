@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.durable import materialize
 from candela.functions.guards import c
+from candela.functions.series import BLOCK, CHUNK, RN, Series, index
 from candela.operators.evaluation import apply_scaler, binary_metrics, fit_scaler, weighted_metrics
 
 
@@ -232,12 +233,14 @@ def smote(df: DataFrame, features: list[str], label: str = "label", minority: in
     near = nearest_neighbours(few, features, k, key)
     # copies per row: the deficit spread evenly, the remainder by rank of the row's hash
     deficit = F.greatest(c("_many") - c("_few"), F.lit(0))
-    draw = few.crossJoin(F.broadcast(sizes)).withColumn("_copies", F.ceil(deficit / c("_few")).cast("int"))
-    draw = draw.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), c("_copies"))))
-    # the last copy is only made for a share of the rows, chosen by hash
+    # rows in the order of their hashes, numbered without one task for all; the first ones make the remainder
+    by_hash = few.withColumns({"_all": F.lit(0), "_h": F.xxhash64(F.lit(seed), F.lit("keep"), key)})
+    order = Series(("_all",), ("_h", key), lambda: [F.shiftright("_h", 48)])
+    draw = index(by_hash, order).drop("_all", "_h", CHUNK, BLOCK).crossJoin(F.broadcast(sizes))
+    remainder = F.expr("greatest(_many - _few, 0L) % _few")
+    copies = (F.floor(deficit / c("_few")) + F.when(c(RN) <= remainder, 1).otherwise(0)).cast("int")
+    draw = draw.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), c("_copies")))).drop(RN)
     u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key, "_copy"), F.lit(1000000)) / 1000000.0
-    share = deficit / c("_few") - (c("_copies") - 1)
-    draw = draw.where((c("_copy") < c("_copies")) | (u("keep") < share))
     counts = near.groupBy(key).agg(F.max("rank").alias("_have"))
     draw = draw.join(counts, key).withColumn("rank", (F.floor(u("which") * c("_have")) + 1).cast("int"))
     other = few.select(F.col(key).alias("neighbour"), *[F.col(n).alias(f"_o_{n}") for n in features])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.guards import c, clean
 from candela.functions.series import CHUNK, RN, Series, index, running, strip
 
@@ -24,7 +25,7 @@ def positions(df: DataFrame, series: Series, start: int = 0, stop: int | None =
     at = c(RN) - 1
     numbered = index(df, series)
     if start < 0 or (stop is not None and stop < 0):
-        lengths = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_len"))
+        lengths = per_key(df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_len")))
         numbered = numbered.join(lengths, list(series.keys))
     bound = lambda i: F.lit(i) if i >= 0 else c("_len") + i
     keep = at >= bound(start)
@@ -72,11 +73,16 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def signed_money(column: str) -> Column:
     x = c(column)
-    return F.format_string("%s$%.2f", F.when(x >= 0, "+").otherwise("-"), F.abs(x))
+    return F.concat(F.when(x >= 0, "+").otherwise("-"), F.lit("$"), _half_up(F.abs(x), 2))
 
 
 def percent(column: str, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", c(column))
+    return F.concat(_half_up(c(column), digits), F.lit("%"))
+
+
+def _half_up(x: Column, digits: int) -> Column:
+    """Text of the number rounded as a decimal, so that halves go up and not where the binary number happens to lie."""
+    return F.round(x.cast("decimal(28,6)"), digits).cast("string")
 
 
 def display_ledger(trades: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candela.functions.keytables import per_key
 from candela.functions.guards import c, div, flag, pct_change
 from candela.functions.quantiles import exact_percentiles
 from candela.functions.series import RN, Series, bar_series, index, strip
@@ -62,7 +63,7 @@ def assign_rows(numbered: DataFrame, lengths: DataFrame, train: int, test: int,
     keys = [n for n in lengths.columns if n != "n"]
     first = F.greatest(F.lit(0), F.ceil((c("rn") - window) / step))
     last = F.least(F.floor((c("rn") - 1) / step), F.floor((c("n") - window) / step))
-    df = numbered.join(lengths.where(c("n") >= window), keys)
+    df = numbered.join(per_key(lengths.where(c("n") >= window)), keys)
     df = df.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
     role = F.when(c("rn") - c("_k") * step <= train, "train").otherwise("test")
     return df.withColumns({"split_num": (c("_k") + 1).cast("long"), "role": role}).drop("_k", "n")

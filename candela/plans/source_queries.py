@@ -383,19 +383,22 @@ def weighted(spark, sf_dir):
 
 
 @query("h18_nearest_neighbours", """
-WITH p AS (SELECT vec_id, embedding[1:8]::DOUBLE[8] AS x FROM embeddings),
+WITH p AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings),
 n AS (SELECT a.vec_id, b.vec_id AS neighbour, array_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM n)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM k WHERE rank <= 5""")
 def neighbours(spark, sf_dir):
-    names = [f"f{i}" for i in range(8)]
-    return rounded(ml.nearest_neighbours(embedding_features(spark, sf_dir, 8), names, 5, "vec_id"))
+    names = [f"f{i}" for i in range(64)]
+    return rounded(ml.nearest_neighbours(embedding_features(spark, sf_dir), names, 5, "vec_id"))
 
 
-@query("h18_smote")
+@query("h18_smote", """
+WITH n AS (SELECT count(*) FILTER (label = 0) AS few, count(*) FILTER (label <> 0) AS many FROM embeddings)
+SELECT 0 AS label, false AS synthetic, many AS n FROM n UNION ALL SELECT 1, false, few FROM n
+UNION ALL SELECT 1, true, many - few FROM n WHERE many > few""")
 def oversample(spark, sf_dir):
-    names = [f"f{i}" for i in range(8)]
-    df = embedding_features(spark, sf_dir, 8).withColumn("label", (F.col("label") == 0).cast("int"))
+    names = [f"f{i}" for i in range(64)]
+    df = embedding_features(spark, sf_dir).withColumn("label", (F.col("label") == 0).cast("int"))
     out = ml.smote(df, names, key="vec_id")
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 

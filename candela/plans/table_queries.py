@@ -128,11 +128,11 @@ def sane(spark, sf_dir):
     return src.sanity(event_bars(spark, sf_dir))
 
 
-@query("b13_display_ledger", stages(TRADES) + "SELECT trade_id, (CASE WHEN pnl >= 0 THEN '+' ELSE '-' END) || '$' || printf('%.2f', round(abs(pnl), 2)) AS pnl_text,"
-       " printf('%.2f%%', pnl_percent) AS pnl_percent_text FROM (SELECT trade_id, pnl_percent, floor(pnl) AS pnl FROM trades)")
+@query("b13_display_ledger", stages(TRADES) + "SELECT trade_id, (CASE WHEN pnl >= 0 THEN '+' ELSE '-' END) || '$' ||"
+       " CAST(CAST(round(CAST(abs(pnl) AS DECIMAL(28,6)), 2) AS DECIMAL(26,2)) AS VARCHAR) AS pnl_text,"
+       " CAST(CAST(round(CAST(pnl_percent AS DECIMAL(28,6)), 2) AS DECIMAL(26,2)) AS VARCHAR) || '%' AS pnl_percent_text FROM trades")
 def display(spark, sf_dir):
-    trades = line_trades(spark, sf_dir).withColumn("pnl", F.floor("pnl").cast("double"))
-    return tab.display_ledger(trades).select("trade_id", "pnl_text", "pnl_percent_text")
+    return tab.display_ledger(line_trades(spark, sf_dir)).select("trade_id", "pnl_text", "pnl_percent_text")
 
 
 # ---- C: joins ----------------------------------------------------------------------------
@@ -198,11 +198,11 @@ def variance(spark, sf_dir):
 for _m, _sql in (("standard", ("avg(v)", "stddev_pop(v)")), ("minmax", ("min(v)", "max(v) - min(v)"))):
     def scaled(spark, sf_dir, method=_m):
         df = embedding_features(spark, sf_dir)
-        out = ev.apply_scaler(df, ev.fit_scaler(df, EMB[:8], method), EMB[:8])
-        return rounded(out.select("vec_id", *EMB[:8]))
+        out = ev.apply_scaler(df, ev.fit_scaler(df, EMB, method), EMB)
+        return rounded(out.select("vec_id", *EMB))
     query(f"h02_{_m}_scaler", stages(UNPIV, f"sc_ AS (SELECT feature, {_sql[0]} AS o, {_sql[1]} AS s FROM em GROUP BY feature)",
           "z AS (SELECT vec_id, feature, (v - o) / (CASE WHEN s = 0 THEN 1 ELSE s END) AS z FROM em JOIN sc_ USING (feature))")
-          + "SELECT vec_id, " + ", ".join(f"{r(chr(109) + 'ax(z) FILTER (WHERE feature = ' + chr(39) + n + chr(39) + ')')} AS {n}" for n in EMB[:8])
+          + "SELECT vec_id, " + ", ".join(f"{r(chr(109) + 'ax(z) FILTER (WHERE feature = ' + chr(39) + n + chr(39) + ')')} AS {n}" for n in EMB)
           + " FROM z GROUP BY vec_id")(scaled)
 
 

@@ -103,16 +103,27 @@ def combine_chunks(chunks: DataFrame, chunk: str = "chunk", tie: tuple[str, ...]
     return chunks.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", chunk)
 
 
-def tick_rank(ts: str, tie: str) -> Column:
+def clock_micros(ts: str, kind: str) -> Column:
+    """Microseconds since 1970 that order ``ts`` whatever the session's zone; ``kind`` is its type.
+
+    A plain timestamp is read off its calendar fields: cast to an instant, hours that a zone skips would move.
+    """
+    if kind != "timestamp_ntz":
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    whole = F.expr(f"(datediff(to_date(`{ts}`), DATE'1970-01-01') * 24L + hour(`{ts}`)) * 60L + minute(`{ts}`)")
+    return (whole * 60_000_000 + F.expr(f"extract(SECOND FROM `{ts}`) * 1000000").cast("bigint")).cast("bigint")
+
+
+def tick_rank(ts: str, tie: str, kind: str) -> Column:
     """(ts, tie) as one number that sorts alike.
 
     A number lives in the fixed-width buffer of a hash aggregate, while a
     struct would force a sort of all ticks before the partial aggregation.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
-    return (micros * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")).cast(
-        "decimal(38,0)"
-    )
+    micros = clock_micros(ts, kind).cast("decimal(18,0)")
+    # ties are moved to start at zero, so that negative ones stay inside their microsecond
+    moved = F.col(tie).cast("decimal(19,0)") + F.lit("9223372036854775808").cast("decimal(19,0)")
+    return (micros * F.lit("20000000000000000000").cast("decimal(20,0)") + moved).cast("decimal(38,0)")
 
 
 def ticks_to_bars(
@@ -135,7 +146,7 @@ def ticks_to_bars(
     if isinstance(tie, tuple):
         rank = F.struct(ts, *tie)  # several columns: sorted partial aggregation
     else:
-        rank = tick_rank(ts, tie) if tie else F.col(ts)
+        rank = tick_rank(ts, tie, dict(ticks.dtypes)[ts]) if tie else F.col(ts)
     p = F.col(price)
     return (
         ticks.where(p.isNotNull())

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from candela.operators.tables import upsert
-from candela.sources.bars import GRANULARITY_MINUTES, tick_rank
+from candela.sources.bars import GRANULARITY_MINUTES, clock_micros, tick_rank
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need timestamps of the session's zone."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Watermarks need instants: a plain timestamp is taken as that of a clock without a zone."""
+    return df.withColumn(ts, F.timestamp_micros(clock_micros(ts, dict(df.dtypes)[ts])))
+
+
+def _clock_time(instant: Column) -> Column:
+    """The plain timestamp of an instant made by :func:`_event_time`."""
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def live_bars(
@@ -24,8 +30,8 @@ def live_bars(
     p = F.col(price)
     plain = dict(ticks.dtypes)[ts] == "timestamp_ntz"
     ticks = _event_time(ticks, ts)
-    rank = tick_rank(ts, tie) if tie else F.col(ts)
-    start_ = F.col("_w.start").cast("timestamp_ntz") if plain else F.col("_w.start")
+    rank = tick_rank(ts, tie, "timestamp") if tie else F.col(ts)
+    start_ = _clock_time(F.col("_w.start")) if plain else F.col("_w.start")
     span = F.window(ts, f"{GRANULARITY_MINUTES[granularity]} minutes")
     return (
         ticks.withWatermark(ts, delay)
@@ -45,7 +51,7 @@ def without_repeats(candles: DataFrame, keys: list[str], ts: str, delay="1 hour"
     """Drop candles fetched more than once while the first copy is within the watermark."""
     plain = dict(candles.dtypes)[ts] == "timestamp_ntz"
     once = _event_time(candles, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-    return once.withColumn(ts, F.col(ts).cast("timestamp_ntz")) if plain else once
+    return once.withColumn(ts, _clock_time(F.col(ts))) if plain else once
 
 
 def start(

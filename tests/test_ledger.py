@@ -157,3 +157,17 @@ def test_long_chain_crosses_many_chunks(spark, monkeypatch):
         want.append(at)
         at = nxt[at - 1]
     assert sorted(r.id for r in led.walk_chain(df, ["key"]).collect()) == want
+
+
+def test_far_exits_of_every_signal_do_not_meet_in_one_row(spark):
+    """Every id leaves its chunk, so each is an exit of its own; the walk is still the plain chain."""
+    from pyspark.sql import functions as F
+
+    n, far = 60_000, 2_100
+    df = spark.range(1, n + 1).select(F.lit("k").alias("key"), "id", (F.col("id") + far + F.col("id") % 7).alias("next_id"))
+    df = df.withColumn("next_id", F.when(F.col("next_id") > n, F.lit(led.NEVER)).otherwise(F.col("next_id")))
+    want, at = [], 1
+    while at <= n:
+        want.append(at)
+        at += far + at % 7
+    assert sorted(r.id for r in led.walk_chain(df, ["key"]).collect()) == want

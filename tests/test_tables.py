@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from candela.functions.quantiles import exact_percentiles
@@ -129,3 +130,20 @@ def test_smote_balances_and_stays_between_neighbours(spark):
     assert abs((out.label == 1).sum() - 100) <= 12 and len(made) > 0
     few = pdf[pdf.label == 1]
     assert made.a.between(few.a.min(), few.a.max()).all() and made.b.between(few.b.min(), few.b.max()).all()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Australia/Lord_Howe"])
+def test_tick_order_does_not_depend_on_the_zone(spark, zone):
+    """02:50 and 03:20 lie around an hour that New York skips; ties may be negative."""
+    from candela.sources.bars import ticks_to_bars
+
+    rows = [("X", "2024-03-10 02:50:00.000001", 2.0, 5), ("X", "2024-03-10 03:20:00", 3.0, 1), ("X", "2024-03-10 02:50:00.000001", 1.0, -(2**63)),
+            ("X", "2024-03-10 03:20:00", 4.0, -7)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        ticks = spark.createDataFrame(rows, "symbol string, t string, price double, tick bigint").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+        bar = ticks_to_bars(ticks, "symbol", "ts", "price", "D", tie="tick").first()
+        assert (bar.open, bar.close, bar.volume) == (1.0, 3.0, 4)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
