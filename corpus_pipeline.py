@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candela.llm import exact_dedup, packing, quality, secret_scan, simhash
 from candela.llm.frames import saved
@@ -15,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; references are counted over the documents of this stage."""
-    return quality.judged(docs, quality.reference(docs)).where("quality.kept").select(docs.columns)
+    return quality.judged(docs, quality.reference(docs)).where("quality.kept").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, the one of smallest doc_id."""
-    groups = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by SimHash, those of the smallest doc_id; one without a doc_id has no place in the order and stays."""
+    dropped = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id", "text_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", simhash.text_hash().alias("text_hash"))
+    return rows.join(dropped, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
