@@ -12,6 +12,7 @@ a window over those partials, and a window inside the chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from candela.functions.durable import materialize
 
-RN, CHUNK, BLOCK, OWN = "_rn", "_chunk", "_block", "_own"
+RN, CHUNK, BLOCK, OWN, BEFORE = "_rn", "_chunk", "_block", "_own", "_before"
+#: Exponential means: output name to (column, span).
+Means = dict[str, tuple[str, int]]
 BLOCK_ROWS = 512
 # with a lookback of 1,024 rows a chunk still fits the 4,096 rows that Spark's window operator keeps as plain rows
 CHUNK_ROWS = 3072
@@ -155,37 +158,65 @@ class Frame:
         return F.lead(column, k).over(self.w)
 
     # Exponential means ``{output: (column, span)}``, seeded with the first value.
-    # The recursion is unrolled into a weighted running sum inside blocks of 512
-    # rows plus a short fold over the ends of the blocks before, so the cost per
-    # row does not grow with the span.  Three levels of columns, to be added in turn.
+    # A step of the recursion is affine, so the mean at a row is the decayed mean at
+    # the end of the block before (see :func:`block_means`) plus a weighted sum inside
+    # the block.  The cost per row does not grow with the span, and no history is cut.
 
-    def ema_sums(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+    def ema_sums(self, specs: Means) -> dict[str, Column]:
         upto = self.in_block.rowsBetween(Window.unboundedPreceding, 0)
         out = {}
         for name, (column, span) in specs.items():
             alpha, growth = 2.0 / (span + 1), (span + 1) / (span - 1.0)
-            seeded = F.when(F.col(RN) == 1, F.col(column) / alpha).otherwise(F.col(column))
-            out[f"_ema_s_{name}"] = F.sum(seeded * F.pow(F.lit(growth), _in_block())).over(upto) * alpha
+            out[f"_ema_s_{name}"] = F.sum(_seeded(column, alpha) * F.pow(F.lit(growth), _in_block())).over(upto) * alpha
         return out
 
-    def ema_ends(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
-        earlier = self.w.rowsBetween(Window.unboundedPreceding, -1)
-        out = {}
-        for name, (_, span) in specs.items():
-            scale = _decay(span) ** (BLOCK_ROWS - 1)
-            end = F.when(_in_block() == BLOCK_ROWS - 1, F.col(f"_ema_s_{name}") * scale)
-            out[f"_ema_e_{name}"] = F.collect_list(end).over(earlier)
-        return out
-
-    def ema_values(self, specs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+    def ema_values(self, specs: Means) -> dict[str, Column]:
+        before = F.element_at(F.col(BEFORE), F.col(BLOCK))
         out = {}
         for name, (_, span) in specs.items():
             d = _decay(span)
-            carried = F.aggregate(f"_ema_e_{name}", F.lit(0.0), _decaying(F.lit(d**BLOCK_ROWS)))
-            out[name] = F.pow(F.lit(d), _in_block()) * (F.col(f"_ema_s_{name}") + carried * d)
+            carried = F.coalesce(before[name], F.lit(0.0)) * d
+            out[name] = F.pow(F.lit(d), _in_block()) * (F.col(f"_ema_s_{name}") + carried)
         return out
 
 
+def _seeded(column: str, alpha: float) -> Column:
+    """Values of the recursion; the first value of a series stands for all before it."""
+    return F.when(F.col(RN) == 1, F.col(column) / alpha).otherwise(F.col(column))
+
+
+def block_means(indexed: DataFrame, series: Series, specs: Means, lookback: int, lookahead: int) -> DataFrame:
+    """Keys, chunk and ``BEFORE``: the exponential means at the end of the block before each block of the chunk's window.
+
+    One aggregation gives what each block adds to the mean at its end.  The mean before a block is the decayed sum of
+    these over the blocks before it; blocks so far back that their weight is zero as a double are left out.
+    """
+    keys, size = list(series.keys), series.chunk_rows
+    ends = {}
+    for name, (column, span) in specs.items():
+        alpha = 2.0 / (span + 1)
+        weight = F.pow(F.lit(_decay(span)), F.lit(BLOCK_ROWS - 1) - _in_block())
+        ends[name] = F.sum(_seeded(column, alpha) * weight) * alpha
+    blocks = indexed.groupBy(*keys, BLOCK).agg(*[F.coalesce(v, F.lit(0.0)).alias(f"_end_{n}") for n, v in ends.items()])
+    reach = max(_blocks_until_zero(span) for _, span in specs.values())
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-reach, -1)
+    means = [
+        F.aggregate(F.collect_list(f"_end_{n}").over(earlier), F.lit(0.0), _decaying(F.lit(_decay(span) ** BLOCK_ROWS))).alias(n)
+        for n, (_, span) in specs.items()
+    ]
+    back = -(-lookback // BLOCK_ROWS) * BLOCK_ROWS
+    start = F.col(BLOCK) * BLOCK_ROWS
+    first = F.greatest(F.lit(0), F.floor((start - lookahead) / size)).cast("long")
+    last = F.floor((start + BLOCK_ROWS - 1 + back) / size).cast("long")
+    spread_ = blocks.select(*keys, BLOCK, F.struct(*means).alias("_m")).withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    return spread_.groupBy(*keys, CHUNK).agg(F.map_from_entries(F.collect_list(F.struct(BLOCK, "_m"))).alias(BEFORE))
+
+
+def _blocks_until_zero(span: int) -> int:
+    """Blocks after which the weight of a value is zero as a double."""
+    return math.ceil(746 / (-math.log(_decay(span)) * BLOCK_ROWS)) + 1
+
+
 def middle(sorted_values: str, need: int) -> Column:
     """Median of a sorted array once it has ``need`` values."""
     size = F.size(sorted_values)
@@ -205,13 +236,6 @@ def _decaying(factor: Column):
     return lambda total, value: total * factor + value
 
 
-def ema_lookback(span: int) -> int:
-    """Rows after which an older value weighs less than 1e-12."""
-    import math
-
-    return math.ceil(math.log(1e-12) / math.log((span - 1) / (span + 1)))
-
-
 def on_series(
     df: DataFrame,
     series: Series,
@@ -219,14 +243,19 @@ def on_series(
     lookback: int = 0,
     lookahead: int = 0,
     keep_helpers: bool = False,
+    means: Means | None = None,
 ) -> DataFrame:
     """Run ``build`` over chunked windows of ``df``.
 
     Rows that already carry positions (from an earlier call with
-    ``keep_helpers``) are not numbered again.
+    ``keep_helpers``) are not numbered again.  ``means`` are exponential means
+    of columns of ``df`` that ``build`` takes up from the blocks before.
     """
     indexed = df.drop(OWN) if RN in df.columns else index(df, series)
-    built = own(build(spread(indexed, series, lookback, lookahead), Frame(series)))
+    rows = spread(indexed, series, lookback, lookahead)
+    if means:
+        rows = rows.join(block_means(indexed, series, means, lookback, lookahead), [*series.keys, CHUNK], "left")
+    built = own(build(rows, Frame(series))).drop(BEFORE)
     return built.drop(OWN) if keep_helpers else built.drop(*HELPERS)
 
 

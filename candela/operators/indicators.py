@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.guards import c, div, flag, ln_or_null, pct_change
-from candela.functions.series import Frame, Series, bar_series, ema_lookback, on_series, running, strip
+from candela.functions.series import Frame, Means, Series, bar_series, on_series, running, strip
 
 Level = Callable[[Frame], dict[str, Column]]
 
@@ -28,6 +28,7 @@ class Indicator:
 
     levels: tuple[Level, ...]
     lookback: int
+    means: Means = field(default_factory=dict)  # exponential means of columns that the bars have
 
     def stage(self, df: DataFrame, f: Frame | None) -> DataFrame:
         before = set(df.columns)
@@ -36,9 +37,9 @@ class Indicator:
         return df.drop(*[n for n in df.columns if n.startswith("_") and n not in before])
 
     def __call__(self, bars: DataFrame, series: Series | None = None) -> DataFrame:
-        if not self.lookback:
+        if not self.lookback and not self.means:
             return self.stage(bars, None)  # row by row: no positions, no shuffle
-        return on_series(bars, series or bar_series(), self.stage, self.lookback)
+        return on_series(bars, series or bar_series(), self.stage, self.lookback, means=self.means)
 
 
 def indicator(lookback: int, *levels: Level) -> Indicator:
@@ -47,7 +48,7 @@ def indicator(lookback: int, *levels: Level) -> Indicator:
 
 def chain(*parts: Indicator) -> Indicator:
     """Indicators that read each other's columns: levels follow each other and lookbacks add up."""
-    return Indicator(sum((p.levels for p in parts), ()), sum(p.lookback for p in parts))
+    return Indicator(sum((p.levels for p in parts), ()), sum(p.lookback for p in parts), _all_means(parts))
 
 
 def beside(*parts: Indicator) -> Indicator:
@@ -56,7 +57,11 @@ def beside(*parts: Indicator) -> Indicator:
         return lambda f: {k: v for p in parts if depth < len(p.levels) for k, v in p.levels[depth](f).items()}
 
     depth = max(len(p.levels) for p in parts)
-    return Indicator(tuple(merged(i) for i in range(depth)), max(p.lookback for p in parts))
+    return Indicator(tuple(merged(i) for i in range(depth)), max(p.lookback for p in parts), _all_means(parts))
+
+
+def _all_means(parts: tuple[Indicator, ...]) -> Means:
+    return {k: v for p in parts for k, v in p.means.items()}
 
 
 # ---- averages -------------------------------------------------------------
@@ -67,11 +72,8 @@ def sma(periods=(20, 50, 200), price="close") -> Indicator:
 
 
 def ema_of(specs: dict[str, tuple[str, int]]) -> Indicator:
-    """Exponential means ``{output: (column, span)}``."""
-    return indicator(
-        max(ema_lookback(span) for _, span in specs.values()),
-        lambda f: f.ema_sums(specs), lambda f: f.ema_ends(specs), lambda f: f.ema_values(specs),
-    )
+    """Exponential means ``{output: (column, span)}`` of columns that the bars have."""
+    return Indicator((lambda f: f.ema_sums(specs), lambda f: f.ema_values(specs)), 0, dict(specs))
 
 
 def ema(periods=(12, 26, 50), price="close") -> Indicator:
@@ -98,11 +100,29 @@ def rsi(period=14, price="close") -> Indicator:
 
 
 def macd(fast=12, slow=26, signal=9, price="close") -> Indicator:
+    """Difference of two exponential means, its own exponential mean, and their difference.
+
+    A mean of a mean is a mix of the two means (partial fractions), so the signal line needs means of the price only.
+    """
+    if signal in (fast, slow):
+        raise ValueError("the signal's span must differ from the other two")
+    share = lambda span: 2.0 / (span + 1)
+    decay = lambda span: 1 - share(span)
+
+    def smoothed(span, name):
+        apart = decay(signal) - decay(span)
+        return (share(span) * decay(signal) * c("_macd_signal") - share(signal) * decay(span) * c(name)) / apart
+
     return chain(
-        ema_of({"_macd_fast": (price, fast), "_macd_slow": (price, slow)}),
-        indicator(0, lambda f: {"macd": c("_macd_fast") - c("_macd_slow")}),
-        ema_of({"macd_signal": ("macd", signal)}),
-        indicator(0, lambda f: {"macd_hist": c("macd") - c("macd_signal")}),
+        ema_of({"_macd_fast": (price, fast), "_macd_slow": (price, slow), "_macd_signal": (price, signal)}),
+        indicator(
+            0,
+            lambda f: {
+                "macd": c("_macd_fast") - c("_macd_slow"),
+                "macd_signal": smoothed(fast, "_macd_fast") - smoothed(slow, "_macd_slow"),
+            },
+            lambda f: {"macd_hist": c("macd") - c("macd_signal")},
+        ),
     )
 
 

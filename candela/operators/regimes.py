@@ -138,7 +138,7 @@ def regime_as_of(bars: DataFrame, ma=200, trend=50, vol=20, series: Series | Non
         },
         lambda f: {"trend_strength": F.sum("_above").over(f.rows(trend)) / trend},
     )
-    df = on_series(bars, series, inputs.stage, inputs.lookback, keep_helpers=True)
+    df = on_series(bars, series, inputs.stage, inputs.lookback, keep_helpers=True, means=inputs.means)
     df = running(
         df, series, {"_sum": ("sum", c("long_vol")), "_n": ("sum", F.when(c("long_vol").isNotNull(), 1))}
     )

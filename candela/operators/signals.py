@@ -49,7 +49,7 @@ class Rule:
 
     def __call__(self, bars: DataFrame, series: Series | None = None, keep_helpers: bool = False) -> DataFrame:
         part = self.build("")
-        return on_series(bars, series or bar_series(), part.stage, part.lookback, keep_helpers=keep_helpers)
+        return on_series(bars, series or bar_series(), part.stage, part.lookback, keep_helpers=keep_helpers, means=part.means)
 
 
 def entries(signals: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from candela.operators import indicators as ind
 from candela.plans.registry import query
 from candela.plans.sqltext import BARS, OVER, div, ema, flag, full, lag, pct, pick, rounded, stages
+from candela.functions.series import bar_series
 from candela.sources.driver_tables import event_bars
 
 KEYS = ["symbol", "ts"]
@@ -23,6 +24,19 @@ def register(name, indicator, cols, ctes=(), source=None, digits=6):
         return rounded(indicator(event_bars(spark, sf_dir)).select(*KEYS, *cols), digits)
 
 
+MINUTE_BARS = BARS.replace("'hour'", "'minute'")
+
+
+def register_minutes(name, indicator, cols, ctes=(), digits=6):
+    """The same on minute bars in chunks of 512 rows, so that every series crosses several chunks."""
+    ctes = [MINUTE_BARS, *ctes]
+
+    @query(name, pick(ctes, ctes[-1].split(" AS ")[0], KEYS, cols, digits))
+    def run(spark, sf_dir):
+        out = indicator(event_bars(spark, sf_dir, "M1"), bar_series(60, chunk_rows=512))
+        return rounded(out.select(*KEYS, *cols), digits)
+
+
 RET = f"ret AS (SELECT *, {pct('close', lag('close'))} AS returns FROM bars)"
 TR = (
     f"tr AS (SELECT *, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr,"
@@ -36,6 +50,7 @@ def with_returns(*parts):
 
 register("d01_sma", ind.sma((10, 20, 50, 200)), {f"sma_{n}": "d:" + full(n, "close") for n in (10, 20, 50, 200)})
 register("d02_ema", ind.ema((12, 26, 50)), {f"ema_{n}": "d:" + ema(n, "close") for n in (12, 26, 50)})
+register_minutes("d02_ema_minutes", ind.ema((12, 26, 50, 200)), {f"ema_{n}": "d:" + ema(n, "close") for n in (12, 26, 50, 200)})
 
 GAINS = (
     f"g AS (SELECT *, coalesce(greatest(close - {lag('close')}, 0), 0) AS gain,"
@@ -51,6 +66,8 @@ MACD = [
 ]
 register("d04_macd", ind.macd(),
          {"macd": "d:macd", "macd_signal": "d:macd_signal", "macd_hist": "d:macd - macd_signal"}, MACD)
+register_minutes("d04_macd_minutes", ind.macd(),
+                 {"macd": "d:macd", "macd_signal": "d:macd_signal", "macd_hist": "d:macd - macd_signal"}, MACD)
 
 BB = [f"b AS (SELECT *, {full(20, 'close')} AS mid, {full(20, 'close', 'stddev_samp')} AS sd FROM bars)"]
 BB_COLS = {
@@ -86,6 +103,7 @@ OBV = [
     f"o3 AS (SELECT *, {ema(20, 'obv')} AS obv_ema FROM o2)",
 ]
 register("d09_obv", ind.add_obv, {"obv": "d:obv", "obv_ema": "d:obv_ema"}, OBV)
+register_minutes("d09_obv_minutes", ind.add_obv, {"obv": "d:obv", "obv_ema": "d:obv_ema"}, OBV)
 
 CCI = [
     "c1 AS (SELECT *, (high + low + close) / 3 AS tp FROM bars)",

@@ -37,6 +37,18 @@ def test_chunked_frames_equal_whole_series(spark, bars_of):
     np.testing.assert_allclose(out["rsi_14"], 100 - 100 / (1 + up / down), rtol=1e-9)
 
 
+def test_means_with_long_memory_lose_no_history(spark, bars_of):
+    """A span of 4,000 over chunks of 512 rows: the first rows still weigh at the end."""
+    closes = [1e6] * 3 + walk(2600, 8)
+    out = ind.beside(ind.ema((5, 4000)), ind.macd(700, 1500, 900))(bars_of(spark, closes), small()).toPandas().sort_values("ts")
+    s = pd.Series(closes)
+    for n in (5, 4000):
+        np.testing.assert_allclose(out[f"ema_{n}"], s.ewm(span=n, adjust=False).mean(), rtol=1e-10)
+    line = s.ewm(span=700, adjust=False).mean() - s.ewm(span=1500, adjust=False).mean()
+    np.testing.assert_allclose(out["macd"], line, rtol=1e-7, atol=1e-7)
+    np.testing.assert_allclose(out["macd_signal"], line.ewm(span=900, adjust=False).mean(), rtol=1e-6, atol=1e-6)
+
+
 def test_chunk_size_does_not_change_the_feature_set(spark, bars_of):
     rng = np.random.default_rng(5)
     closes = walk(2100, 5)
