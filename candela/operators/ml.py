@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +25,27 @@ def assembler(features: list[str]) -> VectorAssembler:
 
 
 def estimator(kind: str, label: str = "label", weight: str | None = None, seed: int = 42, **params):
-    """One of ``logistic``, ``lasso``, ``random_forest``, ``gradient_boosting``."""
+    """One of ``logistic``, ``lasso``, ``random_forest``, ``gradient_boosting`` and their regressors.
+
+    Sizes and rates are fixed values that the reference models have; classes are balanced by ``weight``.
+    """
     common = {"labelCol": label, **({"weightCol": weight} if weight else {})}
     if kind == "logistic":
-        return LogisticRegression(**common, **{"maxIter": 50, "regParam": 0.01, **params})
+        return LogisticRegression(**common, **{"maxIter": 1000, "tol": 1e-8, "regParam": 0.01, **params})
     if kind == "lasso":
-        return LogisticRegression(**common, **{"maxIter": 50, "regParam": 0.01, "elasticNetParam": 1.0, **params})
+        return LogisticRegression(**common, **{"maxIter": 1000, "regParam": 0.01, "elasticNetParam": 1.0, **params})
+    forest = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 10, "seed": seed}
+    boosting = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed}
     if kind == "random_forest":
-        defaults = {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 5, "seed": seed}
-        return RandomForestClassifier(**common, **{**defaults, **params})
+        return RandomForestClassifier(**common, **{**forest, **params})
     if kind == "gradient_boosting":
-        return GBTClassifier(**common, **{"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": seed, **params})
+        return GBTClassifier(**common, **{**boosting, **params})
+    if kind == "linear_regression":
+        return LinearRegression(**common, **{"maxIter": 1000, **params})
+    if kind == "forest_regression":
+        return RandomForestRegressor(**common, **{**forest, **params})
+    if kind == "boosted_regression":
+        return GBTRegressor(**common, **{**boosting, **params})
     raise ValueError(f"unknown model {kind}")
 
 
@@ -48,6 +60,30 @@ def score(model: PipelineModel, df: DataFrame, out: str = "prob_up") -> DataFram
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def predict_value(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
+    """Add the value that a regressor predicts."""
+    return model.transform(df).withColumnRenamed("prediction", out).drop("features")
+
+
+def score_splits(rows: DataFrame, features: list[str], kind: str, split: str = "split_num", **params) -> DataFrame:
+    """Scores of the test rows of every split by a model of its train rows.
+
+    The fits of different splits are independent Spark jobs and are started from a small thread pool.
+    """
+    numbers = [row[0] for row in rows.select(split).distinct().orderBy(split).collect()]
+
+    def one(k) -> DataFrame:
+        part = rows.where(c(split) == k)
+        return score(fit(part.where("role = 'train'"), features, kind, **params), part.where("role = 'test'"))
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, numbers))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def soft_vote(df: DataFrame, probabilities: list[str], out: str = "prob_vote") -> DataFrame:
     return df.withColumn(out, sum((c(p) for p in probabilities), F.lit(0.0)) / len(probabilities))
 
@@ -116,6 +152,36 @@ def grid_search(folded: DataFrame, features: list[str], kind: str, grid: dict[st
     return out.orderBy(F.desc("f1_score_mean"), *names)
 
 
+def sampled_search(
+    folded: DataFrame, features: list[str], kind: str, grid: dict[str, list], points: int = 20, folds: int = 5, label: str = "label", seed: int = 42
+) -> DataFrame:
+    """Mean fold score of ``points`` points drawn from the grid without repeats, best first.
+
+    Each fold is assembled and kept once; the fits are started from a small thread pool.
+    """
+    drawn = random.Random(seed).sample(list(product(*grid.values())), points)
+    names = list(grid)
+    parts = {(k, r): folded.where((c("fold") == k) & (c("role") == r)).persist() for k in range(1, folds + 1) for r in ("train", "test")}
+
+    def one(job) -> DataFrame:
+        number, k = job
+        model = fit(parts[k, "train"], features, kind, label, **dict(zip(names, drawn[number])))
+        scored = score(model, parts[k, "test"]).withColumn("prediction", (c("prob_up") > 0.5).cast("int"))
+        return weighted_metrics(scored.withColumns({"fold": F.lit(k), "_point": F.lit(number)}), ["_point", "fold"], label)
+
+    try:
+        with ThreadPoolExecutor(8) as pool:
+            jobs = list(pool.map(one, product(range(points), range(1, folds + 1))))
+            rows = [r for found in pool.map(lambda df: df.collect(), jobs) for r in found]  # one row for each fit
+    finally:
+        for p in parts.values():
+            p.unpersist()
+    spark = folded.sparkSession
+    scores = summarize_folds(spark.createDataFrame(rows), ["_point"])
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(drawn)], ["_point", *names])
+    return table.join(scores, "_point").select(*names, "accuracy_mean", "f1_score_mean").orderBy(F.desc("f1_score_mean"), *names)
+
+
 def calibrate(scored: DataFrame, label: str = "label", raw: str = "prob_up", out: str = "prob_calibrated") -> DataFrame:
     """Platt scaling: a one-feature logistic model on held-out scores."""
     model = fit(scored, [raw], "logistic", label, regParam=0.0)

@@ -10,3 +10,4 @@ from candela.plans import walkforward_queries  # noqa: F401, E402
 from candela.plans import monitor_queries  # noqa: F401, E402
 from candela.plans import table_queries  # noqa: F401, E402
 from candela.plans import source_queries  # noqa: F401, E402
+from candela.plans import model_queries  # noqa: F401, E402

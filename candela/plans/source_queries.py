@@ -290,175 +290,3 @@ def live_indicators(spark, sf_dir):
     handle = jobs.indicator_handler(history, path, ind.sma((20,)), 20, ["symbol"], "ts")
     run_stream(jobs.per_batch(bars, handle, mark))
     return rounded(spark.read.parquet(path).select("symbol", "ts", "sma_20"))
-
-
-# ---- H and F: fitted models ----------------------------------------------------------------------
-
-FEATURES = ["rsi_14", "bb_position_20", "atr_percent_14", "momentum_5", "volatility_20", "hl_ratio", "roc_10"]
-
-
-def model_frame(spark, sf_dir, periods=1):
-    """Clean features, the next-bar label and a role, saved because several fits read it."""
-    bars = event_bars(spark, sf_dir)
-    parts = ind.chain(ind.returns(), ind.beside(
-        ind.rsi(14), ind.bollinger(20), ind.atr(14), ind.momentum(), ind.volatility((20,)), ind.bar_ratios(),
-        ind.momentum_features((10, 20)), ind.close_std(14), ind.sma((50, 200)), ind.adx_simple(14)))
-    flagged = ind.chain(parts, reg.regime_flags())
-    df = reg.add_binary_target(flagged(bars), periods, out="label").dropna(subset=[*FEATURES, "label"])
-    df = ev.chronological_split(df, bar_series())
-    return materialize(df.withColumn("id", F.xxhash64("symbol", "ts")))
-
-
-def metrics_of(scored, kind, label="label", prob="prob_up"):
-    df = scored.withColumns({"prediction": (F.col(prob) > 0.5).cast("int"), "model": F.lit(kind)})
-    return ev.weighted_metrics(df, ["model"], label)
-
-
-def fit_query(name, kind):
-    @query(name)
-    def run(spark, sf_dir):
-        df = model_frame(spark, sf_dir)
-        model = ml.fit(df.where("role = 'train'"), FEATURES, kind)
-        return metrics_of(ml.score(model, df.where("role = 'test'")), kind)
-
-
-fit_query("h06_logistic", "logistic")
-fit_query("h07_random_forest", "random_forest")
-fit_query("h08_gradient_boosting", "gradient_boosting")
-KINDS = ["logistic", "random_forest", "gradient_boosting"]
-
-
-def all_scores(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    scored = df.where("role = 'test'")
-    for kind in KINDS:
-        scored = ml.score(ml.fit(df.where("role = 'train'"), FEATURES, kind), scored, f"prob_{kind}")
-    return scored
-
-
-@query("h09_soft_vote")
-def soft(spark, sf_dir):
-    return metrics_of(ml.soft_vote(all_scores(spark, sf_dir), [f"prob_{k}" for k in KINDS]), "ensemble", prob="prob_vote")
-
-
-@query("h05_cross_validation")
-def cross(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    folded = materialize(ev.expanding_folds(wf.number_rows(df), wf.series_lengths(df), 5))
-    return ml.cross_validate(folded, FEATURES, "logistic", 5)
-
-
-@query("h11_grid_search")
-def grid(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    folded = materialize(ev.expanding_folds(wf.number_rows(df), wf.series_lengths(df), 2))
-    return ml.grid_search(folded, FEATURES, "logistic", {"regParam": [0.01, 0.1]}, 2)
-
-
-@query("h12_predict")
-def predict(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    scored = ml.score(ml.fit(df.where("role = 'train'"), FEATURES, "logistic"), df.where("role = 'test'"))
-    p = F.col("prob_up")
-    return scored.select("symbol", "ts", "prob_up", (p > 0.5).cast("int").alias("predicted"), F.greatest(p, 1 - p).alias("confidence"))
-
-
-@query("h15_model_importance")
-def importance(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    return ev.importance_table(ml.importances(ml.fit(df, FEATURES, "random_forest"), FEATURES))
-
-
-@query("h16_lasso_ranking")
-def lasso(spark, sf_dir):
-    df = ml.scaled(model_frame(spark, sf_dir), FEATURES)
-    return ev.importance_table(ml.importances(ml.fit(df, FEATURES, "lasso", regParam=0.005), FEATURES))
-
-
-@query("h17_weighted_fit")
-def weighted(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    train = ev.with_class_weights(df.where("role = 'train'"))
-    return metrics_of(ml.score(ml.fit(train, FEATURES, "logistic", weight="weight"), df.where("role = 'test'")), "weighted")
-
-
-@query("h18_nearest_neighbours", """
-WITH p AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings),
-n AS (SELECT a.vec_id, b.vec_id AS neighbour, array_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM n)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM k WHERE rank <= 5""")
-def neighbours(spark, sf_dir):
-    names = [f"f{i}" for i in range(64)]
-    return rounded(ml.nearest_neighbours(embedding_features(spark, sf_dir), names, 5, "vec_id"))
-
-
-@query("h18_smote", """
-WITH n AS (SELECT count(*) FILTER (label = 0) AS few, count(*) FILTER (label <> 0) AS many FROM embeddings)
-SELECT 0 AS label, false AS synthetic, many AS n FROM n UNION ALL SELECT 1, false, few FROM n
-UNION ALL SELECT 1, true, many - few FROM n WHERE many > few""")
-def oversample(spark, sf_dir):
-    names = [f"f{i}" for i in range(64)]
-    df = embedding_features(spark, sf_dir).withColumn("label", (F.col("label") == 0).cast("int"))
-    out = ml.smote(df, names, key="vec_id")
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("h19_calibration")
-def calibrated(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    raw = ml.out_of_fold(df, FEATURES, "logistic", 3)
-    return ml.calibrate(materialize(raw.select("symbol", "ts", "label", "prob_up"))).select("symbol", "ts", "label", "prob_up", "prob_calibrated")
-
-
-@query("h25_feature_sets")
-def feature_sets(spark, sf_dir):
-    """The same model on leaking, clean and top features."""
-    bars = event_bars(spark, sf_dir)
-    df = model_frame(spark, sf_dir)
-    future = reg.add_targets(bars).select("symbol", "ts", "future_return")
-    df = materialize(df.join(future, ["symbol", "ts"]).dropna(subset=["future_return"]))
-    best = [row.feature for row in ev.top_features(ml.importances(ml.fit(df, FEATURES, "random_forest"), FEATURES), "importance", 3).collect()]
-    out = None
-    for name, columns in (("leaking", [*FEATURES, "future_return"]), ("clean", FEATURES), ("top", best)):
-        scored = ml.score(ml.fit(df.where("role = 'train'"), columns, "logistic"), df.where("role = 'test'"))
-        m = metrics_of(scored, name)
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-FLAG_NAMES = ["regime_trending", "regime_ranging", "regime_bull", "regime_bear", "regime_high_vol", "regime_low_vol",
-              "regime_overbought", "regime_oversold", "regime_uptrend", "regime_downtrend"]
-
-
-@query("f13_logistic_regime")
-def logistic_regime(spark, sf_dir):
-    """Long-only signals of a logistic model on features and regime flags."""
-    df = model_frame(spark, sf_dir)
-    model = ml.fit(df.where("role = 'train'"), [*FEATURES, *FLAG_NAMES], "logistic")
-    scored = wf.number_rows(ml.score(model, df))
-    return sig.entries(sig.long_only_model_rule(scored.where("role = 'test'"), 0.55)).select("symbol", "ts", "action", "stop_loss", "take_profit", "confidence")
-
-
-@query("j08_train_and_score")
-def train_and_score(spark, sf_dir):
-    """One model per walk-forward split, then one ledger job over all splits."""
-    df = model_frame(spark, sf_dir)
-    rows = materialize(wf.assign_rows(wf.number_rows(df), wf.series_lengths(df), 252, 63, 126))
-    splits = [row.split_num for row in rows.select("split_num").distinct().orderBy("split_num").collect()]
-    scored = None
-    for k in splits:
-        part = rows.where(F.col("split_num") == k)
-        one = ml.score(ml.fit(part.where("role = 'train'"), FEATURES, "logistic"), part.where("role = 'test'"))
-        scored = one if scored is None else scored.unionByName(one)
-    series = keyed_series("symbol", "split_num")
-    signals = sig.long_only_model_rule(materialize(scored), 0.52)
-    return table_of(led.backtest(signals, FREE, series), series, ["total_trades", "win_rate", "total_return_pct", "sharpe_ratio"])
-
-
-@query("a18_model_round_trip")
-def round_trip(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    path = scratch_path(spark, "model")
-    sinks.save_model(ml.fit(df.where("role = 'train'"), FEATURES, "logistic"), path, FEATURES, {"kind": "logistic"})
-    model, meta = sinks.load_model(spark, path)
-    return metrics_of(ml.score(model, df.where("role = 'test'")), meta["kind"])
