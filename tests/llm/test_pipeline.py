@@ -24,7 +24,7 @@ def test_stages_take_effect(spark, odd_docs):
 
     clean = [(1000 + k, text(150)) for k in range(60)]
     long = text(3000)
-    rows = clean + [(2000, clean[0][1] + " "), (2001, clean[0][1]), (3000, long), (3001, long.replace(" the ", " the  ", 1) + " end"), (3002, "too short")]
+    rows = clean + [(2000, clean[0][1].replace(" ", "  ", 1)), (2001, clean[0][1]), (3000, long), (3001, long.replace(" the ", " the  ", 1) + " end"), (3002, "too short")]
     rows += [(4000, clean[1][1] + " password=abcdef0123456789 " + text(50))]
     docs = odd_docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"), allowMissingColumns=True)
     names = ["quality rules", "exact duplicates", "near duplicates", "secret scans", "packing"]
