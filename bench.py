@@ -18,6 +18,7 @@ HEADLINE = [
     "a20_bars_h1", "d01_sma", "d03_rsi", "d34_feature_set", "e08_regime_as_of", "f01_momentum_fast", "g01_ledger", "g10_equity",
     "i01_trade_stats", "i08_streaks", "i10_all_metrics", "i11_dashboard_metrics", "j05_split_validation", "j08_split_backtests",
     "j09_aggregate_results", "k09_health_status", "l05_psi", "l06_ks_statistic", "h06_logistic",
+    "h05_cross_validation", "h07_random_forest", "h12_predict", "j08_train_and_score",
 ]
 
 
