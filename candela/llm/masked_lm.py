@@ -2,7 +2,9 @@
 
 A window network sees the words on both sides of a place, but not the word itself, and predicts it: embeddings of
 the neighbours, one for each offset, are added and squashed, and two softmax layers give the word's class and its
-place in the class.  The sum of the log-probabilities of all words is the document's pseudo-log-likelihood.
+place in the class.  A word without an id of its own is predicted by its bucket, and by its share of the bucket in the
+counts of all words of the corpus.  The sum of the log-probabilities of all words is the document's
+pseudo-log-likelihood.
 
 The network is trained in numpy inside Spark tasks: in each round every task starts from the same weights, goes
 once over its share of the documents, and the weights are averaged by the words seen.  All documents take part, each
@@ -11,8 +13,9 @@ in one round.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.frames import SPACE
+from candela.functions.durable import scratch_path
+from candela.llm.frames import SPACE, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(range(256)).translate(bytes.maketrans(_UPPER.encode(), _LOWER.encode()))
@@ -28,7 +32,7 @@ _FOLD = bytes(range(256)).translate(bytes.maketrans(_UPPER.encode(), _LOWER.enco
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network; they bound what is broadcast and what reaches the driver, whatever the corpus."""
+    """Sizes of the network; by default ``sized`` takes them from the number of different words."""
 
     frequent: int = 768  # words with an id of their own
     buckets: int = 256  # ids shared by all other words
@@ -39,6 +43,14 @@ class Shape:
     batch: int = 8192
     rate: float = 0.1
 
+    @staticmethod
+    def sized(different: int) -> Shape:
+        """Sizes for a corpus of so many different words: ids grow with their root, classes with the root of the ids."""
+        frequent = max(Shape.frequent, math.isqrt(different) // 2)
+        least = frequent + frequent * Shape.buckets // Shape.frequent
+        classes = max(Shape.classes, 1 << least.bit_length() // 2)
+        return Shape(frequent=frequent, buckets=-(-least // classes) * classes - frequent, classes=classes)
+
     @property
     def ids(self) -> int:
         return self.frequent + self.buckets
@@ -48,19 +60,39 @@ class Shape:
         return self.ids // self.classes
 
 
+#: Words with at least one in so many of all words are looked up in the tasks, the others by a join.
+HEAD_SHARE = 1 << 19
+
+
 class Words(dict):
-    """Word to id; a word that is not frequent has the id of its bucket."""
+    """Word to place.  The places of the commonest words come first, then one for each bucket of all other words.
+
+    ``ids`` has the network's id of each place.  ``shares`` has the log of the word's share of its bucket, or of a
+    word of the bucket that was never seen; a word counts once more than it was seen.  ``table`` is the folder of
+    (word, n) of all words of the corpus.
+    """
 
-    def __init__(self, frequent: Iterable[str], shape: Shape) -> None:
-        super().__init__((w.encode(), k) for k, w in enumerate(frequent))
-        self.shape = shape
+    def __init__(self, common: Sequence[tuple[str, int]], totals: dict[int, int], table: str, shape: Shape) -> None:
+        """``common``: the commonest words and their counts, in order; ``totals``: words and different words of each
+        bucket, added up."""
+        super().__init__((w.encode(), k) for k, (w, _) in enumerate(common))
+        self.shape, self.table, self.known = shape, table, len(common)
+        own = min(shape.frequent, len(common))
+        rest = [zlib.crc32(w.encode()) % shape.buckets for w, _ in common[own:]]
+        unseen = -np.log([totals.get(b, 0) + 1.0 for b in range(shape.buckets)])
+        self.ids = np.concatenate([np.arange(own), shape.frequent + np.array(rest, np.intp), np.arange(shape.frequent, shape.ids)]).astype(np.intp)
+        self.shares = np.concatenate([np.zeros(own), np.log([n + 1.0 for _, n in common[own:]]) + unseen[np.array(rest, np.intp)], unseen])
 
     def __missing__(self, word: bytes) -> int:
-        return self.shape.frequent + zlib.crc32(word) % self.shape.buckets
+        return self.known + zlib.crc32(word) % self.shape.buckets
 
     def of(self, text: str) -> np.ndarray:
+        """Ids of all words."""
+        return self.ids[self.places(text)[1]]
+
+    def places(self, text: str) -> tuple[list[bytes], np.ndarray]:
         words = text.encode().translate(_FOLD).split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.intp, count=len(words))
+        return words, np.fromiter(map(self.__getitem__, words), dtype=np.intp, count=len(words))
 
 
 class Network:
@@ -140,21 +172,34 @@ def windows(texts: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarr
     return np.stack([line[at + k] for k in shape.offsets]), line[at]
 
 
-def frequent_words(docs: DataFrame, shape: Shape) -> list[str]:
-    """The commonest words of all documents."""
+def vocabulary(docs: DataFrame, shape: Shape | None = None) -> Words:
+    """Counts of all words of all documents, in a saved table; the common ones and a sum for each bucket reach the driver."""
+    spark = docs.sparkSession
     text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
     words = docs.select(F.explode(F.split(text, SPACE)).alias("word")).where("word != ''")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(shape.frequent).collect()]
+    path = scratch_path(spark, "words")
+    words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = spark.read.schema("word string, n bigint").parquet(path)
+    size = counts.agg(F.count(F.lit(1)).alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    shape = shape or Shape.sized(size["different"])
+    found = counts.where(F.col("n") * HEAD_SHARE >= size["all"]).collect()
+    common = sorted(((r["word"], r["n"]) for r in found), key=lambda x: (-x[1], x[0].encode()))
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(shape.buckets)).cast("int")
+    totals = {r["bucket"]: r["n"] for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 1).alias("n")).collect()}
+    for word, n in common[: shape.frequent]:
+        totals[zlib.crc32(word.encode()) % shape.buckets] -= n + 1
+    return Words(common, totals, path, shape)
 
 
 #: Weights of one row on their way to the average.
 CHUNK = 4096
 
 
-def train(docs: DataFrame, shape: Shape = Shape()) -> tuple[Words, Network]:
-    """Vocabulary and network of a corpus.  Only the weights and the frequent words reach the driver."""
-    words, network = Words(frequent_words(docs, shape), shape), Network(shape)
+def train(docs: DataFrame, shape: Shape | None = None) -> tuple[Words, Network]:
+    """Vocabulary and network of a corpus.  Only the weights and the common words reach the driver."""
+    words = vocabulary(docs, shape)
+    shape = words.shape
+    network = Network(shape)
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shape.rounds)).alias("round"), "text")
     for k in range(shape.rounds):
         start = network.flat
@@ -205,26 +250,31 @@ def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every document under a trained network."""
     shape = network.shape
 
-    @F.pandas_udf("n_words bigint, log_likelihood double")
+    @F.pandas_udf("n_words bigint, log_likelihood double, rare array<string>")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, held, size = [], [], 0
+            logs, held, size = [], [], 0
+            counts, shares, rare = [], [], []
 
             def flush() -> None:
                 if size:
                     around, at = windows(held, shape)
-                    logs = network.forward(around, at)[0].astype(np.float64)
-                    sums = np.concatenate([[0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum([len(x) for x in held])])]
-                    out.extend(zip(map(len, held), np.diff(sums).tolist()))
+                    each = network.forward(around, at)[0].astype(np.float64)
+                    sums = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum([len(x) for x in held])])]
+                    logs.extend(np.diff(sums).tolist())
                 else:
-                    out.extend((0, 0.0) for _ in held)
+                    logs.extend(0.0 for _ in held)
 
             for text in batch:
-                ids = words.of(text or "")
+                own, places = words.places(text or "")
+                ids = words.ids[places]
+                counts.append(len(ids))
+                shares.append(float(words.shares[places].sum()))
+                rare.append([own[k].decode() for k in np.flatnonzero(places >= words.known).tolist()])
                 if len(ids) > shape.batch:  # a long document for itself, part by part
                     flush()
                     held, size = [], 0
-                    out.append((len(ids), log_likelihood(ids, network)))
+                    logs.append(log_likelihood(ids, network))
                     continue
                 held.append(ids)
                 size += len(ids)
@@ -232,13 +282,27 @@ def score(docs: DataFrame, words: Words, network: Network) -> DataFrame:
                     flush()
                     held, size = [], 0
             flush()
-            yield pd.DataFrame(out, columns=["n_words", "log_likelihood"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scores("text").alias("s")).select("doc_id", "s.*")
-    return rows.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
-
-
-def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
+            yield pd.DataFrame({"n_words": counts, "log_likelihood": np.add(logs, shares), "rare": rare})
+
+    key = F.xxhash64("doc_id", "text").alias("key")  # tells rows of one id apart
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, scores("text").alias("s")).select("doc_id", "key", "s.*")
+    rows = saved(rows, "scored")
+    # what was seen of a rare word; it has counted as unseen so far.  No rare word is hot, as HEAD_SHARE bounds it
+    table = docs.sparkSession.read.schema("word string, n bigint").parquet(words.table).hint("shuffle_hash")
+    seen = rows.select("doc_id", "key", F.explode("rare").alias("word")).join(table, "word")
+    more = seen.groupBy("doc_id", "key").agg(F.sum(F.log(F.col("n") + F.lit(1.0))).alias("more"))
+    # equal rows have one score, and stay as many as they are
+    both = rows.select("doc_id", "key", "n_words", "log_likelihood", F.lit(1).alias("copies"), F.lit(0.0).alias("more")).unionByName(
+        more.select("doc_id", "key", "more"), allowMissingColumns=True
+    )
+    scored = both.groupBy("doc_id", "key").agg(
+        F.max("n_words").alias("n_words"), F.max("log_likelihood").alias("log_likelihood"), F.sum("copies").alias("copies"), F.sum("more").alias("more")
+    )
+    out = scored.select("doc_id", "n_words", (F.col("log_likelihood") + F.col("more") / F.col("copies")).alias("log_likelihood"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return out.drop("_copy").withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+
+
+def pseudo_likelihood(docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     """Train on all documents, then score them all.
 
     ``docs`` needs doc_id and text; other columns are ignored.  A text without words, a null one too, scores 0 with a

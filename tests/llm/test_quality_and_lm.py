@@ -108,3 +108,36 @@ def test_language_model_on_odd_rows(odd_docs, odd_rows, no_docs):
         assert (r.mean_log_likelihood is None) == (r.n_words == 0) and (r.n_words > 0 or r.log_likelihood == 0)
     assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len((t or "").encode().split())) for i, t, _ in odd_rows)
     assert masked_lm.pseudo_likelihood(no_docs, shape).count() == 0
+
+
+def test_rare_words_of_one_bucket_are_scored_for_themselves(spark, monkeypatch):
+    """By the join and by the tasks alike: two words of a bucket differ by the log of their counts, and an unseen one is last."""
+    shape = masked_lm.Shape(frequent=3, buckets=1, classes=2, batch=64)
+    rows = [(k, "a b c a b c a b c often often often often seldom") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b seldom"), (3, "a b never"), (None, "a b seldom")], "doc_id bigint, text string")
+    results = []
+    for share in (1 << 19, 2):
+        monkeypatch.setattr(masked_lm, "HEAD_SHARE", share)
+        words, network = masked_lm.train(docs, shape)
+        got = masked_lm.score(held, words, network).collect()
+        assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 3), (1, 3), (1, 3), (2, 3), (3, 3)]
+        results.append({r.doc_id or 0: r.log_likelihood for r in got})
+        at = results[-1]
+        if share > 2:
+            assert abs(at[1] - at[2] - np.log(61 / 21)) < 1e-4 and abs(at[2] - at[3] - np.log(21)) < 1e-4 and at[0] == at[2]
+            assert abs(words.shares[words[b"c"]] - np.log(61 / (60 + 20 + 2 + 1))) < 1e-9
+    assert len(words) < 3 and masked_lm.Shape.sized(1000) == masked_lm.Shape()
+    assert masked_lm.Shape.sized(10**8).ids > 4 * masked_lm.Shape().ids
+
+
+def test_the_join_of_rare_words_gives_what_the_tasks_give(spark):
+    shape = masked_lm.Shape(frequent=3, buckets=1, classes=2, batch=64)
+    docs = spark.createDataFrame([(k, f"a b c a b c w{k % 5} Word{k}") for k in range(30)], "doc_id bigint, text string")
+    words, network = masked_lm.train(docs, shape)
+    want = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs, words, network).collect()}
+    few = [(w.decode(), 30) for w, k in words.items() if k < 3]
+    totals = {0: 30 + 5 + 30 + 30}
+    joined = masked_lm.Words(few, totals, words.table, shape)
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs, joined, network).collect()}
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-4 for k in want)
