@@ -3,7 +3,8 @@
 References are the histograms of the whole corpus by language: shares of character classes, and shares of the
 commonest words.  Every document counts for one, however long it is.  A document is compared by Jensen-Shannon distance (base 2, the root of the divergence) with all
 of them, so that a wrong language tag does no harm, and the least distance counts.  Short documents have ragged
-histograms; below a least length a rule does not speak.
+histograms; below a least length a rule does not speak.  Nor do the distances speak on documents whose own language has
+too few documents for a reference.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.frames import SPACE
+from candela.llm.frames import SPACE, saved
 
 # fixed values: classes of characters
 CLASSES = ["lower", "upper", "other letter", "digit", "space", "mark", "symbol"]
@@ -34,6 +35,8 @@ class Rules:
     """Thresholds.  The base rule is: fewer than ``least_words`` words, or over ``most_repeats`` percent repeated."""
 
     least_words: int = 20
+    #: Documents with words that a language needs for a reference, however large other languages are.
+    least_documents: int = 20
     most_repeats: int = 30
     common_words: int = 64
     #: Words from which the characters are compared; the greatest distance, plus a part that falls with the root of the words.
@@ -71,6 +74,11 @@ def class_counts(data: bytes) -> np.ndarray:
     return np.bincount(_CLASS[np.frombuffer(data, dtype=np.uint8)] + 1, minlength=len(CLASSES) + 1)[1:]
 
 
+def shared_out(counts: np.ndarray) -> np.ndarray:
+    """The weight ONE of a document, by its classes; whole numbers."""
+    return counts * ONE // counts.sum()
+
+
 def distances(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance, from 0 to 1, of each row of ``counts`` and the same row of ``shares``."""
     p = counts / counts.sum(axis=-1, keepdims=True)
@@ -128,6 +136,7 @@ class Reference:
     def __init__(self, chars: dict[str, list[int]], words: dict[str, dict[str, int]], totals: dict[str, int]) -> None:
         known = [k for k in sorted(chars) if sum(chars[k]) and totals.get(k)]
         self.chars = np.array([np.array(chars[k]) / sum(chars[k]) for k in known]).reshape(-1, len(CLASSES))
+        self.langs = set(known)
         self.width = max((len(words.get(k, ())) for k in known), default=0) + 1
         self.words = np.zeros((len(known), self.width))
         self.places: dict[bytes, list[tuple[int, int]]] = {}
@@ -155,17 +164,22 @@ class Reference:
         return float(distances(counts, self.words).min())
 
 
+def _language(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
 def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
     """Histograms over all documents, each with the whole weight ONE.  Only the class sums and the commonest words of
     each language reach the driver."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(_language(docs).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                sums[lang] = sums.get(lang, 0) + class_counts(text.encode())
+                counts = class_counts(text.encode())
+                if counts.sum():
+                    sums[lang] = sums.get(lang, 0) + shared_out(counts)
         yield pd.DataFrame([(k, c, int(v)) for k, x in sums.items() for c, v in enumerate(x)], columns=["lang", "class", "n"])
 
     by_class = rows.mapInPandas(classes, "lang string, class int, n bigint").groupBy("lang", "class").agg(F.sum("n").alias("n"))
@@ -176,29 +190,17 @@ def reference(docs: DataFrame, rules: Rules = Rules()) -> Reference:
     counts = weighted.groupBy("lang", word.alias("word")).agg(F.sum("weight").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rules.common_words)
-    # languages by size: a tag that few documents have makes no reference
+    sizes = saved(split.where("size(words) > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.least_documents), "languages")
+    totals = {r["lang"]: r["n"] * ONE for r in sizes.collect()}
     chars: dict[str, list[int]] = {}
-    for r in _common_languages(by_class).collect():
+    for r in by_class.join(sizes.select("lang"), "lang", "left_semi").collect():
         chars.setdefault(r["lang"], [0] * len(CLASSES))[r["class"]] = r["n"]
     common: dict[str, dict[str, int]] = {}
-    for r in best.where(F.col("lang").isin(list(chars))).select("lang", "word", "n").collect():
+    for r in best.join(sizes.select("lang"), "lang", "left_semi").select("lang", "word", "n").collect():
         common.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    sizes = split.where("size(words) > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["lang"]: r["n"] * ONE for r in sizes.where(F.col("lang").isin(list(chars))).collect()}
     return Reference(chars, common, totals)
 
 
-#: A language with fewer characters than this share of the largest is no reference; so there are few of them.
-LANGUAGE_SHARE = 0.005
-
-
-def _common_languages(by_class: DataFrame) -> DataFrame:
-    sizes = by_class.groupBy("lang").agg(F.sum("n").alias("size"))
-    largest = sizes.agg(F.max("size").alias("largest"))
-    enough = sizes.join(F.broadcast(largest)).where(F.col("size") >= LANGUAGE_SHARE * F.col("largest")).select("lang")
-    return by_class.join(enough, "lang", "left_semi")
-
-
 SCORES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
     "kept boolean, char_distance double, word_distance double"
@@ -210,26 +212,28 @@ def judged(docs: DataFrame, known: Reference, rules: Rules = Rules()) -> DataFra
     of ``docs`` can clash."""
 
     @F.pandas_udf(SCORES)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch:
+            for text, lang in zip(*batch):
                 n, chars, symbols, lines, repeats, data = features(text or "")
                 failed = n < rules.least_words or 100 * repeats > rules.most_repeats * n
-                c = known.char_distance(class_counts(data)) if n else None
-                w = known.word_distance(data) if n >= rules.word_words else None
-                out.append((n, chars, symbols, lines, repeats, failed, not failed and not rules.odd(n, c, w), c, w))
+                own = lang in known.langs
+                c = known.char_distance(class_counts(data)) if n and own else None
+                w = known.word_distance(data) if n >= rules.word_words and own else None
+                out.append((n, chars, symbols, lines, repeats, failed, not failed and not (own and rules.odd(n, c, w)), c, w))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
 
-    return docs.select(F.struct(*docs.columns).alias("row"), judge("text").alias("quality"))
+    return docs.select(F.struct(*docs.columns).alias("row"), judge("text", _language(docs)).alias("quality"))
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each document: doc_id, counts, base verdict, verdict, distances (null below the least length).
+    """One row for each document: doc_id, counts, base verdict, verdict, distances (null below the least length, and where
+    the document's language has no reference).
 
     A null text has no words and fails the base rule.  Repeated rows are judged each for itself.  An empty table
     gives no rows.
     """
-    return judged(docs.select("doc_id", "text"), reference(docs, rules), rules).select(
+    return judged(docs.select("doc_id", "text", _language(docs).alias("lang")), reference(docs, rules), rules).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), "quality.*"
     )

@@ -141,3 +141,23 @@ def test_the_join_of_rare_words_gives_what_the_tasks_give(spark):
     joined = masked_lm.Words(few, totals, words.table, shape)
     got = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs, joined, network).collect()}
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-4 for k in want)
+
+
+def test_small_languages_are_not_judged_by_others(spark):
+    """A language far below the largest has its own reference; one of a few documents is only judged by the base rule."""
+    rng = random.Random(4)
+
+    def other(n):
+        return [rng.choice("\u043d\u0430 \u0438 \u0441\u0435 \u0434\u0430 \u0433\u043e \u0442\u043e \u043e\u0434".split()) + rng.choice("\u0431\u0432\u0433\u0434\u0436\u0437\u043a\u043b\u043c") * rng.randint(0, 3) for _ in range(n)]
+
+    rows = [(k, " ".join(english(rng, 4000)), "en") for k in range(60)]
+    small = [(100 + k, " ".join(other(90)), "mk") for k in range(25)] + [(200, " ".join(other(90)), "xx")]
+    got = quality.quality_rules(spark.createDataFrame(rows + small, "doc_id bigint, text string, lang string")).collect()
+    assert len(got) == 86 and all(r.kept for r in got)
+    assert all((r.char_distance is None) == (r.word_distance is None) == (r.doc_id == 200) for r in got)
+
+
+def test_long_documents_do_not_outweigh_short_ones_in_the_classes(spark):
+    rows = [(k, "abcdefghij " * 10, "en") for k in range(30)] + [(99, "#" * 200_000, "en")]
+    known = quality.reference(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert abs(known.chars[0][quality.CLASSES.index("symbol")] - 1 / 31) < 1e-6
