@@ -70,7 +70,14 @@ class WordIds(WordCache):
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model, self.added = whole["model"], {}
+        for x in whole.get("added_tokens") or ():
+            if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized") and whole.get("normalizer"):
+                raise ValueError(f"added token {x['content']!r} asks for more than its own text")
+            self.added[x["content"]] = x["id"].to_bytes(4, "little")
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         code = byte_of_character()
         words = [*code, *("".join(_merge(m)) for m in model["merges"])]  # in the order of merging
         ranks = {bytes(map(code.__getitem__, word)): rank for rank, word in enumerate(words)}
@@ -82,6 +89,13 @@ class WordIds(WordCache):
 
         super().__init__(encode)
 
+    def text(self, text: str) -> bytes:
+        """Ids of a text: the file's added tokens are cut out first, what is between them is encoded by words."""
+        parts = self.cuts.split(text) if self.cuts else [text]
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, split_words(text)))
+        return b"".join(self.added[x] if k % 2 else b"".join(map(self.__getitem__, split_words(x))) for k, x in enumerate(parts))
+
     @staticmethod
     @lru_cache(maxsize=2)
     def of(path: str) -> WordIds:

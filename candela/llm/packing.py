@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.byte_bpe import WordIds, split_words
+from candela.llm.byte_bpe import WordIds
 from candela.llm.frames import ranked, saved
 
 CAPACITY = 2048
@@ -106,7 +106,7 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Token pieces of every document: ids of the whole text, then END.  A null text is empty."""
+    """Token pieces of every document: ids of the whole text, added tokens too, then END.  A null text is empty."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds.of(vocabulary)
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = b"".join(map(ids.__getitem__, split_words(text or ""))) + end
+                data = ids.text(text or "") + end
                 for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     out.append((doc_id, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})

@@ -148,3 +148,15 @@ def test_encode_decode_odd_rows(odd_docs, odd_rows, no_docs, library):
         want[i, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert byte_bpe.encode_decode(no_docs, RANKS).count() == 0
+
+
+def test_added_tokens_are_cut_out_as_the_library_does(spark):
+    """By the library as it is called: no special tokens are added, but those in the text are taken as such."""
+    whole = tokenizers.Tokenizer.from_file(IDS)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|ENDOFTEXT|>", "  <|endoftext|>  z", *TEXTS, *random_texts(100)]
+    ids = WordIds(IDS)
+    for text in texts:
+        assert np.frombuffer(ids.text(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string"), IDS).collect()
+    want = np.array([64, 220, 50256, 275, packing.END], dtype="<u4").tobytes()
+    assert [(r.length, r.ids_crc32) for r in rows] == [(5, zlib.crc32(want))]
