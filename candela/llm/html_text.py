@@ -33,7 +33,7 @@ ASIDE = {
 }
 #: Elements by which a page marks its article, the first that it has.
 ARTICLE = ("article", "main")
-#: Words of class, id and role names that mark a part beside the article.
+#: Whole class, id and role names that mark a part beside the article, without hyphens and capitals.
 ASIDE_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav",
     "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "rail", "footer", "header", "masthead", "comment", "comments",
@@ -41,6 +41,13 @@ ASIDE_NAMES = {
     "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social", "related",
     "recommended", "pagination", "pager", "widget", "copyright", "contentinfo", "complementary", "form", "skip", "hidden", "toolbar",
 }
+#: Names of two words or more: these parts before or after a name of ASIDE_NAMES leave its meaning.
+ASIDE_ENDS = {"area", "bar", "block", "box", "container", "inner", "list", "wrap", "wrapper", "section", "links", "buttons", "menu", "posts", "articles"}
+ASIDE_STARTS = {"site", "page", "global", "main", "top", "left", "right", "primary", "secondary", "mobile", "js", "wp", "block"}
+#: Names with these parts tell how a layout is made, not what an element is.
+LAYOUT = {"has", "with", "no", "without", "is", "layout"}
+#: Elements that may wrap an article.
+WRAPS = {"div", "section", "center", "table", "form"}
 #: Elements whose start ends an open paragraph.
 ENDS_P = (BLOCKS | ASIDE) - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "button", "select", "option"}
 
@@ -58,17 +65,44 @@ DEFAULT_TAG, LEAST_TAG, MOST_TAG = 0.3, 0.02, 3.0
 FENCE = 1.0
 
 
+def _named_beside(name: str) -> bool:
+    """Whether a class, id or role is one of ASIDE_NAMES, but for what merely tells its place or its kind of box."""
+    parts = [part.lower() for part in _PARTS.findall(name) if not part.isdigit()]
+    if not parts or LAYOUT & set(parts):
+        return False
+    while len(parts) > 1 and parts[-1] in ASIDE_ENDS:
+        parts.pop()
+    while len(parts) > 1 and parts[0] in ASIDE_STARTS:
+        parts.pop(0)
+    return all(part in ASIDE_NAMES for part in parts)
+
+
 def _beside(attrs: str) -> bool:
     """Whether the attributes of a start tag mark a part beside the article."""
     if not attrs or attrs.isspace():
         return False
     for m in _NAMES.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            if any(part.lower() in ASIDE_NAMES for part in _PARTS.findall(name)):
-                return True
+        if any(map(_named_beside, (m[1] or m[2] or m[3] or "").split())):
+            return True
     return _HIDDEN.search(attrs) is not None
 
 
+def _around_article(page: str, at: int, tag: str, mark: str) -> bool:
+    """Whether the element ``tag`` whose content starts at ``at`` contains the page's article."""
+    if not mark:
+        return False
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        name = (m["tag"] or "").lower()
+        if name == mark and not m["end"]:
+            return True
+        if name == tag and not (m["attrs"] or "").endswith("/"):
+            depth += -1 if m["end"] else 1
+            if not depth:
+                return False
+    return False
+
+
 def _mark(page: str) -> str:
     lower = page.lower()
     return next((name for name in ARTICLE if "<" + name in lower), "")
@@ -79,7 +113,7 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     beside the article) or "text"; beside and article tell whether such an element is open around it."""
     stack: list[tuple[str, bool]] = []
     beside = article = 0
-    mark = _mark(page)
+    mark, opened = _mark(page), False
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -112,10 +146,14 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     break
                 beside -= stack.pop()[1]
         aside = tag in ASIDE and not (tag == "header" and article) or _beside(m["attrs"]) and tag not in ("html", "body")
+        if aside and not opened and not beside and not _HIDDEN.search(m["attrs"]):
+            # the page's first article, and what wraps it, are never beside it
+            aside = tag not in ARTICLE and not (tag in WRAPS and _around_article(page, m.end(), tag, mark))
         if tag not in VOID and not (m["attrs"] or "").endswith("/"):
             stack.append((tag, aside))
             beside += aside
             article += tag == mark
+            opened |= tag == mark and not beside
         yield "fence" if aside else "tag", tag, beside > 0, article > 0
 
 

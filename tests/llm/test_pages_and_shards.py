@@ -131,3 +131,31 @@ def test_overflow_goes_clockwise_and_growth_moves_little():
     b, _ = shards(41)
     assert (a == home).mean() > 0.9  # most keys have room where the ring puts them
     assert (a != b).mean() < 0.2  # against 40 in 41 keys if they were dealt anew
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post has-sidebar'><h1>Title</h1><p>{}</p></article>",
+        "<main class='with-sidebar'><h1>Title</h1><p>{}</p></main>",
+        "<main class='sidebar'><h1>Title</h1><p>{}</p></main>",
+        "<div id='page' class='sidebar-right'><h1>Title</h1><p>{}</p></div>",
+        "<div class='sidebar'><div><article><h1>Title</h1><p>{}</p></article></div></div>",
+        "<div class='entry-header'><h1>Title</h1></div><p>{}</p>",
+        "<section id='social-policy'><h1>Title</h1><p>{}</p></section>",
+    ],
+)
+def test_names_of_wrappers_do_not_drop_the_article(page):
+    words = " ".join(f"word{k}" for k in range(40))
+    side = "<div class='widget-area'>side</div><div id='site-header'>top</div><ul class='shareButtons'><li>share</li></ul><div class='sidebar'>more</div>"
+    for text in (page.format(words), side + page.format(words) + side):
+        assert html_text.main_text(f"<html><body>{text}</body></html>", html_text.Weights()) == f"Title {words}"
+
+
+def test_other_articles_beside_the_first_stay_out():
+    page = (
+        "<body><input class='search'><form id='aspnet'><article class='post has-sidebar'><p>own words here</p><article class='comment'><p>a comment</p></article>"
+        "</article></form><div class='related'><article><p>a card</p></article></div></body>"
+    )
+    assert html_text.main_text(page, html_text.Weights()) == "own words here"
+    assert html_text.main_text("<article style='display:none'><p>not to be seen</p></article>", html_text.Weights()) == ""
