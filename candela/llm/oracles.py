@@ -88,4 +88,26 @@ LEFT JOIN fate ON fate.address = u.host || (CASE WHEN u.path = '' THEN '/' ELSE
   || (CASE WHEN len(u.query) > 0 THEN '?' || array_to_string(u.query, '&') ELSE '' END)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT, "op2_secret_scans": SECRETS, "op9_url_filters": URLS}
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT % (length(t) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (length(t) + 1) AS c2,
+         ('0x' || h[17:24])::BIGINT % 100 AS p, ('0x' || h[25:32])::BIGINT % 100 AS q
+  FROM d),
+c AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain'
+              WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM r),
+o AS (
+  SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars, CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": EXACT, "op2_secret_scans": SECRETS, "op9_url_filters": URLS, "op13_fill_middle": FILL_MIDDLE,
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from candela.llm import (
     byte_bpe,
     exact_dedup,
+    fill_middle,
     html_text,
     masked_lm,
     packing,
@@ -77,10 +78,14 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.shard_keys(_table(spark, sf_dir, "documents"), ring_shards.Ring(SHARDS))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_scans, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing,
-        op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards,
+        op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards, op13_fill_middle,
     )
 }
