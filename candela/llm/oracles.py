@@ -88,6 +88,23 @@ LEFT JOIN fate ON fate.address = u.host || (CASE WHEN u.path = '' THEN '/' ELSE
   || (CASE WHEN len(u.query) > 0 THEN '?' || array_to_string(u.query, '&') ELSE '' END)
 """
 
+JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x != '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda k: array_to_string(words[k:k + 3], ' ')))) AS shingle
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id != y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.size + y.size - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, r.component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = w.doc_id
+"""
+
 FILL_MIDDLE = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 r AS (
@@ -109,5 +126,6 @@ FROM o
 """
 
 ORACLES: dict[str, str] = {
-    "op1_exact_dedup": EXACT, "op2_secret_scans": SECRETS, "op9_url_filters": URLS, "op13_fill_middle": FILL_MIDDLE,
+    "op1_exact_dedup": EXACT, "op2_secret_scans": SECRETS, "op9_url_filters": URLS, "op11_jaccard_join": JACCARD,
+    "op13_fill_middle": FILL_MIDDLE,
 }

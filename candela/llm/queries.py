@@ -19,6 +19,7 @@ from candela.llm import (
     quality,
     ring_shards,
     secret_scan,
+    shingle_join,
     simhash,
     url_filter,
 )
@@ -79,6 +80,10 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.shard_keys(_table(spark, sf_dir, "documents"), ring_shards.Ring(SHARDS))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), change=periodic_runs.repeated_tail))
 
@@ -91,6 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_secret_scans, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing,
-        op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards, op12_periodic_runs, op13_fill_middle,
+        op7_html_extraction, op8_byte_bpe, op9_url_filters, op10_ring_shards, op11_jaccard_join, op12_periodic_runs, op13_fill_middle,
     )
 }
