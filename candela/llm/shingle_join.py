@@ -39,8 +39,8 @@ CELL_BITS, SLICES = 20, 64
 LARGEST_SMALL = 128
 #: Sets that share a key from which they are tied to one of them before they are paired, rounds of that, and sets in a block.
 DENSE, ROUNDS, BLOCK = 16, 3, 1024
-#: Texts are picked by their place among so many, which bounds the table that is broadcast for it.
-PLACES = 1 << 18
+#: Texts, and keys, are picked by their place among so many, which bounds the tables that are broadcast for it.
+PLACES, KEY_PLACES = 1 << 18, 1 << 20
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 19
 
@@ -309,11 +309,16 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
     """Links (a, b) between sids that join all sets of at least ``percent`` similarity into their components."""
     most_small = boundary(sets, percent, subset) if most_small is None else most_small
     rows = keys(sets, most_small, percent, subset)
-    shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    met = rows.join(shared, "key").join(sets.select("sid", "size", "bits"), "sid")
-    members = saved(met.select("key", "n", "sid", "size", "bits"), "members")
-
-    dense = members.where(F.col("n") > DENSE)
+    facts = sets.select("sid", "size", "bits")
+    shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("n > 1"), "shared")
+    # a key of two sets is their pair; only rows of the other keys are fetched, most of the rest being left out by a bounded table
+    larger = shared.where("n > 2").select("key", "n")
+    place = F.pmod("key", F.lit(KEY_PLACES))
+    near = rows.withColumn("place", place).join(F.broadcast(larger.select(place.alias("place")).distinct()), "place", "left_semi").drop("place")
+    members = saved(near.join(larger, "key").select("key", "n", "sid"), "members")
+
+    dense = saved(members.where(F.col("n") > DENSE).join(facts, "sid"), "dense")
+    hot = dense.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(dense.count()))
     found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
     for turn in range(ROUNDS):
         # one pivot a key, another one each round; a set is compared with it unless they are in one component already
@@ -324,7 +329,6 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
             break
         chosen = named.join(pivots, ["key", "sid"]).select("key", F.col("sid").alias("b"), F.struct("size", "bits", "comp").alias("p"))
         tied = named.select("key", F.col("sid").alias("a"), F.struct("size", "bits", "comp").alias("m"))
-        hot = dense.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(dense.count()))
         tied = spread_join(tied, chosen, "key", hot, ["a"]).where((F.col("m.comp") != F.col("p.comp")) & _possible("m", "p", percent))
         new = _verified(tied.select("a", "b").distinct(), sets, docs, width, percent)
         if new.limit(1).count() == 0:
@@ -333,17 +337,26 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
         labels = saved(components(found), "labels")
 
     # what is still in different components is paired, a block of a key's sets against another
-    named = saved(_named(members, labels), "named")
+    named = _named(members, labels)
     open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    left = saved(named.join(open_keys, "key"), "open")
+    left = saved(named.join(open_keys, "key").join(facts, "sid"), "open")
+    apart = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x", "y", percent)
+    few, many = left.where(F.col("n") <= BLOCK), left.where(F.col("n") > BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, all_blocks = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    one = left.select("key", "sid", "size", "bits", "comp", own.alias("i"), all_blocks.alias("j"))
-    other = left.select("key", "sid", "size", "bits", "comp", all_blocks.alias("i"), own.alias("j"))
-    at = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
-    paired = one.alias("x").join(other.alias("y"), [*at, F.col("x.sid") < F.col("y.sid"), F.col("x.comp") != F.col("y.comp"), _possible("x", "y", percent)])
-    last = _verified(paired.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sets, docs, width, percent)
-    return found.unionByName(last)
+    own, each = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    at = F.lit(True)
+    for col in ("key", "i", "j"):
+        at = at & (F.col(f"x.{col}") == F.col(f"y.{col}"))
+    sides = [many.withColumn("i", i).withColumn("j", j).alias(side) for side, i, j in (("x", own, each), ("y", each, own))]
+    paired = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    blocked = sides[0].join(sides[1], at & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+    two = shared.where("n = 2").select("a", "b").distinct()
+    for side in ("a", "b"):
+        one = _named(facts, labels).select(F.col("sid").alias(side), F.struct("size", "bits", "comp").alias(f"of_{side}"))
+        two = two.join(one, side)
+    two = two.where((F.col("of_a.comp") != F.col("of_b.comp")) & _possible("of_a", "of_b", percent)).select("a", "b")
+    return found.unionByName(_verified(paired.unionByName(blocked).unionByName(two).distinct(), sets, docs, width, percent))
 
 
 def similar_documents(
