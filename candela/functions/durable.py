@@ -30,3 +30,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, and safe when an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Written as parquet to the shared folder and read again: computed once, in columns, and safe when an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,8 @@ from candela.operators import health as hl
 from candela.operators import metrics as met
 from candela.plans.metric_queries import AS_OF, CUM, DASH, K, ORDER, RECENT
 from candela.plans.registry import query
-from candela.plans.signal_queries import CONF, SCORED, scored_bars
+from candela.plans.fitted_scores import scored_bars
+from candela.plans.signal_queries import CONF, SCORED
 from candela.plans.sqltext import BARS, TRADE_ORDER, TRADES, r, rounded, stages
 from candela.sources.driver_tables import line_trades, table, trade_series
 

@@ -8,6 +8,7 @@ from candela.operators import indicators as ind
 from candela.operators import regimes as reg
 from candela.operators import signals as sig
 from candela.operators import walkforward as wf
+from candela.plans.fitted_scores import HORIZON_SCORES, score_sql, scored_bars
 from candela.plans.regime_queries import AS_OF, PARAMS, SETTINGS, V1, V2, range_regime
 from candela.plans.registry import query
 from candela.plans.sqltext import BARS, OVER, flag, full, lag, pct, pick, r, rounded, stages
@@ -132,28 +133,9 @@ on_rule("f11_momentum_80_20_exits", sig.momentum_80_20_rule(), "", [BARS, *M80],
 })
 
 
-# ---- model rules on a given linear score ---------------------------------------------
+# ---- model rules on walk-forward scores of fitted models ------------------------------
 
-# A stand-in for a fitted model: logistic scores with fixed weights, so that SQL can follow.
-WEIGHTS = {"prob_up": (0.04, 50.0), "prob_alt": (-0.03, 45.0), "prob_3": (0.05, 55.0), "prob_4": (0.02, 40.0)}
-
-
-def scored_bars(spark, sf_dir):
-    """Bars with the features the model rules read, four scores of the strength index, and row numbers."""
-    bars = event_bars(spark, sf_dir)
-    parts = ind.beside(ind.rsi(14), ind.close_std(14), ind.atr(14), ind.sma((50, 200)),
-                       ind.chain(ind.returns(), ind.momentum_features((20,))))
-    df = wf.number_rows(parts(bars))
-    return df.where("rsi_14 IS NOT NULL").withColumns(
-        {n: 1 / (1 + F.exp(-(F.lit(a) * (F.col("rsi_14") - b)))) for n, (a, b) in WEIGHTS.items()}
-    )
-
-
-SCORED = [
-    *base(),
-    "sc AS (SELECT *, " + ", ".join(f"1 / (1 + exp(-({a} * (rsi - {b})))) AS {n}" for n, (a, b) in WEIGHTS.items())
-    + " FROM z2 WHERE rsi IS NOT NULL)",
-]
+SCORED = [*base(), *score_sql(), "sc AS MATERIALIZED (SELECT z2.*, scores.* EXCLUDE (symbol, ts) FROM z2 JOIN scores USING (symbol, ts))"]
 CONF = "greatest(prob_up, 1 - prob_up)"
 
 
@@ -164,11 +146,11 @@ CONF = "greatest(prob_up, 1 - prob_up)"
                                    f"(rn >= 200 AND {CONF} >= confidence_threshold AND prob_up <= 0.5)",
                                    "stop_loss_atr_mult * sd", "take_profit_atr_mult * sd", ("'b'", "'s'")) + " FROM j)"],
     "sg", KEYS, {"action": "action", "stop_loss": "d:stop_loss", "take_profit": "d:take_profit",
-                 "confidence": "d:" + CONF}, where="action IS NOT NULL"))
+                 "confidence": "d4:" + CONF}, where="action IS NOT NULL"))
 def model_signals(spark, sf_dir):
     regimes = reg.with_regime_parameters(reg.regime_as_of(event_bars(spark, sf_dir)).select(*KEYS, "regime"))
     out = sig.entries(sig.model_rule(scored_bars(spark, sf_dir).join(regimes, KEYS)))
-    return rounded(out.select(*KEYS, "action", "stop_loss", "take_profit", "confidence"))
+    return rounded(out.select(*KEYS, "action", "stop_loss", "take_profit", "confidence"), confidence=4)
 
 
 @query("f07_model_exits", pick([BARS, *SCORED], "sc", KEYS, {
@@ -191,16 +173,16 @@ def long_only(spark, sf_dir):
     return rounded(out.select(*KEYS, "action", "stop_loss", "take_profit", "exit_long"))
 
 
-def agreement_sql(k, thr):
-    ups = " + ".join(f"CAST({p} > 0.5 AND {p} >= {thr} AS INTEGER)" for p in WEIGHTS)
-    downs = " + ".join(f"CAST({p} <= 0.5 AND 1 - {p} >= {thr} AS INTEGER)" for p in WEIGHTS)
-    total = " + ".join(f"CASE WHEN {p} > 0.5 THEN {p} ELSE 0 END" for p in WEIGHTS)
-    n = " + ".join(f"CAST({p} > 0.5 AS INTEGER)" for p in WEIGHTS)
+def agreement_sql(k, thr, scores=HORIZON_SCORES):
+    ups = " + ".join(f"CAST({p} > 0.5 AND {p} >= {thr} AS INTEGER)" for p in scores)
+    downs = " + ".join(f"CAST({p} <= 0.5 AND 1 - {p} >= {thr} AS INTEGER)" for p in scores)
+    total = " + ".join(f"CASE WHEN {p} > 0.5 THEN {p} ELSE 0 END" for p in scores)
+    n = " + ".join(f"CAST({p} > 0.5 AS INTEGER)" for p in scores)
     return pick(
         [BARS, *SCORED, f"ag AS (SELECT *, {ups} AS up_votes, {downs} AS down_votes, ({total}) / nullif({n}, 0) AS conf FROM sc)",
          "sg AS (SELECT *, " + outcome(f"({ATR_OK} AND up_votes >= {k})", "false", "2 * atr", "3 * atr", ("'b'", "'s'")) + " FROM ag)"],
         "sg", KEYS, {"action": "action", "stop_loss": "d:stop_loss", "up_votes": "up_votes", "down_votes": "down_votes",
-                     "confidence": "d:conf", "exit_long": flag(f"{ATR_OK} AND down_votes >= {k}")})
+                     "confidence": "d4:conf", "exit_long": flag(f"{ATR_OK} AND down_votes >= {k}")})
 
 
 AGREE_COLS = ["action", "stop_loss", "up_votes", "down_votes", "confidence", "exit_long"]
@@ -208,13 +190,13 @@ AGREE_COLS = ["action", "stop_loss", "up_votes", "down_votes", "confidence", "ex
 
 @query("f14_horizon_agreement", agreement_sql(3, 0.6))
 def horizons(spark, sf_dir):
-    return rounded(sig.agreement_rule(scored_bars(spark, sf_dir), list(WEIGHTS)).select(*KEYS, *AGREE_COLS))
+    return rounded(sig.agreement_rule(scored_bars(spark, sf_dir), HORIZON_SCORES).select(*KEYS, *AGREE_COLS), confidence=4)
 
 
 @query("f15_model_agreement", agreement_sql(2, 0.55))
 def models(spark, sf_dir):
-    out = sig.agreement_rule(scored_bars(spark, sf_dir), list(WEIGHTS), 0.55, 2, label="ENSEMBLE")
-    return rounded(out.select(*KEYS, *AGREE_COLS))
+    out = sig.agreement_rule(scored_bars(spark, sf_dir), HORIZON_SCORES, 0.55, 2, label="ENSEMBLE")
+    return rounded(out.select(*KEYS, *AGREE_COLS), confidence=4)
 
 
 STOPS = "CASE regime_name WHEN 'VOLATILE' THEN 3.0 WHEN 'BULL' THEN 1.5 WHEN 'BEAR' THEN 1.0 ELSE 2.0 END"
@@ -253,9 +235,9 @@ def regime_model(spark, sf_dir):
 
 
 @query("f17_regime_two_models",
-       pick(regime_sql("(CASE WHEN use_balanced THEN prob_alt ELSE prob_up END)", "false"), "sg", KEYS, REGIME_COLS))
+       pick(regime_sql("(CASE WHEN use_balanced THEN prob_balanced ELSE prob_up END)", "false"), "sg", KEYS, REGIME_COLS))
 def two_models(spark, sf_dir):
-    out = sig.regime_model_rule(regime_scored(spark, sf_dir), balanced_probability="prob_alt")
+    out = sig.regime_model_rule(regime_scored(spark, sf_dir), balanced_probability="prob_balanced")
     return rounded(out.select(*KEYS, *REGIME_COLS))
 
 

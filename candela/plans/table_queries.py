@@ -16,7 +16,8 @@ from candela.plans.ledger_queries import CFG, LEDGER, recursive
 from candela.plans.monitor_queries import CLASSES, FEATURES, LABELLED, LONG, QUALITY, labelled
 from candela.plans.registry import query
 from candela.plans.regime_queries import FUT
-from candela.plans.signal_queries import RULES_ALL, SCORED, scored_bars
+from candela.plans.fitted_scores import scored_bars
+from candela.plans.signal_queries import RULES_ALL, SCORED
 from candela.plans.sqltext import BARS, OVER, TRADES, full, lag, lead, pct, r, rounded, stages
 from candela.sources import bars as src
 from candela.sources.driver_tables import embedding_features, event_bars, line_trades, table
@@ -294,17 +295,17 @@ def probabilities(spark, sf_dir):
     return rounded(ev.probability_summary(scored_bars(spark, sf_dir), ["symbol"], "prob_up"))
 
 
-@query("h21_prediction_table", stages(BARS, *SCORED) + f"SELECT symbol, ts, {r('1 - prob_up')} AS prob_sell, {r('prob_up')} AS prob_buy,"
+@query("h21_prediction_table", stages(BARS, *SCORED) + f"SELECT symbol, ts, {r('1 - prob_up', 4)} AS prob_sell, {r('prob_up', 4)} AS prob_buy,"
        " CAST(prob_up > 0.5 AS INTEGER) AS predicted_class, CASE WHEN prob_up > 0.5 THEN 'BUY' ELSE 'SELL' END AS predicted_label FROM sc")
 def predictions(spark, sf_dir):
-    return rounded(ev.prediction_table(scored_bars(spark, sf_dir)))
+    return rounded(ev.prediction_table(scored_bars(spark, sf_dir)), 4)
 
 
-@query("h22_extremes", stages(BARS, *SCORED, "q AS (SELECT symbol, ts, round(prob_up, 6) AS p FROM sc)")
+@query("h22_extremes", stages(BARS, *SCORED, "q AS (SELECT symbol, ts, round(prob_up, 4) AS p FROM sc)")
        + "(SELECT symbol, ts, p AS prob_up, 'top' AS \"end\" FROM q ORDER BY p DESC, ts, symbol LIMIT 10) UNION ALL"
        " (SELECT symbol, ts, p, 'bottom' FROM q ORDER BY p, ts, symbol LIMIT 10)")
 def ends(spark, sf_dir):
-    q = rounded(scored_bars(spark, sf_dir).select("symbol", "ts", "prob_up")).withColumn("tie", F.struct("ts", "symbol"))
+    q = rounded(scored_bars(spark, sf_dir).select("symbol", "ts", "prob_up"), 4).withColumn("tie", F.struct("ts", "symbol"))
     return ev.extremes(q, "prob_up", 10, "tie").drop("tie")
 
 

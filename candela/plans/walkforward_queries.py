@@ -11,10 +11,11 @@ from candela.operators import ledger as led
 from candela.operators import metrics as met
 from candela.operators import signals as sig
 from candela.operators import walkforward as wf
+from candela.plans.fitted_scores import HORIZON_SCORES, scored_bars
 from candela.plans.ledger_queries import CFG, EQUITY, MARKED, ledger_sql, recursive
 from candela.plans.metric_queries import COUNTS, SHARPE, STATS, TOTAL
 from candela.plans.registry import query
-from candela.plans.signal_queries import ATR_OK, BRK, FAST, M80, MOM, REV, SCORED, WEIGHTS, base, outcome, scored_bars
+from candela.plans.signal_queries import ATR_OK, BRK, FAST, M80, MOM, REV, SCORED, base, outcome
 from candela.plans.sqltext import BARS, LINE_BARS, OVER, TRADE_ORDER, TRADES, r, rounded, stages
 from candela.sources.driver_tables import event_bars, line_bars, line_trades, trade_series
 
@@ -200,7 +201,7 @@ SWEEP = [
     BARS, *SCORED, "th(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in THRESHOLDS) + ")",
     "sg0 AS (SELECT *, " + outcome(f"({ATR_OK} AND prob_up > 0.5 AND greatest(prob_up, 1 - prob_up) >= threshold)", "false",
                                    "2 * atr", "3 * atr", ("'b'", "'s'")) + " FROM sc, th)",
-    "sg AS (SELECT * REPLACE (symbol || '#' || threshold AS symbol, rn - 13 AS rn) FROM sg0)",
+    "sg AS (SELECT * REPLACE (symbol || '#' || threshold AS symbol, row_number() OVER (PARTITION BY symbol, threshold ORDER BY ts) AS rn) FROM sg0)",
 ]
 
 
@@ -244,11 +245,11 @@ def profitable(spark, sf_dir):
     return wf.best_profitable(sweep_results(spark, sf_dir), "threshold", ["symbol"])
 
 
-UPS = " + ".join(f"CAST({p} > 0.5 AND {p} >= 0.55 AS INTEGER)" for p in WEIGHTS)
+UPS = " + ".join(f"CAST({p} > 0.5 AND {p} >= 0.55 AS INTEGER)" for p in HORIZON_SCORES)
 AGREE = [
     BARS, *SCORED, "th(k) AS (VALUES (2), (3), (4))",
     "sg0 AS (SELECT *, " + outcome(f"({ATR_OK} AND ({UPS}) >= k)", "false", "2 * atr", "3 * atr", ("'b'", "'s'")) + " FROM sc, th)",
-    "sg AS (SELECT * REPLACE (symbol || '#' || k AS symbol, rn - 13 AS rn) FROM sg0)",
+    "sg AS (SELECT * REPLACE (symbol || '#' || k AS symbol, row_number() OVER (PARTITION BY symbol, k ORDER BY ts) AS rn) FROM sg0)",
 ]
 
 
@@ -258,7 +259,7 @@ def agreement_sweep(spark, sf_dir):
     levels = spark.createDataFrame([(2,), (3,), (4,)], "agreement int")
     scored = wf.cross_parameters(scored_bars(spark, sf_dir), levels)
     series = keyed_series("symbol", "agreement")
-    bt = led.backtest(sig.agreement_rule(scored, list(WEIGHTS), 0.55, F.col("agreement")), FREE, series)
+    bt = led.backtest(sig.agreement_rule(scored, HORIZON_SCORES, 0.55, F.col("agreement")), FREE, series)
     return rounded(table_of(bt, series, RESULT), 4)
 
 
