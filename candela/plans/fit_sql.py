@@ -7,16 +7,17 @@ from collections.abc import Sequence
 STEPS = 1000
 
 
-def logistic_ctes(name: str, rows: str, features: Sequence[str], reg: float = 0.01, steps: int = STEPS) -> list[str]:
+def logistic_ctes(name: str, rows: str, features: Sequence[str], reg: float = 0.01, steps: int = STEPS, flat: float | None = None) -> list[str]:
     """Stages that end in ``name`` (m, c0, c1 ...): intercept and coefficients of each model of ``rows`` (m, y, w, features).
 
     The least of the mean weighted loss plus half of ``reg`` times the squared standardised coefficients; with curvature
-    between ``reg`` and a quarter of the number of features, the error falls by a fixed factor in each step.
+    between ``flat``, by default ``reg``, and a quarter of the number of features, the error falls by a fixed factor in each
+    step.  ``name``_g has the standardised coefficients b1, b2 ... of each step ``it``.
     """
     d = len(features)
     every = range(d + 1)
     steep = 0.25 * (d + 1) + reg
-    root = (reg / steep) ** 0.5
+    root = ((flat or reg) / steep) ** 0.5
     push = (1 - root) / (1 + root)
     means = ", ".join(f"sum(w * {f}) / sum(w) AS m{k}" for k, f in enumerate(features, 1))
     spreads = ", ".join(f"sqrt(sum(w * ({f} - m{k}) ** 2) / (any_value(sw) - any_value(sww) / any_value(sw))) AS s{k}" for k, f in enumerate(features, 1))
@@ -42,3 +43,30 @@ def logistic_ctes(name: str, rows: str, features: Sequence[str], reg: float = 0.
 def probability(model: str, features: Sequence[str]) -> str:
     """Probability of class 1 by the joined model ``model``."""
     return "1 / (1 + exp(-(" + " + ".join([f"{model}.c0", *[f"{model}.c{k} * {f}" for k, f in enumerate(features, 1)]]) + ")))"
+
+
+def softmax_ctes(name: str, rows: str, features: Sequence[str], classes: int, reg: float = 0.01, steps: int = 2 * STEPS) -> list[str]:
+    """The same for labels 0, 1 ... with one row of coefficients for each class: ``name`` (m, c0_0, c0_1 ...), class first."""
+    d = len(features)
+    first = logistic_ctes(name, rows, features, reg)[:3]
+    cells = [(a, k) for a in range(classes) for k in range(d + 1)]
+    steep = 0.5 * (d + 1) + reg
+    root = (reg / steep) ** 0.5
+    push = (1 - root) / (1 + root)
+    margin = {a: " + ".join([f"v{a}_0", *[f"v{a}_{k} * z{k}" for k in range(1, d + 1)]]) for a in range(classes)}
+    exps = ", ".join(f"exp({margin[a]}) AS x{a}" for a in range(classes))
+    whole = " + ".join(f"x{a}" for a in range(classes))
+    errors = ", ".join(f"w * (x{a} / ({whole}) - CAST(y = {a} AS INTEGER)) AS e{a}" for a in range(classes))
+    slopes = ", ".join(f"sum(e{a}" + (f" * z{k}" if k else "") + f") AS g{a}_{k}" for a, k in cells)
+    at = ", ".join(f"any_value(b{a}_{k}) AS b{a}_{k}, any_value(v{a}_{k}) AS v{a}_{k}" for a, k in cells)
+    new = {(a, k): f"v{a}_{k} - (g{a}_{k}" + (f" + {reg!r} * v{a}_{k}" if k else "") + f") / {steep!r}" for a, k in cells}
+    moved = ", ".join(f"{new[x]} AS b{x[0]}_{x[1]}, ({new[x]}) + {push!r} * ({new[x]} - b{x[0]}_{x[1]}) AS v{x[0]}_{x[1]}" for x in cells)
+    zeros = ", ".join(f"0.0::DOUBLE AS b{a}_{k}, 0.0::DOUBLE AS v{a}_{k}" for a, k in cells)
+    bases = ", ".join(f"b{a}_0 - (" + " + ".join(f"coalesce(b{a}_{k} * m{k} / nullif(s{k}, 0), 0)" for k in range(1, d + 1)) + f") AS c{a}_0" for a in range(classes))
+    rest = ", ".join(f"coalesce(b{a}_{k} / nullif(s{k}, 0), 0) AS c{a}_{k}" for a, k in cells if k)
+    return [
+        *first,
+        f"{name}_g AS (SELECT m, 0 AS it, {zeros} FROM {name}_s UNION ALL SELECT m, it + 1, {moved} FROM (SELECT m, it, {at}, {slopes} FROM"
+        f" (SELECT *, {errors} FROM (SELECT *, {exps} FROM {name}_g JOIN {name}_t USING (m) WHERE it < {steps})) GROUP BY m, it))",
+        f"{name} AS MATERIALIZED (SELECT m, {bases}, {rest} FROM {name}_g JOIN {name}_s USING (m) JOIN {name}_v USING (m) WHERE it = {steps})",
+    ]
