@@ -257,7 +257,7 @@ def keys(sets: DataFrame, most_small: int, percent: int, subset: int) -> DataFra
     return light.unionByName(heavy).select("key", "sid")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), each there once, whose texts have the similarity."""
     pairs = saved(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -330,7 +330,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
         chosen = named.join(pivots, ["key", "sid"]).select("key", F.col("sid").alias("b"), F.struct("size", "bits", "comp").alias("p"))
         tied = named.select("key", F.col("sid").alias("a"), F.struct("size", "bits", "comp").alias("m"))
         tied = spread_join(tied, chosen, "key", hot, ["a"]).where((F.col("m.comp") != F.col("p.comp")) & _possible("m", "p", percent))
-        new = _verified(tied.select("a", "b").distinct(), sets, docs, width, percent)
+        new = verified(tied.select("a", "b").distinct(), sets, docs, width, percent)
         if new.limit(1).count() == 0:
             break
         found = saved(found.unionByName(new), "found")
@@ -356,7 +356,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
         one = _named(facts, labels).select(F.col("sid").alias(side), F.struct("size", "bits", "comp").alias(f"of_{side}"))
         two = two.join(one, side)
     two = two.where((F.col("of_a.comp") != F.col("of_b.comp")) & _possible("of_a", "of_b", percent)).select("a", "b")
-    return found.unionByName(_verified(paired.unionByName(blocked).unionByName(two).distinct(), sets, docs, width, percent))
+    return found.unionByName(verified(paired.unionByName(blocked).unionByName(two).distinct(), sets, docs, width, percent))
 
 
 def similar_documents(

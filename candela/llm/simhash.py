@@ -16,16 +16,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candela.llm import shingle_join
 from candela.llm.components import components
-from candela.llm.frames import hot_keys, lookup, saved
+from candela.llm.frames import hot_keys, hot_size, lookup, saved, spread_join
 
 BITS = 64
 DISTANCE = 4
 SHINGLE = 4
 #: Shingles whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
-#: Table entries of one segment value from which its pairs are not listed but spanned, and the most in a block.
-DENSE, BLOCK = 32, 2048
+#: Table entries of one segment value from which its pairs are not listed but spanned, the most in a block, and the
+#: entries from which a value is indexed once more by its other bits.
+DENSE, BLOCK, INDEXED = 32, 2048, 1 << 15
+PARTS = 3
 
 _UPPER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -69,10 +72,10 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def segments(distance: int, parts: int) -> list[tuple[int, int, int]]:
+def segments(distance: int, parts: int, width: int = BITS) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of each segment.  If every segment differed in more bits than its radius, the
     whole would differ in more than ``distance``."""
-    cuts = [BITS * k // parts for k in range(parts + 1)]
+    cuts = [width * k // parts for k in range(parts + 1)]
     base, more = divmod(distance, parts)
     return [(a, b - a, base if k <= more else base - 1) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if k <= more or base > 0]
 
@@ -114,28 +117,47 @@ def _spanned(distance: int):
     return edges
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+def _cut(fp: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _others(first: int, bits: int) -> Column:
+    """The fingerprint without one segment, closed up."""
+    above = F.lit(0).cast("long") if first + bits == BITS else F.shiftleft(F.shiftrightunsigned("fp", first + bits), first)
+    return above.bitwiseOR(_cut(F.col("fp"), 0, first)) if first else above
+
+
+def _second_keys(cuts: list[tuple[int, int, int]], distance: int, probing: bool) -> Column:
+    """Keys of the second index: the first key with a segment of the other bits, or with the ball around it."""
+    out = None
+    for k, (first, bits, _) in enumerate(cuts):
+        rest, each = _others(first, bits), []
+        for j, (a, n, r) in enumerate(segments(distance, PARTS, BITS - bits)):
+            part = rest if a == 0 and n == BITS - bits else _cut(rest, a, n)
+            for mask in _ball(n, r) if probing else [0]:
+                each.append(F.xxhash64("key", F.lit(j), part.bitwiseXOR(F.lit(mask).cast("long"))))
+        keys = F.array_distinct(F.array(*each))
+        out = F.when(F.shiftright("key", 40) == k, keys) if out is None else out.when(F.shiftright("key", 40) == k, keys)
+    return out
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
     """Links (a, b) between different fingerprints of at most ``distance`` bits.
 
     ``prints`` has each fingerprint once.  Every two that are so near are linked directly or, within a dense segment
-    value, by a chain of such links.  ``parts`` only sets the cost: by default segments are at least about as wide
-    as the logarithm of the table, so that a segment value has few entries.
+    value, by a chain of such links.  ``parts`` sets the cost only.  The probes of a fingerprint are the same in a
+    table of any size; a segment value with very many entries is indexed again by the bits outside of the segment.
     """
-    if parts is None:
-        parts = 3 if prints.count() < 1 << 23 else 2
     cuts = segments(distance, parts)
 
     def key(k: int, place: Column) -> Column:
         return place.bitwiseOR(F.lit(k << 40))
 
-    def value(first: int, bits: int) -> Column:
-        return F.shiftrightunsigned(F.col("fp"), first).bitwiseAND(F.lit((1 << bits) - 1))
-
-    table = prints.select("fp", F.explode(F.array(*[key(k, value(a, n)) for k, (a, n, _) in enumerate(cuts)])).alias("key"))
+    table = prints.select("fp", F.explode(F.array(*[key(k, _cut(F.col("fp"), a, n)) for k, (a, n, _) in enumerate(cuts)])).alias("key"))
 
     def ball(k: int, first: int, bits: int, radius: int) -> Column:
         masks = F.array(*[F.lit(m).cast("long") for m in _ball(bits, radius)])
-        return F.transform(masks, lambda m: key(k, value(first, bits).bitwiseXOR(m)))
+        return F.transform(masks, lambda m: key(k, _cut(F.col("fp"), first, bits).bitwiseXOR(m)))
 
     probes = prints.select("fp", F.explode(F.concat(*[ball(k, *cut) for k, cut in enumerate(cuts)])).alias("key"))
 
@@ -143,12 +165,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     # sparse values: list the pairs, each once, in the first segment that shows it
     sparse = table.join(dense, "key", "left_anti")
     other = F.col("t.fp")
-    step = F.col("t.key").bitwiseAND(F.lit((1 << 40) - 1))
     seg = F.shiftright(F.col("t.key"), 40)
     earlier = F.lit(False)
     for k, (a, n, r) in enumerate(cuts[:-1]):
-        diff = F.shiftrightunsigned(F.col("p.fp").bitwiseXOR(other), a).bitwiseAND(F.lit((1 << n) - 1))
-        earlier = earlier | ((seg > k) & (F.bit_count(diff) <= r))
+        earlier = earlier | ((seg > k) & (F.bit_count(_cut(F.col("p.fp").bitwiseXOR(other), a, n)) <= r))
     pairs = (
         probes.alias("p").join(sparse.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.fp") < other) & (_apart(F.col("p.fp"), other) <= distance) & ~earlier)
         .select(F.col("p.fp").alias("a"), other.alias("b"))
@@ -156,7 +176,24 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     # dense values: blocks of entries against blocks of probes, a spanning forest of each
     if dense.limit(1).count() == 0:
         return pairs
-    hit = saved(probes.join(dense.select("key", F.col("n").alias("entries")), "key"), "probes")
+    entries = table.join(dense.select("key", "n"), "key")
+    asking = probes.join(dense.select("key", "n"), "key")
+
+    def level(df: DataFrame, large: bool, probing: bool) -> DataFrame:
+        if not large:
+            return df.where(F.col("n") <= INDEXED).select("key", "fp")
+        return df.where(F.col("n") > INDEXED).select("fp", F.explode(_second_keys(cuts, distance, probing)).alias("key")).select("key", "fp")
+
+    found = pairs.unionByName(_spanning(level(entries, False, False), level(asking, False, True), distance))
+    if dense.where(F.col("n") > INDEXED).limit(1).count() == 0:
+        return found
+    return found.unionByName(_spanning(level(entries, True, False), level(asking, True, True), distance))
+
+
+def _spanning(entries: DataFrame, asking: DataFrame, distance: int) -> DataFrame:
+    """Spanning links of the near pairs of ``entries`` and ``asking`` (key, fp) that share a key."""
+    counted = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("entries")), "entries")
+    hit = saved(asking.join(counted, "key"), "probes")
     sizes = saved(hit.groupBy("key", "entries").agg(F.count(F.lit(1)).alias("probes")), "sizes")
 
     def blocks(column: str) -> Column:
@@ -165,17 +202,16 @@ def links(prints: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     def own(column: str) -> Column:
         return F.pmod(F.xxhash64("fp"), blocks(column)).cast("int")
 
-    entries = table.join(sizes, "key").select(
+    table = entries.join(sizes, "key").select(
         "key", "fp", F.lit(True).alias("entry"), own("entries").alias("i"), F.explode(F.sequence(F.lit(0), blocks("probes") - 1)).alias("j")
     )
-    asking = hit.join(sizes.drop("entries"), "key").select(
+    probes = hit.join(sizes.drop("entries"), "key").select(
         "key", "fp", F.lit(False).alias("entry"), F.explode(F.sequence(F.lit(0), blocks("entries") - 1)).alias("i"), own("probes").alias("j")
     )
-    spanned = entries.unionByName(asking).groupBy("key", "i", "j").applyInPandas(_spanned(distance), "a bigint, b bigint")
-    return pairs.unionByName(spanned)
+    return table.unionByName(probes).groupBy("key", "i", "j").applyInPandas(_spanned(distance), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), group_size, text_hash.
 
     ``docs`` needs doc_id and text; other columns are ignored.  Texts without words, null ones too, have fingerprint
@@ -193,3 +229,109 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     hot = of_print.where(F.col("n") >= max(64, -(-rows.count() // 1024))).select("fp")
     out = lookup(rows, of_print.drop("n"), "fp", hot, ["doc_id"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size", "text_hash")
+
+
+# ---- near copies by similarity: several fingerprints, and links that the texts confirm --------------------
+
+#: Fingerprints of a text; cut in three, they have 18 segments, in one of which near copies differ in one bit at most.
+PRINTS = 6
+#: Bits that fingerprints of near copies differ in at most, in one of them and in all, and rows of a value that are tied to one.
+ONE_APART, ALL_APART, TIED = 24, 96, 16
+_STEPS = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(1, PRINTS + 1)]
+
+
+def many_prints(tokens: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints of a set of hashed shingles."""
+    counts = np.zeros((PRINTS, BITS), np.int64)
+    for at in range(0, len(tokens), COUNT_ROWS):
+        for f, step in enumerate(_STEPS):
+            x = tokens[at : at + COUNT_ROWS] + step
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts[f] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > len(tokens)).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def _read_prints(docs: DataFrame, width: int) -> DataFrame:
+    @F.pandas_udf("array<bigint>")
+    def prints(texts: pd.Series) -> pd.Series:
+        read = shingle_join.Shingler(width)
+        found = [read(t) for t in texts]
+        return pd.Series([many_prints(t) if len(t) else None for t in found])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), prints("text").alias("prints"))
+    return saved(rows.withColumn("sid", F.monotonically_increasing_id()), "many-prints")
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    """sid, comp, place and value of each segment, and the fingerprint that it is cut from."""
+    each = [
+        F.struct(F.lit(3 * f + k).alias("place"), F.shiftrightunsigned(F.get("prints", F.lit(f)), a).bitwiseAND(F.lit((1 << n) - 1)).cast("int").alias("value"),
+                 F.get("prints", F.lit(f)).alias("print"))
+        for f in range(PRINTS) for k, (a, n, _) in enumerate(segments(5, 3))
+    ]
+    return rows.select("sid", "comp", F.inline(F.array(*each)))
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over links), text_hash of every row.
+
+    Links are pairs of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more, which
+    the texts confirm; candidates are found by SimHash.  Each text has PRINTS fingerprints, each cut in three segments.  Two
+    texts are candidates if some segment differs in one bit at most and the fingerprints in ONE_APART and ALL_APART bits at
+    most.  A bit differs with the arc cosine of 2 s / (1 + s) over pi, 0.15 at s = 0.8, so that 0.95 of the pairs of that
+    similarity are candidates, and more of those above.  The ball of radius one is searched through the halves of a
+    segment, one of which is equal.  Rows of one value are first tied to one of them, and a component then has one row
+    in each value, so hot groups are neither paired out nor met in one task.
+
+    ``docs`` needs doc_id and text; other columns are ignored.  Null texts and those without words are linked with
+    nothing.  Repeated rows are linked; a null doc_id counts only where its component has no other.  An empty table
+    gives no rows.
+    """
+    rows = _read_prints(docs, width)
+    full = rows.where("prints IS NOT NULL").select("sid", "prints")
+    facts = rows.select("sid", "doc_id", "text_hash")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Different ones of ``pairs`` (a, b) whose fingerprints are near, confirmed by the texts."""
+        one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        total = one.count()
+        for side in ("a", "b"):
+            hot = one.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(total))
+            one = spread_join(one, full.select(F.col("sid").alias(side), F.col("prints").alias(f"of_{side}")), side, hot, ["a", "b"])
+        return shingle_join.verified(one.where(_far(F.col("of_a"), F.col("of_b")) <= ALL_APART).select("a", "b"), facts, docs, width, percent)
+
+    # rows of one value are tied to its smallest
+    values = saved(_values(full.withColumn("comp", F.col("sid"))).drop("comp"), "values")
+    crowds = values.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("b")).where(F.col("n") > TIED)
+    crowds = saved(crowds.select(F.struct("place", "value").alias("at"), "n", "b"), "crowds")
+    found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
+    if crowds.limit(1).count():
+        hot = crowds.where(F.col("n") >= hot_size(values.count())).select("at", "n")
+        tied = spread_join(values.select(F.struct("place", "value").alias("at"), F.col("sid").alias("a")), crowds.drop("n"), "at", hot, ["a"])
+        found = near(tied.where("a != b").select("a", "b"))
+        labels = saved(components(found), "tied")
+
+    # one row for each component and value; those that share half of a segment and differ in one bit of the other
+    named = full.withColumn("comp", F.col("sid")) if labels is None else (
+        full.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
+    each = saved(_values(named).groupBy("place", "value", "comp").agg(F.min_by("print", "sid").alias("print"), F.min("sid").alias("sid")), "by-value")
+    half = [(F.col("value").bitwiseAND(F.lit(1023)), F.shiftright("value", 10)), (F.shiftright("value", 10), F.col("value").bitwiseAND(F.lit(1023)))]
+    cut = each.select("sid", "comp", "print", F.inline(F.array(*[F.struct((2 * F.col("place") + h).alias("half"), same.alias("same"), rest.alias("rest")) for h, (same, rest) in enumerate(half)])))
+    x, y = cut.alias("x"), cut.alias("y")
+    apart = F.bit_count(F.col("x.rest").bitwiseXOR(F.col("y.rest")))
+    # equal values show once, in the first half
+    ball = (apart <= 1) & ((apart == 1) | (F.col("x.half") % 2 == 0))
+    met = x.join(y, (F.col("x.half") == F.col("y.half")) & (F.col("x.same") == F.col("y.same")) & (F.col("x.sid") < F.col("y.sid"))
+                 & (F.col("x.comp") != F.col("y.comp")) & ball & (_apart(F.col("x.print"), F.col("y.print")) <= ONE_APART))
+    found = found.unionByName(near(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))))
+    roots = components(found)
+
+    named = saved(facts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "named")
+    groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return lookup(named, groups, "root", hot_keys(named, "root", named.count()), ["sid"]).select("doc_id", "component_id", "text_hash")

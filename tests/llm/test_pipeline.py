@@ -56,7 +56,7 @@ def test_empty_tables_pass_through(spark, no_docs):
             assert out.columns == no_docs.columns
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_secret_scans", "op9_url_filters"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_secret_scans", "op9_url_filters", "op13_fill_middle"])
 def test_query_equals_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
@@ -72,7 +72,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
 
 
 def test_pipeline_runs_over_the_whole_table(spark):

@@ -48,8 +48,9 @@ def test_segments_cover_the_distance():
             assert sum(missed) > distance
 
 
-@pytest.mark.parametrize("parts", [2, 3, 4])
-def test_components_equal_brute_force(spark, monkeypatch, parts):
+@pytest.mark.parametrize("parts,indexed", [(2, 1 << 15), (3, 1 << 15), (3, 8)])
+def test_components_equal_brute_force(spark, monkeypatch, parts, indexed):
+    monkeypatch.setattr(simhash, "INDEXED", indexed)
     rng = random.Random(parts)
     base = [rng.getrandbits(64) for _ in range(60)]
     prints = set(base)
@@ -91,3 +92,39 @@ def test_components_of_a_long_path_and_a_star(spark):
     found = components(spark.createDataFrame(path + star + [(7, 7)], "a bigint, b bigint")).collect()
     assert {r.node: r.root for r in found} == {i: 0 for i in range(301)} | {k: 4000 for k in [*range(4000, 4900), 5000]}
     assert len(found) == 301 + 901
+
+
+def test_similar_documents_are_found_and_confirmed(spark):
+    """Near copies of a similarity of 0.8 and more: at least nine of ten are linked, and nothing that is not similar."""
+    rng = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(9000)]
+    rows, pairs = [(0, None), (1, ""), (2, "a b")], []
+    while len(pairs) < 320:
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 400))]
+        other = list(words)
+        if rng.random() < 0.6:
+            for _ in range(max(1, int(len(words) * rng.uniform(0.005, 0.025)))):
+                other[rng.randrange(len(other))] = rng.choice(vocabulary)
+        else:  # a block at the end
+            other += [rng.choice(vocabulary) for _ in range(int(len(words) * rng.uniform(0.02, 0.35)))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        s = len(a & b) / len(a | b)
+        pairs.append((len(rows), len(rows) + 1, s))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert len(got) == len(rows) and all(got[k] == k for k in (0, 1, 2))
+    close = [got[a] == got[b] for a, b, s in pairs if 0.8 <= s < 0.85]
+    assert len(close) > 40 and sum(close) >= 0.9 * len(close)
+    assert sum(got[a] == got[b] for a, b, s in pairs if s >= 0.8) >= 0.95 * sum(s >= 0.8 for _, _, s in pairs)
+    assert not any(got[a] == got[b] for a, b, s in pairs if s < 0.8)
+
+
+def test_similar_documents_with_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TIED", 3)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(k, " ".join(w if rng.random() > 0.004 else f"new{k}" for w in base)) for k in range(120)] + [(500 + k, " ".join(f"x{rng.randrange(5000)}" for _ in range(90))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(got[k] == 0 for k in range(120)) and all(got[500 + k] == 500 + k for k in range(40))
