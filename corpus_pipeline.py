@@ -25,8 +25,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, those of the smallest doc_id; one without a doc_id has no place in the order and stays."""
-    dropped = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id", "text_hash")
+    """Of documents linked by a similarity of five-word shingles of 0.8 or more, those of the smallest doc_id; one without
+    a doc_id has no place in the order and stays."""
+    dropped = simhash.similar_documents(docs).where("doc_id > component_id").select("doc_id", "text_hash").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", simhash.text_hash().alias("text_hash"))
     return rows.join(dropped, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
