@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,20 +88,28 @@ def _beside(attrs: str) -> bool:
     return _HIDDEN.search(attrs) is not None
 
 
-def _around_article(page: str, at: int, tag: str, mark: str) -> bool:
-    """Whether the element ``tag`` whose content starts at ``at`` contains the page's article."""
+def _around_article(page: str, mark: str) -> set[int]:
+    """Where the contents of all elements begin that contain a start of the page's article, the elements of one name
+    being matched among themselves."""
     if not mark:
-        return False
-    depth = 1
-    for m in _TOKEN.finditer(page, at):
+        return set()
+    open_at: dict[str, list[int]] = {}
+    reach: list[tuple[int, int]] = []
+    starts: list[int] = []
+    for m in _TOKEN.finditer(page):
         name = (m["tag"] or "").lower()
+        if not name:
+            continue
         if name == mark and not m["end"]:
-            return True
-        if name == tag and not (m["attrs"] or "").endswith("/"):
-            depth += -1 if m["end"] else 1
-            if not depth:
-                return False
-    return False
+            starts.append(m.start())
+        if name in WRAPS and not (m["attrs"] or "").endswith("/"):
+            begun = open_at.setdefault(name, [])
+            if not m["end"]:
+                begun.append(m.end())
+            elif begun:
+                reach.append((begun.pop(), m.start()))
+    reach += [(at, len(page)) for begun in open_at.values() for at in begun]
+    return {at for at, end in reach if (k := bisect_left(starts, at)) < len(starts) and starts[k] < end}
 
 
 def _mark(page: str) -> str:
@@ -108,12 +117,47 @@ def _mark(page: str) -> str:
     return next((name for name in ARTICLE if "<" + name in lower), "")
 
 
+class _Open:
+    """The elements that are open, with the places of those of each name, so that no search goes through the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool] | None] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def add(self, name: str, aside: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, aside))
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def top(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def remove(self, at: int) -> tuple[str, bool]:
+        """Take out the innermost element of its name."""
+        name, aside = self.stack[at]
+        self.places[name].pop()
+        if name not in INLINE:
+            self.blocks.pop()
+        self.stack[at] = None
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+        return name, aside
+
+
 def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, value, beside, article) in page order; kind is "tag", "fence" (a tag that opens or closes a part
-    beside the article) or "text"; beside and article tell whether such an element is open around it."""
-    stack: list[tuple[str, bool]] = []
+    beside the article) or "text"; beside and article tell whether such an element is open around it.  The time grows
+    in proportion to the page, whatever its nesting."""
+    open_ = _Open()
     beside = article = 0
     mark, opened = _mark(page), False
+    around: set[int] | None = None
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -124,33 +168,35 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is None or tag in INLINE and any(name not in INLINE for name, _ in stack[at + 1 :]):
-                if at is not None:  # an inline element closed outside the block in which it was opened
-                    beside -= stack.pop(at)[1]
+            at = open_.last(tag)
+            if at < 0 or tag in INLINE and open_.blocks and open_.blocks[-1] > at:
+                if at >= 0:  # an inline element closed outside the block in which it was opened
+                    beside -= open_.remove(at)[1]
                 yield "tag", tag, beside > 0, article > 0
                 continue
             fence = False
-            while len(stack) > at:
-                name, aside = stack.pop()
+            while len(open_.stack) > at:
+                name, aside = open_.remove(len(open_.stack) - 1)
                 beside -= aside
                 article -= name == mark
                 fence |= aside
             yield "fence" if fence else "tag", tag, beside > 0, article > 0
             continue
         if tag in ENDS_P or tag == "li" or tag == "option":
-            ends = {"p"} if tag in ENDS_P and tag != "li" else {"p", tag}
-            while stack and (stack[-1][0] in ends or stack[-1][0] in INLINE and any(name in ends for name, _ in stack)):
+            ends = ("p",) if tag in ENDS_P and tag != "li" else ("p", tag)
+            while (top := open_.top()) is not None and (top in ends or top in INLINE and open_.last(*ends) >= 0):
                 # an open paragraph ends here, and with it what is open inside; a list item does not leave its list
-                if any(name in ("ul", "ol", "table") for name, _ in stack[max((k for k, x in enumerate(stack) if x[0] in ends), default=0) :]):
+                if open_.last("ul", "ol", "table") > open_.last(*ends):
                     break
-                beside -= stack.pop()[1]
+                beside -= open_.remove(len(open_.stack) - 1)[1]
         aside = tag in ASIDE and not (tag == "header" and article) or _beside(m["attrs"]) and tag not in ("html", "body")
         if aside and not opened and not beside and not _HIDDEN.search(m["attrs"]):
             # the page's first article, and what wraps it, are never beside it
-            aside = tag not in ARTICLE and not (tag in WRAPS and _around_article(page, m.end(), tag, mark))
+            if tag in WRAPS and around is None:
+                around = _around_article(page, mark)
+            aside = tag not in ARTICLE and not (tag in WRAPS and m.end() in around)
         if tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append((tag, aside))
+            open_.add(tag, aside)
             beside += aside
             article += tag == mark
             opened |= tag == mark and not beside

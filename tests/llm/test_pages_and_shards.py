@@ -1,5 +1,9 @@
 """Page text, URL rules and shards on small made pages, against plain Python."""
 
+import time
+
+import random
+
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -159,3 +163,48 @@ def test_other_articles_beside_the_first_stay_out():
     )
     assert html_text.main_text(page, html_text.Weights()) == "own words here"
     assert html_text.main_text("<article style='display:none'><p>not to be seen</p></article>", html_text.Weights()) == ""
+
+
+def test_many_rules(spark):
+    """A hundred thousand rules, some hosts with thousands of them, against trying all rules."""
+    rules = [("block" if k % 3 else "allow", f"h{k % 997}.example{'.org' if k % 2 else ''}", f"/{k % 50}/{k % 7}" if k % 5 else "/") for k in range(95_000)]
+    rules += [("block", "big.net", f"/p{k}") for k in range(5_000)] + [("allow", "net", "/p1"), ("block", "org", "/p"), ("allow", "org", "/q")]
+    urls = [f"https://{h}/{p}" for h in ("a.h5.example.org", "h6.example", "BIG.net", "x.y.big.net", "other.net", "org", "z.org") for p in ("", "5/5", "1/1x", "p17", "p4999/a?b", "p", "q/r")]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls + [None, "no scheme"])], "page_id int, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    for k, url in enumerate(urls):
+        host, _, path = url[8:].partition("/")
+        host, path = host.lower(), ("/" + path).split("?")[0]
+        fits = {(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)}
+        best = min(fits, key=lambda f: (-len(f[0]), f[0], f[1]), default=(None, "allow"))
+        assert got[k] == best, url
+    assert got[len(urls)] == got[len(urls) + 1] == (None, "allow")
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='ad'>" * 60_000 + "<article>hello there</article>", "<div>" * 60_000 + "</ul>" * 60_000, "<b><p>" * 80_000 + "</b>" * 80_000 + " end",
+])
+def test_time_grows_with_the_page_only(page):
+    began = time.process_time()
+    html_text.main_text(page, html_text.Weights())
+    assert time.process_time() - began < 20  # seconds that a search through the open elements would exceed many times over
+
+
+def test_run_is_the_best_of_all_runs():
+    draw = random.Random(2)
+    weights = html_text.Weights()
+    for _ in range(300):
+        page = "".join(draw.choice(["<p>", "</p>", "<div>", "</div>", "<td>", "one ", "two words ", "<nav>x", "</nav>", "<b>", "</b>", "<hr>"]) for _ in range(draw.randrange(1, 25)))
+        seen = list(html_text.units(page))
+        score = [
+            (0 if beside else len(v.split())) if kind == "text" else -html_text.FENCE if kind == "fence" else 0 if beside else -weights.tag(v)
+            for kind, v, beside, _ in seen
+        ]
+        best = max([sum(score[a:b]) for a in range(len(score)) for b in range(a + 1, len(score) + 1)], default=0)
+        words = html_text.main_text(page, weights).split()
+        runs = [
+            [w for kind, v, beside, _ in seen[a:b] if kind == "text" and not beside for w in v.split()]
+            for a in range(len(score)) for b in range(a + 1, len(score) + 1) if abs(sum(score[a:b]) - best) < 1e-9
+        ]
+        # blocks inside a run only part its words
+        assert ("".join(words) in {"".join(r) for r in runs}) if best > 1e-9 else words == []
