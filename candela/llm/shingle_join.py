@@ -38,7 +38,7 @@ CELL_BITS, SLICES = 20, 64
 #: Sets larger than this never take the light way.
 LARGEST_SMALL = 128
 #: Sets that share a key from which they are tied to one of them before they are paired, rounds of that, and sets in a block.
-DENSE, ROUNDS, BLOCK = 16, 3, 1024
+DENSE, ROUNDS, BLOCK = 4, 6, 1024
 #: Texts, and keys, are picked by their place among so many, which bounds the tables that are broadcast for it.
 PLACES, KEY_PLACES = 1 << 18, 1 << 20
 #: Words whose hashes a worker keeps.
@@ -90,9 +90,9 @@ def smallest_set(percent: int) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Parity sketch: each shingle turns one bit of a row that has a power of two of bits, about half as many as shingles.
+    """Parity sketch: each shingle turns one bit of a row that has a power of two of bits, two to four times as many as shingles.
     Sketches of two sets differ in no more bits than the sets do in shingles; a longer one folds to the length of a shorter."""
-    words = max(1, 1 << max(0, (len(tokens) - 1).bit_length() - 7))
+    words = max(1, 1 << max(0, (len(tokens) - 1).bit_length() - 5))
     bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
