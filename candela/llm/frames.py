@@ -53,8 +53,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread:
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row of any size for each key.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join, inner or left, of ``rows`` with ``table``, which has one row of any size for each key.
 
     ``hot`` (key, n) names at most HOT_KEYS keys with their counts in ``rows``.  Only these names are broadcast; the
     table row of a hot key is repeated for every SMALL_GROUP rows, and the rows are dealt out to the repeats.
@@ -63,7 +63,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, spr
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     dealt = rows.join(names, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     repeats = table.join(names, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(repeats, [key, "_part"]).drop("_part")
+    return dealt.join(repeats, [key, "_part"], how).drop("_part")
 
 
 def ranked(df: DataFrame, key: str, order: Sequence[str], total: int) -> DataFrame:

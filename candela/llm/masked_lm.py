@@ -6,9 +6,9 @@ place in the class.  A word without an id of its own is predicted by its bucket,
 counts of all words of the corpus.  The sum of the log-probabilities of all words is the document's
 pseudo-log-likelihood.
 
-The network is trained in numpy inside Spark tasks: in each round every task starts from the same weights, goes
-once over its share of the documents, and the weights are averaged by the words seen.  All documents take part, each
-in one round.
+The network is trained in numpy inside Spark tasks: in each round every shard of the documents starts from the same
+weights and is gone over once, and the weights are averaged by the words seen.  All documents take part, each in one
+round; a hash decides on round, shard and order.
 """
 
 from __future__ import annotations
@@ -69,14 +69,14 @@ class Words(dict):
 
     ``ids`` has the network's id of each place.  ``shares`` has the log of the word's share of its bucket, or of a
     word of the bucket that was never seen; a word counts once more than it was seen.  ``table`` is the folder of
-    (word, n) of all words of the corpus.
+    (word, n) of all words of the corpus, ``total`` their number.
     """
 
-    def __init__(self, common: Sequence[tuple[str, int]], totals: dict[int, int], table: str, shape: Shape) -> None:
+    def __init__(self, common: Sequence[tuple[str, int]], totals: dict[int, int], table: str, shape: Shape, total: int = 0) -> None:
         """``common``: the commonest words and their counts, in order; ``totals``: words and different words of each
         bucket, added up."""
         super().__init__((w.encode(), k) for k, (w, _) in enumerate(common))
-        self.shape, self.table, self.known = shape, table, len(common)
+        self.shape, self.table, self.known, self.total = shape, table, len(common), total
         own = min(shape.frequent, len(common))
         rest = [zlib.crc32(w.encode()) % shape.buckets for w, _ in common[own:]]
         unseen = -np.log([totals.get(b, 0) + 1.0 for b in range(shape.buckets)])
@@ -188,51 +188,86 @@ def vocabulary(docs: DataFrame, shape: Shape | None = None) -> Words:
     totals = {r["bucket"]: r["n"] for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 1).alias("n")).collect()}
     for word, n in common[: shape.frequent]:
         totals[zlib.crc32(word.encode()) % shape.buckets] -= n + 1
-    return Words(common, totals, path, shape)
+    return Words(common, totals, path, shape, size["all"])
 
 
-#: Weights of one row on their way to the average.
-CHUNK = 4096
+#: Weights of one row on their way to the average, and rows that are added at a time.
+CHUNK, FAN_IN = 4096, 32
+#: Words of a shard, about: the network is trained on each shard for itself and then averaged.
+SHARD_WORDS = 1 << 22
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    """One row for rows of a chunk, added in the order of their shards."""
+    group = group.sort_values("part")
+    total = np.sum(np.stack(group["total"].to_numpy()), axis=0)
+    return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "part": group["part"].iloc[:1], "seen": [group["seen"].sum()], "total": [total]})
 
 
 def train(docs: DataFrame, shape: Shape | None = None) -> tuple[Words, Network]:
-    """Vocabulary and network of a corpus.  Only the weights and the common words reach the driver."""
+    """Vocabulary and network of a corpus.  Only the weights and the common words reach the driver.
+
+    Documents are dealt into shards by a hash, and sorted by it in their shard, so the result does not depend on how
+    the table is split into files or tasks.
+    """
     words = vocabulary(docs, shape)
     shape = words.shape
     network = Network(shape)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shape.rounds)).alias("round"), "text")
+    shards = max(1, round(words.total / SHARD_WORDS))
+    mark = F.xxhash64("doc_id", "text")
+    rows = docs.select(
+        F.pmod(mark, F.lit(shape.rounds)).alias("round"), F.pmod(F.shiftright(mark, 20), F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "text"
+    )
     for k in range(shape.rounds):
         start = network.flat
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, seen = Network(shape, start.copy()), 0
-            squares = own.like()
-            held: list[np.ndarray] = []
-            size = 0
+            shard, own, squares, held, size, seen = None, None, None, [], 0, 0
+
+            def step() -> None:
+                around, at = windows(held, shape)
+                for i in range(0, size, shape.batch):
+                    own.train(around[:, i : i + shape.batch], at[i : i + shape.batch], squares)
+
+            def ended() -> pd.DataFrame:
+                parts = [own.flat[i : i + CHUNK].astype(np.float64) * seen for i in range(0, len(own.flat), CHUNK)]
+                return pd.DataFrame({"chunk": range(len(parts)), "part": shard, "seen": seen, "total": parts})
+
             for batch in batches:
-                for text in batch["text"]:
+                for at, text in zip(batch["shard"], batch["text"]):
+                    if at != shard:
+                        if size:
+                            step()
+                        if seen + size:
+                            seen += size
+                            yield ended()
+                        shard, own, held, size, seen = at, Network(shape, start.copy()), [], 0, 0
+                        squares = own.like()
                     ids = words.of(text or "")
                     held.append(ids)
                     size += len(ids)
                     if size >= shape.batch:
-                        around, at = windows(held, shape)
-                        for i in range(0, size, shape.batch):
-                            own.train(around[:, i : i + shape.batch], at[i : i + shape.batch], squares)
+                        step()
                         seen, size, held = seen + size, 0, []
             if size:
-                own.train(*windows(held, shape), squares)
+                step()
+            if seen + size:
                 seen += size
-            if seen:
-                parts = [own.flat[i : i + CHUNK] for i in range(0, len(own.flat), CHUNK)]
-                yield pd.DataFrame({"chunk": range(len(parts)), "seen": seen, "values": parts})
-
-        parts = rows.where(F.col("round") == k).select("text").mapInPandas(learn, "chunk int, seen bigint, values array<float>")
-        each = parts.select("chunk", "seen", F.posexplode("values").alias("place", "value"))
-        mean = each.groupBy("chunk", "place").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value"))
-        table = mean.toPandas()
+                yield ended()
+
+        dealt = rows.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "mark")
+        schema = "chunk int, part int, seen bigint, total array<double>"
+        parts = saved(dealt.select("shard", "text").mapInPandas(learn, schema), "weights")
+        left = shards
+        while left > 1:  # a tree, so that a task adds a bounded number of rows
+            left = -(-left // FAN_IN)
+            place = F.floor(F.col("part") / FAN_IN).cast("int")
+            parts = parts.withColumn("part", place).groupBy("chunk", "part").applyInPandas(_added, schema)
+        table = parts.toPandas()
         if len(table):
             flat = network.flat.copy()
-            flat[table["chunk"].to_numpy() * CHUNK + table["place"].to_numpy()] = table["value"].to_numpy()
+            for chunk, seen, total in zip(table["chunk"], table["seen"], table["total"]):
+                flat[chunk * CHUNK : chunk * CHUNK + len(total)] = np.asarray(total) / seen
             network = Network(shape, flat)
     return words, network
 

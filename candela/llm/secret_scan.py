@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions.durable import scratch_path
@@ -81,16 +81,43 @@ def _chosen(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return ledger.where(wanted)
 
 
+#: What the folder of all versions is called, after the ledger's name.
+VERSIONS = "-versions"
+
+
+def _kept(spark: SparkSession, ledger: str) -> DataFrame:
+    """doc_id, blob and the number of the run that first saw them, of all versions."""
+    schema = "doc_id bigint, blob string, seen int"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{ledger}{VERSIONS}")
+    return spark.read.schema(schema).parquet(f"{ledger}{VERSIONS}")
+
+
+def history(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """doc_id, blob, seen, kind, version and spans: all findings in all versions that any run has seen, with every document
+    that ever had the text, whether it still has or not."""
+    schema = f"blob string, kind string, version int, spans {SPANS}"
+    found = _chosen(spark.read.schema(schema).parquet(ledger), rules).where(F.size("spans") > 0)
+    each = found.groupBy("blob").agg(F.collect_list(F.struct("kind", "version", "spans")).alias("f"))
+    versions = _kept(spark, ledger)
+    hot = versions.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(versions.count()))
+    return spread_join(versions, each, "blob", hot, ["doc_id"]).select("doc_id", "blob", "seen", F.explode("f").alias("f")).select("doc_id", "blob", "seen", "f.*")
+
+
 def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """Bring the ledger at path ``ledger`` up to date with ``docs`` and ``rules``.
 
     Returns (versions, findings): doc_id and blob of every row of ``docs``, and the ledger's rows blob, kind,
-    version, spans for these rules.  What is already in the ledger is not scanned.
+    version, spans for these rules.  What is already in the ledger is not scanned.  Each new pair of document and blob is
+    noted for good beside the ledger, so that findings keep their documents when texts change (``history``).
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), blob_of(text).alias("blob"))
     versions = saved(rows.select("doc_id", "blob"), "versions")
+    kept = _kept(spark, ledger)
+    seen = (kept.agg(F.coalesce(F.max("seen"), F.lit(0))).first()[0]) + 1
+    new = versions.distinct().alias("v").join(kept.alias("k"), (F.col("v.blob") == F.col("k.blob")) & F.col("v.doc_id").eqNullSafe(F.col("k.doc_id")), "left_anti")
+    new.withColumn("seen", F.lit(seen)).write.mode("append").parquet(f"{ledger}{VERSIONS}")
     schema = f"blob string, kind string, version int, spans {SPANS}"
     spark.createDataFrame([], schema).write.mode("ignore").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger)
@@ -150,7 +177,10 @@ MASK = "[SECRET]"
 
 
 def masked(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with every found span of the text replaced by MASK, overlapping ones by one; n_chars follows the text."""
+    """``docs`` with every found span of the text replaced by MASK, overlapping ones by one; n_chars follows the text.
+
+    A null text has no spans and stays null; repeated rows stay as many as they are; an empty table gives no rows.
+    """
     ledger = ledger or scratch_path(docs.sparkSession, "ledger")
     versions, findings = scan(docs, ledger, rules)
     dirty = saved(_by_blob(versions.distinct(), findings, rules).where(F.size("found") > 0).groupBy("blob").agg(F.first("found").alias("found")), "dirty")
@@ -164,7 +194,9 @@ def masked(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = R
 
     none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("found", none, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    rows = docs.select(blob_of(F.coalesce("text", F.lit(""))).alias("blob"), F.struct(*docs.columns).alias("row")).join(dirty, "blob", "left")
+    rows = docs.select(blob_of(F.coalesce("text", F.lit(""))).alias("blob"), F.struct(*docs.columns).alias("row"))
+    hot = versions.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(versions.count()))
+    rows = spread_join(rows, dirty, "blob", hot, ["row.doc_id"], "left")
     rows = rows.select("row", F.when(F.col("found").isNotNull(), clean).alias("masked"))
     new = {"text": F.coalesce("masked", text)}
     if "n_chars" in docs.columns:

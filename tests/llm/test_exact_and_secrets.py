@@ -117,3 +117,16 @@ def test_masking_takes_effect_and_keeps_the_rest(spark, odd_docs, odd_rows, no_d
     texts = [(i, change.get(t, t)) for i, t, _ in odd_rows]
     assert got == Counter((i, t, None if t is None else len(t)) for i, t in texts)
     assert secret_scan.masked(no_docs).count() == 0 and secret_scan.secret_spans(no_docs).count() == 0
+
+
+def test_a_secret_edited_out_stays_in_the_history(spark, tmp_path):
+    ledger = str(tmp_path / "kept")
+    secret = "token = 'abcdef0123456789abcdef'"
+    first = spark.createDataFrame([(1, secret), (2, "clean"), (None, secret)], "doc_id bigint, text string")
+    later = spark.createDataFrame([(1, "nothing here any more"), (2, "clean"), (3, "password=abcdefghijkl")], "doc_id bigint, text string")
+    for docs in (first, later, later):
+        now = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(docs, ledger).collect()}
+    assert now[1] == "" and now[2] == "" and now[3].startswith("assign:")
+    found = {(r["doc_id"], r["kind"], r["seen"]) for r in secret_scan.history(spark, ledger).collect()}
+    assert found == {(1, "assign", 1), (1, "hex", 1), (None, "assign", 1), (None, "hex", 1), (3, "assign", 2)}
+    assert spark.read.parquet(ledger + secret_scan.VERSIONS).count() == 5

@@ -161,3 +161,15 @@ def test_long_documents_do_not_outweigh_short_ones_in_the_classes(spark):
     rows = [(k, "abcdefghij " * 10, "en") for k in range(30)] + [(99, "#" * 200_000, "en")]
     known = quality.reference(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert abs(known.chars[0][quality.CLASSES.index("symbol")] - 1 / 31) < 1e-6
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """One and six partitions, several shards: the same scores."""
+    monkeypatch.setattr(masked_lm, "SHARD_WORDS", 1500)
+    monkeypatch.setattr(masked_lm, "FAN_IN", 2)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["red", "blue", "green", "sky", "sea", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(80)))) for k in range(200)]
+    shape = masked_lm.Shape(frequent=24, buckets=8, classes=4, batch=256, rate=0.3)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, six = ({r.doc_id: r.log_likelihood for r in masked_lm.pseudo_likelihood(docs.repartition(n), shape).collect()} for n in (1, 6))
+    assert len(one) == 200 and all(abs(one[k] - six[k]) < 1e-3 * max(1, abs(one[k])) for k in one)
