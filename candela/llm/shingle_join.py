@@ -42,7 +42,7 @@ DENSE, ROUNDS, BLOCK = 4, 6, 1024
 #: Texts, and keys, are picked by their place among so many, which bounds the tables that are broadcast for it.
 PLACES, KEY_PLACES = 1 << 18, 1 << 20
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 

@@ -235,8 +235,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 
 #: Fingerprints of a text; cut in three, they have 18 segments, in one of which near copies differ in one bit at most.
 PRINTS = 6
-#: Bits that fingerprints of near copies differ in at most, in one of them and in all, and rows of a value that are tied to one.
-ONE_APART, ALL_APART, TIED = 24, 96, 16
+#: Bits that fingerprints of near copies differ in at most: in the one with the segment, in another one, and in all; and
+#: rows of a value that are tied to one.  At a similarity of 0.8 these are three deviations and more above the mean.
+ONE_APART, OTHER_APART, ALL_APART, TIED = 16, 21, 96, 16
 _STEPS = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(1, PRINTS + 1)]
 
 
@@ -257,18 +258,17 @@ def _read_prints(docs: DataFrame, width: int) -> DataFrame:
     @F.pandas_udf("array<bigint>")
     def prints(texts: pd.Series) -> pd.Series:
         read = shingle_join.Shingler(width)
-        found = [read(t) for t in texts]
-        return pd.Series([many_prints(t) if len(t) else None for t in found])
+        return pd.Series([many_prints(x) if len(x := read(t)) else None for t in texts])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), prints("text").alias("prints"))
     return saved(rows.withColumn("sid", F.monotonically_increasing_id()), "many-prints")
 
 
 def _values(rows: DataFrame) -> DataFrame:
-    """sid, comp, place and value of each segment, and the fingerprint that it is cut from."""
+    """sid, comp, place and value of each segment, the fingerprint that it is cut from, and another one."""
     each = [
         F.struct(F.lit(3 * f + k).alias("place"), F.shiftrightunsigned(F.get("prints", F.lit(f)), a).bitwiseAND(F.lit((1 << n) - 1)).cast("int").alias("value"),
-                 F.get("prints", F.lit(f)).alias("print"))
+                 F.get("prints", F.lit(f)).alias("print"), F.get("prints", F.lit((f + 1) % PRINTS)).alias("other"))
         for f in range(PRINTS) for k, (a, n, _) in enumerate(segments(5, 3))
     ]
     return rows.select("sid", "comp", F.inline(F.array(*each)))
@@ -283,8 +283,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     Links are pairs of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more, which
     the texts confirm; candidates are found by SimHash.  Each text has PRINTS fingerprints, each cut in three segments.  Two
-    texts are candidates if some segment differs in one bit at most and the fingerprints in ONE_APART and ALL_APART bits at
-    most.  A bit differs with the arc cosine of 2 s / (1 + s) over pi, 0.15 at s = 0.8, so that 0.95 of the pairs of that
+    texts are candidates if some segment differs in one bit at most and the fingerprints in ONE_APART, OTHER_APART and
+    ALL_APART bits at most.  A bit differs with the arc cosine of 2 s / (1 + s) over pi, 0.15 at s = 0.8, so that 0.95 of the pairs of that
     similarity are candidates, and more of those above.  The ball of radius one is searched through the halves of a
     segment, one of which is equal.  Rows of one value are first tied to one of them, and a component then has one row
     in each value, so hot groups are neither paired out nor met in one task.
@@ -320,15 +320,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     # one row for each component and value; those that share half of a segment and differ in one bit of the other
     named = full.withColumn("comp", F.col("sid")) if labels is None else (
         full.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
-    each = saved(_values(named).groupBy("place", "value", "comp").agg(F.min_by("print", "sid").alias("print"), F.min("sid").alias("sid")), "by-value")
+    each = saved(_values(named).groupBy("place", "value", "comp").agg(F.min_by("print", "sid").alias("print"), F.min_by("other", "sid").alias("other"), F.min("sid").alias("sid")), "by-value")
     half = [(F.col("value").bitwiseAND(F.lit(1023)), F.shiftright("value", 10)), (F.shiftright("value", 10), F.col("value").bitwiseAND(F.lit(1023)))]
-    cut = each.select("sid", "comp", "print", F.inline(F.array(*[F.struct((2 * F.col("place") + h).alias("half"), same.alias("same"), rest.alias("rest")) for h, (same, rest) in enumerate(half)])))
+    cut = each.select("sid", "comp", "print", "other", F.inline(F.array(*[F.struct((2 * F.col("place") + h).alias("half"), same.alias("same"), rest.alias("rest")) for h, (same, rest) in enumerate(half)])))
     x, y = cut.alias("x"), cut.alias("y")
     apart = F.bit_count(F.col("x.rest").bitwiseXOR(F.col("y.rest")))
     # equal values show once, in the first half
     ball = (apart <= 1) & ((apart == 1) | (F.col("x.half") % 2 == 0))
     met = x.join(y, (F.col("x.half") == F.col("y.half")) & (F.col("x.same") == F.col("y.same")) & (F.col("x.sid") < F.col("y.sid"))
-                 & (F.col("x.comp") != F.col("y.comp")) & ball & (_apart(F.col("x.print"), F.col("y.print")) <= ONE_APART))
+                 & (F.col("x.comp") != F.col("y.comp")) & ball & (_apart(F.col("x.print"), F.col("y.print")) <= ONE_APART) & (_apart(F.col("x.other"), F.col("y.other")) <= OTHER_APART))
     found = found.unionByName(near(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))))
     roots = components(found)
 
