@@ -299,7 +299,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     def near(pairs: DataFrame) -> DataFrame:
         """Different ones of ``pairs`` (a, b) whose fingerprints are near, confirmed by the texts."""
-        one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         total = one.count()
         for side in ("a", "b"):
             hot = one.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(total))
