@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.durable import materialize, saved, scratch_path
 from candela.functions.series import bar_series, on_series
+from candela.operators import boosting as bo
 from candela.operators import evaluation as ev
 from candela.operators import indicators as ind
 from candela.operators import keyed_models as km
@@ -155,24 +156,42 @@ def three_classes(spark, sf_dir):
 
 @query("h07_random_forest", report_sql("random_forest", biased=True))
 def forest(spark, sf_dir):
-    return report(fitted(model_frame(spark, sf_dir), "random_forest"), "random_forest").drop("bias")
+    """A forest of balanced classes."""
+    df = km.balanced_weights(model_frame(spark, sf_dir), ["role"])
+    return report(fitted(df, "random_forest", weight="weight"), "random_forest").drop("bias")
 
 
 @query("h08_gradient_boosting", report_sql("gradient_boosting", biased=True))
 def boosting(spark, sf_dir):
-    return report(fitted(model_frame(spark, sf_dir), "gradient_boosting"), "gradient_boosting").drop("bias")
+    """First-order boosting of a hundred trees."""
+    return report(fitted(model_frame(spark, sf_dir), "gradient_boosting", **FIRST_ORDER), "gradient_boosting").drop("bias")
 
 
-def two_scores(spark, sf_dir):
-    df = model_frame(spark, sf_dir)
-    for kind in ("logistic", "random_forest"):
-        df = ml.score(ml.fit(df.where("role = 'train'"), FEATURES, kind), df, f"prob_{kind}")
-    return df
+#: Fixed values of the first-order boosting, and of the models that vote.
+FIRST_ORDER = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+VOTE_FOREST = {"numTrees": 50, "maxDepth": 8}
+SECOND_ORDER = bo.Boosting(rounds=40, depth=3, rate=0.1)
+
+
+def second_order_scores(df: DataFrame, plan: bo.Boosting = SECOND_ORDER) -> DataFrame:
+    keyed = df.withColumn("model", F.lit("one"))
+    models, cuts = bo.fit_boosted(keyed.where("role = 'train'"), ["model"], FEATURES, plan=plan)
+    return saved(bo.score_boosted(keyed, models, cuts, ["model"], FEATURES, plan=plan), "boosted-scores")
+
+
+@query("h08_second_order_boosting", report_sql("second_order", biased=True))
+def second_order(spark, sf_dir):
+    """Boosting on slopes and curvatures with a penalty on leaves, rows and columns drawn for each tree."""
+    return report(second_order_scores(model_frame(spark, sf_dir)), "second_order").drop("bias")
 
 
 @query("h09_soft_vote", report_sql("ensemble", biased=True))
 def soft(spark, sf_dir):
-    vote = ml.soft_vote(two_scores(spark, sf_dir), ["prob_logistic", "prob_random_forest"])
+    """The mean of three kinds: logistic, forest and second-order boosting."""
+    df = second_order_scores(model_frame(spark, sf_dir)).withColumnRenamed("prob_up", "prob_boosted")
+    for kind, params in (("logistic", {}), ("random_forest", VOTE_FOREST)):
+        df = ml.score(ml.fit(df.where("role = 'train'"), FEATURES, kind, **params), df, f"prob_{kind}")
+    vote = ml.soft_vote(df, ["prob_logistic", "prob_random_forest", "prob_boosted"])
     return report(vote, "ensemble", "prob_vote").drop("bias")
 
 
@@ -207,17 +226,49 @@ def cross(spark, sf_dir):
     return rounded(scores.select(F.col("fold").cast("bigint").alias("fold"), "samples", "accuracy", "f1_score"))
 
 
-@query("h11_grid_search", "SELECT 20 AS points, true AS sampled, true AS ordered, true AS scores")
+PENALTIES = [0.001, 0.01, 0.1, 1.0]
+GRID = [
+    "fo AS MATERIALIZED (SELECT mf.*, k AS fold, n - (6 - k) * (n // 6) AS past FROM mf, range(1, 6) t(k))",
+    f"fit_rows AS MATERIALIZED (SELECT fold AS m, label AS y, 1.0::DOUBLE AS w, {LIST} FROM fo WHERE rn <= past)",
+    *[cte for k, p in enumerate(PENALTIES) for cte in fit_sql.logistic_ctes(f"lg{k}", "fit_rows", FEATURES, reg=p)],
+    "te AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT {p}::DOUBLE AS reg, fold, label AS y, CAST({fit_sql.probability(f'lg{k}', FEATURES)} > 0.5 AS INTEGER) AS p FROM fo JOIN lg{k} ON m = fold"
+        " WHERE rn > past AND rn <= past + n // 6" for k, p in enumerate(PENALTIES)) + ")",
+    "cl AS (SELECT reg, fold, c, count(*) FILTER (y = c) AS actual, count(*) FILTER (p = c) AS said, count(*) FILTER (y = c AND p = c) AS hit"
+    " FROM te, (VALUES (0), (1)) v(c) GROUP BY reg, fold, c)",
+    "fs AS (SELECT reg, fold, sum(hit) / sum(actual) AS a, sum(actual * coalesce(2.0 * hit / nullif(actual + said, 0), 0)) / sum(actual) AS f FROM cl GROUP BY reg, fold)",
+]
+
+
+@query("h11_grid_search", stages(BARS, *FRAME, *GRID) + f"SELECT reg, {r('avg(a)')} AS accuracy_mean, {r('avg(f)')} AS f1_score_mean FROM fs GROUP BY reg")
+def exhaustive(spark, sf_dir):
+    """Every point of a grid of penalties on five expanding folds."""
+    df = model_frame(spark, sf_dir)
+    folded = saved(ev.expanding_folds(wf.number_rows(df), wf.series_lengths(df), 5), "folds")
+    found = None
+    for reg_ in PENALTIES:  # one job of five models for each penalty
+        models = km.fit_logistic(folded.where("role = 'train'"), ["fold"], FEATURES, reg=reg_)
+        scored = km.score(folded.where("role = 'test'"), models, ["fold"], FEATURES)
+        scores = ev.weighted_metrics(scored.withColumn("prediction", (F.col("prob_up") > 0.5).cast("int")), ["fold"])
+        one = ml.summarize_folds(scores).select(F.lit(reg_).alias("reg"), "accuracy_mean", "f1_score_mean")
+        found = one if found is None else found.unionByName(one)
+    return rounded(found)
+
+
+FOREST_GRID = {"numTrees": [10, 20], "maxDepth": [3, 5, 8], "minInstancesPerNode": [5, 10, 20]}
+
+
+@query("h11_sampled_search", stages(BARS, *FRAME) + "SELECT 6 AS points, true AS sampled, true AS ordered, true AS scores, count(*) > 0 AS fitted FROM mf WHERE role = 'train'")
 def search(spark, sf_dir):
-    """Twenty points drawn from a grid, five expanding folds each, best F1 first."""
+    """Six forests drawn from a grid, three expanding folds each, best F1 first."""
     df = model_frame(spark, sf_dir).select("symbol", "ts", *FEATURES, "label")
-    folded = materialize(ev.expanding_folds(wf.number_rows(df), wf.series_lengths(df), 5))
-    grid = {"regParam": [0.001, 0.003, 0.01, 0.03, 0.1, 0.3], "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0], "maxIter": [10, 20]}
-    found = ml.sampled_search(folded, FEATURES, "logistic", grid, points=20, folds=5)
-    rows = found.select(F.collect_list(F.struct(*grid)).alias("p"), F.collect_list("f1_score_mean").alias("f"))
+    folded = materialize(ev.expanding_folds(wf.number_rows(df), wf.series_lengths(df), 3))
+    found = ml.sampled_search(folded, FEATURES, "random_forest", FOREST_GRID, points=6, folds=3)
+    rows = found.select(F.collect_list(F.struct(*FOREST_GRID)).alias("p"), F.collect_list("f1_score_mean").alias("f"))
     return rows.select(
         F.size("p").alias("points"), (F.size(F.array_distinct("p")) == F.size("p")).alias("sampled"),
         (F.col("f") == F.reverse(F.array_sort("f"))).alias("ordered"), F.forall("f", lambda x: (x >= 0) & (x <= 1)).alias("scores"),
+        (F.size("f") > 0).alias("fitted"),
     )
 
 
@@ -438,7 +489,7 @@ def regressors(spark, sf_dir):
     """Regression on the next return: on its own rows each fit leaves less than the variance."""
     df = model_frame(spark, sf_dir).where("role = 'train'")
     out = None
-    for name, kind, params in (("linear", "linear_regression", {}), ("forest", "forest_regression", {}), ("boosted", "boosted_regression", {"maxIter": 20})):
+    for name, kind, params in (("linear", "linear_regression", {}), ("forest", "forest_regression", {}), ("boosted", "boosted_regression", {})):
         one = ml.predict_value(ml.fit(df, FEATURES, kind, "future_return", **params), df).agg(
             F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"),
             (F.avg(F.pow(F.col("predicted") - F.col("future_return"), 2)) < F.var_pop("future_return")).alias("beats_mean"),
