@@ -21,7 +21,7 @@ from candela.plans.registry import query
 from candela.plans.sqltext import BARS, LINE_BARS, TRADES, full, r, rounded, stages
 from candela.plans.walkforward_queries import ASG, FREE, assigned, keyed_series, table_of
 from candela.sources import bars as src
-from candela.sources import broker, sinks
+from candela.sources import broker, keyed_table, sinks
 from candela.sources.driver_tables import embedding_features, event_bars, line_bars, line_trades, table
 from candela.streaming import jobs
 
@@ -166,8 +166,9 @@ def order_versions(spark, sf_dir):
 def upserted(spark, sf_dir):
     old, new = order_versions(spark, sf_dir)
     root = scratch_path(spark, "orders")
-    sinks.write_version(old, root, 0)
-    return spark.read.parquet(sinks.upsert_table(spark, root, 0, new, "o_orderkey", "arrival"))
+    keyed_table.create(old, root, "o_orderkey")
+    keyed_table.upsert_rows(spark, root, 1, new, "o_orderkey", "arrival")
+    return keyed_table.read(spark, root, old.schema)
 
 
 @query("a13_append_alerts", "SELECT event_id, ts FROM events WHERE event_type IN ('error', 'click')")
@@ -183,8 +184,10 @@ def appended(spark, sf_dir):
 def deleted(spark, sf_dir):
     old, new = order_versions(spark, sf_dir)
     root = scratch_path(spark, "positions")
-    sinks.write_version(old.drop("arrival"), root, 0)
-    return spark.read.parquet(sinks.delete_from_table(spark, root, 0, new, "o_orderkey"))
+    old = old.drop("arrival")
+    keyed_table.create(old, root, "o_orderkey")
+    keyed_table.delete_keys(spark, root, 1, new, "o_orderkey", old.schema)
+    return keyed_table.read(spark, root, old.schema)
 
 
 @query("a15_csv_sink", stages(*ASG) + "SELECT symbol, ts, close, split_num FROM asg WHERE role = 'test'")
@@ -258,7 +261,7 @@ def sync(spark, sf_dir):
     root, mark = scratch_path(spark, "sync"), scratch_path(spark, "sync-mark")
     rows = event_stream(spark, sf_dir).select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("arrival"))
     run_stream(jobs.per_batch(rows, jobs.sync_handler(root, "user_id", "arrival"), mark))
-    return jobs.read_latest(spark, root).drop("arrival")
+    return keyed_table.read(spark, root, rows.schema).drop("arrival")
 
 
 @query("m03_periodic_health", "SELECT event_type AS instrument, count(*) AS total_trades, count(*) FILTER (WHERE value > 50) AS winning_trades FROM events GROUP BY 1")

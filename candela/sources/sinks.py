@@ -8,11 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.operators.tables import remove, upsert
-
 
 def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+    """With ``partition_by``, rows are gathered by it first, large values in several tasks, so that files are not tasks times values."""
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    writer = rows.write.mode("overwrite").option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
@@ -45,30 +45,13 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a whole table as a new version folder; readers switch when it is complete."""
-    path = f"{root}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def upsert_table(spark: SparkSession, root: str, version: int, new: DataFrame, key: str, arrival: str) -> str:
-    """Next version of a keyed table: old rows, replaced by newer rows of the same key."""
-    old = spark.read.parquet(f"{root}/version={version}")
-    return write_version(upsert(old, new, key, arrival), root, version + 1)
-
-
-def delete_from_table(spark: SparkSession, root: str, version: int, closed: DataFrame, key: str) -> str:
-    old = spark.read.parquet(f"{root}/version={version}")
-    return write_version(remove(old, closed, key), root, version + 1)
-
-
 # ---- splits and models ----------------------------------------------------------------------
 
 
 def write_splits(assigned: DataFrame, path: str) -> None:
     """Split rows partitioned by split and role, so that one split reads only its files."""
-    assigned.write.mode("overwrite").partitionBy("split_num", "role").parquet(path)
+    rows = assigned.hint("rebalance", "split_num", "role")  # a large split is still written by several tasks
+    rows.write.mode("overwrite").partitionBy("split_num", "role").parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, split_num: int, role: str) -> DataFrame:

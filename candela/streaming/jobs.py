@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from candela.operators.tables import upsert
+from candela.sources import keyed_table
 from candela.sources.bars import GRANULARITY_MINUTES, clock_micros, tick_rank
 
 
@@ -69,36 +69,18 @@ def per_batch(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete versions below ``root``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    found = []
-    for status in fs.listStatus(base):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(hadoop.Path(f"{root}/{name}/_SUCCESS")):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
-
-
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/version={_versions(spark, root)[-1]}")
+    return keyed_table.read(spark, root)
 
 
 def sync_handler(root: str, key: str, arrival: str) -> Callable[[DataFrame, int], None]:
-    """Latest row per key, as one table version per batch.
+    """Latest row per key, as a keyed table of which each batch rewrites the buckets that it touches.
 
-    The version is the batch number, so a batch that runs again after a failure
-    overwrites its own version and builds on the one before it.
+    The version is the batch number, so a batch that runs again after a failure writes its own version again, from the
+    one before it.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [v for v in _versions(spark, root) if v < number]
-        rows = batch.limit(0).unionByName(spark.read.parquet(f"{root}/version={earlier[-1]}")) if earlier else batch.limit(0)
-        upsert(rows, batch, key, arrival).write.mode("overwrite").parquet(f"{root}/version={number}")
+        keyed_table.upsert_rows(batch.sparkSession, root, number, batch, key, arrival)
 
     return handle
 
