@@ -19,7 +19,7 @@ from candela.functions.durable import materialize
 from candela.functions.guards import c, div, div0
 from candela.functions.series import BLOCK, CHUNK, HELPERS, RN, Series, bar_series, index, running
 
-FAN_OUT = 256  # bars per block and blocks per super block
+FAN_OUT = 256  # bars per block, and blocks per block of the next level
 LINK_ROWS = 2048  # signals per chunk of the chain walk
 KELLY_ROWS = 65536  # signals per key and round of the Kelly recursion
 NEVER = 1 << 60
@@ -140,33 +140,28 @@ class _Touch:
         return self.stopped(k) | self.reached(k) | self.flagged(k)
 
 
-def _block_tree(bars: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bars in blocks of 256, blocks in super blocks of 256, super blocks in one list per series.
+def _block_tree(bars: DataFrame, keys: list[str], levels: int) -> list[DataFrame]:
+    """Bars in blocks of 256, blocks in blocks of 256, and so on for ``levels`` levels: columns ``keys, id, kids``.
 
-    Each level keeps the children as an array of at most 256 entries with their
-    extremes; the top list has one entry per 65,536 bars.
+    A block keeps its children as an array of at most 256 entries with their extremes, at every level.
     """
     fields = ["lo", "hi", "xl", "xs"]
-    extremes = lambda: [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("xl").alias("xl"), F.max("xs").alias("xs")]
-    leaf = bars.select(
+    extremes = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("xl").alias("xl"), F.max("xs").alias("xs")]
+    kids = bars.select(
         *keys,
-        F.expr(f"({RN} - 1) div {FAN_OUT}").alias("blk"),
+        F.expr(f"{RN} - 1").alias("place"),
         F.col(RN).alias("id"),
         F.col("low").alias("lo"),
         F.col("high").alias("hi"),
         "xl", "xs", "close", "ts", "_seen", "_cand",
     )
-    blocks = leaf.groupBy(*keys, "blk").agg(
-        F.array_sort(F.collect_list(F.struct("id", *fields, "close", "ts", "_seen", "_cand"))).alias("kids"), *extremes()
-    )
-    sup = F.expr(f"blk div {FAN_OUT}").alias("sup")
-    supers = blocks.select(*keys, sup, F.col("blk").alias("id"), *fields).groupBy(*keys, "sup").agg(
-        F.array_sort(F.collect_list(F.struct("id", *fields))).alias("kids"), *extremes()
-    )
-    tops = supers.select(*keys, F.col("sup").alias("id"), *fields).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("id", *fields))).alias("kids")
-    )
-    return blocks, supers, tops
+    tree, kept = [], ["id", *fields, "close", "ts", "_seen", "_cand"]
+    for _ in range(levels):
+        block = F.expr(f"place div {FAN_OUT}").alias("block")
+        blocks = kids.groupBy(*keys, block).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("kids"), *extremes)
+        tree.append(blocks.select(*keys, F.col("block").alias("id"), "kids"))
+        kids, kept = blocks.select(*keys, F.col("block").alias("place"), F.col("block").alias("id"), *fields), ["id", *fields]
+    return tree
 
 
 def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
@@ -177,9 +172,17 @@ def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str], longest: in
     entries with one row per block, so no pairs of entries and bars arise and
     the holding time has no limit.  ``longest`` is the number of bars of the
     longest series; short series need fewer levels.
+
+    Above the second level a block has one row for each 65,536 bars below it,
+    and entries look up that of their own bar.  So entries that are never
+    touched meet in no key of a whole series, however long it is.
     """
-    longest = longest or NEVER
-    blocks, supers, tops = _block_tree(bars, keys)
+    if longest is None:
+        longest = bars.agg(F.max(RN)).first()[0] or 0  # one number
+    levels = 1
+    while FAN_OUT**levels < longest:
+        levels += 1
+    tree = _block_tree(bars, keys, levels)
     touch = _Touch(c("_long"), c("stop_loss"), c("take_profit"))
     first = lambda kids, after: F.get(
         F.filter(kids, lambda k: (k["id"] > after if after is not None else F.lit(True)) & touch.any(k)), F.lit(0)
@@ -187,30 +190,37 @@ def find_exits(entries: DataFrame, bars: DataFrame, keys: list[str], longest: in
     # entries that need no lookup get scattered keys that match nothing
     nowhere = -1 - F.pmod(F.col(RN), F.lit(100000))
     only = lambda needed, key: F.when(needed, key).otherwise(nowhere)
+    own = lambda level: F.expr(f"({RN} - 1) div {FAN_OUT ** level}")
 
-    def step(df, table, on, key, after, out):
-        side = table.select(*keys, F.col(on).alias("_key"), F.col("kids").alias("_kids"))
+    def step(df, table, key, after, out):
+        side = table.select(*keys, F.col("id").alias("_key"), F.col("kids").alias("_kids"))
         return (
             df.withColumn("_key", key).join(side, [*keys, "_key"], "left")
             .withColumn(out, first(F.col("_kids"), after)).drop("_key", "_kids")
         )
 
-    blk, sup = F.expr(f"({RN} - 1) div {FAN_OUT}"), F.expr(f"({RN} - 1) div {FAN_OUT * FAN_OUT}")
-    df = step(entries, blocks, "blk", blk, F.col(RN), "_hit0")
-    if longest <= FAN_OUT:
-        return df.withColumnRenamed("_hit0", "hit")
-    df = step(df, supers, "sup", only(c("_hit0").isNull(), sup), blk, "_blk1")
-    if longest <= FAN_OUT * FAN_OUT:
-        found = c("_blk1.id")
-        df = step(df, blocks, "blk", only(found.isNotNull(), found), None, "_hit1")
-        return df.withColumn("hit", F.coalesce("_hit0", "_hit1")).drop("_hit0", "_blk1", "_hit1")
-    open_ = c("_hit0").isNull() & c("_blk1").isNull()
-    top = tops.withColumn("top", F.lit(0).cast("bigint"))
-    df = step(df, top, "top", only(open_, F.lit(0).cast("bigint")), sup, "_sup2")
-    df = step(df, supers, "sup", only(c("_sup2").isNotNull(), c("_sup2.id")), None, "_blk2")
-    target = F.coalesce(c("_blk1.id"), c("_blk2.id"))
-    df = step(df, blocks, "blk", only(target.isNotNull(), target), None, "_hit1")
-    return df.withColumn("hit", F.coalesce("_hit0", "_hit1")).drop("_hit0", "_blk1", "_sup2", "_blk2", "_hit1")
+    df = step(entries, tree[0], own(1), F.col(RN), "_up0")
+    for level in range(1, levels):
+        table = tree[level]
+        if level > 1:
+            below = FAN_OUT ** (level - 2)
+            places = lambda k: F.sequence(k["id"] * below, (k["id"] + 1) * below - 1)  # noqa: B023, E731
+            # under the last child there is nothing later to be found
+            spread = F.flatten(F.transform(F.slice("kids", F.lit(1), F.size("kids") - 1), places))
+            table = table.select(*keys, F.explode(spread).alias("id"), "kids")
+        missed = F.lit(True)
+        for lower in range(level):
+            missed = missed & c(f"_up{lower}").isNull()
+        df = step(df, table, only(missed, own(2)), own(level), f"_up{level}")
+    target, down = None, []
+    for level in range(levels - 1, 0, -1):
+        up = c(f"_up{level}.id")
+        target = up if target is None else F.coalesce(up, target)
+        df = step(df, tree[level - 1], only(target.isNotNull(), target), None, f"_down{level}")
+        target = c(f"_down{level}.id")
+        down.append(f"_down{level}")
+    hit = F.coalesce("_up0", "_down1") if levels > 1 else c("_up0")
+    return df.withColumn("hit", hit).drop(*[f"_up{level}" for level in range(levels)], *down)
 
 
 # ---- the chain of trades -------------------------------------------------------------

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from candela.functions.series import bar_series
 from candela.operators import ledger as led
@@ -109,6 +110,30 @@ def test_ledger_equals_bar_loop(spark, monkeypatch, changes):
         np.testing.assert_allclose(line, curve, rtol=1e-12)
 
 
+def test_exits_over_three_levels_of_blocks(spark):
+    """200,000 bars: stops that are touched soon, only in one bar far away, or never."""
+    n, crash = 200_000, 190_003
+    low = np.random.default_rng(9).uniform(100, 101, n)
+    low[crash - 1] = 50.0
+    bars = spark.createDataFrame(pd.DataFrame({"symbol": "A", "_rn": np.arange(1, n + 1), "low": low, "high": low + 1}))
+    none = F.lit(0)
+    bars = bars.select("*", none.alias("xl"), none.alias("xs"), F.col("low").alias("close"), F.col("_rn").alias("ts"), none.alias("_seen"), none.alias("_cand"))
+    at = np.arange(1, n + 1, 101)
+    stops = np.array([100.001, 60.0, 10.0])[np.arange(len(at)) % 3]
+    asked = pd.DataFrame({"symbol": "A", "_rn": at, "_long": True, "stop_loss": stops, "take_profit": 1e9})
+    found = led.find_exits(spark.createDataFrame(asked), bars, ["symbol"])
+    got = found.select("_rn", F.col("hit.id").alias("exit")).toPandas().set_index("_rn").exit
+    assert len(got) == len(at)
+    for rn, stop in zip(at, stops):
+        later = low[rn:] <= stop
+        if later.any():
+            assert got[rn] == rn + 1 + later.argmax()
+        else:
+            assert pd.isna(got[rn])
+    plain = led.find_exits(spark.createDataFrame(asked).limit(0), bars.limit(0), ["symbol"])
+    assert plain.count() == 0
+
+
 def test_stop_wins_over_target_in_the_same_bar(spark):
     pdf = market(3, 9)
     pdf["action"] = ["buy", None, None]

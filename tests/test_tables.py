@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from candela.functions.quantiles import exact_percentiles
+from candela.functions.quantiles import exact_percentiles, running_by_value
 from candela.functions.series import bar_series
 from candela.operators import drift as dr
 from candela.operators import evaluation as ev
@@ -24,6 +24,31 @@ def test_percentiles_are_exact_for_skewed_and_tied_values(spark):
         np.testing.assert_allclose(mine.value, np.quantile(v, mine.prob), rtol=1e-12)
 
 
+def test_percentiles_do_not_rest_on_the_sketch(spark):
+    """A sketch far coarser than its brackets misses most ranks; the counts show it."""
+    rng = np.random.default_rng(5)
+    data = {"skew": rng.lognormal(0, 3, 5000), "few": np.array([3.0]), "tied": np.repeat([1.0, 2.0, 7.0], [2000, 10, 3])}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in data.items()]))
+    probs = [0.0, 0.013, 0.5, 0.777, 1.0]
+    got = exact_percentiles(df, ["k"], "v", probs, accuracy=10, slack=1e-5).toPandas()
+    assert len(got) == 15
+    for k, v in data.items():
+        mine = got[got.k == k].sort_values("prob")
+        np.testing.assert_allclose(mine.value, np.quantile(v, mine.prob), rtol=1e-12)
+    whole = exact_percentiles(df, [], "v", probs, accuracy=10, slack=1e-5).toPandas().sort_values("prob")
+    np.testing.assert_allclose(whole.value, np.quantile(np.concatenate(list(data.values())), probs), rtol=1e-12)
+    assert exact_percentiles(df.limit(0), ["k"], "v", probs).count() == 0
+
+
+def test_cells_follow_the_number_of_values(spark):
+    values = np.concatenate([np.random.default_rng(6).lognormal(0, 4, 3000), np.full(500, 2.0)])
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "v": values}))
+    got = running_by_value(df, ["k"], "v", {"n": F.count(F.lit(1))}, cell_values=4).toPandas().sort_values("v")
+    seen, counts = np.unique(values, return_counts=True)
+    np.testing.assert_array_equal(got.v, seen)
+    np.testing.assert_array_equal(got.n, counts.cumsum())
+
+
 def test_psi_of_the_baseline_itself_is_nearly_zero(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": np.random.default_rng(0).normal(size=4000)}))
     assert dr.psi(df, dr.feature_profile(df, ["x"]), ["x"]).first().psi < 1e-4
