@@ -53,16 +53,20 @@ def month_splits(lengths: DataFrame, train_months=12, test_months=3, step_months
     return row_splits(lengths, train_months * 21, test_months * 21, step_months * 21)
 
 
-def assign_rows(numbered: DataFrame, lengths: DataFrame, train: int, test: int, step: int) -> DataFrame:
+def assign_rows(numbered: DataFrame, lengths: DataFrame, train: int, test: int, step: int, warmup: int | None = None) -> DataFrame:
     """Copy each row into the splits that contain it, with its ``role``.
 
     The splits of a row follow from its number, so neither a range join nor the
-    split table is needed; only the length of the series bounds them.
+    split table is needed; only the length of the series bounds them.  With
+    ``warmup`` only so many train rows are kept, those just before the test
+    part; indicators of series keyed by split then start anew in every split.
     """
-    window = train + test
+    if warmup is not None and not 0 <= warmup <= train:
+        raise ValueError("warm-up rows are the last ones of the train part")
+    window, skipped = train + test, 0 if warmup is None else train - warmup
     keys = [n for n in lengths.columns if n != "n"]
     first = F.greatest(F.lit(0), F.ceil((c("rn") - window) / step))
-    last = F.least(F.floor((c("rn") - 1) / step), F.floor((c("n") - window) / step))
+    last = F.least(F.floor((c("rn") - skipped - 1) / step), F.floor((c("n") - window) / step))
     df = numbered.join(per_key(lengths.where(c("n") >= window)), keys)
     df = df.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
     role = F.when(c("rn") - c("_k") * step <= train, "train").otherwise("test")

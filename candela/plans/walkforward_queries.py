@@ -198,6 +198,32 @@ def split_results(spark, sf_dir):
     return rounded(table_of(bt, series, RESULT), 4)
 
 
+def restarted_sql(warmup, train=60, test=40, step=40):
+    """Signals of the breakout rule on series that begin ``warmup`` rows before each test part."""
+    return [
+        BARS.replace("bars AS (", "hist AS (", 1), *split_sql("hist", train, test, step),
+        "bars AS (SELECT symbol || '#' || split_num AS symbol, ts, open, high, low, close, volume, role FROM asg"
+        f" WHERE rn - (split_num - 1) * {step} > {train - warmup})",
+        *base(), "sg0 AS (SELECT symbol, ts, high, low, close, role, " + BRK + " FROM z2)",
+        f"sg AS (SELECT * EXCLUDE (role), row_number() OVER ({OVER}) AS rn FROM sg0 WHERE role = 'test')",
+    ]
+
+
+def restarted_backtest(spark, sf_dir, warmup, train=60, test=40, step=40):
+    """Back-tests of test parts alone: indicators know the ``warmup`` rows before a part and nothing older."""
+    bars = event_bars(spark, sf_dir)
+    rows = wf.assign_rows(wf.number_rows(bars), wf.series_lengths(bars), train, test, step, warmup).drop("rn")
+    series = keyed_series("symbol", "split_num")
+    signals = sig.breakout_rule()(rows, series).where("role = 'test'")
+    return rounded(table_of(led.backtest(signals, FREE, series), series, RESULT), 4)
+
+
+for _name, _warmup in (("j08_restarted_backtests", 0), ("j08_warmed_up_backtests", 21)):
+    query(_name, recursive(*result_sql(restarted_sql(_warmup)))
+          + f"SELECT {part(1)} AS symbol, CAST({part(2)} AS BIGINT) AS split_num, {shown()} FROM res")(
+        lambda spark, sf_dir, warmup=_warmup: restarted_backtest(spark, sf_dir, warmup))
+
+
 THRESHOLDS = [0.50, 0.52, 0.55, 0.58, 0.60]
 SWEEP = [
     BARS, *SCORED, "th(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in THRESHOLDS) + ")",

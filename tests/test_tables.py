@@ -49,6 +49,23 @@ def test_cells_follow_the_number_of_values(spark):
     np.testing.assert_array_equal(got.n, counts.cumsum())
 
 
+def test_warm_up_rows_precede_each_test_part(spark):
+    """Rows of both kinds by trying all rows and splits; a short series has no split."""
+    sizes = {"a": 173, "b": 60}
+    pdf = pd.DataFrame([(k, i) for k, n in sizes.items() for i in range(1, n + 1)], columns=["symbol", "rn"])
+    lengths = spark.createDataFrame(list(sizes.items()), "symbol string, n long")
+    for train, test, step, warmup in ((40, 30, 30, 0), (40, 30, 10, 21), (40, 30, 30, 40)):
+        got = wf.assign_rows(spark.createDataFrame(pdf), lengths, train, test, step, warmup).collect()
+        want = {
+            ("a", rn, k + 1, "train" if rn <= k * step + train else "test")
+            for k in range((173 - train - test) // step + 1)
+            for rn in range(k * step + train - warmup + 1, k * step + train + test + 1)
+        }
+        assert len(got) == len(want) and {(r.symbol, r.rn, r.split_num, r.role) for r in got} == want
+    with pytest.raises(ValueError):
+        wf.assign_rows(spark.createDataFrame(pdf), lengths, 40, 30, 30, 41)
+
+
 def test_psi_of_the_baseline_itself_is_nearly_zero(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": np.random.default_rng(0).normal(size=4000)}))
     assert dr.psi(df, dr.feature_profile(df, ["x"]), ["x"]).first().psi < 1e-4
