@@ -288,7 +288,7 @@ def dedupe(spark, sf_dir):
 def live_indicators(spark, sf_dir):
     """Bars arrive as a stream of files; each batch computes its indicators over the trailing history."""
     feed, history, path, mark = (scratch_path(spark, n) for n in ("feed", "bar-history", "indicators", "indicator-mark"))
-    event_bars(spark, sf_dir).coalesce(1).write.parquet(feed)
+    event_bars(spark, sf_dir).write.parquet(feed)
     bars = spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed)
     handle = jobs.indicator_handler(history, path, ind.sma((20,)), 20, ["symbol"], "ts")
     run_stream(jobs.per_batch(bars, handle, mark))

@@ -99,17 +99,19 @@ def report_handler(history: str, path: str, report: Callable[[DataFrame], DataFr
 def indicator_handler(
     history: str, path: str, compute: Callable[[DataFrame], DataFrame], lookback_rows: int, keys: list[str], ts: str
 ) -> Callable[[DataFrame, int], None]:
-    """Indicators of the new bars, computed over the trailing part of the history table plus the batch."""
+    """Indicators of the new bars, computed over the last ``lookback_rows`` bars of each key before them plus the batch.
+
+    Those last bars are kept in a table of their own, written anew by each batch, so a batch costs the same however long
+    the history is.  A batch that runs again reads the tail of the one before it and gives the same rows.
+    """
     from candela.operators.metrics import last_rows
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("_new", F.lit(True))
-        rows = fresh
+        rows = batch.withColumn("_new", F.lit(True))
         if number > 0:
-            past = spark.read.parquet(history).where(F.col("batch") < number).drop("batch")
-            rows = fresh.unionByName(last_rows(past, keys, [ts], lookback_rows).withColumn("_new", F.lit(False)))
+            tail = batch.sparkSession.read.schema(batch.schema).parquet(f"{history}/tail={number - 1}")
+            rows = rows.unionByName(tail.withColumn("_new", F.lit(False)))
         compute(rows).where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        last_rows(rows.drop("_new"), keys, [ts], lookback_rows).write.mode("overwrite").parquet(f"{history}/tail={number}")
 
     return handle

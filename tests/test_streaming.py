@@ -39,8 +39,11 @@ def test_indicators_continue_over_batches(spark, tmp_path, bars_of):
 
     history, path = str(tmp_path / "h"), str(tmp_path / "o")
     handle = jobs.indicator_handler(history, path, ind.sma((3,)), 3, ["symbol"], "ts")
-    bars = bars_of(spark, [1.0, 2.0, 3.0, 4.0, 5.0])
-    handle(bars.where(F.col("close") <= 2), 0)
-    handle(bars.where(F.col("close") > 2), 1)
+    bars = bars_of(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0])
+    for number, upper in enumerate((2, 6, 6, 8)):
+        handle(bars.where((F.col("close") <= upper) & (F.col("close") > (0, 2, 6, 6)[number])), number)
+    handle(bars.where(F.col("close") > 6), 3)  # again
     got = [r.sma_3 for r in spark.read.parquet(path).orderBy("ts").collect()]
-    assert got == [None, None, 2.0, 3.0, 4.0]
+    assert got == [None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    for number, kept in enumerate(([1.0, 2.0], [4.0, 5.0, 6.0], [4.0, 5.0, 6.0], [6.0, 7.0, 8.0])):
+        assert sorted(r.close for r in spark.read.parquet(f"{history}/tail={number}").collect()) == kept
