@@ -266,11 +266,11 @@ def sync(spark, sf_dir):
 
 @query("m03_periodic_health", "SELECT event_type AS instrument, count(*) AS total_trades, count(*) FILTER (WHERE value > 50) AS winning_trades FROM events GROUP BY 1")
 def periodic(spark, sf_dir):
-    """Each batch extends the trade history; the report on it is written per batch."""
-    history, path, mark = (scratch_path(spark, n) for n in ("health-history", "health", "health-mark"))
+    """Each batch adds its counts to those before it; the report on all trades so far is written per batch."""
+    states, path, mark = (scratch_path(spark, n) for n in ("health-states", "health", "health-mark"))
     rows = event_stream(spark, sf_dir).select(F.col("event_type").alias("instrument"), "ts", (F.col("value") - 50).alias("pnl"))
-    report = lambda df: met.trade_stats(df, ["instrument"]).select("instrument", "total_trades", "winning_trades")
-    run_stream(jobs.per_batch(rows, jobs.report_handler(history, path, report), mark))
+    counts = lambda df: met.trade_stats(df, ["instrument"]).select("instrument", "total_trades", "winning_trades")
+    run_stream(jobs.per_batch(rows, jobs.report_handler(states, path, ["instrument"], counts, lambda state: state), mark))
     out = spark.read.parquet(path)
     newest = out.agg(F.max("report").alias("_last"))
     return out.join(F.broadcast(newest), out.report == F.col("_last")).select("instrument", "total_trades", "winning_trades")

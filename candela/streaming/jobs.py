@@ -85,13 +85,24 @@ def sync_handler(root: str, key: str, arrival: str) -> Callable[[DataFrame, int]
     return handle
 
 
-def report_handler(history: str, path: str, report: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Add the batch to a history table and write a report on the whole history, both keyed by batch number."""
+def report_handler(
+    states: str, path: str, keys: list[str], partial: Callable[[DataFrame], DataFrame], report: Callable[[DataFrame], DataFrame]
+) -> Callable[[DataFrame, int], None]:
+    """Report on all rows so far after each batch, from counts and sums that add up.
+
+    ``partial`` gives one row per key with numbers; they are added to those of the batch before and written under the
+    batch number, and ``report`` reads nothing else.  A batch costs the same however long the history is, and one that
+    runs again writes the same.
+    """
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        rows = spark.read.parquet(history).where(F.col("batch") <= number).drop("batch")
-        report(rows).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/report={number}")
+        part = partial(batch)
+        schema, numbers = part.schema, [n for n in part.columns if n not in keys]
+        if number > 0:
+            both = part.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{states}/state={number - 1}"))
+            part = both.groupBy(*keys).agg(*[F.sum(n).cast(schema[n].dataType).alias(n) for n in numbers])
+        part.write.mode("overwrite").parquet(f"{states}/state={number}")
+        state = batch.sparkSession.read.schema(schema).parquet(f"{states}/state={number}")
+        report(state).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/report={number}")
 
     return handle
 

@@ -47,3 +47,15 @@ def test_indicators_continue_over_batches(spark, tmp_path, bars_of):
     assert got == [None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
     for number, kept in enumerate(([1.0, 2.0], [4.0, 5.0, 6.0], [4.0, 5.0, 6.0], [6.0, 7.0, 8.0])):
         assert sorted(r.close for r in spark.read.parquet(f"{history}/tail={number}").collect()) == kept
+
+
+def test_reports_add_up_over_batches(spark, tmp_path):
+    states, path = str(tmp_path / "s"), str(tmp_path / "r")
+    sums = lambda df: df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    mean = lambda state: state.select("k", "n", (F.col("total") / F.col("n")).alias("mean"))
+    handle = jobs.report_handler(states, path, ["k"], sums, mean)
+    batches = [[("a", 1.0), ("b", 4.0)], [], [("a", 3.0), ("c", 5.0)]]
+    for number, rows in [*enumerate(batches), (2, batches[2])]:
+        handle(spark.createDataFrame(rows, "k string, v double"), number)
+    got = {(r.k, r.n, r["mean"]) for r in spark.read.parquet(f"{path}/report=2").collect()}
+    assert got == {("a", 2, 2.0), ("b", 1, 4.0), ("c", 1, 5.0)}
