@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.guards import c, div, div0
-from candela.functions.series import RN, Series
-from candela.operators.metrics import cumulative_pnl, last_rows
+from candela.functions.series import Series
+from candela.operators.metrics import last_rows, pnl_path
 
 
 def alerts_from(df: DataFrame, keys: list[str], rules: list[tuple[Column, str, str, Column]]) -> DataFrame:
@@ -73,27 +73,24 @@ def recent_win_rates(trades: DataFrame, keys: list[str], order: list[str], windo
 
 
 def trade_state(trades: DataFrame, series: Series, as_of: str, days: int = 30) -> DataFrame:
-    """Trade count, 30-day Sharpe, drawdown from the pnl peak and current losing streak, as of a time."""
+    """Trade count, 30-day Sharpe, drawdown from the pnl peak and current losing streak, as of a time.  ``trades`` is read twice."""
     keys = list(series.keys)
     end = F.lit(as_of).cast("timestamp_ntz")
     slim = trades.where(c("exit_time") <= end).select(*keys, *series.order, "pnl", "pnl_percent")
-    curve = cumulative_pnl(slim, series)
     fresh = F.when(c("exit_time") >= end - F.expr(f"INTERVAL {days} DAYS"), c("pnl_percent"))
-    df = curve.groupBy(*keys).agg(
+    df = slim.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"),
         F.count(fresh).alias("_n"),
         (div0(F.avg(fresh), F.stddev_pop(fresh)) * math.sqrt(252)).alias("_sharpe"),
-        F.max_by("cumulative", RN).alias("_cum"),
-        F.max_by("peak", RN).alias("_peak"),
-        (F.max(RN) - F.coalesce(F.max(F.when(c("pnl") > 0, c(RN))), F.lit(0))).alias("consecutive_losses"),
     )
+    df = df.join(pnl_path(slim, series), keys)
     enough = (c("trades") >= 20) & (c("_n") >= 10)
     return df.select(
         *keys,
         "trades",
         F.when(enough, c("_sharpe")).otherwise(0.0).alias("sharpe_30d"),
-        F.abs(div(c("_cum") - c("_peak"), F.abs("_peak"))).alias("current_drawdown"),
-        "consecutive_losses",
+        F.abs(div(c("cumulative") - c("peak"), F.abs("peak"))).alias("current_drawdown"),
+        (c("rows") - F.coalesce(c("last_win"), F.lit(0))).alias("consecutive_losses"),
     )
 
 
@@ -168,7 +165,10 @@ def check_health(
     confidence: DataFrame | None = None,
     limits: HealthLimits = HealthLimits(),
 ) -> DataFrame:
-    """One health row per key: win rates, Sharpe, drawdown, streak, drift, breakdown, status and warnings."""
+    """One health row per key: win rates, Sharpe, drawdown, streak, drift, breakdown, status and warnings.
+
+    ``trades`` is read three times and should be saved, unless it is a plain scan.
+    """
     keys = list(series.keys)
     past = trades.where(c("exit_time") <= F.lit(as_of).cast("timestamp_ntz"))
     df = trade_state(trades, series, as_of).join(recent_win_rates(past, keys, list(series.order)), keys)

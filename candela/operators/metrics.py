@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.keytables import per_key
 from candela.functions.durable import materialize
+from candela.functions.durable import saved as written
 from candela.functions.guards import c, div, div0, pct_change
 from candela.functions.series import RN, Series, day_cells, index, numbered, on_series, running
 
@@ -173,14 +174,18 @@ def zero_filled(all_keys: DataFrame, metrics: DataFrame, keys: list[str]) -> Dat
 # ---- dashboard figures ---------------------------------------------------------------
 
 
-def dashboard_metrics(trades: DataFrame, series: Series) -> DataFrame:
-    """The dashboard's variant: rates in percent, Sharpe on pnl_percent with population deviation, drawdown in currency."""
+def dashboard_metrics(trades: DataFrame, series: Series, saved: bool = False) -> DataFrame:
+    """The dashboard's variant: rates in percent, Sharpe on pnl_percent with population deviation, drawdown in currency.
+
+    ``trades`` is read twice, so it is saved first unless the caller says it already is.
+    """
     keys = list(series.keys)
     pnl = c("pnl")
     won, lost = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
     need = dict.fromkeys([*keys, *series.order, "entry_time", "exit_time", "pnl", "pnl_percent"])
-    curve = cumulative_pnl(trades.select(*need), series)
-    df = curve.groupBy(*keys).agg(
+    slim = trades.select(*need)
+    slim = slim if saved else written(slim, "dashboard-trades")
+    df = slim.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_trades"),
         F.count_if(pnl > 0).alias("winning_trades"),
         F.count_if(pnl <= 0).alias("losing_trades"),
@@ -190,11 +195,12 @@ def dashboard_metrics(trades: DataFrame, series: Series) -> DataFrame:
         F.coalesce(F.sum(won), F.lit(0.0)).alias("_gain"),
         F.abs(F.coalesce(F.sum(lost), F.lit(0.0))).alias("_loss"),
         (div0(F.avg("pnl_percent"), F.stddev_pop("pnl_percent")) * YEAR).alias("sharpe_ratio"),
-        F.abs(F.min("drawdown")).alias("max_drawdown"),
-        F.abs(F.max_by("drawdown", RN)).alias("current_drawdown"),
         F.avg(duration_hours()).alias("avg_trade_duration"),
     )
-    df = df.withColumn("win_rate", 100 * div(c("winning_trades"), c("total_trades")))
+    depth = pnl_path(slim, series).select(
+        *keys, F.abs("drawdown").alias("max_drawdown"), F.abs(c("cumulative") - c("peak")).alias("current_drawdown")
+    )
+    df = df.join(depth, keys).withColumn("win_rate", 100 * div(c("winning_trades"), c("total_trades")))
     return df.withColumns(
         {
             "profit_factor": div0(c("_gain"), c("_loss")),
@@ -210,6 +216,45 @@ def cumulative_pnl(trades: DataFrame, series: Series) -> DataFrame:
     return df.withColumn("drawdown", c("cumulative") - c("peak"))
 
 
+def pnl_path(trades: DataFrame, series: Series) -> DataFrame:
+    """How the pnl of a series adds up trade by trade, one row per series: ``rows``, the ``cumulative`` pnl at the end, its
+    ``peak``, its ``low``, the deepest ``drawdown`` below the peak so far, and the position of the ``last_win``.
+
+    Every cell is walked on its own.  What comes before a cell only shifts its sums, so the cells are then laid end to
+    end, level by level: trades are shuffled once, and go on as one row per cell.
+    """
+    keys, cells = list(series.keys), series.cell()
+    names = [f"_cell{i}" for i in range(len(cells))]
+    here = Window.partitionBy(*keys, *names).orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
+    df = trades.select(*dict.fromkeys([*keys, *series.order, "pnl"])).withColumns(dict(zip(names, cells)))
+    df = df.withColumns({"_sum": F.sum("pnl").over(here), RN: F.row_number().over(here)})
+    df = df.withColumn("_top", F.max("_sum").over(here))
+    parts = df.groupBy(*keys, *names).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max_by("_sum", RN).alias("cumulative"),
+        F.max("_sum").alias("peak"),
+        F.min("_sum").alias("low"),
+        F.min(c("_sum") - c("_top")).alias("drawdown"),
+        F.max(F.when(c("pnl") > 0, c(RN))).alias("last_win"),
+    )
+    for depth in range(len(names) - 1, -1, -1):
+        level, place = [*keys, *names[:depth]], names[depth]
+        before = Window.partitionBy(*level).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0)
+        parts = parts.withColumns(
+            {"_rows": F.coalesce(F.sum("rows").over(before), zero), "_sum": F.coalesce(F.sum("cumulative").over(before), zero)}
+        ).withColumn("_top", F.max(c("_sum") + c("peak")).over(before))
+        parts = parts.groupBy(*level).agg(
+            F.sum("rows").alias("rows"),
+            F.max_by(c("_sum") + c("cumulative"), F.when(c("cumulative").isNotNull(), c(place))).alias("cumulative"),
+            F.max(c("_sum") + c("peak")).alias("peak"),
+            F.min(c("_sum") + c("low")).alias("low"),
+            F.min(F.least(c("drawdown"), c("_sum") + c("low") - c("_top"))).alias("drawdown"),
+            F.max(c("_rows") + c("last_win")).alias("last_win"),
+        )
+    return parts
+
+
 def daily_pnl(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.groupBy(*keys, F.to_date("exit_time").alias("day")).agg(
         F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("trades")

@@ -9,7 +9,7 @@ from candela.operators import metrics as met
 from candela.plans.ledger_queries import EQUITY, LEDGER, MARKED, recursive, test_of
 from candela.plans.registry import query
 from candela.plans.sqltext import TRADE_ORDER, TRADES, pct, r, rounded, stages
-from candela.sources.driver_tables import event_bars, line_trades, trade_series
+from candela.sources.driver_tables import event_bars, line_trades, pnl_trades, trade_series
 
 K = ["instrument"]
 ORDER = list(trade_series().order)
@@ -239,8 +239,8 @@ RECENT = f"coalesce(sum(pnl) FILTER (WHERE exit_time > TIMESTAMP '{AS_OF}' - INT
 @query("i20_limit_usage", stages(*CUM, f"u AS (SELECT instrument, {RECENT} AS d, abs(arg_max(cum - peak, rn)) AS dd, 10000 + sum(pnl) AS eq FROM c2 GROUP BY 1)")
        + f"SELECT instrument, {r('least(1, abs(d / eq) / 0.05)')} AS daily_loss_used, {r('least(1, dd / eq / 0.15)')} AS drawdown_used FROM u")
 def usage(spark, sf_dir):
-    trades = line_trades(spark, sf_dir)
-    m = met.dashboard_metrics(trades, trade_series()).join(met.recent_pnl(trades, K, AS_OF), K)
+    trades = pnl_trades(spark, sf_dir)
+    m = met.dashboard_metrics(trades, trade_series(), saved=True).join(met.recent_pnl(trades, K, AS_OF), K)
     out = met.limit_usage(m, F.col("recent_pnl"), F.col("current_drawdown"), 10000 + F.col("total_pnl"))
     return rounded(out.select(*K, "daily_loss_used", "drawdown_used"))
 

@@ -12,7 +12,7 @@ from candela.plans.registry import query
 from candela.plans.fitted_scores import scored_bars
 from candela.plans.signal_queries import CONF, SCORED
 from candela.plans.sqltext import BARS, TRADE_ORDER, TRADES, r, rounded, stages
-from candela.sources.driver_tables import line_trades, table, trade_series
+from candela.sources.driver_tables import pnl_trades, table, trade_series
 
 END = f"TIMESTAMP '{AS_OF}'"
 DESC = ", ".join(f"{n} DESC" for n in ORDER)
@@ -45,14 +45,15 @@ STATE = [
 ]
 
 
-def baseline(spark, sf_dir):
-    old = line_trades(spark, sf_dir).where("exit_time < TIMESTAMP_NTZ '1999-01-01 00:00:00'")
-    m = met.dashboard_metrics(old, trade_series()).withColumn("win_rate", F.col("win_rate") / 100)
+def baseline(trades):
+    old = trades.where("exit_time < TIMESTAMP_NTZ '1999-01-01 00:00:00'")
+    m = met.dashboard_metrics(old, trade_series(), saved=True).withColumn("win_rate", F.col("win_rate") / 100)
     return hl.baseline_from_metrics(m, K)
 
 
-def health(spark, sf_dir):
-    return hl.check_health(line_trades(spark, sf_dir), trade_series(), AS_OF, baseline(spark, sf_dir))
+def health(trades):
+    """``trades`` are saved: the baseline and each health figure read them again."""
+    return hl.check_health(trades, trade_series(), AS_OF, baseline(trades))
 
 
 ALERT = {
@@ -76,15 +77,15 @@ TEXT = {
     + " UNION ALL ".join(f"SELECT instrument, '{k.split(';')[0]}' AS level, '{k.split(';')[1]}' AS category,"
                          f" {TEXT[k.split(';')[2]][k.split(';')[0]]} AS message FROM a WHERE {cond}" for k, cond in ALERT.items()))
 def alerts(spark, sf_dir):
-    trades = line_trades(spark, sf_dir)
-    m = met.dashboard_metrics(trades, trade_series()).join(met.recent_pnl(trades, K, AS_OF), K)
+    trades = pnl_trades(spark, sf_dir)
+    m = met.dashboard_metrics(trades, trade_series(), saved=True).join(met.recent_pnl(trades, K, AS_OF), K)
     return hl.risk_alerts(m, K, F.col("recent_pnl"), F.lit(10000.0))
 
 
 def state_query(name, cols, pick):
     @query(name, stages(*STATE) + f"SELECT instrument, {cols} FROM h6")
     def run(spark, sf_dir):
-        return rounded(health(spark, sf_dir).select(*K, *pick))
+        return rounded(health(pnl_trades(spark, sf_dir)).select(*K, *pick))
 
 
 state_query("k02_recent_win_rates", f"{r('wr30')} AS win_rate_30, {r('wr100')} AS win_rate_100", ["win_rate_30", "win_rate_100"])
@@ -118,13 +119,13 @@ ACTION = "CASE status WHEN 'failed' THEN 'stop_trading' WHEN 'critical' THEN 'cl
 @query("k09_health_status", stages(*STATE) + f"SELECT instrument, status, {ACTION} AS recommended_action, concat_ws(' | ', "
        + ", ".join(f"CASE WHEN {a} THEN {b} END" for a, b in NOTES) + ") AS warnings FROM h6")
 def status(spark, sf_dir):
-    return health(spark, sf_dir).select(*K, "status", "recommended_action", F.concat_ws(" | ", "warnings").alias("warnings"))
+    return health(pnl_trades(spark, sf_dir)).select(*K, "status", "recommended_action", F.concat_ws(" | ", "warnings").alias("warnings"))
 
 
 @query("k10_baseline", stages(*STATE) + f"SELECT instrument, {r('bwr')} AS baseline_win_rate, {r('bsh')} AS baseline_sharpe,"
        f" {r('bpf')} AS baseline_profit_factor FROM b0")
 def base(spark, sf_dir):
-    return rounded(baseline(spark, sf_dir))
+    return rounded(baseline(pnl_trades(spark, sf_dir)))
 
 
 @query("k11_recovery_plan", stages(
@@ -134,8 +135,9 @@ def base(spark, sf_dir):
     " status = 'healthy' AND coalesce(wr30 > 0.52 AND sharpe > 1.0, false) AS restore_size FROM h6 LEFT JOIN op USING (instrument)")
 def recovery(spark, sf_dir):
     end = F.lit(AS_OF).cast("timestamp_ntz")
-    open_ = line_trades(spark, sf_dir).where((F.col("entry_time") <= end) & (F.col("exit_time") > end))
-    return hl.recovery_plan(health(spark, sf_dir), open_, K)
+    trades = pnl_trades(spark, sf_dir)
+    open_ = trades.where((F.col("entry_time") <= end) & (F.col("exit_time") > end))
+    return hl.recovery_plan(health(trades), open_, K)
 
 
 # ---- drift and quality -----------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions.durable import saved
 from candela.functions.series import Series
 from candela.sources.bars import ticks_to_bars
 
@@ -65,6 +66,12 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pnl_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the trades that pnl and health figures read, saved: each of their passes would join the lines again."""
+    need = dict.fromkeys(["instrument", "entry_time", "exit_time", *TRADE_TIE, "pnl", "pnl_percent"])
+    return saved(line_trades(spark, sf_dir).select(*need), "trades")
+
+
 def trade_series(keys=("instrument",), chunk_rows: int = 131072) -> Series:
     """Trades by exit time.
 

@@ -1,10 +1,12 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from candela.functions.quantiles import exact_percentiles, running_by_value
-from candela.functions.series import bar_series
+from candela.functions.series import Series, bar_series
 from candela.operators import drift as dr
 from candela.operators import evaluation as ev
 from candela.operators import health as hl
@@ -13,6 +15,8 @@ from candela.operators import ml
 from candela.operators import tables as tab
 from candela.operators import walkforward as wf
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_percentiles_are_exact_for_skewed_and_tied_values(spark):
     rng = np.random.default_rng(4)
@@ -189,3 +193,35 @@ def test_tick_order_does_not_depend_on_the_zone(spark, zone):
         assert (bar.open, bar.close, bar.volume) == (1.0, 3.0, 4)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_pnl_path_equals_a_walk_over_all_trades(spark, levels):
+    """Cells laid end to end give what one pass over the whole series gives, with missing pnl and cells without any."""
+    rng = np.random.default_rng(11)
+    n = 400
+    pdf = pd.DataFrame({"k": np.where(rng.uniform(size=n) < 0.7, "A", "B"), "day": np.sort(rng.integers(0, 9, n)), "no": np.arange(n),
+                        "pnl": np.where(rng.uniform(size=n) < 0.1, np.nan, np.round(rng.normal(-0.05, 1, n), 2))})
+    pdf.loc[pdf.day.isin((0, 4)), "pnl"] = np.nan
+    df = spark.createDataFrame(pdf, "k string, day int, no int, pnl double").withColumn("pnl", F.nanvl("pnl", F.lit(None)))
+    cells = [F.col("day"), F.expr("no div 16")][:levels]
+    got = {r.k: r for r in met.pnl_path(df, Series(("k",), ("day", "no"), lambda: cells)).collect()}
+    assert set(got) == {"A", "B"}
+    for key, own in pdf.groupby("k"):
+        run = own.pnl.fillna(0).cumsum()[own.pnl.notna().cummax()]
+        row, top = got[key], run.cummax()
+        assert row["rows"] == len(own) and row.last_win == np.flatnonzero(own.pnl > 0)[-1] + 1
+        np.testing.assert_allclose(
+            [row.cumulative, row.peak, row.low, row.drawdown], [run.iloc[-1], run.max(), run.min(), (run - top).min()], atol=1e-9)
+
+
+def test_health_reads_the_order_lines_once(spark, monkeypatch):
+    from candela.plans import monitor_queries
+    from candela.sources import driver_tables
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    names, plain = [], driver_tables.table
+    monkeypatch.setattr(driver_tables, "table", lambda s, d, name: names.append(name) or plain(s, d, name))
+    assert monitor_queries.recovery(spark, SF).count() > 0
+    assert names.count("lineitem") == 1
