@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: marks of the three parts, and the shares of the forms in per cent
@@ -134,14 +134,30 @@ def fill_in_middle(docs: DataFrame, bound: int = BOUND) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, SCHEMA)
 
 
-def digests(made: DataFrame) -> DataFrame:
-    """``fill_in_middle``'s rows with output_sha256 and restored_sha256, of the text built again from the output, for the output."""
+def restored_text() -> Column:
+    """The text built again from the columns output and form, as :func:`restore` does it; each mark is in an output once."""
+    mark = {m: m.decode() for m in (PREFIX, SUFFIX, MIDDLE)}
+
+    def after(text: Column, m: bytes) -> Column:
+        return F.substring_index(text, mark[m], -1)
+
+    def before(text: Column, m: bytes) -> Column:
+        return F.substring_index(text, mark[m], 1)
+
+    output = F.col("output")
+    middle = after(output, MIDDLE)
+    psm = F.concat(after(before(output, SUFFIX), PREFIX), middle, before(after(output, SUFFIX), MIDDLE))
+    spm = F.concat(before(after(output, PREFIX), MIDDLE), middle, after(before(output, PREFIX), SUFFIX))
+    return F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(output)
 
-    @F.pandas_udf("string")
-    def restored(outputs: pd.Series, forms: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(restore(o.encode(), f)).hexdigest() for o, f in zip(outputs, forms)])
 
+def digests(made: DataFrame) -> DataFrame:
+    """``fill_in_middle``'s rows with output_sha256 and restored_sha256, of the text built again from the output, for the output.
+
+    Both are Spark expressions: a second Python worker for each task would hold as much memory as the first.
+    """
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
-        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), restored("output", "form").alias("restored_sha256"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored_text().cast("binary"), 256).alias("restored_sha256"),
     )

@@ -70,3 +70,14 @@ def test_rows(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert {r["form"] for r in got} == {"plain", "psm", "spm"}
     assert fim.fill_in_middle(docs.where(F.lit(False))).count() == 0
+
+
+def test_restoring_in_spark_and_one_python_worker_a_task(spark):
+    texts = ["", "<", "<<S", "S>", "ab<P", "é<M漢", "P>x<S", "\x00<\n", "a𝄞é漢" * 50]
+    made = [(*fim.transform(i, t.encode())[:2], t) for i in range(40) for t in texts]
+    rows = spark.createDataFrame([(o.decode(), f, t) for o, f, t in made], "output string, form string, text string")
+    assert rows.where(fim.restored_text() != F.col("text")).count() == 0
+    assert {f for _, f, _ in made} == {"plain", "psm", "spm"}
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    plan = fim.digests(fim.fill_in_middle(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
