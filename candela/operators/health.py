@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.guards import c, div, div0
 from candela.functions.series import Series
-from candela.operators.metrics import last_rows, pnl_path
+from candela.operators.metrics import last_rows, newest_cells, pnl_path
 
 
 def alerts_from(df: DataFrame, keys: list[str], rules: list[tuple[Column, str, str, Column]]) -> DataFrame:
@@ -60,10 +60,17 @@ class HealthLimits:
     min_confidence: float = 0.55
 
 
-def recent_win_rates(trades: DataFrame, keys: list[str], order: list[str], windows=(30, 100)) -> DataFrame:
-    """Win rate over the last n trades (or all, if fewer)."""
+def recent_win_rates(
+    trades: DataFrame, keys: list[str], order: list[str], windows=(30, 100), cell: Column | None = None
+) -> DataFrame:
+    """Win rate over the last n trades (or all, if fewer).
+
+    ``cell``, if given, rises with the order: only rows of the newest cells are then sorted, and ``trades`` is read twice.
+    """
     from pyspark.sql import Window
 
+    if cell is not None:
+        trades = newest_cells(trades, keys, cell, max(windows))
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
     ranked = trades.withColumn("_r", F.row_number().over(w)).where(c("_r") <= max(windows))
     won = (c("pnl") > 0).cast("double")
@@ -167,11 +174,12 @@ def check_health(
 ) -> DataFrame:
     """One health row per key: win rates, Sharpe, drawdown, streak, drift, breakdown, status and warnings.
 
-    ``trades`` is read three times and should be saved, unless it is a plain scan.
+    ``trades`` is read four times and should be saved, unless it is a plain scan.
     """
     keys = list(series.keys)
     past = trades.where(c("exit_time") <= F.lit(as_of).cast("timestamp_ntz"))
-    df = trade_state(trades, series, as_of).join(recent_win_rates(past, keys, list(series.order)), keys)
+    recent = recent_win_rates(past, keys, list(series.order), cell=series.cell()[0])
+    df = trade_state(trades, series, as_of).join(recent, keys)
     if baseline is not None:
         df = df.join(baseline, keys, "left")
     else:

@@ -22,6 +22,23 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return df.withColumn("_r", F.row_number().over(w)).where(c("_r") <= n).drop("_r")
 
 
+def newest_cells(df: DataFrame, keys: list[str], cell: Column, n: int) -> DataFrame:
+    """The rows of the newest cells that hold ``n`` rows of each key, or all its rows; ``df`` is read twice.
+
+    ``cell`` is a whole number that rises with the order, null for the oldest rows.
+    """
+    cell = F.coalesce(cell.cast("long"), F.lit(-(1 << 63)))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    needed = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(c("_newer") < n)
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
+    first = per_key(needed.groupBy(*keys).agg(F.min("_cell").alias("_first")).select(*named, "_first"))
+    same = cell >= c("_first")
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"_key_{k}"))
+    return df.join(first, same, "left_semi")
+
+
 def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, win rate, profits, profit factor and expectancy; a loss has pnl of 0 or less."""
     pnl = c("pnl")

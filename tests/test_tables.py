@@ -225,3 +225,27 @@ def test_health_reads_the_order_lines_once(spark, monkeypatch):
     monkeypatch.setattr(driver_tables, "table", lambda s, d, name: names.append(name) or plain(s, d, name))
     assert monitor_queries.recovery(spark, SF).count() > 0
     assert names.count("lineitem") == 1
+
+
+def test_win_rates_sort_the_newest_cells_only(spark):
+    """Keys with fewer rows than asked for keep all of them; a key, time or pnl may be missing."""
+    rng = np.random.default_rng(5)
+    rows = [("A", int(d), k, float(p)) for k, (d, p) in enumerate(zip(rng.integers(0, 200, 3000), rng.normal(size=3000)))]
+    rows += [("B", 7, k, 1.0) for k in range(12)] + [("C", None, 0, -1.0), ("C", 3, 1, 2.0), (None, 5, 0, 1.0), ("B", 8, 0, None)]
+    df = spark.createDataFrame(rows, "k string, day int, no int, pnl double")
+    few = met.newest_cells(df, ["k"], F.col("day"), 30)
+    assert few.where("k = 'A'").count() < 100 and few.where("k = 'B'").count() == 13 and few.where("k = 'C'").count() == 2
+    plain, cut = (hl.recent_win_rates(df, ["k"], ["day", "no"], (5, 30), cell).collect() for cell in (None, F.col("day")))
+    assert sorted(map(str, plain)) == sorted(map(str, cut)) and len(cut) == 4
+
+
+def test_saved_trades_hold_the_margin_once(spark):
+    """pnl and pnl_percent are made again from it, equal to those of the joined lines."""
+    from candela.sources.driver_tables import line_trades, pnl_trades
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    got, want = pnl_trades(spark, SF), line_trades(spark, SF)
+    stored = spark.read.parquet(*got.inputFiles()).columns
+    assert "margin" in stored and "pnl" not in stored and "margin" not in want.columns + got.columns
+    assert got.select("order_key", "notional", "pnl", "pnl_percent").exceptAll(want.select("order_key", "notional", "pnl", "pnl_percent")).count() == 0
