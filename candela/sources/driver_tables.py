@@ -35,16 +35,19 @@ TRADE_TIE = ("order_key", "line_no", "part_key", "supp_key", "notional")
 
 def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed trades out of order lines: instrument is the part's brand, exit the shipping date."""
+    return _trades_with_margin(spark, sf_dir).drop("margin")
+
+
+def _trades_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+        (F.col("l_discount") - F.col("l_tax")).alias("margin"), "l_returnflag", "l_linestatus", "l_shipdate",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
         parts, lines.l_partkey == parts.p_partkey
     )
-    pnl = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))
     return joined.select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")
@@ -55,21 +58,27 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("exit_time"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"),
         F.col("l_quantity").alias("size"),
-        pnl.alias("pnl"),
-        (100 * (F.col("l_discount") - F.col("l_tax"))).alias("pnl_percent"),
+        (F.col("l_extendedprice") * F.col("margin")).alias("pnl"),
+        (100 * F.col("margin")).alias("pnl_percent"),
         F.col("l_returnflag").alias("strategy"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"),
         F.col("l_suppkey").alias("supp_key"),
         F.col("l_extendedprice").alias("notional"),
+        "margin",
     )
 
 
 def pnl_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of the trades that pnl and health figures read, saved: each of their passes would join the lines again."""
-    need = dict.fromkeys(["instrument", "entry_time", "exit_time", *TRADE_TIE, "pnl", "pnl_percent"])
-    return saved(line_trades(spark, sf_dir).select(*need), "trades")
+    """The columns of the trades that pnl and health figures read, saved: each of their passes would join the lines again.
+
+    The margin has few values; pnl and pnl_percent are made of it again after reading.
+    """
+    need = dict.fromkeys(["instrument", "entry_time", "exit_time", *TRADE_TIE, "margin"])
+    kept = saved(_trades_with_margin(spark, sf_dir).select(*need), "trades")
+    gains = {"pnl": F.col("notional") * F.col("margin"), "pnl_percent": 100 * F.col("margin")}
+    return kept.withColumns(gains).drop("margin")
 
 
 def trade_series(keys=("instrument",), chunk_rows: int = 131072) -> Series:
