@@ -208,9 +208,11 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
     Rows belong to the cell of their nearest pivot.  A first join inside cells
     bounds the distance of the k-th neighbour; by the triangle inequality a
     second join only visits cells that may hold something nearer.  Blocks of
-    at most about 2,000 rows meet in numpy, and only the k best of each block
-    leave a task.  Work inside a cell grows with the square of its blocks, so
-    ``pivots`` should grow with the square root of the rows.
+    about 2,000 rows meet in numpy: one matrix product finds the pairs that are
+    not beyond the bound, with room for its rounding, and only these are
+    measured and ranked, by distance and then key.  A block travels once for
+    each cell it visits.  Work inside a cell grows with the square of its
+    blocks, so ``pivots`` should grow with the square root of the rows.
     """
     import numpy as np
     import pandas as pd
@@ -219,13 +221,13 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
     rows = points.select(*features).orderBy(F.xxhash64(key)).limit(pivots).collect()
     centers = np.array([[float(v) for v in r] for r in rows])
     pts = points.select(key, F.array(*[c(n).cast("double") for n in features]).alias("x"))
-    block_rows = 2000
+    block_rows, step, room = 2000, 128, 1e-12
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["x"].to_numpy())
-                d = np.sqrt(np.maximum(((x[:, None, :] - centers[None]) ** 2).sum(-1), 0))
+                d = np.stack([np.sqrt(((x - center) ** 2).sum(1)) for center in centers], axis=1)
                 yield pdf.assign(cell=d.argmin(1).astype("int32"), dist=d.min(1))
 
     kind = dict(points.dtypes)[key]
@@ -234,54 +236,69 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, key:
     split = celled.join(F.broadcast(sizes), "cell").withColumn(
         "part", F.pmod(F.xxhash64(key), F.ceil(c("_n") / block_rows)).cast("int")
     ).drop("_n")
-    blocks = materialize(
-        split.groupBy("cell", "part").agg(
-            F.collect_list(F.struct(key, "x", "dist")).alias("rows"), F.max("dist").alias("radius"), F.min("dist").alias("inner")
-        )
-    )
+
+    def blocked(df):
+        """One row for each block: its keys, its values row by row, and the bounds of its rows."""
+        made = df.groupBy("cell", "part").agg(F.collect_list(F.struct(F.col(key).alias("id"), "x", "bound")).alias("rows"))
+        return materialize(made.select(
+            "cell", "part", F.transform("rows", lambda r: r["id"]).alias("ids"),
+            F.flatten(F.transform("rows", lambda r: r["x"])).alias("values"), F.transform("rows", lambda r: r["bound"]).alias("bounds"),
+        ))
 
     def meet(batches):
         for pdf in batches:
-            for left, right in zip(pdf["left"], pdf["right"]):
-                a = np.stack([r["x"] for r in left])
-                b = np.stack([r["x"] for r in right])
-                d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
-                ids_b = np.array([r[key] for r in right])
-                out = []
-                for i, r in enumerate(left):
-                    row = np.where(ids_b == r[key], np.inf, d[i])
-                    order = np.argsort(row, kind="stable")[: k + 1]
-                    out += [(r[key], ids_b[j], float(((a[i] - b[j]) ** 2).sum() ** 0.5)) for j in order if np.isfinite(row[j])]
-                yield pd.DataFrame(out, columns=[key, "neighbour", "d"])
-
-    side = lambda name: blocks.select(F.col("cell").alias(f"{name}_cell"), F.col("rows").alias(name))
+            for row in pdf.itertuples(index=False):
+                ids_a, ids_b, bounds = (np.asarray(v) for v in (row.left_ids, row.right_ids, row.left_bounds))
+                a, b = (np.asarray(v).reshape(len(ids), -1) for v, ids in ((row.left_values, ids_a), (row.right_values, ids_b)))
+                aa, bb = (a**2).sum(1), (b**2).sum(1)
+                found = []
+                for at in range(0, len(a), step):
+                    part = slice(at, at + step)
+                    square = a[part] @ b.T
+                    square *= -2
+                    square += bb
+                    square += aa[part, None]
+                    limit = bounds[part] ** 2
+                    # a row that has no bound yet keeps its k nearest here; it may meet itself
+                    if np.isinf(limit).any() and len(b) > k + 1:
+                        limit = np.minimum(limit, np.maximum(np.partition(square, k, axis=1)[:, k], 0))
+                    limit = limit + room * (aa[part] + bb.max() + np.where(np.isinf(limit), 0, limit))
+                    i, j = np.nonzero(square <= limit[:, None])
+                    i = i + at
+                    other = ids_a[i] != ids_b[j]
+                    i, j = i[other], j[other]
+                    d = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
+                    found.append(pd.DataFrame({key: ids_a[i], "neighbour": ids_b[j], "d": d}))
+                out = pd.concat(found).sort_values([key, "d", "neighbour"])
+                yield out.groupby(key, sort=False).head(k)
+
+    side = lambda df, name: df.select(
+        F.col("cell").alias(f"{name}_cell"), F.col("ids").alias(f"{name}_ids"), F.col("values").alias(f"{name}_values"), F.col("bounds").alias(f"{name}_bounds"))
     schema = f"{key} {kind}, neighbour {kind}, d double"
-    inside = side("left").join(side("right"), c("left_cell") == c("right_cell")).select("left", "right")
+    met_columns = ["left_ids", "left_values", "left_bounds", "right_ids", "right_values"]
+    blocks = blocked(split.withColumn("bound", F.lit(float("inf"))))
+    inside = side(blocks, "left").join(side(blocks, "right"), c("left_cell") == c("right_cell")).select(*met_columns)
     near = materialize(inside.mapInPandas(meet, schema))
     best = lambda df: df.groupBy(key).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, k).alias("best")
     )
     first = best(near)
-    reach = celled.join(first, key, "left").withColumn(
+    reach = materialize(split.join(first, key, "left").withColumn(
         "bound", F.when(F.size("best") >= k, F.element_at("best", k)["d"]).otherwise(F.lit(float("inf")))
-    )
+    ).drop("best"))
     gap = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(-1))
     # a row must visit another cell when its bound reaches past the half-way plane or the cell's ring
-    cells = blocks.groupBy("cell").agg(F.max("radius").alias("radius"))
+    cells = celled.groupBy("cell").agg(F.max("dist").alias("radius"))
     pairs = points.sparkSession.createDataFrame(
         [(int(i), int(j), float(gap[i, j])) for i in range(len(centers)) for j in range(len(centers)) if i != j],
         "cell int, other int, gap double",
     )
     visits = reach.join(F.broadcast(pairs.join(cells.withColumnRenamed("cell", "other"), "other")), "cell").where(
-        c("gap") - c("dist") - c("radius") <= c("bound")
-    )
-    visits = materialize(visits.select(key, "x", "dist", "other"))
-    crowd = visits.groupBy("other").agg(F.count(F.lit(1)).alias("_n"))  # one row per cell
-    salt = F.pmod(F.xxhash64(key), F.ceil(c("_n") / block_rows))
-    asks = visits.join(F.broadcast(crowd), "other").groupBy("other", salt.alias("salt")).agg(
-        F.collect_list(F.struct(key, "x", "dist")).alias("left")
+        c("gap") - c("dist") - c("radius") <= c("bound") + room * (c("gap") + c("dist") + c("radius"))
     )
-    across = asks.join(side("right"), c("other") == c("right_cell")).select("left", "right")
+    visits = visits.groupBy("cell", "part", "other").agg(F.lit(1).alias("_one")).drop("_one")  # at most one row for each block and cell
+    asks = blocked(reach).join(visits, ["cell", "part"]).select("other", *[F.col(n).alias(f"left_{n}") for n in ("ids", "values", "bounds")])
+    across = asks.join(side(blocks, "right"), c("other") == c("right_cell")).select(*met_columns)
     every = near.unionByName(across.mapInPandas(meet, schema))
     return best(every).select(key, F.posexplode("best").alias("pos", "_b")).select(
         key, (c("pos") + 1).alias("rank"), c("_b.neighbour").alias("neighbour"), c("_b.d").alias("distance")

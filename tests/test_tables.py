@@ -168,6 +168,19 @@ def test_neighbours_against_brute_force(spark):
     np.testing.assert_allclose(mine, want, rtol=1e-9)
 
 
+def test_neighbours_of_equal_rows_are_ranked_by_key(spark):
+    """Many copies of a row are at distance zero, whatever a matrix product makes of it, and the smallest keys come first."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(50, 1, (6, 5)), 20, axis=0)[rng.permutation(120)]
+    names = list("abcde")
+    pdf = pd.DataFrame(x, columns=names).assign(id=range(120)).sort_values("id", ascending=False)
+    got = ml.nearest_neighbours(spark.createDataFrame(pdf), names, 4, pivots=3)
+    rows = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in got.collect()}
+    for i in range(120):
+        same = [j for j in range(120) if j != i and (x[j] == x[i]).all()][:4]
+        assert [rows[i, n + 1] for n in range(4)] == [(j, 0.0) for j in same]
+
+
 def test_smote_balances_and_stays_between_neighbours(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame(rng.uniform(0, 1, (120, 2)), columns=["a", "b"]).assign(id=range(120), label=[1] * 20 + [0] * 100)
