@@ -312,9 +312,19 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     crowds = saved(crowds.select(F.struct("place", "value").alias("at"), "n", "b"), "crowds")
     found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
     if crowds.limit(1).count():
+        crowded = values.select(F.struct("place", "value").alias("at"), F.col("sid").alias("a"))
         hot = crowds.where(F.col("n") >= hot_size(values.count())).select("at", "n")
-        tied = spread_join(values.select(F.struct("place", "value").alias("at"), F.col("sid").alias("a")), crowds.drop("n"), "at", hot, ["a"])
-        found = near(tied.where("a != b").select("a", "b"))
+        ties = spread_join(crowded, crowds, "at", hot, ["a"]).where("a != b").groupBy("a", "b").agg(F.max("n").alias("n"))
+        ties = saved(ties, "ties")
+        # first the tie of each row to its largest crowd; then those that still join two components
+        best = saved(ties.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "first-ties")
+        found = near(best)
+        labels = saved(components(found), "tied")
+        rest = saved(ties.join(best, ["a", "b"], "left_anti"), "ties")
+        for side in ("a", "b"):
+            rest = lookup(rest, labels.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}")), side, hot_keys(rest, side, rest.count()), ["a", "b"])
+        open_ = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        found = saved(found.unionByName(near(open_)), "found")
         labels = saved(components(found), "tied")
 
     # one row for each component and value; those that share half of a segment and differ in one bit of the other

@@ -128,3 +128,17 @@ def test_similar_documents_with_a_crowd(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
     assert all(got[k] == 0 for k in range(120)) and all(got[500 + k] == 500 + k for k in range(40))
+
+
+def test_rows_of_a_crowd_are_compared_about_once(spark, monkeypatch):
+    """Once a row is tied to its crowd, the other values that it shares with rows of the same component ask for nothing."""
+    monkeypatch.setattr(simhash, "TIED", 3)
+    asked, verified = [], simhash.shingle_join.verified
+    monkeypatch.setattr(simhash.shingle_join, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(k, " ".join(w if rng.random() > 0.004 else f"new{k}" for w in base)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(got[k] == 0 for k in range(300))
+    assert sum(asked) < 2 * len(rows), asked
