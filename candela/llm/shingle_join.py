@@ -39,8 +39,10 @@ CELL_BITS, SLICES = 20, 64
 LARGEST_SMALL = 128
 #: Sets that share a key from which they are tied to one of them before they are paired, rounds of that, and sets in a block.
 DENSE, ROUNDS, BLOCK = 4, 6, 1024
-#: Texts, and keys, are picked by their place among so many, which bounds the tables that are broadcast for it.
-PLACES, KEY_PLACES = 1 << 18, 1 << 20
+#: Texts are picked by their place among so many, which bounds the table that is broadcast for it.
+PLACES = 1 << 18
+#: Words of the sketch that goes with every key of a set; a power of two.
+SHORT = 8
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 16
 
@@ -89,10 +91,11 @@ def smallest_set(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """Parity sketch: each shingle turns one bit of a row that has a power of two of bits, two to four times as many as shingles.
+def parity(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parity sketch: each shingle turns one bit of a row that has a power of two of bits, two to four times as many as shingles
+    and ``SHORT`` words of 64 at least, unless ``words`` are asked for.
     Sketches of two sets differ in no more bits than the sets do in shingles; a longer one folds to the length of a shorter."""
-    words = max(1, 1 << max(0, (len(tokens) - 1).bit_length() - 5))
+    words = words or max(SHORT, 1 << max(0, (len(tokens) - 1).bit_length() - 5))
     bits = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -107,10 +110,10 @@ def _differ(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, d: s + d)
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
+def possible(a: str, b: str, percent: int, bits: str = "bits") -> Column:
     """Whether sizes and sketches of the sides ``a`` and ``b`` allow the similarity.  Sizes apart by less than twice
     have sketches apart by one folding at most."""
-    n, m, x, y = (F.col(f"{s}.{c}") for c in ("size", "bits") for s in (a, b))
+    n, m, x, y = (F.col(f"{s}.{c}") for c in ("size", bits) for s in (a, b))
     common = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
     differ = (
         F.when(F.size(x) == F.size(y), _differ(x, y)).when(F.size(x) == 2 * F.size(y), _differ(_half(x), y))
@@ -178,12 +181,12 @@ def cell_ranks(read: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
 
-_SETS = "s1 bigint, s2 bigint, size bigint, doc_id bigint, text_hash bigint, prefix array<bigint>, bits array<bigint>"
+_SETS = "s1 bigint, s2 bigint, size bigint, doc_id bigint, text_hash bigint, prefix array<bigint>, bits array<bigint>, short array<bigint>"
 
 
 def different_sets(docs: DataFrame, ranks: np.ndarray, width: int, percent: int, subset: int) -> DataFrame:
     """One row for each different set that can be near another: sid, signature, size, a row that has it, its prefix in
-    order, and its parity sketch."""
+    order, and its parity sketch, whole and short."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     least = smallest_set(percent)
 
@@ -197,8 +200,9 @@ def different_sets(docs: DataFrame, ranks: np.ndarray, width: int, percent: int,
                     continue
                 order = np.argsort(rank[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
                 prefix = tokens[order[: len(tokens) - least_common(len(tokens), percent) + subset]].view(np.int64)
-                out.append((*_signature(tokens), len(tokens), None if pd.isna(doc_id) else int(doc_id), text_hash, prefix, parity(tokens)))
-            made = pd.DataFrame(out, columns=["s1", "s2", "size", "doc_id", "text_hash", "prefix", "bits"])
+                sketches = parity(tokens), parity(tokens, SHORT)
+                out.append((*_signature(tokens), len(tokens), None if pd.isna(doc_id) else int(doc_id), text_hash, prefix, *sketches))
+            made = pd.DataFrame(out, columns=["s1", "s2", "size", "doc_id", "text_hash", "prefix", "bits", "short"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), "text")
@@ -257,6 +261,12 @@ def keys(sets: DataFrame, most_small: int, percent: int, subset: int) -> DataFra
     return light.unionByName(heavy).select("key", "sid")
 
 
+def hot_sides(pairs: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The hot keys of each side of saved pairs (a, b), counted before either side is joined."""
+    least = hot_size(pairs.count())
+    return [(side, pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)) for side in ("a", "b")]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), each there once, whose texts have the similarity."""
     pairs = saved(pairs, "candidates")
@@ -289,14 +299,21 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, per
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    total = pairs.count()
-    for side in ("a", "b"):
+    for side, hot in hot_sides(pairs):
         table = texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}"))
-        hot = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(total))
         pairs = spread_join(pairs, table, side, hot, ["a", "b"])
     return saved(pairs.where(similar("text_a", "text_b")).select("a", "b"), "links")
 
 
+def _apart(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b), each there once, that are in different components and whose sizes and sketches allow the similarity."""
+    pairs = saved(pairs, "pairs")
+    for side, hot in hot_sides(pairs):
+        table = facts.select(F.col("sid").alias(side), F.struct("size", "bits", "comp").alias(f"of_{side}"))
+        pairs = spread_join(pairs, table, side, hot, ["a", "b"])
+    return pairs.where((F.col("of_a.comp") != F.col("of_b.comp")) & possible("of_a", "of_b", percent)).select("a", "b")
+
+
 def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``members`` with ``comp``, the component of its set."""
     if labels is None:
@@ -311,26 +328,28 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
     rows = keys(sets, most_small, percent, subset)
     facts = sets.select("sid", "size", "bits")
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("n > 1"), "shared")
-    # a key of two sets is their pair; only rows of the other keys are fetched, most of the rest being left out by a bounded table
+    # a key of two sets is their pair; only rows of the other keys go on
     larger = shared.where("n > 2").select("key", "n")
-    place = F.pmod("key", F.lit(KEY_PLACES))
-    near = rows.withColumn("place", place).join(F.broadcast(larger.select(place.alias("place")).distinct()), "place", "left_semi").drop("place")
-    members = saved(near.join(larger, "key").select("key", "n", "sid"), "members")
+    hot = larger.where(F.col("n") >= hot_size(larger.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])).select("key", "n")
+    members = saved(spread_join(rows, larger.select("key", F.col("n").alias("sets")), "key", hot, ["sid"]).withColumnRenamed("sets", "n"), "members")
 
-    dense = saved(members.where(F.col("n") > DENSE).join(facts, "sid"), "dense")
-    hot = dense.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(dense.count()))
-    found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
+    # rounds move names and sizes only; sketches are fetched for the pairs
+    dense = members.where(F.col("n") > DENSE).join(sets.select("sid", "size"), "sid")
+    found, labels, before = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None, None
     for turn in range(ROUNDS):
         # one pivot a key, another one each round; a set is compared with it unless they are in one component already
         named = saved(_named(dense, labels), "dense")
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid")).alias("first"))
-        pivots = saved(open_keys.where("low != high").select("key", F.col("first.sid").alias("sid")), "pivots")
-        if pivots.limit(1).count() == 0:
+        open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "size", "comp")).alias("first"))
+        pivots = saved(open_keys.where("low != high").select("key", F.col("first.sid").alias("b"), F.struct("first.size", "first.comp").alias("p")), "pivots")
+        left = pivots.count()
+        # a round that closes few keys costs more than the pairs it saves
+        if left == 0 or before is not None and 4 * left > 3 * before:
             break
-        chosen = named.join(pivots, ["key", "sid"]).select("key", F.col("sid").alias("b"), F.struct("size", "bits", "comp").alias("p"))
-        tied = named.select("key", F.col("sid").alias("a"), F.struct("size", "bits", "comp").alias("m"))
-        tied = spread_join(tied, chosen, "key", hot, ["a"]).where((F.col("m.comp") != F.col("p.comp")) & _possible("m", "p", percent))
-        new = verified(tied.select("a", "b").distinct(), sets, docs, width, percent)
+        before = left
+        tied = named.select("key", F.col("sid").alias("a"), F.struct("size", "comp").alias("m"))
+        near = F.least("m.size", "p.size") * 100 >= F.greatest("m.size", "p.size") * percent
+        tied = spread_join(tied, pivots, "key", hot, ["a"]).where((F.col("m.comp") != F.col("p.comp")) & near)
+        new = verified(_apart(tied.select("a", "b").distinct(), facts.withColumn("comp", F.col("sid")), percent), sets, docs, width, percent)
         if new.limit(1).count() == 0:
             break
         found = saved(found.unionByName(new), "found")
@@ -339,8 +358,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
     # what is still in different components is paired, a block of a key's sets against another
     named = _named(members, labels)
     open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    left = saved(named.join(open_keys, "key").join(facts, "sid"), "open")
-    apart = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x", "y", percent)
+    left = saved(named.join(open_keys, "key").join(sets.select("sid", "size", "short"), "sid"), "open")
+    apart = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent, "short")
     few, many = left.where(F.col("n") <= BLOCK), left.where(F.col("n") > BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own, each = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -351,12 +370,9 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
     paired = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     blocked = sides[0].join(sides[1], at & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
-    two = shared.where("n = 2").select("a", "b").distinct()
-    for side in ("a", "b"):
-        one = _named(facts, labels).select(F.col("sid").alias(side), F.struct("size", "bits", "comp").alias(f"of_{side}"))
-        two = two.join(one, side)
-    two = two.where((F.col("of_a.comp") != F.col("of_b.comp")) & _possible("of_a", "of_b", percent)).select("a", "b")
-    return found.unionByName(verified(paired.unionByName(blocked).unionByName(two).distinct(), sets, docs, width, percent))
+    two = shared.where("n = 2").select("a", "b")
+    pairs = _apart(paired.unionByName(blocked).unionByName(two).distinct(), _named(facts, labels), percent)
+    return found.unionByName(verified(pairs, sets, docs, width, percent))
 
 
 def similar_documents(

@@ -116,3 +116,14 @@ def test_prefixes_and_sketches_never_lose_a_pair():
         if len(y) > len(x):
             y = y[: len(x)] ^ y[len(x) :]
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a) + len(b) - 2 * common
+
+
+def test_a_group_less_similar_is_not_listed(spark, monkeypatch):
+    """Small sets that are alike, but less than asked for, are kept apart by their sketches, not by their texts."""
+    asked, verified = [], sj.verified
+    monkeypatch.setattr(sj, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(5000)}" for _ in range(43)]  # 40 of 48 shingles of a pair are shared
+    rows = [(k, " ".join([*base, *(f"own{k}x{j}" for j in range(4))])) for k in range(120)]
+    assert result(spark, rows, most_small=128) == brute(rows)
+    assert sum(asked) < 1000, asked
