@@ -238,6 +238,8 @@ PRINTS = 6
 #: Bits that fingerprints of near copies differ in at most: in the one with the segment, in another one, and in all; and
 #: rows of a value that are tied to one.  At a similarity of 0.8 these are three deviations and more above the mean.
 ONE_APART, OTHER_APART, ALL_APART, TIED = 16, 21, 96, 16
+#: Words of the parity sketch that goes with each value.
+SKETCH = 4
 _STEPS = [np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(1, PRINTS + 1)]
 
 
@@ -255,13 +257,21 @@ def many_prints(tokens: np.ndarray) -> np.ndarray:
 
 
 def _read_prints(docs: DataFrame, width: int) -> DataFrame:
-    @F.pandas_udf("array<bigint>")
-    def prints(texts: pd.Series) -> pd.Series:
+    words = [f"w{k}" for k in range(SKETCH)]
+
+    @F.pandas_udf(f"prints array<bigint>, size bigint, bits array<bigint>, {', '.join(f'{w} bigint' for w in words)}")
+    def prints(texts: pd.Series) -> pd.DataFrame:
         read = shingle_join.Shingler(width)
-        return pd.Series([many_prints(x) if len(x := read(t)) else None for t in texts])
+        sets = [read(t) for t in texts]
+        out = pd.DataFrame({
+            "prints": [many_prints(x) if len(x) else None for x in sets], "size": [len(x) for x in sets],
+            "bits": [shingle_join.parity(x) for x in sets],
+        }, columns=["prints", "size", "bits"])
+        out[words] = np.array([shingle_join.parity(x, SKETCH) for x in sets], np.int64).reshape(-1, SKETCH)
+        return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), prints("text").alias("prints"))
-    return saved(rows.withColumn("sid", F.monotonically_increasing_id()), "many-prints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), prints("text").alias("of"))
+    return saved(rows.select("doc_id", "text_hash", "of.*").withColumn("sid", F.monotonically_increasing_id()), "many-prints")
 
 
 def _values(rows: DataFrame) -> DataFrame:
@@ -271,7 +281,15 @@ def _values(rows: DataFrame) -> DataFrame:
                  F.get("prints", F.lit(f)).alias("print"), F.get("prints", F.lit((f + 1) % PRINTS)).alias("other"))
         for f in range(PRINTS) for k, (a, n, _) in enumerate(segments(5, 3))
     ]
-    return rows.select("sid", "comp", F.inline(F.array(*each)))
+    return rows.select("sid", "comp", "size", *[f"w{k}" for k in range(SKETCH)], F.inline(F.array(*each)))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and short sketches of the sides ``a`` and ``b`` allow the similarity."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    common = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    differ = sum((_apart(F.col(f"{a}.w{k}"), F.col(f"{b}.w{k}")) for k in range(1, SKETCH)), _apart(F.col(f"{a}.w0"), F.col(f"{b}.w0")))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n + m - 2 * common >= differ)
 
 
 def _far(a: Column, b: Column) -> Column:
@@ -287,27 +305,28 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     ALL_APART bits at most.  A bit differs with the arc cosine of 2 s / (1 + s) over pi, 0.15 at s = 0.8, so that 0.95 of the pairs of that
     similarity are candidates, and more of those above.  The ball of radius one is searched through the halves of a
     segment, one of which is equal.  Rows of one value are first tied to one of them, and a component then has one row
-    in each value, so hot groups are neither paired out nor met in one task.
+    in each value, so hot groups are neither paired out nor met in one task.  Sizes and parity sketches of the sets rule out
+    pairs that cannot have the similarity (see ``shingle_join``), which keeps the rows of a group that are less similar apart
+    before they are listed.
 
     ``docs`` needs doc_id and text; other columns are ignored.  Null texts and those without words are linked with
     nothing.  Repeated rows are linked; a null doc_id counts only where its component has no other.  An empty table
     gives no rows.
     """
     rows = _read_prints(docs, width)
-    full = rows.where("prints IS NOT NULL").select("sid", "prints")
+    full = rows.where("prints IS NOT NULL").drop("doc_id", "text_hash")
     facts = rows.select("sid", "doc_id", "text_hash")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Different ones of ``pairs`` (a, b) whose fingerprints are near, confirmed by the texts."""
         one = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        total = one.count()
-        for side in ("a", "b"):
-            hot = one.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_size(total))
-            one = spread_join(one, full.select(F.col("sid").alias(side), F.col("prints").alias(f"of_{side}")), side, hot, ["a", "b"])
-        return shingle_join.verified(one.where(_far(F.col("of_a"), F.col("of_b")) <= ALL_APART).select("a", "b"), facts, docs, width, percent)
+        for side, hot in shingle_join.hot_sides(one):
+            one = spread_join(one, full.select(F.col("sid").alias(side), F.struct("prints", "size", "bits").alias(f"of_{side}")), side, hot, ["a", "b"])
+        close = (_far(F.col("of_a.prints"), F.col("of_b.prints")) <= ALL_APART) & shingle_join.possible("of_a", "of_b", percent)
+        return shingle_join.verified(one.where(close).select("a", "b"), facts, docs, width, percent)
 
     # rows of one value are tied to its smallest
-    values = saved(_values(full.withColumn("comp", F.col("sid"))).drop("comp"), "values")
+    values = saved(_values(full.withColumn("comp", F.col("sid"))).select("place", "value", "sid"), "values")
     crowds = values.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("b")).where(F.col("n") > TIED)
     crowds = saved(crowds.select(F.struct("place", "value").alias("at"), "n", "b"), "crowds")
     found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
@@ -330,15 +349,17 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     # one row for each component and value; those that share half of a segment and differ in one bit of the other
     named = full.withColumn("comp", F.col("sid")) if labels is None else (
         full.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root"))
-    each = saved(_values(named).groupBy("place", "value", "comp").agg(F.min_by("print", "sid").alias("print"), F.min_by("other", "sid").alias("other"), F.min("sid").alias("sid")), "by-value")
+    carried = ["print", "other", "size", *[f"w{k}" for k in range(SKETCH)]]
+    each = saved(_values(named).groupBy("place", "value", "comp").agg(*[F.min_by(x, "sid").alias(x) for x in carried], F.min("sid").alias("sid")), "by-value")
     half = [(F.col("value").bitwiseAND(F.lit(1023)), F.shiftright("value", 10)), (F.shiftright("value", 10), F.col("value").bitwiseAND(F.lit(1023)))]
-    cut = each.select("sid", "comp", "print", "other", F.inline(F.array(*[F.struct((2 * F.col("place") + h).alias("half"), same.alias("same"), rest.alias("rest")) for h, (same, rest) in enumerate(half)])))
+    cut = each.select("sid", "comp", *carried, F.inline(F.array(*[F.struct((2 * F.col("place") + h).alias("half"), same.alias("same"), rest.alias("rest")) for h, (same, rest) in enumerate(half)])))
     x, y = cut.alias("x"), cut.alias("y")
     apart = F.bit_count(F.col("x.rest").bitwiseXOR(F.col("y.rest")))
     # equal values show once, in the first half
     ball = (apart <= 1) & ((apart == 1) | (F.col("x.half") % 2 == 0))
     met = x.join(y, (F.col("x.half") == F.col("y.half")) & (F.col("x.same") == F.col("y.same")) & (F.col("x.sid") < F.col("y.sid"))
-                 & (F.col("x.comp") != F.col("y.comp")) & ball & (_apart(F.col("x.print"), F.col("y.print")) <= ONE_APART) & (_apart(F.col("x.other"), F.col("y.other")) <= OTHER_APART))
+                 & (F.col("x.comp") != F.col("y.comp")) & ball & (_apart(F.col("x.print"), F.col("y.print")) <= ONE_APART) & (_apart(F.col("x.other"), F.col("y.other")) <= OTHER_APART)
+                 & _possible("x", "y", percent))
     found = found.unionByName(near(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))))
     roots = components(found)
 

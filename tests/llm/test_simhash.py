@@ -142,3 +142,19 @@ def test_rows_of_a_crowd_are_compared_about_once(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
     assert all(got[k] == 0 for k in range(300))
     assert sum(asked) < 2 * len(rows), asked
+
+
+def test_a_group_less_similar_is_not_listed(spark, monkeypatch):
+    """Rows of a group that are alike, but less than asked for, share many values; their sketches keep them apart."""
+    asked, verified = [], simhash.shingle_join.verified
+    monkeypatch.setattr(simhash.shingle_join, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = []
+    for k in range(150):  # 56 of 80 shingles of a pair are shared
+        words = base + [f"own{k}x{j}" for j in range(12)]
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(got[k] == k for k in range(150))
+    assert sum(asked) < len(texts), asked
