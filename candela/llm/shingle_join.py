@@ -11,9 +11,11 @@ Shingles are ordered from rare to frequent by a sketch of all documents.  Two se
 The boundary is the size for which the subsets listed and the list entries scanned, both counted, are fewest.
 
 A subset or list that many sets share is not paired out.  Each round ties its sets to one of them, and where that has
-made one component of them, nothing is left to do.  Only sets of different components are paired, in blocks.  Pairs are
-dropped whose parity sketches differ in more bits than the sets may differ in shingles; all others are decided by their
-texts.  So the links are exact, and none between two components is missed.
+made one component of them, nothing is left to do.  Then the sets of a key are compared by their parity sketches, in
+blocks, and a forest of the closest pairs between components is tried first: as many pairs as sets at most, which leave
+few components of a crowd.  At last all pairs that still are between two components are listed.  Pairs are dropped whose
+sketches differ in more bits than the sets may differ in shingles; all others are decided by their texts.  So the links
+are exact, and none between two components is missed.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ LARGEST_SMALL = 128
 DENSE, ROUNDS, BLOCK = 4, 6, 1024
 #: Texts are picked by their place among so many, which bounds the table that is broadcast for it.
 PLACES = 1 << 18
-#: Words of the sketch that goes with every key of a set; a power of two.
-SHORT = 8
+#: Words of a sketch at least, of one that goes to the blocks of a key, and rows that are sent to one task together; powers of two.
+SHORT, LONG, BUCKET_ROWS = 8, 32, 1024
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 1 << 16
 
@@ -181,12 +183,12 @@ def cell_ranks(read: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
 
-_SETS = "s1 bigint, s2 bigint, size bigint, doc_id bigint, text_hash bigint, prefix array<bigint>, bits array<bigint>, short array<bigint>"
+_SETS = "s1 bigint, s2 bigint, size bigint, doc_id bigint, text_hash bigint, prefix array<bigint>, bits array<bigint>"
 
 
 def different_sets(docs: DataFrame, ranks: np.ndarray, width: int, percent: int, subset: int) -> DataFrame:
     """One row for each different set that can be near another: sid, signature, size, a row that has it, its prefix in
-    order, and its parity sketch, whole and short."""
+    order, and its parity sketch of ``LONG`` words at least."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     least = smallest_set(percent)
 
@@ -200,9 +202,10 @@ def different_sets(docs: DataFrame, ranks: np.ndarray, width: int, percent: int,
                     continue
                 order = np.argsort(rank[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
                 prefix = tokens[order[: len(tokens) - least_common(len(tokens), percent) + subset]].view(np.int64)
-                sketches = parity(tokens), parity(tokens, SHORT)
-                out.append((*_signature(tokens), len(tokens), None if pd.isna(doc_id) else int(doc_id), text_hash, prefix, *sketches))
-            made = pd.DataFrame(out, columns=["s1", "s2", "size", "doc_id", "text_hash", "prefix", "bits", "short"])
+                bits = parity(tokens)
+                bits = bits if len(bits) >= LONG else parity(tokens, LONG)
+                out.append((*_signature(tokens), len(tokens), None if pd.isna(doc_id) else int(doc_id), text_hash, prefix, bits))
+            made = pd.DataFrame(out, columns=["s1", "s2", "size", "doc_id", "text_hash", "prefix", "bits"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), "text")
@@ -322,6 +325,84 @@ def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.withColumn("comp", F.coalesce("root", "sid")).drop("root")
 
 
+class Block:
+    """The sets of a key that meet in one task: which pairs of different components sizes and sketches allow.  Of a key
+    cut into parts, ``own`` is the part of a set, and only pairs of the parts ``i`` and ``j`` are looked at."""
+
+    SAME, FAR = -1, 1 << 30
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.percent, self.i, self.j = percent, rows["i"].iloc[0], rows["j"].iloc[0]
+        self.sid, self.size, self.comp, self.own = (rows[c].to_numpy() for c in ("sid", "size", "comp", "own"))
+        self.bits = np.stack([self._folded(b) for b in rows["bits"]])
+
+    @staticmethod
+    def _folded(bits: np.ndarray) -> np.ndarray:
+        bits = np.asarray(bits).view(np.uint64)
+        while len(bits) > LONG:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        return bits
+
+    def apart(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Of the sets ``others``, in how many bits they differ from set ``k``, ``FAR`` where the pair is ruled out; ``SAME``
+        in its component."""
+        size, n = self.size[others], self.size[k]
+        may = 100 * np.minimum(size, n) >= self.percent * np.maximum(size, n)
+        if self.i != self.j:
+            may &= self.own[others] != self.own[k]
+        out = np.full(len(others), self.FAR)
+        at = others[may]
+        differ = np.bitwise_count(self.bits[at] ^ self.bits[k]).sum(axis=1, dtype=np.int64)
+        most = size[may] + n + 2 * (-self.percent * (size[may] + n) // (100 + self.percent))
+        out[may] = np.where(differ <= most, differ, self.FAR)
+        out[self.comp[others] == self.comp[k]] = self.SAME
+        return out
+
+    def every(self) -> Iterator[tuple[int, int]]:
+        """All pairs that are allowed."""
+        for k in range(len(self.sid) - 1):
+            others = np.arange(k + 1, len(self.sid))
+            far = self.apart(k, others)
+            yield from ((k, x) for x in others[(far != self.SAME) & (far != self.FAR)])
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Of the allowed pairs, those of a least spanning forest over the components: set by set, the closest next."""
+        left = np.arange(len(self.sid))
+        best, source = np.full(len(left), self.FAR), np.zeros(len(left), np.int64)
+        while len(left):
+            at = int(best.argmin())
+            k = left[at]
+            if best[at] not in (self.SAME, self.FAR):
+                yield source[at], k
+            left, best, source = (np.delete(x, at) for x in (left, best, source))
+            far = self.apart(k, left)
+            closer = far < best
+            best[closer], source[closer] = far[closer], k
+
+
+def block_pairs(named: DataFrame, sets: DataFrame, hot: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a key of saved ``named`` (key, sid, n, comp) and are
+    allowed by sizes and sketches: all, or those of a forest in each block."""
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key", F.lit(True).alias("open"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = saved(spread_join(named, open_keys, "key", hot, ["sid"]).drop("open"), "open")
+    total = left.agg(F.sum(blocks)).first()[0] or 0
+    own = left.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp")
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + total // BUCKET_ROWS))
+    placed = placed.join(sets.select("sid", "size", "bits"), "sid").withColumn("bucket", bucket)
+
+    def paired(rows: pd.DataFrame) -> pd.DataFrame:
+        out = set()
+        for _, of_key in rows.sort_values("sid").groupby(["key", "i", "j"], sort=False):
+            block = Block(of_key, percent)
+            for x, y in block.forest() if forest else block.every():
+                out.add(tuple(sorted((int(block.sid[x]), int(block.sid[y])))))
+        return pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("bucket").applyInPandas(paired, "a bigint, b bigint")
+
+
 def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: int, most_small: int | None = None) -> DataFrame:
     """Links (a, b) between sids that join all sets of at least ``percent`` similarity into their components."""
     most_small = boundary(sets, percent, subset) if most_small is None else most_small
@@ -355,24 +436,14 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int, subset: in
         found = saved(found.unionByName(new), "found")
         labels = saved(components(found), "labels")
 
-    # what is still in different components is paired, a block of a key's sets against another
-    named = _named(members, labels)
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    left = saved(named.join(open_keys, "key").join(sets.select("sid", "size", "short"), "sid"), "open")
-    apart = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", percent, "short")
-    few, many = left.where(F.col("n") <= BLOCK), left.where(F.col("n") > BLOCK)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, each = F.pmod(F.xxhash64("sid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    at = F.lit(True)
-    for col in ("key", "i", "j"):
-        at = at & (F.col(f"x.{col}") == F.col(f"y.{col}"))
-    sides = [many.withColumn("i", i).withColumn("j", j).alias(side) for side, i, j in (("x", own, each), ("y", each, own))]
-    paired = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    blocked = sides[0].join(sides[1], at & apart).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-
+    # a forest of each key and the pairs that are keys of two, then what is still in different components
     two = shared.where("n = 2").select("a", "b")
-    pairs = _apart(paired.unionByName(blocked).unionByName(two).distinct(), _named(facts, labels), percent)
-    return found.unionByName(verified(pairs, sets, docs, width, percent))
+    close = block_pairs(saved(_named(members, labels), "named"), sets, hot, percent, forest=True)
+    new = verified(_apart(close.unionByName(two).distinct(), _named(facts, labels), percent), sets, docs, width, percent)
+    found = saved(found.unionByName(new), "found")
+    labels = saved(components(found), "labels")
+    rest = block_pairs(saved(_named(members, labels), "named"), sets, hot, percent, forest=False)
+    return found.unionByName(verified(_apart(rest.distinct(), _named(facts, labels), percent), sets, docs, width, percent))
 
 
 def similar_documents(

@@ -127,3 +127,14 @@ def test_a_group_less_similar_is_not_listed(spark, monkeypatch):
     rows = [(k, " ".join([*base, *(f"own{k}x{j}" for j in range(4))])) for k in range(120)]
     assert result(spark, rows, most_small=128) == brute(rows)
     assert sum(asked) < 1000, asked
+
+
+def test_a_crowd_of_links_is_not_listed(spark, monkeypatch):
+    """Near copies about as similar as asked for: what a forest of the closest pairs has joined is not paired again."""
+    asked, verified = [], sj.verified
+    monkeypatch.setattr(sj, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(63)]  # two copies share 52 shingles and have 4 to 16 besides
+    rows = [(k, " ".join([*base[: 60 - draw.randrange(5)], *(f"own{k}x{j}" for j in range(draw.randrange(1, 6)))])) for k in range(150)]
+    assert result(spark, rows, most_small=128) == brute(rows)
+    assert sum(asked) < 600, asked
