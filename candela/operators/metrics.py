@@ -194,12 +194,13 @@ def zero_filled(all_keys: DataFrame, metrics: DataFrame, keys: list[str]) -> Dat
 def dashboard_metrics(trades: DataFrame, series: Series, saved: bool = False) -> DataFrame:
     """The dashboard's variant: rates in percent, Sharpe on pnl_percent with population deviation, drawdown in currency.
 
-    ``trades`` is read twice, so it is saved first unless the caller says it already is.
+    ``trades`` is read twice, so it is saved first unless the caller says it already is.  Without entry_time there is no duration.
     """
     keys = list(series.keys)
     pnl = c("pnl")
     won, lost = F.when(pnl > 0, pnl), F.when(pnl <= 0, pnl)
-    need = dict.fromkeys([*keys, *series.order, "entry_time", "exit_time", "pnl", "pnl_percent"])
+    entry = ["entry_time"] if "entry_time" in trades.columns else []
+    need = dict.fromkeys([*keys, *series.order, *entry, "exit_time", "pnl", "pnl_percent"])
     slim = trades.select(*need)
     slim = slim if saved else written(slim, "dashboard-trades")
     df = slim.groupBy(*keys).agg(
@@ -212,7 +213,7 @@ def dashboard_metrics(trades: DataFrame, series: Series, saved: bool = False) ->
         F.coalesce(F.sum(won), F.lit(0.0)).alias("_gain"),
         F.abs(F.coalesce(F.sum(lost), F.lit(0.0))).alias("_loss"),
         (div0(F.avg("pnl_percent"), F.stddev_pop("pnl_percent")) * YEAR).alias("sharpe_ratio"),
-        F.avg(duration_hours()).alias("avg_trade_duration"),
+        *[F.avg(duration_hours()).alias("avg_trade_duration") for _ in entry],
     )
     depth = pnl_path(slim, series).select(
         *keys, F.abs("drawdown").alias("max_drawdown"), F.abs(c("cumulative") - c("peak")).alias("current_drawdown")

@@ -77,7 +77,7 @@ TEXT = {
     + " UNION ALL ".join(f"SELECT instrument, '{k.split(';')[0]}' AS level, '{k.split(';')[1]}' AS category,"
                          f" {TEXT[k.split(';')[2]][k.split(';')[0]]} AS message FROM a WHERE {cond}" for k, cond in ALERT.items()))
 def alerts(spark, sf_dir):
-    trades = pnl_trades(spark, sf_dir)
+    trades = pnl_trades(spark, sf_dir, entry=False)
     m = met.dashboard_metrics(trades, trade_series(), saved=True).join(met.recent_pnl(trades, K, AS_OF), K)
     return hl.risk_alerts(m, K, F.col("recent_pnl"), F.lit(10000.0))
 
@@ -85,7 +85,7 @@ def alerts(spark, sf_dir):
 def state_query(name, cols, pick):
     @query(name, stages(*STATE) + f"SELECT instrument, {cols} FROM h6")
     def run(spark, sf_dir):
-        return rounded(health(pnl_trades(spark, sf_dir)).select(*K, *pick))
+        return rounded(health(pnl_trades(spark, sf_dir, entry=False)).select(*K, *pick))
 
 
 state_query("k02_recent_win_rates", f"{r('wr30')} AS win_rate_30, {r('wr100')} AS win_rate_100", ["win_rate_30", "win_rate_100"])
@@ -119,13 +119,13 @@ ACTION = "CASE status WHEN 'failed' THEN 'stop_trading' WHEN 'critical' THEN 'cl
 @query("k09_health_status", stages(*STATE) + f"SELECT instrument, status, {ACTION} AS recommended_action, concat_ws(' | ', "
        + ", ".join(f"CASE WHEN {a} THEN {b} END" for a, b in NOTES) + ") AS warnings FROM h6")
 def status(spark, sf_dir):
-    return health(pnl_trades(spark, sf_dir)).select(*K, "status", "recommended_action", F.concat_ws(" | ", "warnings").alias("warnings"))
+    return health(pnl_trades(spark, sf_dir, entry=False)).select(*K, "status", "recommended_action", F.concat_ws(" | ", "warnings").alias("warnings"))
 
 
 @query("k10_baseline", stages(*STATE) + f"SELECT instrument, {r('bwr')} AS baseline_win_rate, {r('bsh')} AS baseline_sharpe,"
        f" {r('bpf')} AS baseline_profit_factor FROM b0")
 def base(spark, sf_dir):
-    return rounded(baseline(pnl_trades(spark, sf_dir)))
+    return rounded(baseline(pnl_trades(spark, sf_dir, entry=False)))
 
 
 @query("k11_recovery_plan", stages(

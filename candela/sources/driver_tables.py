@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions.durable import saved
+from candela.functions.keytables import per_key
 from candela.functions.series import Series
 from candela.sources.bars import ticks_to_bars
 
@@ -38,23 +39,39 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trades_with_margin(spark, sf_dir).drop("margin")
 
 
-def _trades_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """``lines`` joined with ``orders`` of which no column is asked for: each line once for every order of its key.
+
+    Only keys are shuffled for it.  Those that have not just one order are then joined with the lines, by broadcast if
+    they are counted to be few.
+    """
+    lines = lines.where(F.col("l_orderkey").isNotNull())
+    counts = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("_orders"))
+    held = lines.select("l_orderkey").distinct().join(counts, "l_orderkey", "left").withColumn("_orders", F.coalesce("_orders", F.lit(0)))
+    odd = per_key(held.where("_orders != 1"))
+    times = F.array_repeat(F.lit(1), F.coalesce("_orders", F.lit(1)).cast("int"))
+    return lines.join(odd, "l_orderkey", "left").withColumn("_orders", F.explode(times)).drop("_orders")
+
+
+def _trades_with_margin(spark: SparkSession, sf_dir: str, entry: bool = True) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         (F.col("l_discount") - F.col("l_tax")).alias("margin"), "l_returnflag", "l_linestatus", "l_shipdate",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        parts, lines.l_partkey == parts.p_partkey
-    )
+    if entry:
+        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    else:
+        lines = ordered(lines, orders)
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")
         ).alias("trade_id"),
         F.col("p_brand").alias("instrument"),
         F.when(F.col("l_linestatus") == "O", "long").otherwise("short").alias("direction"),
-        F.col("o_orderdate").alias("entry_time"),
+        *([F.col("o_orderdate").alias("entry_time")] if entry else []),
         F.col("l_shipdate").alias("exit_time"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"),
         F.col("l_quantity").alias("size"),
@@ -70,13 +87,14 @@ def _trades_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pnl_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pnl_trades(spark: SparkSession, sf_dir: str, entry: bool = True) -> DataFrame:
     """The columns of the trades that pnl and health figures read, saved: each of their passes would join the lines again.
 
-    The margin has few values; pnl and pnl_percent are made of it again after reading.
+    The margin has few values; pnl and pnl_percent are made of it again after reading.  Without ``entry`` there is no
+    entry_time, the one column of an order, and the lines need not be shuffled by order.
     """
-    need = dict.fromkeys(["instrument", "entry_time", "exit_time", *TRADE_TIE, "margin"])
-    kept = saved(_trades_with_margin(spark, sf_dir).select(*need), "trades")
+    need = dict.fromkeys(["instrument", *(["entry_time"] if entry else []), "exit_time", *TRADE_TIE, "margin"])
+    kept = saved(_trades_with_margin(spark, sf_dir, entry).select(*need), "trades")
     gains = {"pnl": F.col("notional") * F.col("margin"), "pnl_percent": 100 * F.col("margin")}
     return kept.withColumns(gains).drop("margin")
 

@@ -262,3 +262,15 @@ def test_saved_trades_hold_the_margin_once(spark):
     stored = spark.read.parquet(*got.inputFiles()).columns
     assert "margin" in stored and "pnl" not in stored and "margin" not in want.columns + got.columns
     assert got.select("order_key", "notional", "pnl", "pnl_percent").exceptAll(want.select("order_key", "notional", "pnl", "pnl_percent")).count() == 0
+
+
+def test_lines_meet_their_orders_by_keys_only(spark):
+    """Missing, repeated and null order keys as in the join, and no line is shuffled by its order."""
+    from candela.sources.driver_tables import ordered
+
+    lines = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30), (None, 40)], "l_orderkey long, l_partkey long")
+    orders = spark.createDataFrame([(1,), (3,), (3,), (3,), (None,), (9,)], "o_orderkey long")
+    want = lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("o_orderkey")
+    got = ordered(lines, orders)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 10), (1, 11), (3, 30), (3, 30), (3, 30)]
+    assert "hashpartitioning" not in got._jdf.queryExecution().toString()
