@@ -131,6 +131,7 @@ def test_a_group_less_similar_is_not_listed(spark, monkeypatch):
 
 def test_a_crowd_of_links_is_not_listed(spark, monkeypatch):
     """Near copies about as similar as asked for: what a forest of the closest pairs has joined is not paired again."""
+    monkeypatch.setattr(sj, "ROUNDS", 0)  # no pivots before
     asked, verified = [], sj.verified
     monkeypatch.setattr(sj, "verified", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
     draw = random.Random(8)
